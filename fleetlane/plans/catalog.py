@@ -13,8 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlane.functions.text import strip_ws
+from fleetlane.functions.timefmt import ts_text
+from fleetlane.operators import tasks as tk
 from fleetlane.operators import wordcount as wc
+from fleetlane.plans import standins as si
 from fleetlane.session import prepare
+from fleetlane.sources.requests import parse_requests
 from fleetlane.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +82,149 @@ def q_union_inputs(spark, sf_dir):
 def q_task_report(spark, sf_dir):
     """K5: every task's report (task = input set) as ordered lines."""
     return wc.task_report_lines(_documents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- task family
+QUEUE_HEAD_N = 7       # lines the batch controller reads per round
+COMPLETION_TAIL_N = 10
+# Driver-data pattern for O11 (the prose has no timing lines): the first
+# stretch from "the" to "of", across line breaks, any case.
+PROSE_PATTERN = "(?is)(the .*? of )"
+
+
+def _tasks(spark, sf_dir):
+    return tk.parse_queue(si.queue_lines(spark, sf_dir))
+
+
+def _parsed_completions(spark, sf_dir):
+    return tk.parse_completions(si.completion_lines(spark, sf_dir))
+
+
+@query("queue_scan")
+def q_queue_scan(spark, sf_dir):
+    """Queue lines parsed; blanks skipped, last token = id."""
+    return _tasks(spark, sf_dir)
+
+
+@query("completion_scan")
+def q_completion_scan(spark, sf_dir):
+    """Both completion formats, bad ids rejected, first per id wins."""
+    return tk.first_completions(_parsed_completions(spark, sf_dir))
+
+
+@query("report_scan")
+def q_report_scan(spark, sf_dir):
+    """Whole report texts, stripped, empty ones skipped."""
+    d = table(spark, sf_dir, "documents")
+    rep = strip_ws(F.col("text"))
+    return (d.select(F.col("doc_id").alias("report_id"), rep.alias("report"))
+             .where(F.length("report") > 0))
+
+
+@query("completion_match")
+def q_completion_match(spark, sf_dir):
+    """Task queue joined with the deduplicated completion log."""
+    return tk.completion_match(_tasks(spark, sf_dir),
+                               tk.first_completions(_parsed_completions(spark, sf_dir)))
+
+
+@query("pending_tasks")
+def q_pending_tasks(spark, sf_dir):
+    """Queued tasks with no valid completion."""
+    return tk.pending_tasks(_tasks(spark, sf_dir), _parsed_completions(spark, sf_dir))
+
+
+@query("busy_groups")
+def q_busy_groups(spark, sf_dir):
+    """Containers running at least one open line item."""
+    running = (table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "O")
+               .select(F.col("l_suppkey").alias("container_id")))
+    return tk.busy_groups(si.containers(spark, sf_dir), running).select("container_id", "name")
+
+
+@query("result_lookup")
+def q_result_lookup(spark, sf_dir):
+    """Labelled completions looked up in the report files."""
+    return tk.result_lookup(si.label_completions(spark, sf_dir),
+                            si.report_files(spark, sf_dir), si.LOG_ROOT)
+
+
+@query("timeout_status")
+def q_timeout_status(spark, sf_dir):
+    """Signup -> first purchase of the user within 3,600 s."""
+    e = si.event_times(spark, sf_dir)
+    req = e.where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("req_id"), "user_id", "ts")
+    done = e.where(F.col("event_type") == "purchase").select("user_id", "ts")
+    r = tk.first_completion_within(req, done, "user_id", 3600)
+    return r.select(F.col("req_id").alias("event_id"), "user_id",
+                    ts_text(F.timestamp_micros("submit_us")).alias("submit_ts"),
+                    ts_text(F.timestamp_micros("done_us")).alias("done_ts"), "status")
+
+
+@query("queue_head")
+def q_queue_head(spark, sf_dir):
+    """The first 7 queue lines, blanks dropped."""
+    return tk.queue_head(si.queue_lines(spark, sf_dir), QUEUE_HEAD_N)
+
+
+@query("queue_pop")
+def q_queue_pop(spark, sf_dir):
+    """The queue without its first line."""
+    return tk.queue_pop(si.queue_lines(spark, sf_dir), 1)
+
+
+@query("completion_tail")
+def q_completion_tail(spark, sf_dir):
+    """The newest 10 completion lines."""
+    return tk.completion_tail(si.completion_lines(spark, sf_dir), COMPLETION_TAIL_N)
+
+
+@query("queue_status")
+def q_queue_status(spark, sf_dir):
+    """Per priority class, tasks, running ones, any running."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("run"),
+        F.when(F.col("o_orderstatus") == "O", "running").otherwise("queued").alias("status"))
+    return tk.queue_status(o, "run", "status")
+
+
+@query("exec_time_mining")
+def q_exec_time_mining(spark, sf_dir):
+    """First pattern match of each job output (short outputs = failed)."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("output"),
+        F.when(F.col("n_chars") < 100, 1).otherwise(0).cast("bigint").alias("rc"))
+    return tk.exec_time_mining(d, PROSE_PATTERN).select("doc_id", "rc", "matched", "result")
+
+
+@query("access_log")
+def q_access_log(spark, sf_dir):
+    """Access-log lines of the served requests (icon fetches skipped)."""
+    return tk.access_log_lines(si.access_records(spark, sf_dir)).select("event_id", "log_line")
+
+
+@query("callback_outbox")
+def q_callback_outbox(spark, sf_dir):
+    """JSON callbacks of finished (F) and timed-out (O) tasks; urgent
+    tasks report with the nested result payload."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+    uuid = si.standin_uuid(F.col("o_orderkey"))
+    ok = F.col("o_orderstatus") == "F"
+    out_path = F.concat(F.lit("output/o"), F.col("o_orderkey").cast("string"))
+    in_path = F.concat(F.lit("input/c"), F.col("o_custkey").cast("string"))
+    msg = F.when(ok, F.concat(F.lit("wordcount finished: "), out_path)).otherwise(
+        F.lit(tk.TIMEOUT_MESSAGE))
+    flat = tk.callback_payload(uuid, ok, msg, F.col("o_orderdate"))
+    nested = tk.nested_callback_payload(
+        uuid, F.when(ok, "success").otherwise("failed"),
+        F.concat(F.lit("sh run-wordcount2.sh "), in_path, F.lit(" "), out_path),
+        msg, in_path, out_path, F.col("o_orderdate"))
+    payload = F.when(F.col("o_orderpriority") == "1-URGENT", nested).otherwise(flat)
+    return o.select(uuid.alias("uuid"), payload.alias("payload"))
+
+
+@query("request_scan")
+def q_request_scan(spark, sf_dir):
+    """Request bodies checked for their variant's required keys."""
+    return parse_requests(si.request_bodies(spark, sf_dir)).drop("body")

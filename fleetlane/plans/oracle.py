@@ -6,6 +6,11 @@ CTEs so that each string runs on the bare driver tables.
 
 from __future__ import annotations
 
+from fleetlane.functions.ids import UUID_RE
+from fleetlane.operators.tasks import TIMEOUT_MESSAGE
+from fleetlane.plans import standins as si
+from fleetlane.sources.requests import INVALID_ERROR, PIPELINE_ERROR
+
 # Whitespace class of the word-count tokenizer (space, tab, LF, CR, FF).
 _TOK = r"'[ \t\n\r\f]+'"
 
@@ -16,6 +21,17 @@ _WORDS = f"""
 
 ORACLE: dict[str, str] = {}
 
+# Whitespace set of a whole-text strip, and the token separator of a
+# command line, spelled for DuckDB.
+_WS = "(' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+_WSRUN = r"'[ \t\n\r\f\x0b]+'"
+_UUID_RE = "'" + UUID_RE + "'"
+
+
+def _q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
 ORACLE["wordcount"] = f"""
 SELECT word, count(*)::BIGINT AS cnt FROM ({_WORDS}) GROUP BY word
 """
@@ -65,3 +81,164 @@ SELECT task, 1, k_doc, k_line::BIGINT, '', line FROM lines
 UNION ALL
 SELECT task, 3, 0, 0, word, word || chr(9) || count(*)::VARCHAR FROM words GROUP BY task, word
 """
+
+
+# ---------------------------------------------------------------- task family
+_TASKS = f"""
+  SELECT pos, cmd, t[3] AS input, t[4] AS output, t[-1] AS uuid
+  FROM (SELECT pos, cmd, regexp_split_to_array(cmd, {_WSRUN}) AS t
+        FROM (SELECT pos, trim(value, {_WS}) AS cmd FROM ({si.QUEUE_LINES_SQL}))
+        WHERE cmd <> '')"""
+
+_PARSED = f"""
+  SELECT pos, uuid, path, coalesce(regexp_matches(uuid, {_UUID_RE}), false) AS valid
+  FROM (SELECT pos,
+               CASE WHEN nid <> '' THEN nid ELSE regexp_split_to_array(v, {_WSRUN})[-1] END AS uuid,
+               CASE WHEN nid <> '' THEN trim(npath, {_WS}) END AS path
+        FROM (SELECT pos, v, regexp_extract(v, '^(\\S+):::(.*)$', 1) AS nid,
+                     regexp_extract(v, '^(\\S+):::(.*)$', 2) AS npath
+              FROM (SELECT pos, trim(value, {_WS}) AS v FROM ({si.COMPLETION_LINES_SQL}))
+              WHERE v <> ''))"""
+
+_FIRSTS = f"""
+  SELECT uuid, f.pos AS first_pos, nullif(f.p, '') AS path, dup_count
+  FROM (SELECT uuid, min({{'pos': pos, 'p': coalesce(path, '')}}) AS f, count(*)::BIGINT AS dup_count
+        FROM ({_PARSED}) WHERE valid GROUP BY uuid)"""
+
+ORACLE["queue_scan"] = _TASKS
+
+ORACLE["completion_scan"] = _FIRSTS
+
+ORACLE["report_scan"] = f"""
+SELECT doc_id AS report_id, trim(text, {_WS}) AS report FROM documents
+WHERE length(trim(text, {_WS})) > 0
+"""
+
+ORACLE["completion_match"] = f"""
+SELECT t.uuid, t.pos, t.input, f.path, f.first_pos AS done_pos
+FROM ({_TASKS}) t JOIN ({_FIRSTS}) f ON t.uuid = f.uuid
+"""
+
+ORACLE["pending_tasks"] = f"""
+SELECT pos, uuid, input FROM ({_TASKS}) t
+WHERE NOT EXISTS (SELECT 1 FROM ({_PARSED}) c WHERE c.valid AND c.uuid = t.uuid)
+"""
+
+ORACLE["busy_groups"] = f"""
+SELECT container_id, name FROM ({si.CONTAINERS_SQL}) c
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_linestatus = 'O' AND l_suppkey = c.container_id)
+"""
+
+ORACLE["result_lookup"] = f"""
+SELECT c.uuid, c.path AS log_path, r.report IS NOT NULL AS found, r.report
+FROM (SELECT uuid, path,
+             CASE WHEN p LIKE '/%' THEN p ELSE '{si.LOG_ROOT}/' || p END AS np
+      FROM (SELECT uuid, path, regexp_replace(trim(path, {_WS}), '^logs/', '') AS p
+            FROM ({si.LABEL_COMPLETIONS_SQL}))) c
+LEFT JOIN (SELECT path, trim(text, {_WS}) AS report FROM ({si.REPORT_FILES_SQL})
+           WHERE length(trim(text, {_WS})) > 0) r ON r.path = c.np
+"""
+
+_TSF = "'%Y-%m-%d %H:%M:%S.%f'"
+ORACLE["timeout_status"] = f"""
+SELECT r.event_id, r.user_id, strftime(r.ts, {_TSF}) AS submit_ts,
+       strftime(min(c.ts), {_TSF}) AS done_ts,
+       CASE WHEN min(c.ts) IS NULL THEN 'timeout' ELSE 'success' END AS status
+FROM events r
+LEFT JOIN events c ON c.user_id = r.user_id AND c.event_type = 'purchase'
+     AND c.ts BETWEEN r.ts AND r.ts + INTERVAL 3600 SECOND
+WHERE r.event_type = 'signup'
+GROUP BY r.event_id, r.user_id, r.ts
+"""
+
+ORACLE["queue_head"] = f"""
+SELECT pos, cmd, t[3] AS input, t[4] AS output, t[-1] AS uuid
+FROM (SELECT pos, cmd, regexp_split_to_array(cmd, {_WSRUN}) AS t
+      FROM (SELECT pos, trim(value, {_WS}) AS cmd
+            FROM (SELECT * FROM ({si.QUEUE_LINES_SQL}) ORDER BY pos LIMIT 7))
+      WHERE cmd <> '')
+"""
+
+ORACLE["queue_pop"] = f"""
+WITH q AS ({si.QUEUE_LINES_SQL})
+SELECT pos, value FROM q
+WHERE pos > (SELECT max(pos) FROM (SELECT pos FROM q ORDER BY pos LIMIT 1))
+"""
+
+ORACLE["completion_tail"] = f"""
+SELECT pos, value FROM ({si.COMPLETION_LINES_SQL}) ORDER BY pos DESC, value DESC LIMIT 10
+"""
+
+ORACLE["queue_status"] = """
+SELECT o_orderpriority AS run, count(*)::BIGINT AS n_tasks,
+       count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS n_running,
+       bool_or(o_orderstatus = 'O') AS any_running
+FROM orders GROUP BY o_orderpriority
+"""
+
+ORACLE["exec_time_mining"] = f"""
+SELECT doc_id, rc, matched, CASE WHEN matched THEN trim(m, {_WS}) ELSE text END AS result
+FROM (SELECT doc_id, text, rc, m, (rc = 0 AND m <> '') AS matched
+      FROM (SELECT doc_id, text, (CASE WHEN n_chars < 100 THEN 1 ELSE 0 END)::BIGINT AS rc,
+                   regexp_extract(text, '(?is)(the .*? of )', 1) AS m
+            FROM documents))
+"""
+
+ORACLE["access_log"] = """
+SELECT event_id,
+       printf('%s - INFO - [access] %s - "%s %s %s" %d %s - %.2fms',
+              strftime(end_ts, '%H:%M:%S'), client, method, path, 'HTTP/1.1', status,
+              coalesce(bytes, '-'),
+              (epoch_us(end_ts) - epoch_us(ts))::DOUBLE / 1000.0::DOUBLE) AS log_line
+FROM (SELECT event_id, ts,
+             ts + to_microseconds(round(value * 1000)::BIGINT) AS end_ts,
+             printf('10.0.%d.%d', user_id // 256, user_id % 256) AS client,
+             CASE WHEN event_type IN ('signup', 'purchase') THEN 'POST' ELSE 'GET' END AS method,
+             CASE WHEN event_type = 'view' THEN '/favicon.ico' ELSE '/' || event_type END AS path,
+             CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status,
+             CASE WHEN event_type <> 'click' THEN json_extract_string(props, '$.k') END AS bytes
+      FROM events)
+WHERE path <> '/favicon.ico'
+"""
+
+ORACLE["callback_outbox"] = f"""
+SELECT u AS uuid,
+       CASE WHEN o_orderpriority = '1-URGENT'
+            THEN to_json({{'uuid': u, 'task_status': st,
+                           'result': {{'status': st, 'cmd': 'sh run-wordcount2.sh ' || ip || ' ' || op,
+                                      'output': msg, 'input_path': ip, 'output_path': op,
+                                      'execution_time': hms}}}})
+            ELSE to_json({{'uuid': u, 'success': ok, 'message': msg, 'timestamp': hms}}) END::VARCHAR
+         AS payload
+FROM (SELECT *, CASE WHEN ok THEN 'success' ELSE 'failed' END AS st,
+             CASE WHEN ok THEN 'wordcount finished: ' || op ELSE {_q(TIMEOUT_MESSAGE)} END AS msg
+      FROM (SELECT o_orderpriority, {si._uuid_sql('o_orderkey')} AS u, o_orderstatus = 'F' AS ok,
+                   'output/o' || o_orderkey::VARCHAR AS op, 'input/c' || o_custkey::VARCHAR AS ip,
+                   strftime(o_orderdate, '%H:%M:%S') AS hms
+            FROM orders WHERE o_orderstatus IN ('F', 'O')))
+"""
+
+_PIPE_BLANK = ("(coalesce(json_extract_string(body, '$.ipy_path'), '') = '' "
+               "OR coalesce(json_extract_string(body, '$.pipeline'), '') = '')")
+ORACLE["request_scan"] = f"""
+SELECT event_id, variant, error IS NULL AS accepted,
+       (CASE WHEN error IS NULL THEN 200 ELSE 400 END)::BIGINT AS code, error,
+       CASE WHEN error IS NULL AND variant <> 'pipeline' THEN json_extract_string(body, '$.input') END AS input,
+       CASE WHEN error IS NULL AND variant = 'micro' THEN coalesce(json_extract_string(body, '$.output'), '')
+            WHEN error IS NULL AND variant = 'hadoop' THEN json_extract_string(body, '$.output') END AS output,
+       CASE WHEN error IS NULL AND variant <> 'pipeline' THEN json_extract_string(body, '$.callback_url') END
+         AS callback_url
+FROM (SELECT event_id, variant, body,
+             CASE WHEN keys IS NULL THEN {_q(INVALID_ERROR)}
+                  WHEN variant = 'pipeline' AND {_PIPE_BLANK} THEN {_q(PIPELINE_ERROR)}
+                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'input') THEN 'missing parameter: input'
+                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'output') THEN 'missing parameter: output'
+                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'callback_url')
+                       THEN 'missing parameter: callback_url'
+                  WHEN variant = 'micro' AND NOT list_contains(keys, 'input') THEN 'missing parameter: input'
+                  WHEN variant = 'micro' AND NOT list_contains(keys, 'callback_url')
+                       THEN 'missing parameter: callback_url'
+             END AS error
+      FROM (SELECT *, CASE WHEN json_valid(body) THEN json_keys(body) END AS keys
+            FROM ({si.REQUEST_BODIES_SQL})))
+"""

@@ -30,12 +30,12 @@ def _unit_factor(unit: Column) -> Column:
     expr = None
     for u, f in MEM_UNITS.items():
         expr = (F.when(unit == u, F.lit(f)) if expr is None else expr.when(unit == u, F.lit(f)))
-    return expr.cast("decimal(20,0)")
+    return expr.cast("decimal(18,0)")
 
 
 def size_bytes(c: Column) -> Column:
     """'726.2MiB' -> 761466061 (bytes, rounded); malformed -> NULL."""
-    num = F.regexp_extract(c, _NUM_UNIT_RE, 1).try_cast("decimal(20,4)")
+    num = F.regexp_extract(c, _NUM_UNIT_RE, 1).try_cast("decimal(18,4)")
     unit = F.regexp_extract(c, _NUM_UNIT_RE, 2)
     return F.round(num * _unit_factor(unit), 0).cast("bigint")
 

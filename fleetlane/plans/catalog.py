@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 
 from fleetlane.functions.text import strip_ws
 from fleetlane.functions.timefmt import ts_text
+from fleetlane.functions.ids import standin_uuid
+from fleetlane.operators import contrast as ct
+from fleetlane.operators import placement as pl
+from fleetlane.operators import scaling as sc
 from fleetlane.operators import tasks as tk
+from fleetlane.operators import usage as us
+from fleetlane.operators.indexing import bucketed_rank
 from fleetlane.operators import wordcount as wc
 from fleetlane.plans import standins as si
 from fleetlane.session import prepare
@@ -228,3 +234,250 @@ def q_callback_outbox(spark, sf_dir):
 def q_request_scan(spark, sf_dir):
     """Request bodies checked for their variant's required keys."""
     return parse_requests(si.request_bodies(spark, sf_dir)).drop("body")
+
+
+# --------------------------------------------------------------- usage family
+SERIES_SKIP = 3      # warm-up snapshots dropped before aligning runs
+SERIES_HEAD_N = 34   # snapshots kept by series_head
+
+
+def _typed(spark, sf_dir):
+    return us.typed_stats(si.snapshot_rows(spark, sf_dir))
+
+
+def _cpu_series(spark, sf_dir):
+    return us.usage_by_snapshot(_typed(spark, sf_dir), "cpu")
+
+
+@query("stat_scan")
+def q_stat_scan(spark, sf_dir):
+    """Snapshot rows as written by the sampler (text fields)."""
+    return si.snapshot_rows(spark, sf_dir)
+
+
+@query("stat_typed")
+def q_stat_typed(spark, sf_dir):
+    """Typed snapshot rows (fractions, bytes, name parts)."""
+    t = _typed(spark, sf_dir)
+    return t.withColumn("cpu", F.col("cpu").cast("double")).withColumn("mem", F.col("mem").cast("double"))
+
+
+@query("fleet_filter")
+def q_fleet_filter(spark, sf_dir):
+    """Fleet containers among all containers."""
+    return us.fleet_filter(si.containers(spark, sf_dir)).select("container_id", "name")
+
+
+@query("name_count")
+def q_name_count(spark, sf_dir):
+    """Running groups (master containers) per nation listing."""
+    return us.name_count(si.containers(spark, sf_dir), ["nation"])
+
+
+@query("cpu_by_snapshot")
+def q_cpu_by_snapshot(spark, sf_dir):
+    """Fleet CPU per snapshot."""
+    return us.usage_by_snapshot(_typed(spark, sf_dir), "cpu")
+
+
+@query("mem_by_snapshot")
+def q_mem_by_snapshot(spark, sf_dir):
+    """Fleet memory share per snapshot."""
+    return us.usage_by_snapshot(_typed(spark, sf_dir), "mem")
+
+
+@query("run_makespan")
+def q_run_makespan(spark, sf_dir):
+    """Per (user, day) run, first/last event in ms and elapsed seconds."""
+    e = si.event_times(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return us.run_makespan(e, ["user_id", "day"])
+
+
+@query("time_axis")
+def q_time_axis(spark, sf_dir):
+    """Snapshot -> seconds since run start (6.5 s sampling step)."""
+    return us.time_axis(si.snapshot_rows(spark, sf_dir), 0.0, 6.5)
+
+
+@query("series_align")
+def q_series_align(spark, sf_dir):
+    """CPU series without warm-up, padded to the longest run."""
+    return us.series_align(_cpu_series(spark, sf_dir), "cpu", SERIES_SKIP, 0.0, 6.5)
+
+
+@query("series_head")
+def q_series_head(spark, sf_dir):
+    """First 34 snapshots of every run."""
+    return us.series_head(_cpu_series(spark, sf_dir), SERIES_HEAD_N)
+
+
+@query("group_timeline")
+def q_group_timeline(spark, sf_dir):
+    """Groups up per snapshot and change flags."""
+    return us.group_timeline(_typed(spark, sf_dir))
+
+
+@query("end_phase")
+def q_end_phase(spark, sf_dir):
+    """T6 (batch): per user, events up to the first error are phase '',
+    the next 4 phase 'end', later ones are not sampled."""
+    e = si.event_times(spark, sf_dir)
+    marker = (e.where(F.col("event_type") == "error")
+               .select("user_id", F.col("ts").alias("marker_ts")))
+    samples = e.select("user_id", "ts", "event_id")
+    r = us.end_phase(samples, "user_id", "ts", marker, 4)
+    return r.select("user_id", "event_id", ts_text(F.col("ts")).alias("ts"), "phase")
+
+
+# ------------------------------------------------------------ contrast family
+def _makespans_lineitem(spark, sf_dir):
+    """Makespan stand-in: strategy = return flag, n_tasks = ship month,
+    seconds = summed price / 100,000 (exact decimal, 3 places)."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy(F.col("l_returnflag").alias("strategy"),
+                       F.month("l_shipdate").cast("bigint").alias("n_tasks"))
+              .agg(F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))
+                           * F.lit(0.00001).cast("decimal(6,5)"), 3).cast("double").alias("seconds"))
+              .withColumn("nodes", F.lit(1).cast("bigint")))
+
+
+@query("strategy_join")
+def q_strategy_join(spark, sf_dir):
+    """Strategies aligned on task count."""
+    return ct.strategy_join(_makespans_lineitem(spark, sf_dir), ["A", "N", "R"])
+
+
+@query("phase_share")
+def q_phase_share(spark, sf_dir):
+    """Work vs. scaling share, warm (A) against cold (R) start."""
+    return ct.phase_share(_makespans_lineitem(spark, sf_dir), "A", "R")
+
+
+@query("series_contrast")
+def q_series_contrast(spark, sf_dir):
+    """One row per time index, one CPU column per run."""
+    cpu = _cpu_series(spark, sf_dir)
+    axis = us.time_axis(cpu).select(*us.SNAP, "idx")
+    series = cpu.join(axis, list(us.SNAP)).select("run_id", "idx", F.col("cpu").alias("value"))
+    return ct.series_contrast(series, [1, 2, 3])
+
+
+@query("node_normalise")
+def q_node_normalise(spark, sf_dir):
+    """Makespan by tasks per node (orders: priority = strategy,
+    status = node count F/O/P -> 1/2/4, month = task count)."""
+    o = table(spark, sf_dir, "orders")
+    nodes = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
+    series = (o.groupBy(F.col("o_orderpriority").alias("strategy"), nodes.cast("bigint").alias("nodes"),
+                        F.month("o_orderdate").cast("bigint").alias("n_tasks"))
+               .agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))
+                            * F.lit(0.000001).cast("decimal(7,6)"), 3).cast("double").alias("seconds")))
+    return ct.node_normalise(series)
+
+
+# ----------------------------------------------------------- placement family
+RANK_BUCKET = 100_000   # rows per bucket of the distributed queue rank
+
+
+def _workers(spark, sf_dir):
+    c = us.fleet_filter(si.containers(spark, sf_dir))
+    return pl.index_workers(c.where(F.col("name").startswith("hadoop-master-")))
+
+
+def _ranked_tasks(spark, sf_dir):
+    return bucketed_rank(_tasks(spark, sf_dir), "pos", RANK_BUCKET)
+
+
+@query("worker_assign")
+def q_worker_assign(spark, sf_dir):
+    """Queued task r -> worker r mod n (workers in name order)."""
+    r = pl.worker_assign(_ranked_tasks(spark, sf_dir), _workers(spark, sf_dir))
+    return r.select("pos", "uuid", "rank0", "slot", "container")
+
+
+@query("worker_assign_new")
+def q_worker_assign_new(spark, sf_dir):
+    """New tasks spread over the non-default workers."""
+    r = pl.worker_assign_new(_ranked_tasks(spark, sf_dir), _workers(spark, sf_dir))
+    return r.select("pos", "uuid", "container")
+
+
+@query("worker_reassign")
+def q_worker_reassign(spark, sf_dir):
+    """After scale-out, tasks on the default worker are spread again.
+    Open orders were submitted after scale-out (O22 pick), the others
+    while only the default worker was up."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("pos"), standin_uuid(F.col("o_orderkey")).alias("uuid"),
+        "o_orderstatus")
+    ranked = bucketed_rank(o, "pos", RANK_BUCKET)
+    workers = _workers(spark, sf_dir)
+    first = pl.worker_assign_new(ranked, workers)
+    bound = first.withColumn("container", F.when(F.col("o_orderstatus") == "O", F.col("container"))
+                             .otherwise(F.lit(pl.DEFAULT_WORKER)))
+    r = pl.worker_reassign(bound, workers)
+    return r.select("pos", "uuid", "container", "new_container")
+
+
+@query("task_intake")
+def q_task_intake(spark, sf_dir):
+    """Accepted /hadoop requests -> task rows with their worker."""
+    req = parse_requests(si.request_bodies(spark, sf_dir))
+    acc = (req.where(F.col("accepted") & (F.col("variant") == "hadoop"))
+              .join(si.event_times(spark, sf_dir).select("event_id", "ts"), "event_id"))
+    ranked = bucketed_rank(acc.withColumnRenamed("event_id", "pos"), "pos", RANK_BUCKET)
+    placed = pl.worker_assign_new(ranked, _workers(spark, sf_dir))
+    uuid = standin_uuid(F.col("pos"))
+    return placed.select(
+        uuid.alias("uuid"),
+        F.format_string("sh /root/run-wordcount2.sh %s %s %s", F.col("input"), F.col("output"),
+                        uuid).alias("command"),
+        "container", F.col("callback_url"), ts_text(F.col("ts")).alias("submit_ts"),
+        F.lit("pending").alias("status"))
+
+
+# ------------------------------------------------------------- scaling family
+def _ticks(spark, sf_dir):
+    """Hourly queue ticks: a signup adds a task, a purchase removes one."""
+    e = si.event_times(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase"))
+    return e.select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
+                    F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta"))
+
+
+def _depth(spark, sf_dir):
+    return sc.queue_depth(_ticks(spark, sf_dir))
+
+
+def _batch(spark, sf_dir):
+    return sc.batch_policy(_depth(spark, sf_dir).withColumn("run", F.lit("events")))
+
+
+@query("queue_depth")
+def q_queue_depth(spark, sf_dir):
+    """Queue length after each hour."""
+    return _depth(spark, sf_dir)
+
+
+@query("scale_decision")
+def q_scale_decision(spark, sf_dir):
+    """Service scaling decision per hour."""
+    return sc.scale_decision(_depth(spark, sf_dir)).select(
+        "tick", "depth", "groups", "action", "target")
+
+
+@query("scale_decision_batch")
+def q_scale_decision_batch(spark, sf_dir):
+    """Batch-controller decisions (stateful fold over the hours)."""
+    return _batch(spark, sf_dir).select("tick", "depth", "waiting", "groups_before", "action", "target")
+
+
+@query("idle_trigger")
+def q_idle_trigger(spark, sf_dir):
+    """Cumulative idle counter and when it fires."""
+    return _batch(spark, sf_dir).select("tick", "waiting", "idle", "fired")
+
+
+@query("scale_actions")
+def q_scale_actions(spark, sf_dir):
+    """Groups to add/remove per decision, with member names."""
+    return sc.scale_actions(sc.scale_decision(_depth(spark, sf_dir)))

@@ -7,6 +7,7 @@ CTEs so that each string runs on the bare driver tables.
 from __future__ import annotations
 
 from fleetlane.functions.ids import UUID_RE
+from fleetlane.functions.stats import CONTAINER_RE, FLEET_NAME_RE, MEM_UNITS
 from fleetlane.operators.tasks import TIMEOUT_MESSAGE
 from fleetlane.plans import standins as si
 from fleetlane.sources.requests import INVALID_ERROR, PIPELINE_ERROR
@@ -242,3 +243,278 @@ FROM (SELECT event_id, variant, body,
       FROM (SELECT *, CASE WHEN json_valid(body) THEN json_keys(body) END AS keys
             FROM ({si.REQUEST_BODIES_SQL})))
 """
+
+
+# --------------------------------------------------------------- usage family
+_SNAPS = si.SNAPSHOT_ROWS_SQL
+_NUMRE = r"'^\s*([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]+)\s*$'"
+_CRE = _q(CONTAINER_RE)
+_FACTOR = "CASE u " + " ".join(f"WHEN '{u}' THEN {f}" for u, f in MEM_UNITS.items()) + " END"
+
+
+def _pct(c: str) -> str:
+    return f"(TRY_CAST(trim({c}, '%') AS DECIMAL(18,4)) * 0.01::DECIMAL(2,2))"
+
+
+def _bytes(c: str) -> str:
+    num = f"TRY_CAST(regexp_extract({c}, {_NUMRE}, 1) AS DECIMAL(18,4))"
+    unit = f"regexp_extract({c}, {_NUMRE}, 2)"
+    return f"round({num} * ({_FACTOR.replace('CASE u', 'CASE ' + unit)})::DECIMAL(18,0), 0)::BIGINT"
+
+
+_TYPED = f"""
+  SELECT run_id, phase, sample_no, name,
+         nullif(regexp_extract(name, {_CRE}, 1), '') AS role,
+         TRY_CAST(nullif(regexp_extract(name, {_CRE}, 2), '') AS BIGINT) AS group_no,
+         TRY_CAST(nullif(regexp_extract(name, {_CRE}, 3), '') AS BIGINT) AS slot,
+         {_pct('cpu_pct')} AS cpu,
+         {_bytes("split_part(mem_usage, '/', 1)")} AS mem_used,
+         {_bytes("split_part(mem_usage, '/', 2)")} AS mem_limit,
+         {_pct('mem_pct')} AS mem
+  FROM ({_SNAPS})"""
+
+_PHASE_RANK = "CASE WHEN phase = 'end' THEN 1 ELSE 0 END"
+
+
+def _by_snapshot(metric: str) -> str:
+    return f"""
+  SELECT run_id, phase, sample_no, round(sum({metric}), 3)::DOUBLE AS {metric}
+  FROM ({_TYPED}) GROUP BY run_id, phase, sample_no"""
+
+
+_CPU = _by_snapshot("cpu")
+
+
+def _axis(src: str, step: str = "6.5") -> str:
+    return f"""
+  SELECT run_id, phase, sample_no, idx, 0.0::DOUBLE + idx::DOUBLE * {step}::DOUBLE AS t_sec
+  FROM (SELECT run_id, phase, sample_no,
+               (row_number() OVER (PARTITION BY run_id ORDER BY {_PHASE_RANK}, sample_no) - 1)::BIGINT AS idx
+        FROM (SELECT DISTINCT run_id, phase, sample_no FROM ({src})))"""
+
+
+ORACLE["stat_scan"] = _SNAPS
+
+ORACLE["stat_typed"] = f"""
+SELECT run_id, phase, sample_no, name, role, group_no, slot, cpu::DOUBLE AS cpu, mem_used, mem_limit,
+       mem::DOUBLE AS mem
+FROM ({_TYPED})
+"""
+
+ORACLE["fleet_filter"] = f"""
+SELECT container_id, name FROM ({si.CONTAINERS_SQL}) WHERE regexp_matches(name, {_q(FLEET_NAME_RE)})
+"""
+
+ORACLE["name_count"] = f"""
+SELECT nation, count(*) FILTER (WHERE contains(name, 'hadoop-master'))::BIGINT AS n_groups
+FROM ({si.CONTAINERS_SQL}) GROUP BY nation
+"""
+
+ORACLE["cpu_by_snapshot"] = _CPU
+ORACLE["mem_by_snapshot"] = _by_snapshot("mem")
+
+ORACLE["run_makespan"] = """
+SELECT user_id, day, start_ms, end_ms, (end_ms - start_ms)::DOUBLE / 1000.0::DOUBLE AS elapsed_s
+FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day,
+             ((epoch_us(min(ts)) + 500) // 1000)::BIGINT AS start_ms,
+             ((epoch_us(max(ts)) + 500) // 1000)::BIGINT AS end_ms
+      FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d'))
+"""
+
+ORACLE["time_axis"] = _axis(_SNAPS)
+
+ORACLE["series_align"] = f"""
+WITH cpu AS ({_CPU}),
+ax AS ({_axis('SELECT * FROM cpu', '1.0')}),
+m AS (SELECT run_id, idx - 3 AS idx, cpu AS value
+      FROM cpu JOIN ax USING (run_id, phase, sample_no) WHERE idx >= 3),
+len AS (SELECT run_id, count(*) AS l FROM m GROUP BY run_id),
+grid AS (SELECT run_id, unnest(range(0, (SELECT max(l) FROM len)))::BIGINT AS idx FROM len)
+SELECT g.run_id, g.idx, 0.0::DOUBLE + g.idx::DOUBLE * 6.5::DOUBLE AS t_sec,
+       last_value(m.value IGNORE NULLS) OVER (PARTITION BY g.run_id ORDER BY g.idx
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value,
+       m.value IS NULL AS padded
+FROM grid g LEFT JOIN m ON m.run_id = g.run_id AND m.idx = g.idx
+"""
+
+ORACLE["series_head"] = f"""
+SELECT run_id, phase, sample_no, cpu FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_PHASE_RANK}, sample_no) AS rn FROM ({_CPU}))
+WHERE rn <= 34
+"""
+
+ORACLE["group_timeline"] = f"""
+SELECT run_id, phase, sample_no, n_groups,
+       coalesce(n_groups <> lag(n_groups) OVER (PARTITION BY run_id ORDER BY {_PHASE_RANK}, sample_no),
+                false) AS changed
+FROM (SELECT run_id, phase, sample_no,
+             count(DISTINCT CASE WHEN contains(name, 'hadoop-master') THEN name END)::BIGINT AS n_groups
+      FROM ({_SNAPS}) GROUP BY run_id, phase, sample_no)
+"""
+
+ORACLE["end_phase"] = f"""
+WITH m AS (SELECT user_id, min(ts) AS mts FROM events WHERE event_type = 'error' GROUP BY user_id),
+j AS (SELECT e.user_id, e.event_id, e.ts, m.mts FROM events e LEFT JOIN m ON m.user_id = e.user_id)
+SELECT user_id, event_id, strftime(ts, {_TSF}) AS ts, '' AS phase FROM j WHERE mts IS NULL OR ts <= mts
+UNION ALL
+SELECT user_id, event_id, strftime(ts, {_TSF}) AS ts, 'end' AS phase
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+      FROM j WHERE ts > mts)
+WHERE rn <= 4
+"""
+
+# ------------------------------------------------------------ contrast family
+_MS_LI = """
+  SELECT l_returnflag AS strategy, month(l_shipdate)::BIGINT AS n_tasks,
+         round(sum(l_extendedprice::DECIMAL(18,2)) * 0.00001::DECIMAL(6,5), 3)::DOUBLE AS seconds
+  FROM lineitem GROUP BY l_returnflag, month(l_shipdate)"""
+
+ORACLE["strategy_join"] = f"""
+WITH ms AS ({_MS_LI})
+SELECT n_tasks, a.seconds AS sec_a, n.seconds AS sec_n, r.seconds AS sec_r
+FROM (SELECT * FROM ms WHERE strategy = 'A') a
+FULL OUTER JOIN (SELECT * FROM ms WHERE strategy = 'N') n USING (n_tasks)
+FULL OUTER JOIN (SELECT * FROM ms WHERE strategy = 'R') r USING (n_tasks)
+"""
+
+ORACLE["phase_share"] = f"""
+WITH ms AS ({_MS_LI})
+SELECT n_tasks, warm_s, cold_s, work::DOUBLE / 10.0::DOUBLE AS work_pct,
+       (1000 - work)::DOUBLE / 10.0::DOUBLE AS scaling_pct
+FROM (SELECT n_tasks, warm_s, cold_s,
+             ((2000 * round(warm_s * 1000)::BIGINT + round(cold_s * 1000)::BIGINT)
+               // (2 * round(cold_s * 1000)::BIGINT))::BIGINT AS work
+      FROM (SELECT a.n_tasks, a.seconds AS warm_s, r.seconds AS cold_s
+            FROM (SELECT * FROM ms WHERE strategy = 'A') a
+            JOIN (SELECT * FROM ms WHERE strategy = 'R') r USING (n_tasks)))
+"""
+
+ORACLE["series_contrast"] = f"""
+WITH cpu AS ({_CPU}), ax AS ({_axis('SELECT * FROM cpu')})
+SELECT idx, max(CASE WHEN run_id = 1 THEN cpu END) AS run_1, max(CASE WHEN run_id = 2 THEN cpu END) AS run_2,
+       max(CASE WHEN run_id = 3 THEN cpu END) AS run_3
+FROM cpu JOIN ax USING (run_id, phase, sample_no) GROUP BY idx
+"""
+
+ORACLE["node_normalise"] = """
+SELECT strategy, nodes, n_tasks, seconds, (n_tasks // nodes)::BIGINT AS tasks_per_node
+FROM (SELECT o_orderpriority AS strategy,
+             (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END)::BIGINT AS nodes,
+             month(o_orderdate)::BIGINT AS n_tasks,
+             round(sum(o_totalprice::DECIMAL(18,2)) * 0.000001::DECIMAL(7,6), 3)::DOUBLE AS seconds
+      FROM orders GROUP BY ALL)
+WHERE n_tasks % nodes = 0
+"""
+
+# ----------------------------------------------------------- placement family
+_WORKERS = f"""
+  SELECT name, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS widx
+  FROM (SELECT DISTINCT name FROM ({si.CONTAINERS_SQL})
+        WHERE regexp_matches(name, {_q(FLEET_NAME_RE)}) AND starts_with(name, 'hadoop-master-'))"""
+
+
+def _assign_new(ranked: str) -> str:
+    return f"""
+  SELECT r.*, CASE WHEN o.name IS NOT NULL THEN o.name
+                   WHEN (SELECT count(*) FROM w) > 0 THEN (SELECT min(name) FROM w)
+                   ELSE 'hadoop-master-0' END AS container
+  FROM ({ranked}) r
+  LEFT JOIN o ON o.oidx = CASE WHEN (SELECT count(*) FROM o) > 0 THEN r.rank0 % (SELECT count(*) FROM o) END"""
+
+
+_W_O = f"""w AS ({_WORKERS}),
+o AS (SELECT name, (row_number() OVER (ORDER BY name) - 1)::BIGINT AS oidx FROM w
+      WHERE name <> 'hadoop-master-0')"""
+
+_RANKED_TASKS = f"SELECT *, (row_number() OVER (ORDER BY pos) - 1)::BIGINT AS rank0 FROM ({_TASKS})"
+
+ORACLE["worker_assign"] = f"""
+WITH w AS ({_WORKERS}), t AS ({_RANKED_TASKS}),
+s AS (SELECT pos, uuid, rank0,
+             CASE WHEN (SELECT count(*) FROM w) > 0 THEN rank0 % (SELECT count(*) FROM w) END AS slot FROM t)
+SELECT pos, uuid, rank0, slot, w.name AS container FROM s LEFT JOIN w ON w.widx = s.slot
+"""
+
+ORACLE["worker_assign_new"] = f"""
+WITH {_W_O}
+SELECT pos, uuid, container FROM ({_assign_new(_RANKED_TASKS)})
+"""
+
+ORACLE["worker_reassign"] = f"""
+WITH {_W_O},
+t AS (SELECT o_orderkey AS pos, {si._uuid_sql('o_orderkey')} AS uuid, o_orderstatus,
+             (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS rank0 FROM orders),
+b AS (SELECT pos, uuid, rank0,
+             CASE WHEN o_orderstatus = 'O' THEN container ELSE 'hadoop-master-0' END AS container
+      FROM ({_assign_new('SELECT * FROM t')}))
+SELECT b.pos, b.uuid, b.container, coalesce(w.name, b.container) AS new_container
+FROM b LEFT JOIN w ON w.widx = CASE WHEN b.container = 'hadoop-master-0' AND (SELECT count(*) FROM w) > 1
+                                    THEN b.rank0 % (SELECT count(*) FROM w) END
+"""
+
+_REQ = ORACLE["request_scan"]
+ORACLE["task_intake"] = f"""
+WITH {_W_O},
+acc AS (SELECT q.event_id AS pos, q.input, q.output, q.callback_url, e.ts,
+               (row_number() OVER (ORDER BY q.event_id) - 1)::BIGINT AS rank0
+        FROM ({_REQ}) q JOIN events e ON e.event_id = q.event_id
+        WHERE q.accepted AND q.variant = 'hadoop')
+SELECT u AS uuid, printf('sh /root/run-wordcount2.sh %s %s %s', input, output, u) AS command,
+       container, callback_url, strftime(ts, {_TSF}) AS submit_ts, 'pending' AS status
+FROM (SELECT *, {si._uuid_sql('pos')} AS u FROM ({_assign_new('SELECT * FROM acc')}))
+"""
+
+# ------------------------------------------------------------- scaling family
+_DEPTH = """
+  SELECT tick, delta,
+         greatest(sum(delta) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::BIGINT
+           AS depth
+  FROM (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS tick,
+               sum(CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END)::BIGINT AS delta
+        FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1)"""
+
+_DECISION = f"""
+  SELECT tick, depth, groups, action,
+         (CASE action WHEN 'extend' THEN least(depth, 6) WHEN 'shrink' THEN 1 ELSE groups END)::BIGINT AS target
+  FROM (SELECT *, CASE WHEN depth > groups AND least(depth, 6) > groups THEN 'extend'
+                       WHEN depth = 0 AND groups > 1 THEN 'shrink' ELSE 'hold' END AS action
+        FROM (SELECT tick, depth,
+                     greatest(1, least(6, coalesce(lag(depth) OVER (ORDER BY tick), 1)))::BIGINT AS groups
+              FROM ({_DEPTH})))"""
+
+_FOLD = f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY tick) AS i, tick, depth FROM ({_DEPTH})),
+f(i, tick, depth, waiting, groups_before, idle, fired, action, target) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, false,
+         NULL::VARCHAR, 1::BIGINT
+  UNION ALL
+  SELECT i, tick, depth, waiting, groups_before,
+         CASE WHEN shrink THEN 0 ELSE idle1 END, shrink,
+         CASE WHEN ext THEN 'extend' WHEN shrink THEN 'shrink' ELSE 'hold' END,
+         CASE WHEN ext THEN least(waiting, 6) ELSE g1 END
+  FROM (SELECT *, (waiting > g1 AND least(waiting, 6) > g1) AS ext
+        FROM (SELECT *, CASE WHEN shrink THEN 1 ELSE groups_before END AS g1
+              FROM (SELECT *, (waiting <= 1 AND idle1 >= 50 AND groups_before > 1) AS shrink
+                    FROM (SELECT t.i, t.tick, t.depth, least(t.depth, 7) AS waiting,
+                                 f.target AS groups_before,
+                                 f.idle + CASE WHEN least(t.depth, 7) <= 1 THEN 1 ELSE 0 END AS idle1
+                          FROM f JOIN t ON t.i = f.i + 1))))
+)"""
+
+ORACLE["queue_depth"] = _DEPTH
+ORACLE["scale_decision"] = _DECISION
+ORACLE["scale_decision_batch"] = _FOLD + """
+SELECT tick, depth, waiting, groups_before, action, target FROM f WHERE i > 0
+"""
+ORACLE["idle_trigger"] = _FOLD + """
+SELECT tick, waiting, idle, fired FROM f WHERE i > 0
+"""
+ORACLE["scale_actions"] = f"""
+SELECT tick, action, group_no,
+       'hadoop-master-' || group_no::VARCHAR || ',hadoop-slave-' || group_no::VARCHAR || '-1,hadoop-slave-'
+         || group_no::VARCHAR || '-2' AS members
+FROM (SELECT tick, action,
+             unnest(CASE WHEN action = 'extend' THEN range(groups, target)
+                         ELSE range(groups - 1, target - 1, -1) END)::BIGINT AS group_no
+      FROM ({_DECISION}) WHERE action IN ('extend', 'shrink'))
+"""

@@ -57,7 +57,9 @@ def container_group(name: Column) -> Column:
 
 
 def container_slot(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(name, CONTAINER_RE, 3), F.lit("")).try_cast("bigint")
+    """Slave number inside its group; a master is slot 0 of its group."""
+    slot = F.nullif(F.regexp_extract(name, CONTAINER_RE, 3), F.lit("")).try_cast("bigint")
+    return F.coalesce(slot, F.when(container_role(name) == "master", F.lit(0).cast("bigint")))
 
 
 def is_fleet(name: Column) -> Column:

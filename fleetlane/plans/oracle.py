@@ -266,7 +266,8 @@ _TYPED = f"""
   SELECT run_id, phase, sample_no, name,
          nullif(regexp_extract(name, {_CRE}, 1), '') AS role,
          TRY_CAST(nullif(regexp_extract(name, {_CRE}, 2), '') AS BIGINT) AS group_no,
-         TRY_CAST(nullif(regexp_extract(name, {_CRE}, 3), '') AS BIGINT) AS slot,
+         coalesce(TRY_CAST(nullif(regexp_extract(name, {_CRE}, 3), '') AS BIGINT),
+                  CASE WHEN regexp_extract(name, {_CRE}, 1) = 'master' THEN 0::BIGINT END) AS slot,
          {_pct('cpu_pct')} AS cpu,
          {_bytes("split_part(mem_usage, '/', 1)")} AS mem_used,
          {_bytes("split_part(mem_usage, '/', 2)")} AS mem_limit,

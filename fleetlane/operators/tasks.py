@@ -36,7 +36,7 @@ def parse_queue(lines: DataFrame) -> DataFrame:
                          F.element_at("_t", -1).alias("uuid")))
 
 
-def parse_completions(lines: DataFrame) -> DataFrame:
+def parse_completions(lines: DataFrame, keep=()) -> DataFrame:
     """Completion lines in either format -> (pos, uuid, path, valid).
 
     ``<uuid>:::<path>`` (new) or a command line whose last token is the id
@@ -47,7 +47,7 @@ def parse_completions(lines: DataFrame) -> DataFrame:
     is_new = new_id != ""
     uuid = F.when(is_new, new_id).otherwise(F.element_at(F.split(v, WS_RUN_RE), -1))
     return (lines.where(v != "")
-                 .select("pos", uuid.alias("uuid"),
+                 .select(*keep, "pos", uuid.alias("uuid"),
                          F.when(is_new, strip_ws(new_path)).alias("path"))
                  .withColumn("valid", is_uuid(F.col("uuid"))))
 

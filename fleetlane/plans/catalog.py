@@ -27,6 +27,12 @@ from fleetlane.plans import standins as si
 from fleetlane.session import prepare
 from fleetlane.sources.requests import parse_requests
 from fleetlane.sources.tables import table
+from fleetlane.streaming import dedup as sdd
+from fleetlane.streaming import lifecycle as slc
+from fleetlane.streaming import match as smt
+from fleetlane.streaming import runner as srun
+from fleetlane.streaming import scale as ssc
+from fleetlane.streaming import usage as sus
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -481,3 +487,79 @@ def q_idle_trigger(spark, sf_dir):
 def q_scale_actions(spark, sf_dir):
     """Groups to add/remove per decision, with member names."""
     return sc.scale_actions(sc.scale_decision(_depth(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ streaming
+# Stream twins run the driver's table as a file stream (availableNow) into
+# a sink under the shared checkpoint folder and return the sink.
+
+def _table_stream(spark, sf_dir, name):
+    schema = table(spark, sf_dir, name).schema
+    return srun.file_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parquet*", schema), schema
+
+
+def _event_stream(spark, sf_dir):
+    ev, schema = _table_stream(spark, sf_dir, "events")
+    ev = srun.with_end_marker(spark, ev, schema, {"event_id": -1, "ts": srun.END_TS,
+                                                  "event_type": srun.END_TYPE})
+    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_queue")
+def q_stream_queue(spark, sf_dir):
+    """The queue file tailed as a stream and parsed (batch twin O02)."""
+    orders, _ = _table_stream(spark, sf_dir, "orders")
+    return srun.run_append(spark, tk.parse_queue(si.queue_lines_of(orders)), "stream_queue")
+
+
+@query("stream_match")
+def q_stream_match(spark, sf_dir):
+    """Signup -> purchase matching with watermarks (batch twin O20)."""
+    pairs = srun.run_append(spark, smt.match_stream(_event_stream(spark, sf_dir)), "stream_match",
+                            watermark_policy="max")
+    r = smt.first_match(pairs)
+    return r.select(F.col("req_id").alias("event_id"), F.col("r_key").alias("user_id"),
+                    ts_text(F.col("r_ts")).alias("submit_ts"), ts_text(F.col("done_ts")).alias("done_ts"),
+                    "status")
+
+
+@query("stream_lifecycle")
+def q_stream_lifecycle(spark, sf_dir):
+    """Per-user task lifecycle with event-time timeouts."""
+    out = srun.run_append(spark, slc.lifecycle_stream(_event_stream(spark, sf_dir)), "stream_lifecycle")
+    return out.select(F.col("key").alias("user_id"),
+                      ts_text(F.timestamp_micros("submit_us")).alias("submit_ts"),
+                      ts_text(F.timestamp_micros("end_us")).alias("end_ts"), "status")
+
+
+@query("stream_usage")
+def q_stream_usage(spark, sf_dir):
+    """T4: event value summed per 6.5 s event-time window."""
+    # the marker's own window (year 2100) never closes, so it is never emitted
+    out = srun.run_append(spark, sus.usage_windows(_event_stream(spark, sf_dir), "value"),
+                          "stream_usage")
+    return out.select(ts_text(F.col("w.start")).alias("window_start"), "value", "n_samples")
+
+
+@query("stream_scale")
+def q_stream_scale(spark, sf_dir):
+    """T5: hourly depth and scaling decisions, one foreachBatch per trigger."""
+    ev, _ = _table_stream(spark, sf_dir, "events")
+    deltas = (ev.where(F.col("event_type").isin("signup", "purchase"))
+                .select(F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")),
+                                      "yyyy-MM-dd HH:mm:ss").alias("tick"),
+                        F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
+    from pyspark.sql.types import _parse_datatype_string
+    return srun.run_foreach_batch(spark, deltas, "stream_scale",
+                                  lambda df, bid, out: ssc.decide_batch(df, bid, out),
+                                  _parse_datatype_string(ssc.DECISION_SCHEMA))
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """Duplicate completions dropped within the watermark."""
+    li, _ = _table_stream(spark, sf_dir, "lineitem")
+    lines = si.completion_lines_of(li, keep=[F.col("l_shipdate").cast("timestamp").alias("ts")])
+    parsed = tk.parse_completions(lines, keep=["ts"])
+    out = srun.run_append(spark, sdd.dedup_completions(parsed).select("uuid"), "stream_dedup")
+    return out

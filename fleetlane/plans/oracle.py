@@ -519,3 +519,51 @@ FROM (SELECT tick, action,
                          ELSE range(groups - 1, target - 1, -1) END)::BIGINT AS group_no
       FROM ({_DECISION}) WHERE action IN ('extend', 'shrink'))
 """
+
+# ------------------------------------------------------------------ streaming
+# Stream twins equal their batch twins once the end marker closed the stream.
+ORACLE["stream_queue"] = ORACLE["queue_scan"]
+ORACLE["stream_match"] = ORACLE["timeout_status"]
+ORACLE["stream_scale"] = ORACLE["scale_decision"]
+ORACLE["stream_dedup"] = f"SELECT DISTINCT uuid FROM ({_PARSED}) WHERE valid"
+
+ORACLE["stream_usage"] = f"""
+SELECT strftime(make_timestamp(w * 6500000), {_TSF}) AS window_start,
+       round(sum(value::DECIMAL(18,4)), 3)::DOUBLE AS value, count(*)::BIGINT AS n_samples
+FROM (SELECT value, epoch_us(ts) // 6500000 AS w FROM events) GROUP BY w
+"""
+
+# Per-user lifecycle fold: one recursion step consumes every user's next event.
+ORACLE["stream_lifecycle"] = f"""
+WITH RECURSIVE ev AS (
+  SELECT user_id, ts, event_type,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+st(user_id, n, open, status, submit_ts, out_status, out_submit, out_end) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, false, NULL::VARCHAR, NULL::TIMESTAMP, NULL::VARCHAR,
+         NULL::TIMESTAMP, NULL::TIMESTAMP FROM ev
+  UNION ALL
+  SELECT user_id, n,
+         (open0 AND NOT closes) OR opens,
+         CASE WHEN opens THEN 'pending'
+              WHEN open0 AND NOT closes THEN
+                   CASE WHEN event_type IN ('click', 'view') AND status = 'pending' THEN 'running'
+                        ELSE status END END,
+         CASE WHEN opens THEN ts WHEN open0 AND NOT closes THEN submit_ts END,
+         CASE WHEN expired THEN 'timeout'
+              WHEN closes THEN CASE WHEN event_type = 'purchase' THEN 'success' ELSE 'failed' END END,
+         CASE WHEN expired OR closes THEN submit_ts END,
+         CASE WHEN expired THEN submit_ts + INTERVAL 3600 SECOND WHEN closes THEN ts END
+  FROM (SELECT *, open0 AND event_type IN ('purchase', 'error') AS closes,
+               NOT open0 AND event_type = 'signup' AS opens
+        FROM (SELECT e.user_id, e.n, e.ts, e.event_type, s.status, s.submit_ts,
+                     coalesce(s.open AND e.ts > s.submit_ts + INTERVAL 3600 SECOND, false) AS expired,
+                     coalesce(s.open AND NOT (e.ts > s.submit_ts + INTERVAL 3600 SECOND), false) AS open0
+              FROM st s JOIN ev e ON e.user_id = s.user_id AND e.n = s.n + 1)))
+SELECT user_id, strftime(out_submit, {_TSF}) AS submit_ts, strftime(out_end, {_TSF}) AS end_ts,
+       out_status AS status
+FROM st WHERE out_status IS NOT NULL
+UNION ALL
+SELECT user_id, strftime(submit_ts, {_TSF}), strftime(submit_ts + INTERVAL 3600 SECOND, {_TSF}), 'timeout'
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS rk FROM st)
+WHERE rk = 1 AND open
+"""

@@ -36,7 +36,11 @@ def _uuid_sql(k: str) -> str:
 def queue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos, value): one command line per order; pending low-priority orders
     were cleared to blank lines; open orders use tabs/double blanks."""
-    o = table(spark, sf_dir, "orders")
+    return queue_lines_of(table(spark, sf_dir, "orders"))
+
+
+def queue_lines_of(o: DataFrame) -> DataFrame:
+    """:func:`queue_lines` over any orders frame (batch or stream)."""
     uuid = standin_uuid(F.col("o_orderkey"))
     inp = F.concat(F.lit("input/c"), F.col("o_custkey").cast("string"))
     out = F.concat(F.lit("output/o"), F.col("o_orderkey").cast("string"))
@@ -63,7 +67,11 @@ def completion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Odd line numbers use the new ``id:::path`` format (path relative with
     ``logs/``, bare, or absolute by return flag), even ones the old command
     format; quantity 50 items carry a corrupted id (trailing ``i``)."""
-    li = table(spark, sf_dir, "lineitem")
+    return completion_lines_of(table(spark, sf_dir, "lineitem"))
+
+
+def completion_lines_of(li: DataFrame, keep=()) -> DataFrame:
+    """:func:`completion_lines` over any lineitem frame (batch or stream)."""
     uuid = standin_uuid(F.col("l_orderkey"))
     uuid = F.when(F.col("l_quantity") == 50, F.concat(uuid, F.lit("i"))).otherwise(uuid)
     fname = F.concat(standin_uuid(F.col("l_orderkey")), F.lit(".txt"))
@@ -74,7 +82,7 @@ def completion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.concat(F.lit("sh run-wordcount2.sh input/p"), F.col("l_partkey").cast("string"),
                    F.lit(" output/o"), F.col("l_orderkey").cast("string"), F.lit(" "), uuid)
     pos = F.unix_date(F.to_date(F.col("l_shipdate"))).cast("bigint") * 16 + F.col("l_linenumber")
-    return li.select(pos.alias("pos"),
+    return li.select(*keep, pos.alias("pos"),
                      F.when(F.col("l_linenumber") % 2 == 1, new).otherwise(old).alias("value"))
 
 

@@ -29,14 +29,10 @@ def queue_depth(deltas: DataFrame, tick_col: str = "tick") -> DataFrame:
     return per_tick.withColumn("depth", F.greatest(F.sum("delta").over(w).cast("bigint"), F.lit(0)))
 
 
-def scale_decision(ticks: DataFrame, cap: int = MAX_GROUPS, tick_col: str = "tick") -> DataFrame:
-    """O43 service policy per tick.  groups up = the previous tick's depth
-    clamped to [1, cap] (a tick observes what the last one asked for).
-    depth > groups -> extend to min(depth, cap) if that is more; depth = 0
-    and groups > 1 -> shrink to 1; else hold."""
-    w = Window.orderBy(tick_col)
-    groups = F.greatest(F.lit(1), F.least(F.lit(cap), F.coalesce(F.lag("depth").over(w), F.lit(1))))
-    t = ticks.withColumn("groups", groups.cast("bigint"))
+def service_policy(ticks: DataFrame, cap: int = MAX_GROUPS) -> DataFrame:
+    """O43 decision for observed (depth, groups): depth > groups -> extend
+    to min(depth, cap) if that is more; depth = 0 and groups > 1 -> shrink
+    to 1; else hold.  Adds action, target."""
     ext = F.least(F.col("depth"), F.lit(cap))
     action = (F.when((F.col("depth") > F.col("groups")) & (ext > F.col("groups")), "extend")
                .when((F.col("depth") == 0) & (F.col("groups") > 1), "shrink")
@@ -44,7 +40,16 @@ def scale_decision(ticks: DataFrame, cap: int = MAX_GROUPS, tick_col: str = "tic
     target = (F.when(F.col("action") == "extend", ext)
                .when(F.col("action") == "shrink", F.lit(1))
                .otherwise(F.col("groups")))
-    return t.withColumn("action", action).withColumn("target", target.cast("bigint"))
+    return ticks.withColumn("action", action).withColumn("target", target.cast("bigint"))
+
+
+def scale_decision(ticks: DataFrame, cap: int = MAX_GROUPS, tick_col: str = "tick") -> DataFrame:
+    """O43 over a depth series: groups up at a tick = the previous tick's
+    depth clamped to [1, cap] (a tick observes what the last one asked
+    for), then :func:`service_policy`."""
+    w = Window.orderBy(tick_col)
+    groups = F.greatest(F.lit(1), F.least(F.lit(cap), F.coalesce(F.lag("depth").over(w), F.lit(1))))
+    return service_policy(ticks.withColumn("groups", groups.cast("bigint")), cap)
 
 
 BATCH_SCHEMA = ("run string, tick string, depth bigint, waiting bigint, groups_before bigint, "

@@ -71,12 +71,17 @@ def _fn(timeout_s: int):
         evs = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "event_id"], kind="stable")
         out, open_task = step(zip(evs["t_us"].tolist(), evs["event_type"].tolist()), open_task,
                               timeout_us)
+        if open_task is not None:
+            due_ms = (open_task[1] + timeout_us) // 1000 + 1
+            if due_ms <= state.getCurrentWatermarkMs():  # late submit: already expired
+                out.append((open_task[1], open_task[1] + timeout_us, "timeout"))
+                open_task = None
         if open_task is None:
             if state.exists:
                 state.remove()
         else:
             state.update(open_task)
-            state.setTimeoutTimestamp((open_task[1] + timeout_us) // 1000 + 1)
+            state.setTimeoutTimestamp(due_ms)
         if out:
             yield pd.DataFrame([(k, s, e, st) for s, e, st in out],
                                columns=["key", "submit_us", "end_us", "status"])

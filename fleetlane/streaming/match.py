@@ -14,8 +14,10 @@ def match_stream(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
     """Stream-stream left outer join: every request with the completions of
     the same key in [ts, ts + timeout]; requests with none come out with
     NULLs once the watermark passes ts + timeout.  Both sides carry a
-    watermark (``delay``) so join state is dropped as time advances;
-    completions later than the watermark are dropped.  The end marker
+    watermark (``delay``) so join state is dropped as time advances; a
+    completion arriving after its request was evicted (watermark past
+    ts + timeout) finds nothing and is dropped (Spark may still join a
+    late row while the request is in state).  The end marker
     passes both sides so the last requests close too; it is not filtered
     out here (a filter would be pushed below the watermark and hide it) -
     its own request never closes, so it is never emitted."""

@@ -47,6 +47,23 @@ def with_end_marker(spark: SparkSession, stream: DataFrame, schema: StructType,
     return stream.unionByName(marker)
 
 
+def append_end_marker(spark: SparkSession, folder: str, schema: StructType, values: dict) -> str:
+    """Write the marker as the newest file of a file source's folder, for
+    sources read in several micro-batches (a separate marker source would
+    be read in the first batch and make every later row late)."""
+    row = {f.name: values.get(f.name) for f in schema.fields}
+    sub = scratch_path(spark, "end-marker-file")
+    spark.createDataFrame([row], schema).coalesce(1).write.parquet(sub)
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    src_dir = jvm.org.apache.hadoop.fs.Path(sub)
+    fs = src_dir.getFileSystem(hconf)
+    part = [st.getPath() for st in fs.listStatus(src_dir) if st.getPath().getName().endswith(".parquet")][0]
+    dst = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/zz-end-marker.parquet")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part, dst.getFileSystem(hconf), dst, False, hconf)
+    return dst.toString()
+
+
 def run_append(spark: SparkSession, sdf: DataFrame, name: str,
                watermark_policy: str | None = None) -> DataFrame:
     """Run an append-mode stream with availableNow into a parquet sink in

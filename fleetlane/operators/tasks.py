@@ -33,36 +33,49 @@ def parse_queue(lines: DataFrame) -> DataFrame:
                  .select("pos", "cmd",
                          F.try_element_at("_t", F.lit(3)).alias("input"),
                          F.try_element_at("_t", F.lit(4)).alias("output"),
-                         F.element_at("_t", -1).alias("uuid")))
+                         F.coalesce(F.element_at("_t", -1), F.lit("")).alias("uuid")))
 
 
 def parse_completions(lines: DataFrame, keep=()) -> DataFrame:
     """Completion lines in either format -> (pos, uuid, path, valid).
 
     ``<uuid>:::<path>`` (new) or a command line whose last token is the id
-    (old, no path)."""
+    (old, no path).  Nothing is filtered here: a blank line yields id ''
+    (invalid).  Consumers drop invalid ids *after* an aggregate - a row
+    filter on these parsed columns would be pushed below the projection
+    and run the whole parse a second time inside the Filter."""
     v = strip_ws(F.col("value"))
     new_id = F.regexp_extract(v, NEW_COMPLETION_RE, 1)
     new_path = F.regexp_extract(v, NEW_COMPLETION_RE, 2)
     is_new = new_id != ""
     uuid = F.when(is_new, new_id).otherwise(F.element_at(F.split(v, WS_RUN_RE), -1))
-    return (lines.where(v != "")
-                 .select(*keep, "pos", uuid.alias("uuid"),
+    # non-nullable, so the optimizer infers no isnotnull(uuid) join filter
+    # (it would be pushed into the scan and repeat the parse)
+    uuid = F.coalesce(uuid, F.lit(""))
+    return (lines.select(*keep, "pos", uuid.alias("uuid"),
                          F.when(is_new, strip_ws(new_path)).alias("path"))
                  .withColumn("valid", is_uuid(F.col("uuid"))))
 
 
+def completed_ids(parsed: DataFrame) -> DataFrame:
+    """Distinct valid ids of a parsed completion log (partial aggregate on
+    every map task, validity checked per id after it)."""
+    return (parsed.groupBy("uuid").agg(F.max("valid").alias("_v"))
+                  .where(F.col("_v")).select("uuid"))
+
+
 def first_completions(parsed: DataFrame) -> DataFrame:
     """First occurrence per id wins -> (uuid, first_pos, path, dup_count).
 
-    A hash aggregate (partial before the shuffle), not a window: a hot id
-    is folded on every map task instead of being sorted in one."""
-    # min over (pos, path): earliest line, ties broken by path text
+    An aggregate (partial before the shuffle), not a window: a hot id is
+    folded on every map task instead of being sorted in one.  Ties on pos
+    are broken by the path text."""
     first = F.min(F.struct(F.col("pos").alias("pos"),
                            F.coalesce(F.col("path"), F.lit("")).alias("p")))
-    return (parsed.where("valid")
-                  .groupBy("uuid")
-                  .agg(first.alias("_f"), F.count(F.lit(1)).alias("dup_count"))
+    return (parsed.groupBy("uuid")
+                  .agg(first.alias("_f"), F.count(F.lit(1)).alias("dup_count"),
+                       F.max("valid").alias("_v"))
+                  .where(F.col("_v"))
                   .select("uuid", F.col("_f.pos").alias("first_pos"),
                           F.nullif(F.col("_f.p"), F.lit("")).alias("path"), "dup_count"))
 
@@ -76,8 +89,7 @@ def completion_match(tasks: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def pending_tasks(tasks: DataFrame, parsed: DataFrame) -> DataFrame:
     """Tasks without any valid completion (anti join on id)."""
-    done = parsed.where("valid").select("uuid")
-    return tasks.join(done, "uuid", "left_anti").select("pos", "uuid", "input")
+    return tasks.join(completed_ids(parsed), "uuid", "left_anti").select("pos", "uuid", "input")
 
 
 def busy_groups(containers: DataFrame, running: DataFrame,

@@ -9,6 +9,8 @@ def dedup_completions(parsed: DataFrame, ts_col: str = "ts", delay: str = "1 hou
     """Keep one row per id among rows whose event times lie within the
     watermark delay of each other; state for an id is dropped once the
     watermark passes its first time + delay."""
-    return (parsed.where("valid")
-                  .withWatermark(ts_col, delay)
-                  .dropDuplicatesWithinWatermark(["uuid"]))
+    # validity is filtered after the dedup: a filter before it would be
+    # pushed into the parse and evaluate it twice
+    return (parsed.withWatermark(ts_col, delay)
+                  .dropDuplicatesWithinWatermark(["uuid"])
+                  .where("valid"))

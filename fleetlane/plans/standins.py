@@ -209,7 +209,7 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, variant, body): a request per event; which keys the body
     carries follows the event's own fields (props.k, value, user)."""
     e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("bigint")
+    k = F.from_json("props", "k bigint").getField("k")
     variant = (F.when(F.col("event_type").isin("signup", "purchase"), "hadoop")
                 .when(F.col("event_type").isin("click", "view"), "micro")
                 .otherwise("pipeline"))

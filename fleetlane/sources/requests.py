@@ -39,8 +39,11 @@ def parse_requests(df: DataFrame, body_col: str = "body",
     body = F.col(body_col)
     keys = F.json_object_keys(body)
     variant = F.col(variant_col)
-    val = {k: F.get_json_object(body, f"$.{k}") for k in
-           ("input", "output", "callback_url") + PIPELINE_KEYS}
+    # one parse into a struct of the five fields (JSON null and missing both
+    # read as NULL; presence is decided by ``keys``)
+    fields = ("input", "output", "callback_url") + PIPELINE_KEYS
+    parsed = F.from_json(body, ", ".join(f"{k} string" for k in fields))
+    val = {k: parsed.getField(k) for k in fields}
     missing = (F.when(variant == "hadoop", _first_missing(keys, REQUIRED["hadoop"]))
                 .when(variant == "micro", _first_missing(keys, REQUIRED["micro"])))
     blank_pipeline = F.lit(False)

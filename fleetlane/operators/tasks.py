@@ -118,32 +118,44 @@ def result_lookup(completions: DataFrame, reports: DataFrame, log_root: str) ->
 
 
 def first_completion_within(requests: DataFrame, completions: DataFrame,
-                            key: str, timeout_s: int) -> DataFrame:
+                            key: str, timeout_s: int, sub_buckets: int = 60) -> DataFrame:
     """Per request, the first completion of the same key in
     [ts, ts + timeout] -> success, else timeout.
 
     requests: (req_id, key, ts); completions: (key, ts).  An as-of search,
-    not a range join: time is cut into buckets one timeout wide, the next
-    completion inside the request's own bucket comes from a window
-    partitioned by (key, bucket), the one in the following bucket from a
-    per-(key, bucket) minimum.  No request is ever paired with more than
-    one candidate, so a busy key cannot blow the join up."""
+    not a range join, so no request is ever paired with more than one
+    candidate:
+
+    * time is cut into buckets of timeout / sub_buckets;
+    * the next completion inside the request's own bucket comes from a
+      window partitioned by (key, bucket) - a task sees one key's rows of
+      one short bucket, even for a key holding a large share of the data;
+    * the first completion after the bucket is the per-bucket minimum of
+      the next non-empty bucket, found by a window over per-(key, bucket)
+      rows (bounded by the time span, not the data volume).
+    """
     width = timeout_s * 1_000_000
+    w = max(1, width // max(1, sub_buckets))
     r = requests.select("req_id", key, epoch_us(F.col("ts")).alias("t"))
     c = completions.select(key, epoch_us(F.col("ts")).alias("t"))
-    r = r.withColumn("b", idiv(F.col("t"), width))
-    c = c.withColumn("b", idiv(F.col("t"), width))
+    r = r.withColumn("b", idiv(F.col("t"), w))
+    c = c.withColumn("b", idiv(F.col("t"), w))
     both = (r.select("req_id", key, "b", "t", F.lit(0).alias("kind"))
              .unionByName(c.select(F.lit(None).cast("bigint").alias("req_id"), key, "b", "t",
                                    F.lit(1).alias("kind"))))
-    w = (Window.partitionBy(key, "b").orderBy("t", "kind")
-               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    nxt = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(w)
+    win = (Window.partitionBy(key, "b").orderBy("t", "kind")
+                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    nxt = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(win)
     in_bucket = (both.withColumn("_next", nxt).where(F.col("kind") == 0)
                      .select("req_id", key, "b", "t", "_next"))
-    next_bucket = (c.groupBy(key, "b").agg(F.min("t").alias("_nb"))
-                    .withColumn("b", F.col("b") - 1))
-    j = in_bucket.join(next_bucket, [key, "b"], "left")
+    # one row per non-empty (key, bucket): its first completion, if any
+    per_bucket = (c.select(key, "b", F.col("t").alias("_m"))
+                   .unionByName(r.select(key, "b", F.lit(None).cast("bigint").alias("_m")))
+                   .groupBy(key, "b").agg(F.min("_m").alias("_m")))
+    later = (Window.partitionBy(key).orderBy("b")
+                   .rowsBetween(1, Window.unboundedFollowing))
+    after = per_bucket.select(key, "b", F.first("_m", ignorenulls=True).over(later).alias("_nb"))
+    j = in_bucket.join(after, [key, "b"], "left")
     cand = F.coalesce(F.col("_next"), F.col("_nb"))
     done = F.when(cand <= F.col("t") + F.lit(width), cand)
     return j.select("req_id", key, F.col("t").alias("submit_us"), done.alias("done_us"),

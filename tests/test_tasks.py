@@ -154,3 +154,24 @@ def test_access_log_and_callbacks(spark):
                                              F.lit("i"), F.lit("o"), F.col("t")).alias("p")).first().p
     assert json.loads(n)["result"]["execution_time"] == "10:00:00"
     assert re.match(r'^\{"uuid":"u1","task_status":"success","result":\{', n)
+
+
+def test_first_completion_within_random_hot_key(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(7)
+    t0 = dt.datetime(2024, 1, 1)
+    def ts():
+        return t0 + dt.timedelta(seconds=rnd.randrange(0, 6 * 3600))
+    keys = [0] * 300 + [1, 2, 3] * 30            # key 0 holds most rows
+    reqs = [(i, k, ts()) for i, k in enumerate(keys)]
+    comps = [(k, ts()) for k in [0] * 200 + [1, 2] * 20]
+    exp = {}
+    for rid, k, t in reqs:
+        cands = [c for ck, c in comps if ck == k and t <= c <= t + dt.timedelta(seconds=3600)]
+        exp[rid] = "success" if cands else "timeout"
+    r = spark.createDataFrame(reqs, "req_id long, k long, ts timestamp")
+    c = spark.createDataFrame(comps, "k long, ts timestamp")
+    for sub in (1, 7, 60):
+        got = {x.req_id: x.status for x in tk.first_completion_within(r, c, "k", 3600, sub).collect()}
+        assert got == exp, sub

@@ -120,3 +120,19 @@ def test_end_phase_stream(spark, tmp_path):
     got = sorted((r.run, r.sample_id, r.phase, r.closed) for r in out.collect())
     assert got == ([(1, i, "", False) for i in range(3)] + [(1, i, "end", i == 7) for i in range(4, 8)]
                    + [(2, 0, "", False)])
+
+
+def test_queue_text_stream(spark, tmp_path):
+    from fleetlane.streaming.sources import line_stream
+    folder = tmp_path / "queue"
+    folder.mkdir()
+    u = ["908f7dee-0a6e-11ea-84ff-35f681938c05", "a2d1d326-0a6e-11ea-84ff-35f681938c05"]
+    for i, text in enumerate([f"sh run-wordcount2.sh input/input1 output/output1 {u[0]}\n\n",
+                              f"sh run-wordcount2.sh input/input2 output/output2 {u[1]}\n"]):
+        p = folder / f"append-{i}.txt"
+        p.write_text(text)
+        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+    s = tk.parse_queue(line_stream(spark, str(folder), max_files=1))
+    out = srun.run_append(spark, s, "t_queue_text")
+    rows = [(r.input, r.uuid) for r in out.orderBy("pos").collect()]
+    assert rows == [("input/input1", u[0]), ("input/input2", u[1])]

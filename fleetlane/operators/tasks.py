@@ -107,12 +107,13 @@ def result_lookup(completions: DataFrame, reports: DataFrame, log_root: str) ->
     """Completed task -> report file on the normalised path.
 
     ``completions``: (uuid, path); ``reports``: (path, text).  A report is
-    found when it exists and is non-empty after stripping; otherwise the
-    task keeps waiting (found = false, report NULL)."""
+    found when the file exists and is not empty (size > 0, before any
+    stripping); its text is returned stripped, so a file of white space
+    gives ''.  Otherwise the task keeps waiting (found = false, NULL)."""
     c = completions.select("uuid", F.col("path").alias("log_path"),
                            normalise_log_path(F.col("path"), log_root).alias("_p"))
-    r = (reports.select(F.col("path").alias("_p"), strip_ws(F.col("text")).alias("report"))
-                .where(F.length("report") > 0))
+    r = (reports.where(F.length("text") > 0)
+                .select(F.col("path").alias("_p"), strip_ws(F.col("text")).alias("report")))
     return (c.join(r, "_p", "left")
              .select("uuid", "log_path", F.col("report").isNotNull().alias("found"), "report"))
 

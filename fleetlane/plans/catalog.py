@@ -126,11 +126,10 @@ def q_completion_scan(spark, sf_dir):
 
 @query("report_scan")
 def q_report_scan(spark, sf_dir):
-    """Whole report texts, stripped, empty ones skipped."""
+    """Whole report texts of non-empty files, stripped."""
     d = table(spark, sf_dir, "documents")
-    rep = strip_ws(F.col("text"))
-    return (d.select(F.col("doc_id").alias("report_id"), rep.alias("report"))
-             .where(F.length("report") > 0))
+    return (d.where(F.length("text") > 0)
+             .select(F.col("doc_id").alias("report_id"), strip_ws(F.col("text")).alias("report")))
 
 
 @query("completion_match")

@@ -112,7 +112,7 @@ ORACLE["completion_scan"] = _FIRSTS
 
 ORACLE["report_scan"] = f"""
 SELECT doc_id AS report_id, trim(text, {_WS}) AS report FROM documents
-WHERE length(trim(text, {_WS})) > 0
+WHERE length(text) > 0
 """
 
 ORACLE["completion_match"] = f"""
@@ -137,7 +137,7 @@ FROM (SELECT uuid, path,
       FROM (SELECT uuid, path, regexp_replace(trim(path, {_WS}), '^logs/', '') AS p
             FROM ({si.LABEL_COMPLETIONS_SQL}))) c
 LEFT JOIN (SELECT path, trim(text, {_WS}) AS report FROM ({si.REPORT_FILES_SQL})
-           WHERE length(trim(text, {_WS})) > 0) r ON r.path = c.np
+           WHERE length(text) > 0) r ON r.path = c.np
 """
 
 _TSF = "'%Y-%m-%d %H:%M:%S.%f'"

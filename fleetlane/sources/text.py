@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlane.functions.text import strip_ws
 
 
 def _paths(paths):
@@ -39,8 +38,7 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, paths) -> DataFrame:
-    """Whole report files -> (path, text); a file that is empty or only
-    white space counts as not there yet (it is skipped)."""
+    """Whole report files -> (path, text), unstripped.  Empty files yield
+    no row (the text reader skips them), so they count as not there yet."""
     df = spark.read.option("wholetext", True).text(_paths(paths))
-    out = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return out.where(F.length(strip_ws(F.col("text"))) > 0)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

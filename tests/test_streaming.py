@@ -61,7 +61,7 @@ def test_match_late_completion_dropped(spark, tmp_path):
 
 
 def test_dedup_within_watermark(spark, tmp_path):
-    u = "908f7dee-0a6e-11ea-84ff-35f681938c05"
+    u = "5f0c2a10-1d3e-11ee-9c4b-0242ac120002"
     rows = [(0, f"{u}:::logs/a", T0), (1, f"sh x y z {u}", T0 + dt.timedelta(minutes=5)),
             (2, "bad-id:::x", T0)]
     df = spark.createDataFrame(rows, "pos long, value string, ts timestamp")
@@ -126,7 +126,7 @@ def test_queue_text_stream(spark, tmp_path):
     from fleetlane.streaming.sources import line_stream
     folder = tmp_path / "queue"
     folder.mkdir()
-    u = ["908f7dee-0a6e-11ea-84ff-35f681938c05", "a2d1d326-0a6e-11ea-84ff-35f681938c05"]
+    u = ["5f0c2a10-1d3e-11ee-9c4b-0242ac120002", "6a7d3b24-1d3e-11ee-9c4b-0242ac120002"]
     for i, text in enumerate([f"sh run-wordcount2.sh input/input1 output/output1 {u[0]}\n\n",
                               f"sh run-wordcount2.sh input/input2 output/output2 {u[1]}\n"]):
         p = folder / f"append-{i}.txt"

@@ -14,8 +14,9 @@ from fleetlane.operators import tasks as tk
 from fleetlane.sources.requests import PIPELINE_ERROR, parse_requests
 from fleetlane.sources.text import read_lines, read_reports
 
-U = ["908f7dee-0a6e-11ea-84ff-35f681938c05", "a2d1d326-0a6e-11ea-84ff-35f681938c05",
-     "aed091c6-0a6e-11ea-84ff-35f681938c05", "ab970ad0-0a6e-11ea-84ff-35f681938c05"]
+# version-1 ids (time-based) of our own
+U = ["5f0c2a10-1d3e-11ee-9c4b-0242ac120002", "6a7d3b24-1d3e-11ee-9c4b-0242ac120002",
+     "70e1c9d8-1d3e-11ee-9c4b-0242ac120002", "7b52f0aa-1d3e-11ee-9c4b-0242ac120002"]
 
 
 def _lines(spark, values):
@@ -55,7 +56,8 @@ def test_completion_formats_dedup_reject(spark):
              f"sh run-wordcount2.sh input/input1 output/output1 {U[3]}i",  # malformed
              f"{U[1]}:::/abs/{U[1]}.txt", "", f"{U[3]}:::{U[3]}.txt"]
     parsed = tk.parse_completions(_lines(spark, lines))
-    assert parsed.where(~F.col("valid")).count() == 1
+    # the malformed id and the blank line (id '') are invalid; both vanish in the dedup
+    assert sorted(r.uuid for r in parsed.where(~F.col("valid")).collect()) == ["", U[3] + "i"]
     firsts = {r.uuid: r for r in tk.first_completions(parsed).collect()}
     assert set(firsts) == set(U)
     assert firsts[U[2]].first_pos == 2 and firsts[U[2]].dup_count == 2
@@ -73,8 +75,14 @@ def test_match_pending_partition(spark):
 
 
 def test_uuid_time(spark):
-    r = spark.createDataFrame([(U[0],)], "u string").select(uuid_v1_time(F.col("u")).alias("t")).first()
-    assert str(r.t).startswith("2019-11-")
+    import datetime as dt
+    import uuid
+    rows = spark.createDataFrame([(u,) for u in U], "u string").select(
+        "u", uuid_v1_time(F.col("u")).alias("t")).collect()
+    for r in rows:
+        ticks = uuid.UUID(r.u).time  # 100 ns since 1582-10-15
+        exp = dt.datetime(1582, 10, 15) + dt.timedelta(microseconds=ticks // 10)
+        assert r.t == exp
 
 
 def test_paths_and_result_lookup(spark, tmp_path):
@@ -84,7 +92,8 @@ def test_paths_and_result_lookup(spark, tmp_path):
                                   ("D", f"{root}/d.txt"), ("E", "logs/e.txt")], "uuid string, path string")
     reports = read_reports(spark, root).withColumn("path", F.regexp_replace("path", "^file:", ""))
     got = {r.uuid: (r.found, r.report) for r in tk.result_lookup(comp, reports, root).collect()}
-    assert got == {"A": (True, "report A"), "B": (False, None), "C": (False, None),
+    # empty file: not there yet; white space only: found, message ''
+    assert got == {"A": (True, "report A"), "B": (False, None), "C": (True, ""),
                    "D": (True, "report D"), "E": (False, None)}
     p = spark.createDataFrame([("logs/x",), ("/abs/y",), ("logs/logs/z",)], "p string")
     assert [r.n for r in p.select(normalise_log_path(F.col("p"), "/root/").alias("n")).collect()] == \

@@ -1,4 +1,10 @@
-"""task/completion matching on streams (batch twin: O20)."""
+"""task/completion matching on streams (batch twin: O20).
+
+Two forms: :func:`first_match_stream` (registered; per-key state, one row
+per request, no pairs) and :func:`match_stream_join` (Spark's stream-stream
+left outer join with a time-range condition; it pairs a request with every
+completion of its key inside the window, so :func:`first_match` reduces
+the pairs afterwards)."""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import functions as F
 from fleetlane.streaming.runner import END_TYPE
 
 
-def match_stream(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
+def match_stream_join(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
                  delay: str = "1 hour", submit_type: str = "signup",
                  done_type: str = "purchase") -> DataFrame:
     """Stream-stream left outer join: every request with the completions of
@@ -41,3 +47,88 @@ def first_match(pairs: DataFrame) -> DataFrame:
                  .agg(F.min("c_ts").alias("done_ts"))
                  .withColumn("status", F.when(F.col("done_ts").isNotNull(), "success")
                              .otherwise("timeout")))
+
+
+# ----------------------------------------------------------------------------
+# Pair-free first match: one output row per request, never a pair list.
+
+FIRST_SCHEMA = "req_id long, r_key long, r_us long, done_us long, status string"
+FIRST_STATE = "req_ids array<long>, req_us array<long>, comp_us array<long>"
+
+
+def _first_fn(timeout_s: int):
+    import numpy as np
+    import pandas as pd
+
+    width = timeout_s * 1_000_000
+
+    def fn(key, pdfs, state):
+        if key[0] is None or pd.isna(key[0]):  # the end marker's group
+            for _ in pdfs:
+                pass
+            return
+        k = int(key[0])
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        if state.exists:
+            ids, rus, cus = (list(x) for x in state.get)
+        else:
+            ids, rus, cus = [], [], []
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                # rows behind the watermark are late: dropped
+                pdf = pdf[pdf["t_us"] >= wm_us]
+                req = pdf[pdf["kind"] == 0]
+                ids += req["event_id"].tolist()
+                rus += req["t_us"].tolist()
+                cus += pdf.loc[pdf["kind"] == 1, "t_us"].tolist()
+        r_id, r_us = np.asarray(ids, dtype=np.int64), np.asarray(rus, dtype=np.int64)
+        c_us = np.sort(np.asarray(cus, dtype=np.int64))
+        # first completion at or after each request, if inside the window
+        pos = np.searchsorted(c_us, r_us, side="left")
+        has = pos < len(c_us)
+        cand = np.where(has, c_us[np.minimum(pos, max(len(c_us) - 1, 0))] if len(c_us) else 0, -1)
+        cand = np.where(has & (cand <= r_us + width), cand, -1)
+        # final once the watermark has passed the answer (no earlier row can come)
+        done = (cand >= 0) & (cand <= wm_us)
+        lost = (cand < 0) & (r_us + width < wm_us)
+        out = [(int(i), k, int(t), int(c), "success") for i, t, c in zip(r_id[done], r_us[done], cand[done])]
+        out += [(int(i), k, int(t), None, "timeout") for i, t in zip(r_id[lost], r_us[lost])]
+        keep = ~(done | lost)
+        ids, rus = r_id[keep].tolist(), r_us[keep].tolist()
+        # completions below the watermark can no longer meet a new request
+        cus = c_us[c_us >= wm_us].tolist()
+        if ids or cus:
+            state.update((ids, rus, cus))
+            pending = np.where(cand[keep] >= 0, cand[keep], r_us[keep] + width)
+            nxt = int(pending.min()) if len(pending) else max(wm_us, int(max(cus)))
+            state.setTimeoutTimestamp(max(nxt // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["req_id", "r_key", "r_us", "done_us", "status"])
+    return fn
+
+
+def first_match_stream(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
+                       delay: str = "1 hour", submit_type: str = "signup",
+                       done_type: str = "purchase") -> DataFrame:
+    """T2 without pairs: per key, the open requests and the not-yet-final
+    completions live in state; each request gets exactly one row - its
+    first completion within ``timeout_s`` (success) or none (timeout).
+
+    A result is emitted only when it is final: success once the watermark
+    passed the completion's time (an earlier, late completion can no
+    longer arrive), timeout once it passed ts + timeout.  Matching is a
+    sorted search, so a busy key costs O((requests + completions) log n)
+    per batch, never requests x completions.  Rows behind the watermark
+    are dropped as late."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    t = F.col("event_type")
+    ev = (events.withWatermark("ts", delay)
+                .where(t.isin(submit_type, done_type, END_TYPE))
+                .select("event_id", F.col(key).alias("k"), "ts",
+                        F.unix_micros("ts").alias("t_us"),
+                        F.when(t == done_type, 1).otherwise(0).alias("kind")))
+    return (ev.groupBy("k")
+              .applyInPandasWithState(_first_fn(timeout_s), FIRST_SCHEMA, FIRST_STATE, "append",
+                                      GroupStateTimeout.EventTimeTimeout))

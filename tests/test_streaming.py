@@ -54,7 +54,7 @@ def test_match_late_completion_dropped(spark, tmp_path):
         [ev(6, 301, 9, "purchase")],   # request 2 (00:10 + 1 h < 04:00) is evicted: timeout
         [ev(5, 20, 2, "purchase")],    # its completion arrives after that: dropped
     ])
-    pairs = srun.run_append(spark, smt.match_stream(_stream(spark, folder)), "t_match",
+    pairs = srun.run_append(spark, smt.match_stream_join(_stream(spark, folder)), "t_match",
                             watermark_policy="max")
     got = {r.req_id: (r.status, r.done_ts) for r in smt.first_match(pairs).collect()}
     assert got == {1: ("success", T0 + dt.timedelta(minutes=30)), 2: ("timeout", None)}
@@ -136,3 +136,36 @@ def test_queue_text_stream(spark, tmp_path):
     out = srun.run_append(spark, s, "t_queue_text")
     rows = [(r.input, r.uuid) for r in out.orderBy("pos").collect()]
     assert rows == [("input/input1", u[0]), ("input/input2", u[1])]
+
+
+def test_first_match_stream_multi_batch(spark, tmp_path):
+    folder = _batches(spark, str(tmp_path / "fm"), [
+        [ev(1, 0, 1, "signup"), ev(2, 10, 2, "signup"), ev(3, 50, 1, "purchase")],
+        [ev(4, 40, 1, "purchase"), ev(7, 30, 3, "signup")],   # earlier completion for user 1 arrives later
+        [ev(5, 300, 9, "purchase")],                          # watermark -> 04:00
+        [ev(6, 20, 2, "purchase"), ev(8, 35, 3, "purchase")],  # late: dropped
+    ])
+    out = srun.run_append(spark, smt.first_match_stream(_stream(spark, folder)), "t_fm")
+    got = {r.req_id: (r.status, r.done_us) for r in out.collect()}
+    us = lambda m: int((T0 + dt.timedelta(minutes=m) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+    assert got == {1: ("success", us(40)), 2: ("timeout", None), 7: ("timeout", None)}
+
+
+def test_first_match_stream_equals_batch(spark, tmp_path):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        user = 0 if i % 3 else rnd.randrange(1, 6)          # user 0 is hot
+        rows.append(ev(i, rnd.randrange(0, 8 * 60), user, rnd.choice(["signup", "purchase", "view"])))
+    rows.sort(key=lambda r: r[1])
+    folder = _batches(spark, str(tmp_path / "fmb"), [rows[j:j + 100] for j in range(0, 400, 100)])
+    out = srun.run_append(spark, smt.first_match_stream(_stream(spark, folder)), "t_fmb")
+    got = {r.req_id: r.status for r in out.collect()}
+    exp = {}
+    for rid, t, user, typ, _ in rows:
+        if typ == "signup":
+            c = [t2 for _, t2, u2, typ2, _ in rows
+                 if u2 == user and typ2 == "purchase" and t <= t2 <= t + dt.timedelta(hours=1)]
+            exp[rid] = "success" if c else "timeout"
+    assert got == exp

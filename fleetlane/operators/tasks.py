@@ -16,6 +16,11 @@ from fleetlane.functions.paths import normalise_log_path
 from fleetlane.functions.text import strip_ws
 from fleetlane.functions.timefmt import epoch_us, hms, idiv
 
+# The command a queue line runs (the word-count job script),
+# as the batch controller and the service write it.
+JOB_CMD = "sh run-wordcount2.sh"
+SERVICE_JOB_CMD = "sh /root/run-wordcount2.sh"
+
 # Whitespace run between the tokens of a command line.
 WS_RUN_RE = "[ \\t\\n\\r\\f\\x0b]+"
 # New completion format: <uuid>:::<log path>

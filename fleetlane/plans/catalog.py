@@ -229,7 +229,7 @@ def q_callback_outbox(spark, sf_dir):
     flat = tk.callback_payload(uuid, ok, msg, F.col("o_orderdate"))
     nested = tk.nested_callback_payload(
         uuid, F.when(ok, "success").otherwise("failed"),
-        F.concat(F.lit("sh run-wordcount2.sh "), in_path, F.lit(" "), out_path),
+        F.concat(F.lit(tk.JOB_CMD + " "), in_path, F.lit(" "), out_path),
         msg, in_path, out_path, F.col("o_orderdate"))
     payload = F.when(F.col("o_orderpriority") == "1-URGENT", nested).otherwise(flat)
     return o.select(uuid.alias("uuid"), payload.alias("payload"))
@@ -435,7 +435,7 @@ def q_task_intake(spark, sf_dir):
     uuid = standin_uuid(F.col("pos"))
     return placed.select(
         uuid.alias("uuid"),
-        F.format_string("sh /root/run-wordcount2.sh %s %s %s", F.col("input"), F.col("output"),
+        F.format_string(tk.SERVICE_JOB_CMD + " %s %s %s", F.col("input"), F.col("output"),
                         uuid).alias("command"),
         "container", F.col("callback_url"), ts_text(F.col("ts")).alias("submit_ts"),
         F.lit("pending").alias("status"))

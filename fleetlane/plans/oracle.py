@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from fleetlane.functions.ids import UUID_RE
 from fleetlane.functions.stats import CONTAINER_RE, FLEET_NAME_RE, MEM_UNITS
-from fleetlane.operators.tasks import TIMEOUT_MESSAGE
+from fleetlane.operators.tasks import JOB_CMD, SERVICE_JOB_CMD, TIMEOUT_MESSAGE
 from fleetlane.plans import standins as si
 from fleetlane.sources.requests import INVALID_ERROR, PIPELINE_ERROR
 
@@ -206,7 +206,7 @@ ORACLE["callback_outbox"] = f"""
 SELECT u AS uuid,
        CASE WHEN o_orderpriority = '1-URGENT'
             THEN to_json({{'uuid': u, 'task_status': st,
-                           'result': {{'status': st, 'cmd': 'sh run-wordcount2.sh ' || ip || ' ' || op,
+                           'result': {{'status': st, 'cmd': '{JOB_CMD} ' || ip || ' ' || op,
                                       'output': msg, 'input_path': ip, 'output_path': op,
                                       'execution_time': hms}}}})
             ELSE to_json({{'uuid': u, 'success': ok, 'message': msg, 'timestamp': hms}}) END::VARCHAR
@@ -460,7 +460,7 @@ acc AS (SELECT q.event_id AS pos, q.input, q.output, q.callback_url, e.ts,
                (row_number() OVER (ORDER BY q.event_id) - 1)::BIGINT AS rank0
         FROM ({_REQ}) q JOIN events e ON e.event_id = q.event_id
         WHERE q.accepted AND q.variant = 'hadoop')
-SELECT u AS uuid, printf('sh /root/run-wordcount2.sh %s %s %s', input, output, u) AS command,
+SELECT u AS uuid, printf('{SERVICE_JOB_CMD} %s %s %s', input, output, u) AS command,
        container, callback_url, strftime(ts, {_TSF}) AS submit_ts, 'pending' AS status
 FROM (SELECT *, {si._uuid_sql('pos')} AS u FROM ({_assign_new('SELECT * FROM acc')}))
 """

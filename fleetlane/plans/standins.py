@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlane.functions.ids import STANDIN_UUID_FMT, standin_uuid
 from fleetlane.functions.timefmt import as_ts
+from fleetlane.operators.tasks import JOB_CMD
 from fleetlane.sources.tables import table
 
 SQL_UUID = "printf('" + STANDIN_UUID_FMT + "', {k})"
@@ -45,7 +46,7 @@ def queue_lines_of(o: DataFrame) -> DataFrame:
     inp = F.concat(F.lit("input/c"), F.col("o_custkey").cast("string"))
     out = F.concat(F.lit("output/o"), F.col("o_orderkey").cast("string"))
     sep = F.when(F.col("o_orderstatus") == "O", F.lit("\t ")).otherwise(F.lit(" "))
-    line = F.concat_ws("", F.lit("sh run-wordcount2.sh"), sep, inp, sep, out, sep, uuid)
+    line = F.concat_ws("", F.lit(JOB_CMD), sep, inp, sep, out, sep, uuid)
     blank = (F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW")
     return o.select(F.col("o_orderkey").alias("pos"),
                     F.when(blank, F.lit("   ")).otherwise(line).alias("value"))
@@ -54,7 +55,7 @@ def queue_lines_of(o: DataFrame) -> DataFrame:
 QUEUE_LINES_SQL = f"""
 SELECT o_orderkey AS pos,
        CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN '   '
-            ELSE 'sh run-wordcount2.sh' || sep || 'input/c' || o_custkey::VARCHAR || sep
+            ELSE '{JOB_CMD}' || sep || 'input/c' || o_custkey::VARCHAR || sep
                  || 'output/o' || o_orderkey::VARCHAR || sep || {_uuid_sql('o_orderkey')} END AS value
 FROM (SELECT *, CASE WHEN o_orderstatus = 'O' THEN chr(9) || ' ' ELSE ' ' END AS sep FROM orders)
 """
@@ -79,7 +80,7 @@ def completion_lines_of(li: DataFrame, keep=()) -> DataFrame:
              .when(F.col("l_returnflag") == "A", fname)
              .otherwise(F.concat(F.lit("logs/"), fname)))
     new = F.concat(uuid, F.lit(":::"), path)
-    old = F.concat(F.lit("sh run-wordcount2.sh input/p"), F.col("l_partkey").cast("string"),
+    old = F.concat(F.lit(JOB_CMD + " input/p"), F.col("l_partkey").cast("string"),
                    F.lit(" output/o"), F.col("l_orderkey").cast("string"), F.lit(" "), uuid)
     pos = F.unix_date(F.to_date(F.col("l_shipdate"))).cast("bigint") * 16 + F.col("l_linenumber")
     return li.select(*keep, pos.alias("pos"),
@@ -91,7 +92,7 @@ SELECT ((l_shipdate::DATE - DATE '1970-01-01')::BIGINT * 16 + l_linenumber)::BIG
        CASE WHEN l_linenumber % 2 = 1 THEN u || ':::' ||
                  CASE WHEN l_returnflag = 'R' THEN '{LOG_ROOT}/' || f
                       WHEN l_returnflag = 'A' THEN f ELSE 'logs/' || f END
-            ELSE 'sh run-wordcount2.sh input/p' || l_partkey::VARCHAR || ' output/o'
+            ELSE '{JOB_CMD} input/p' || l_partkey::VARCHAR || ' output/o'
                  || l_orderkey::VARCHAR || ' ' || u END AS value
 FROM (SELECT *,
              CASE WHEN l_quantity = 50 THEN {_uuid_sql('l_orderkey')} || 'i'

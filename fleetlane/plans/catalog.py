@@ -547,10 +547,9 @@ def q_stream_scale(spark, sf_dir):
                 .select(F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")),
                                       "yyyy-MM-dd HH:mm:ss").alias("tick"),
                         F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
-    from pyspark.sql.types import _parse_datatype_string
     return srun.run_foreach_batch(spark, deltas, "stream_scale",
                                   lambda df, bid, out: ssc.decide_batch(df, bid, out),
-                                  _parse_datatype_string(ssc.DECISION_SCHEMA))
+                                  ssc.DECISION_SCHEMA)
 
 
 @query("stream_dedup")

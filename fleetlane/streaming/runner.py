@@ -90,10 +90,12 @@ def run_append(spark: SparkSession, sdf: DataFrame, name: str,
 
 
 def run_foreach_batch(spark: SparkSession, sdf: DataFrame, name: str, fn,
-                      schema: StructType) -> DataFrame:
+                      schema: StructType | str) -> DataFrame:
     """Run ``fn(batch_df, batch_id, out_folder)`` per micro-batch with
     availableNow; ``fn`` writes ``out_folder/batch=<id>``.  Returns every
     batch's output as one DataFrame."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
     out = scratch_path(spark, f"{name}-out")
     q = (sdf.writeStream.foreachBatch(lambda df, bid: fn(df, bid, out))
             .option("checkpointLocation", out + "-ckpt")
@@ -101,8 +103,10 @@ def run_foreach_batch(spark: SparkSession, sdf: DataFrame, name: str, fn,
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(schema).parquet(out).drop("batch") if _exists(spark, out) else \
-        spark.createDataFrame([], schema)
+    if not _exists(spark, out):  # the stream had no data batch at all
+        return spark.createDataFrame([], schema)
+    # the batch=<id> folders add a partition column; the caller's schema wins
+    return spark.read.schema(schema).parquet(out).drop("batch")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -238,7 +238,7 @@ def q_callback_outbox(spark, sf_dir):
 @query("request_scan")
 def q_request_scan(spark, sf_dir):
     """Request bodies checked for their variant's required keys."""
-    return parse_requests(si.request_bodies(spark, sf_dir)).drop("body")
+    return parse_requests(si.request_bodies(spark, sf_dir)).drop("body", "ts")
 
 
 # --------------------------------------------------------------- usage family
@@ -428,8 +428,7 @@ def q_worker_reassign(spark, sf_dir):
 def q_task_intake(spark, sf_dir):
     """Accepted /hadoop requests -> task rows with their worker."""
     req = parse_requests(si.request_bodies(spark, sf_dir))
-    acc = (req.where(F.col("accepted") & (F.col("variant") == "hadoop"))
-              .join(si.event_times(spark, sf_dir).select("event_id", "ts"), "event_id"))
+    acc = req.where(F.col("accepted") & (F.col("variant") == "hadoop"))
     ranked = bucketed_rank(acc.withColumnRenamed("event_id", "pos"), "pos", RANK_BUCKET)
     placed = pl.worker_assign_new(ranked, _workers(spark, sf_dir))
     uuid = standin_uuid(F.col("pos"))

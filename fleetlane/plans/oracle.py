@@ -222,14 +222,14 @@ FROM (SELECT *, CASE WHEN ok THEN 'success' ELSE 'failed' END AS st,
 _PIPE_BLANK = ("(coalesce(json_extract_string(body, '$.ipy_path'), '') = '' "
                "OR coalesce(json_extract_string(body, '$.pipeline'), '') = '')")
 ORACLE["request_scan"] = f"""
-SELECT event_id, variant, error IS NULL AS accepted,
+SELECT event_id, ts, variant, error IS NULL AS accepted,
        (CASE WHEN error IS NULL THEN 200 ELSE 400 END)::BIGINT AS code, error,
        CASE WHEN error IS NULL AND variant <> 'pipeline' THEN json_extract_string(body, '$.input') END AS input,
        CASE WHEN error IS NULL AND variant = 'micro' THEN coalesce(json_extract_string(body, '$.output'), '')
             WHEN error IS NULL AND variant = 'hadoop' THEN json_extract_string(body, '$.output') END AS output,
        CASE WHEN error IS NULL AND variant <> 'pipeline' THEN json_extract_string(body, '$.callback_url') END
          AS callback_url
-FROM (SELECT event_id, variant, body,
+FROM (SELECT event_id, ts, variant, body,
              CASE WHEN keys IS NULL THEN {_q(INVALID_ERROR)}
                   WHEN variant = 'pipeline' AND {_PIPE_BLANK} THEN {_q(PIPELINE_ERROR)}
                   WHEN variant = 'hadoop' AND NOT list_contains(keys, 'input') THEN 'missing parameter: input'
@@ -454,11 +454,12 @@ FROM b LEFT JOIN w ON w.widx = CASE WHEN b.container = 'hadoop-master-0' AND (SE
 """
 
 _REQ = ORACLE["request_scan"]
+ORACLE["request_scan"] = f"SELECT * EXCLUDE (ts) FROM ({_REQ})"
 ORACLE["task_intake"] = f"""
 WITH {_W_O},
-acc AS (SELECT q.event_id AS pos, q.input, q.output, q.callback_url, e.ts,
+acc AS (SELECT q.event_id AS pos, q.input, q.output, q.callback_url, q.ts,
                (row_number() OVER (ORDER BY q.event_id) - 1)::BIGINT AS rank0
-        FROM ({_REQ}) q JOIN events e ON e.event_id = q.event_id
+        FROM ({_REQ}) q
         WHERE q.accepted AND q.variant = 'hadoop')
 SELECT u AS uuid, printf('{SERVICE_JOB_CMD} %s %s %s', input, output, u) AS command,
        container, callback_url, strftime(ts, {_TSF}) AS submit_ts, 'pending' AS status

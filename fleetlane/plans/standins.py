@@ -228,11 +228,12 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (F.when(k >= 98, F.lit('{"input": '))
              .otherwise(F.concat(F.lit("{"), F.when(variant == "pipeline", pipe).otherwise(job),
                                  F.lit("}"))))
-    return e.select("event_id", variant.alias("variant"), body.alias("body"))
+    return e.select("event_id", as_ts(F.col("ts")).alias("ts"), variant.alias("variant"),
+                    body.alias("body"))
 
 
 REQUEST_BODIES_SQL = """
-SELECT event_id, variant,
+SELECT event_id, ts, variant,
        CASE WHEN k >= 98 THEN '{"input": '
             ELSE '{' || CASE WHEN variant = 'pipeline'
                    THEN '"ipy_path": "' || CASE WHEN k < 30 THEN '' ELSE 'nb/u' || user_id::VARCHAR || '.ipynb' END

@@ -45,20 +45,24 @@ def bucketed_rank(df: DataFrame, order_col: str, width: int,
     """0-based rank of each row by a unique BIGINT column ``order_col``.
 
     Buckets are ``order_col div width``; a bucket holds at most ``width``
-    rows, so no task sees more than that.  The global window runs over the
-    per-bucket counts only.
+    rows, so no task sees more than that.  One window per bucket gives each
+    row its number and its bucket's size; the bucket offsets are a running
+    sum over one row per bucket.  Both read the same shuffle (the exchange
+    is reused), so the input is computed once.
     """
     bcol = "_bkt"
     keyed = df.withColumn(bcol, idiv(F.col(order_col).cast("bigint"), width))
-    counts = keyed.groupBy(bcol).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
+    w = Window.partitionBy(bcol)
+    local = (keyed.withColumn("_rn", F.row_number().over(w.orderBy(order_col)))
+                  .withColumn("_n", F.count(F.lit(1)).over(w)))
+    sizes = local.groupBy(bcol).agg(F.max("_n").alias("_n"))
+    offsets = sizes.select(
         bcol,
         F.coalesce(F.sum("_n").over(Window.orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    w = Window.partitionBy(bcol).orderBy(order_col)
-    return (keyed.join(offsets, bcol)
-                 .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-                 .drop(bcol, "_off"))
+    return (local.join(offsets, bcol)
+                 .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
+                 .drop(bcol, "_rn", "_n", "_off"))
 
 
 def range_rank(df: DataFrame, order_cols: Sequence[str | Column],

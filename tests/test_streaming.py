@@ -169,3 +169,26 @@ def test_first_match_stream_equals_batch(spark, tmp_path):
                  if u2 == user and typ2 == "purchase" and t <= t2 <= t + dt.timedelta(hours=1)]
             exp[rid] = "success" if c else "timeout"
     assert got == exp
+
+
+def test_dedup_across_batches_and_expiry(spark, tmp_path):
+    u = "5f0c2a10-1d3e-11ee-9c4b-0242ac120002"
+    schema = "pos long, value string, ts timestamp"
+    folder = tmp_path / "dd"
+    folder.mkdir()
+    batches = [[(0, f"{u}:::logs/a", T0)],
+               [(1, f"{u}:::logs/b", T0 + dt.timedelta(minutes=30))],   # within 1 h: dropped
+               [(2, "x", T0 + dt.timedelta(hours=5))],                  # watermark -> 04:00
+               [(3, "y", T0 + dt.timedelta(hours=5))],                  # state of u evicted here
+               [(4, f"{u}:::logs/c", T0 + dt.timedelta(hours=4, minutes=30))]]  # after expiry: emitted
+    for i, rows in enumerate(batches):
+        sub = str(folder / f"_t{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(sub)
+        part = [f for f in os.listdir(sub) if f.endswith(".parquet")][0]
+        dst = folder / f"b{i}.parquet"
+        os.replace(os.path.join(sub, part), dst)
+        os.utime(dst, (1_700_000_000 + i, 1_700_000_000 + i))
+    from pyspark.sql.types import _parse_datatype_string
+    s = srun.file_stream(spark, str(folder) + "/*.parquet", _parse_datatype_string(schema), max_files=1)
+    out = srun.run_append(spark, sdd.dedup_completions(tk.parse_completions(s, keep=["ts"])), "t_dd")
+    assert sorted(r.pos for r in out.collect()) == [0, 4]

@@ -184,3 +184,17 @@ def test_first_completion_within_random_hot_key(spark):
     for sub in (1, 7, 60):
         got = {x.req_id: x.status for x in tk.first_completion_within(r, c, "k", 3600, sub).collect()}
         assert got == exp, sub
+
+
+def test_completion_sink_roundtrip(spark, tmp_path):
+    from fleetlane.sinks import writers
+    log = str(tmp_path / "subscribe")
+    first = spark.createDataFrame([(U[0], f"logs/{U[0]}.txt"), (U[1], f"logs/{U[1]}.txt")],
+                                  "uuid string, path string")
+    writers.write_completion(first, log)
+    writers.write_completion(spark.createDataFrame([(U[0], "logs/again.txt")], "uuid string, path string"),
+                             log)
+    lines = read_lines(spark, log)
+    assert lines.count() == 3  # append: every row once
+    got = {r.uuid: (r.path, r.dup_count) for r in tk.first_completions(tk.parse_completions(lines)).collect()}
+    assert got == {U[0]: (f"logs/{U[0]}.txt", 2), U[1]: (f"logs/{U[1]}.txt", 1)}

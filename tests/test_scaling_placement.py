@@ -111,3 +111,15 @@ def test_series_contrast_pivot(spark):
     s = spark.createDataFrame([(1, 0, 1.0), (2, 0, 2.0), (1, 1, 3.0)], "run_id long, idx long, value double")
     rows = {r.idx: (r.run_1, r.run_2) for r in ct.series_contrast(s, [1, 2]).collect()}
     assert rows == {0: (1.0, 2.0), 1: (3.0, None)}
+
+
+def test_large_input_fallbacks(spark):
+    from fleetlane.operators.indexing import maybe_broadcast, rank_by
+    names = spark.createDataFrame([(f"hadoop-master-{i}",) for i in range(300)], "name string")
+    small = {r.name: r.widx for r in rank_by(names, ["name"], "widx", bound=1000).collect()}
+    big = {r.name: r.widx for r in rank_by(names, ["name"], "widx", bound=10).collect()}  # range_rank path
+    assert small == big == {n: i for i, n in enumerate(sorted(small))}
+    df = maybe_broadcast(names, bound=10)  # too big: no hint
+    plan = df._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in plan.lower()
+    assert "broadcast" in maybe_broadcast(names, bound=1000)._jdf.queryExecution().logical().toString().lower()

@@ -75,6 +75,13 @@ def time_axis(snapshots: DataFrame, start: float = 0.0, step: float = 6.5) -> Da
                  .withColumn("t_sec", F.lit(float(start)) + F.col("idx").cast("double") * float(step)))
 
 
+def with_sample_index(series: DataFrame, name: str = "idx") -> DataFrame:
+    """0-based position of each snapshot in its run, for a series that
+    already has one row per snapshot (no distinct, no join back)."""
+    w = Window.partitionBy("run_id").orderBy(phase_rank(), F.col("sample_no"))
+    return series.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+
+
 def series_head(series: DataFrame, n: int) -> DataFrame:
     """The first n snapshots of every run (by phase, sample number).
     The ``row_number() <= n`` filter becomes a per-partition group limit
@@ -90,12 +97,12 @@ def series_align(series: DataFrame, value_col: str, skip: int,
     measured value (our padding rule).  -> (run_id, idx, t_sec, value, padded)
 
     The grid is generated per run with ``sequence`` (no cross join) and the
-    forward fill is a window over one run's L grid points."""
-    axis = time_axis(series, 0.0, 1.0).select(*SNAP, "idx")
-    measured = (series.join(axis, list(SNAP))
-                      .where(F.col("idx") >= skip)
-                      .select("run_id", (F.col("idx") - skip).alias("idx"),
-                              F.col(value_col).alias("value")))
+    forward fill is a window over one run's L grid points.  ``series`` has
+    one row per snapshot (e.g. :func:`usage_by_snapshot`)."""
+    measured = (with_sample_index(series)
+                .where(F.col("idx") >= skip)  # stays above the window
+                .select("run_id", (F.col("idx") - skip).alias("idx"),
+                        F.col(value_col).alias("value")))
     lengths = measured.groupBy("run_id").agg(F.count(F.lit(1)).alias("_len"))
     common = F.max("_len").over(Window.partitionBy())  # over the runs only
     grid = (lengths.withColumn("_L", common)

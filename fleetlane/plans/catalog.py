@@ -361,9 +361,8 @@ def q_phase_share(spark, sf_dir):
 @query("series_contrast")
 def q_series_contrast(spark, sf_dir):
     """One row per time index, one CPU column per run."""
-    cpu = _cpu_series(spark, sf_dir)
-    axis = us.time_axis(cpu).select(*us.SNAP, "idx")
-    series = cpu.join(axis, list(us.SNAP)).select("run_id", "idx", F.col("cpu").alias("value"))
+    series = us.with_sample_index(_cpu_series(spark, sf_dir)).select(
+        "run_id", "idx", F.col("cpu").alias("value"))
     return ct.series_contrast(series, [1, 2, 3])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from fleetlane.operators import tasks as tk  # noqa: E402
 from fleetlane.operators import usage as us  # noqa: E402
 from fleetlane.operators import wordcount as wc  # noqa: E402
-from fleetlane.session import prepare  # noqa: E402
+from fleetlane.session import prepare, size_for_input  # noqa: E402
 from fleetlane.sinks import writers  # noqa: E402
 from fleetlane.sources.stats import read_snapshots  # noqa: E402
 from fleetlane.sources.text import read_input_sets, read_lines  # noqa: E402
@@ -84,6 +84,9 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("completions")
     a = p.parse_args(argv)
     spark = prepare(SparkSession.builder.appName(f"fleetlane-{a.job}").getOrCreate())
+    inputs = {"wordcount": lambda: a.sets, "report": lambda: a.sets, "usage": lambda: [a.root],
+              "match": lambda: [a.queue, a.completions]}[a.job]()
+    size_for_input(spark, inputs)
     if a.job == "wordcount":
         job_wordcount(spark, a.out, a.sets)
     elif a.job == "report":

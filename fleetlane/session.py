@@ -74,3 +74,30 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Total size of files under ``paths`` (file-system metadata only)."""
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in ([paths] if isinstance(paths, str) else paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(hconf)
+        for st in fs.globStatus(path) or []:
+            total += fs.getContentSummary(st.getPath()).getLength()
+    return total
+
+
+def size_for_input(spark: SparkSession, paths, bytes_per_partition: int = 256 * 1024 ** 2,
+                   lo: int = 8, hi: int = 200_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` from the input size, unless the
+    cluster set it: a shuffle partition then holds about
+    ``bytes_per_partition`` of input before compression, which keeps
+    per-task sort/aggregate state within executor memory; AQE coalesces
+    small ones to its advisory size (``parallelismFirst`` off)."""
+    n = max(lo, min(hi, -(-input_bytes(spark, paths) // bytes_per_partition)))
+    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,7 +4,6 @@ direct simulation, completed/pending partition of the tasks."""
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from fleetlane.operators import scaling as sc
 from fleetlane.operators import tasks as tk

@@ -5,7 +5,6 @@ import datetime as dt
 import os
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from fleetlane.operators import tasks as tk
 from fleetlane.streaming import dedup as sdd

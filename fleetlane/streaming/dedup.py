@@ -14,3 +14,14 @@ def dedup_completions(parsed: DataFrame, ts_col: str = "ts", delay: str = "1 hou
     return (parsed.withWatermark(ts_col, delay)
                   .dropDuplicatesWithinWatermark(["uuid"])
                   .where("valid"))
+
+
+def with_uuid_time(parsed: DataFrame, ts_col: str = "ts") -> DataFrame:
+    """Event time for completion lines that carry none: the creation time
+    embedded in a version-1 id.  Invalid ids get the epoch, so the
+    watermark treats them as late (they are dropped either way)."""
+    from pyspark.sql import functions as F
+
+    from fleetlane.functions.ids import uuid_v1_time
+    t = F.when(F.col("valid"), uuid_v1_time(F.col("uuid"))).otherwise(F.timestamp_micros(F.lit(0)))
+    return parsed.withColumn(ts_col, t)

@@ -191,3 +191,22 @@ def test_dedup_across_batches_and_expiry(spark, tmp_path):
     s = srun.file_stream(spark, str(folder) + "/*.parquet", _parse_datatype_string(schema), max_files=1)
     out = srun.run_append(spark, sdd.dedup_completions(tk.parse_completions(s, keep=["ts"])), "t_dd")
     assert sorted(r.pos for r in out.collect()) == [0, 4]
+
+
+def test_dedup_text_log_with_uuid_time(spark, tmp_path):
+    import uuid as _uuid
+    from fleetlane.streaming.sources import line_stream
+    base = 0x1EE1D3E5F0C2A10  # 60-bit v1 timestamp of our own
+    ids = [str(_uuid.UUID(fields=((base + i * 10**7) & 0xFFFFFFFF, ((base + i * 10**7) >> 32) & 0xFFFF,
+                                  0x1000 | (((base + i * 10**7) >> 48) & 0x0FFF), 0x9C, 0x4B, 0x0242AC120002)))
+           for i in range(3)]
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for i, text in enumerate([f"{ids[0]}:::logs/a\n{ids[1]}:::logs/b\n",
+                              f"sh run x y {ids[0]}\n{ids[2]}:::logs/c\nbroken-id:::x\n"]):
+        p = folder / f"part-{i}.txt"
+        p.write_text(text)
+        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+    parsed = sdd.with_uuid_time(tk.parse_completions(line_stream(spark, str(folder), max_files=1)))
+    out = srun.run_append(spark, sdd.dedup_completions(parsed).select("uuid"), "t_dd_text")
+    assert sorted(r.uuid for r in out.collect()) == sorted(ids)

@@ -19,12 +19,14 @@ DECISION_SCHEMA = "tick string, depth bigint, groups bigint, action string, targ
 
 
 def _carry(spark, out: str, batch_id: int):
-    """(cum, depth) after the last batch before ``batch_id``, or (0, None)."""
+    """(cum, depth) after the last batch before ``batch_id``, or (0, None).
+    Carries live in ``<out>-carry/batch=<id>``; a batch without ticks
+    writes none, so the latest earlier one is used."""
+    from fleetlane.streaming.runner import _exists
     path = f"{out}-carry"
-    try:
-        c = spark.read.parquet(path).where(F.col("batch") < batch_id)
-    except Exception:  # noqa: BLE001 - no carry written yet
+    if not _exists(spark, path):
         return 0, None
+    c = spark.read.parquet(path).where(F.col("batch") < batch_id)
     last = c.orderBy(F.col("batch").desc()).limit(1).collect()
     return (int(last[0]["cum"]), last[0]["depth"]) if last else (0, None)
 
@@ -48,6 +50,6 @@ def decide_batch(deltas: DataFrame, batch_id: int, out: str, cap: int = MAX_GROU
     t = t.checkpoint(eager=True)  # one evaluation feeds both writes
     (t.select("tick", "depth", "groups", "action", "target")
       .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
-    (t.orderBy(F.col("tick").desc()).limit(1)
-      .select(F.lit(batch_id).alias("batch"), "cum", "depth")
-      .write.mode("overwrite").parquet(f"{out}-carry/batch_{batch_id}"))
+    last = t.orderBy(F.col("tick").desc()).limit(1).select("cum", "depth")
+    if last.limit(1).count():  # a batch without ticks leaves the carry as it is
+        last.write.mode("overwrite").parquet(f"{out}-carry/batch={batch_id}")

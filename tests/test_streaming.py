@@ -210,3 +210,40 @@ def test_dedup_text_log_with_uuid_time(spark, tmp_path):
     parsed = sdd.with_uuid_time(tk.parse_completions(line_stream(spark, str(folder), max_files=1)))
     out = srun.run_append(spark, sdd.dedup_completions(parsed).select("uuid"), "t_dd_text")
     assert sorted(r.uuid for r in out.collect()) == sorted(ids)
+
+
+def test_stream_scale_carry_equals_batch(spark, tmp_path):
+    import random
+    from fleetlane.operators import scaling as sc
+    from fleetlane.streaming import scale as ssc
+    rnd = random.Random(5)
+    rows = sorted((ev(i, rnd.randrange(0, 48 * 60), rnd.randrange(1, 9),
+                      rnd.choice(["signup", "signup", "purchase", "view"])) for i in range(600)),
+                  key=lambda r: r[1])
+    # split on hour boundaries so no tick spans two files
+    hours = sorted({r[1].replace(minute=0, second=0) for r in rows})
+    cuts = [hours[len(hours) * k // 5] for k in range(1, 5)]
+    parts, cur = [], []
+    for r in rows:
+        if cuts and r[1] >= cuts[0]:
+            parts.append(cur)
+            cur = []
+            cuts.pop(0)
+        cur.append(r)
+    parts.append(cur)
+    folder = _batches(spark, str(tmp_path / "sc"), [p for p in parts if p])
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+    s = srun.file_stream(spark, folder + "/*.parquet", _parse_datatype_string(SCHEMA), max_files=1)
+    deltas = (s.where(F.col("event_type").isin("signup", "purchase"))
+                .select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
+                        F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
+    got = srun.run_foreach_batch(spark, deltas, "t_scale", lambda df, b, o: ssc.decide_batch(df, b, o),
+                                 ssc.DECISION_SCHEMA)
+    batch = spark.createDataFrame(rows, SCHEMA)
+    bd = (batch.where(F.col("event_type").isin("signup", "purchase"))
+               .select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
+                       F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
+    exp = sc.scale_decision(sc.queue_depth(bd)).select("tick", "depth", "groups", "action", "target")
+    assert sorted(got.collect()) == sorted(exp.collect())
+    assert got.count() > 20

@@ -4,6 +4,7 @@
     spark-submit fleetlane/jobs.py report    OUT SET_DIR [SET_DIR ...]
     spark-submit fleetlane/jobs.py usage     OUT RESOURCE_ROOT [--skip K] [--step S]
     spark-submit fleetlane/jobs.py match     OUT QUEUE_DIR COMPLETION_DIR
+    spark-submit fleetlane/jobs.py follow    OUT COMPLETION_DIR [--once] [--every SECONDS]
 
 Each job is one Spark plan from files to files; nothing is collected.
 """
@@ -66,6 +67,21 @@ def job_match(spark: SparkSession, out: str, queue: str, completions: str) -> No
     tk.pending_tasks(tasks, parsed).drop("pos").write.mode("overwrite").parquet(f"{out}/pending")
 
 
+def job_follow(spark: SparkSession, out: str, completions: str, once: bool,
+               every: int = 5) -> None:
+    """Tail the completion-log folder (T1), keep the first line per id
+    (T7, event time from the version-1 id) and append it to ``out``.
+    Exactly-once: file sink + checkpoint next to the output."""
+    from fleetlane.streaming.dedup import dedup_completions, with_uuid_time
+    from fleetlane.streaming.sources import line_stream
+    parsed = with_uuid_time(tk.parse_completions(line_stream(spark, completions)))
+    firsts = dedup_completions(parsed).select("uuid", "path", "ts")
+    w = (firsts.writeStream.format("parquet").outputMode("append")
+               .option("path", out).option("checkpointLocation", out.rstrip("/") + "-checkpoint"))
+    w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{every} seconds")
+    w.start().awaitTermination()
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="fleetlane")
     sub = p.add_subparsers(dest="job", required=True)
@@ -82,10 +98,15 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("out")
     s.add_argument("queue")
     s.add_argument("completions")
+    s = sub.add_parser("follow")
+    s.add_argument("out")
+    s.add_argument("completions")
+    s.add_argument("--once", action="store_true")
+    s.add_argument("--every", type=int, default=5)
     a = p.parse_args(argv)
     spark = prepare(SparkSession.builder.appName(f"fleetlane-{a.job}").getOrCreate())
     inputs = {"wordcount": lambda: a.sets, "report": lambda: a.sets, "usage": lambda: [a.root],
-              "match": lambda: [a.queue, a.completions]}[a.job]()
+              "match": lambda: [a.queue, a.completions], "follow": lambda: [a.completions]}[a.job]()
     size_for_input(spark, inputs)
     if a.job == "wordcount":
         job_wordcount(spark, a.out, a.sets)
@@ -93,8 +114,10 @@ def main(argv: list[str] | None = None) -> None:
         job_report(spark, a.out, a.sets)
     elif a.job == "usage":
         job_usage(spark, a.out, a.root, a.skip, a.step)
-    else:
+    elif a.job == "match":
         job_match(spark, a.out, a.queue, a.completions)
+    else:
+        job_follow(spark, a.out, a.completions, a.once, a.every)
 
 
 if __name__ == "__main__":

@@ -57,3 +57,13 @@ def test_size_for_input(spark, tmp_path):
         assert n == int(old)  # set explicitly by the test session: kept
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
+
+
+def test_follow_job_once(spark, tmp_path):
+    u = ["5f0c2a10-1d3e-11ee-9c4b-0242ac120002", "6a7d3b24-1d3e-11ee-9c4b-0242ac120002"]
+    root = write_files(str(tmp_path / "sub"), {
+        "a.txt": f"{u[0]}:::logs/a\n{u[0]}:::logs/dup\n", "b.txt": f"sh run x y {u[1]}\nbad:::x\n"})
+    out = str(tmp_path / "firsts")
+    jobs.job_follow(spark, out, root, once=True)
+    got = sorted((r.uuid, r.path) for r in spark.read.parquet(out).collect())
+    assert [g[0] for g in got] == sorted(u)

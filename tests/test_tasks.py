@@ -198,3 +198,15 @@ def test_completion_sink_roundtrip(spark, tmp_path):
     assert lines.count() == 3  # append: every row once
     got = {r.uuid: (r.path, r.dup_count) for r in tk.first_completions(tk.parse_completions(lines)).collect()}
     assert got == {U[0]: (f"logs/{U[0]}.txt", 2), U[1]: (f"logs/{U[1]}.txt", 1)}
+
+
+def test_read_lines_across_appended_files(spark, tmp_path):
+    root = str(tmp_path / "q")
+    write_files(root, {"z-first.txt": "a1\na2\n", "a-second.txt": "b1\n", "m-third.txt": "c1\nc2\nc3"})
+    for i, name in enumerate(["z-first.txt", "a-second.txt", "m-third.txt"]):
+        os.utime(os.path.join(root, name), (1_700_000_000 + i, 1_700_000_000 + i))
+    df = read_lines(spark, root)
+    assert [r.value for r in df.orderBy("pos").collect()] == ["a1", "a2", "b1", "c1", "c2", "c3"]
+    head = tk.queue_head(df, 4)
+    assert [r.uuid for r in head.orderBy("pos").collect()] == ["a1", "a2", "b1", "c1"]
+    assert [r.value for r in tk.queue_pop(df, 2).orderBy("pos").collect()] == ["b1", "c1", "c2", "c3"]

@@ -47,8 +47,9 @@ def bucketed_rank(df: DataFrame, order_col: str, width: int,
     Buckets are ``order_col div width``; a bucket holds at most ``width``
     rows, so no task sees more than that.  One window per bucket gives each
     row its number and its bucket's size; the bucket offsets are a running
-    sum over one row per bucket.  Both read the same shuffle (the exchange
-    is reused), so the input is computed once.
+    sum over one row per bucket (the only global window, over buckets).
+    The size branch is column-pruned to the bucket key, so its second read
+    of the input is narrow; row filters of the input do run in both.
     """
     bcol = "_bkt"
     keyed = df.withColumn(bcol, idiv(F.col(order_col).cast("bigint"), width))

@@ -51,7 +51,9 @@ def parse_completions(lines: DataFrame, keep=()) -> DataFrame:
     and run the whole parse a second time inside the Filter."""
     v = strip_ws(F.col("value"))
     new_id = F.regexp_extract(v, NEW_COMPLETION_RE, 1)
-    new_path = F.regexp_extract(v, NEW_COMPLETION_RE, 2)
+    # the path is what follows "<id>:::" (same as the pattern's group 2,
+    # without matching the line a second time)
+    new_path = F.substring(v, F.length(new_id) + 4, 1 << 30)
     is_new = new_id != ""
     uuid = F.when(is_new, new_id).otherwise(F.element_at(F.split(v, WS_RUN_RE), -1))
     # non-nullable, so the optimizer infers no isnotnull(uuid) join filter

@@ -1,4 +1,5 @@
-"""Placement family: which worker runs which task.
+"""Placement family: which worker runs which task (O21, O22, O23, O09),
+and the queue length a new task sees (the input of O22).
 
 Workers are indexed by name in text order (so ``-10`` sorts before ``-2``).
 Tasks carry ``rank0``, their 0-based position among queued tasks.  The
@@ -8,10 +9,10 @@ bounded count proved it small, otherwise the join is left to the planner.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlane.operators.indexing import maybe_broadcast, rank_by
+from fleetlane.operators.indexing import bucketed_rank, maybe_broadcast, rank_by
 
 # The default worker, and the name a task falls back to
 # when no worker is up at all.
@@ -70,3 +71,25 @@ def worker_reassign(tasks: DataFrame, workers_ix: DataFrame,
     j = tasks.withColumn("_slot", slot).join(w, "_slot", "left")
     return (j.withColumn("new_container", F.coalesce(F.col("_new"), F.col("container")))
              .drop("_slot", "_new"))
+
+
+def queue_length_at_arrival(arrivals: DataFrame, removals: DataFrame, width: int = 100_000) -> DataFrame:
+    """Tasks still queued when each task arrives (before its own insert).
+
+    arrivals: (pos, day, order) with ``order`` a unique BIGINT that sorts
+    by arrival (day first); removals: (day) one row per finished task.
+    L = arrivals before it - removals on earlier days, at least 0.  The
+    arrival count is a bucketed rank; removals are pre-summed per day and
+    only the per-day table (bounded by the time span) gets a running sum.
+    """
+    per_day = (removals.select("day", F.lit(1).alias("_r"))
+                       .unionByName(arrivals.select("day", F.lit(0).alias("_r")))
+                       .groupBy("day").agg(F.sum("_r").alias("_r")))
+    before = per_day.select("day", F.coalesce(
+        F.sum("_r").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_done_before"))
+    ranked = bucketed_rank(arrivals, "order", width, "_n_before")
+    return (ranked.join(before, "day")
+                  .withColumn("queue_len", F.greatest(F.col("_n_before") - F.col("_done_before"),
+                                                      F.lit(0)).cast("bigint"))
+                  .drop("_n_before", "_done_before"))

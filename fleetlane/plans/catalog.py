@@ -401,9 +401,19 @@ def q_worker_assign(spark, sf_dir):
 
 @query("worker_assign_new")
 def q_worker_assign_new(spark, sf_dir):
-    """New tasks spread over the non-default workers."""
-    r = pl.worker_assign_new(_ranked_tasks(spark, sf_dir), _workers(spark, sf_dir))
-    return r.select("pos", "uuid", "container")
+    """Each new task goes to others[L mod n] where L = tasks still
+    queued when it arrives: orders arrive on their order date (by key
+    within a day) and leave the queue on their last ship date."""
+    o = table(spark, sf_dir, "orders")
+    day = F.unix_date(F.to_date("o_orderdate")).cast("bigint")
+    arrivals = o.select(F.col("o_orderkey").alias("pos"), day.alias("day"),
+                        (day * F.lit(1 << 32) + F.col("o_orderkey")).alias("order"))
+    removals = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+                .agg(F.unix_date(F.to_date(F.max("l_shipdate"))).cast("bigint").alias("day"))
+                .select("day"))
+    q = pl.queue_length_at_arrival(arrivals, removals, RANK_BUCKET)
+    r = pl.worker_assign_new(q.withColumn("rank0", F.col("queue_len")), _workers(spark, sf_dir))
+    return r.select("pos", standin_uuid(F.col("pos")).alias("uuid"), "queue_len", "container")
 
 
 @query("worker_reassign")

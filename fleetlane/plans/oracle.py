@@ -436,9 +436,23 @@ s AS (SELECT pos, uuid, rank0,
 SELECT pos, uuid, rank0, slot, w.name AS container FROM s LEFT JOIN w ON w.widx = s.slot
 """
 
+_ARRIVALS = """
+  SELECT pos, queue_len, queue_len AS rank0
+  FROM (SELECT a.pos, greatest(a.n_before - b.done_before, 0)::BIGINT AS queue_len
+        FROM (SELECT o_orderkey AS pos, o_orderdate::DATE AS d,
+                     row_number() OVER (ORDER BY o_orderdate::DATE, o_orderkey) - 1 AS n_before
+              FROM orders) a
+        JOIN (SELECT d, coalesce(sum(r) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                          AS done_before
+              FROM (SELECT d, sum(r) AS r
+                    FROM (SELECT o_orderdate::DATE AS d, 0 AS r FROM orders
+                          UNION ALL
+                          SELECT max(l_shipdate)::DATE AS d, 1 AS r FROM lineitem GROUP BY l_orderkey)
+                    GROUP BY d)) b ON b.d = a.d)"""
+
 ORACLE["worker_assign_new"] = f"""
 WITH {_W_O}
-SELECT pos, uuid, container FROM ({_assign_new(_RANKED_TASKS)})
+SELECT pos, {si._uuid_sql('pos')} AS uuid, queue_len, container FROM ({_assign_new(_ARRIVALS)})
 """
 
 ORACLE["worker_reassign"] = f"""

@@ -123,3 +123,12 @@ def test_large_input_fallbacks(spark):
     plan = df._jdf.queryExecution().logical().toString()
     assert "broadcast" not in plan.lower()
     assert "broadcast" in maybe_broadcast(names, bound=1000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_queue_length_at_arrival(spark):
+    # day 1: tasks 1,2 arrive; day 2: task 1 finishes, task 3 arrives; day 3: task 4 arrives
+    arr = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "pos long, day long").withColumn(
+        "order", F.col("day") * (1 << 32) + F.col("pos"))
+    rem = spark.createDataFrame([(2,)], "day long")
+    got = {r.pos: r.queue_len for r in pl.queue_length_at_arrival(arr, rem).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 2}

@@ -102,3 +102,22 @@ def test_end_phase_batch(spark):
     marker = spark.createDataFrame([(1, t0 + dt.timedelta(seconds=3))], "run long, marker_ts timestamp")
     got = sorted((r.run, r.sid, r.phase) for r in us.end_phase(s, "run", "ts", marker, 4).collect())
     assert got == [(1, i, "") for i in range(4)] + [(1, i, "end") for i in range(4, 8)] + [(2, 0, "")]
+
+
+def test_memory_units_and_malformed(spark):
+    from fleetlane.functions import stats as st
+    cases = [("512B", 512), ("1.5KiB", 1536), ("2kB", 2000), ("3MB", 3_000_000), ("1GB", 10 ** 9),
+             ("726.2MiB", round(726.2 * 1024 ** 2)), ("62.36GiB", round(62.36 * 1024 ** 3)),
+             ("1TiB", 1024 ** 4), (" 7MiB ", 7 * 1024 ** 2), ("12", None), ("x MiB", None), ("5 PB", None)]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "s string")
+    got = [r.b for r in df.select(st.size_bytes(F.col("s")).alias("b")).collect()]
+    assert got == [e for _, e in cases]
+    pct = spark.createDataFrame([("186.39%",), ("0.00%",), ("n/a",), ("12.5",)], "p string")
+    assert [None if r.v is None else float(r.v) for r in pct.select(st.pct_decimal(F.col("p")).alias("v")).collect()] \
+        == [1.8639, 0.0, None, 0.125]
+    names = spark.createDataFrame([("hadoop-master-3",), ("hadoop-slave-3-2",), ("hadoop-slave-3",),
+                                   ("registry",)], "n string")
+    got = [(r.role, r.g, r.s) for r in names.select(st.container_role(F.col("n")).alias("role"),
+                                                     st.container_group(F.col("n")).alias("g"),
+                                                     st.container_slot(F.col("n")).alias("s")).collect()]
+    assert got == [("master", 3, 0), ("slave", 3, 2), ("slave", 3, None), (None, None, None)]

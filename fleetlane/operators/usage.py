@@ -21,13 +21,14 @@ def phase_rank(phase: str = "phase"):
     return F.when(F.col(phase) == "end", 1).otherwise(0)
 
 
-def typed_stats(raw: DataFrame) -> DataFrame:
+def typed_stats(raw: DataFrame, keep=()) -> DataFrame:
     """O06 (+O08): raw text snapshot rows -> typed columns.
 
-    raw: (run_id, phase, sample_no, name, cpu_pct, mem_usage, mem_pct).
-    cpu/mem are exact DECIMAL fractions (186.39% -> 1.8639)."""
+    raw: (run_id, phase, sample_no, name, cpu_pct, mem_usage, mem_pct)
+    plus any ``keep`` columns.  cpu/mem are exact DECIMAL fractions
+    (186.39% -> 1.8639)."""
     return raw.select(
-        *SNAP, "name",
+        *SNAP, *keep, "name",
         st.container_role(F.col("name")).alias("role"),
         st.container_group(F.col("name")).alias("group_no"),
         st.container_slot(F.col("name")).alias("slot"),

@@ -31,3 +31,21 @@ def read_snapshots(spark: SparkSession, paths) -> DataFrame:
         F.regexp_extract(f, _PATH_RE, 3).cast("bigint").alias("sample_no"),
         F.col("NAME").alias("name"), F.col("CPU %").alias("cpu_pct"),
         F.col("MEM USAGE / LIMIT").alias("mem_usage"), F.col("MEM %").alias("mem_pct"))
+
+
+def snapshot_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
+    """T1/T4 source: new snapshot files under ``root/resource_*`` as they
+    are written, with ``ts`` = the file's modification time (the moment the
+    sampler wrote it) as event time."""
+    r = spark.readStream.schema(SNAPSHOT_SCHEMA).option("header", True).format("csv")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", str(max_files))
+    df = r.load(f"{root.rstrip('/')}/resource_*")
+    f = F.col("_metadata.file_path")
+    return df.select(
+        F.regexp_extract(f, _PATH_RE, 1).cast("bigint").alias("run_id"),
+        F.regexp_extract(f, _PATH_RE, 2).alias("phase"),
+        F.regexp_extract(f, _PATH_RE, 3).cast("bigint").alias("sample_no"),
+        F.col("NAME").alias("name"), F.col("CPU %").alias("cpu_pct"),
+        F.col("MEM USAGE / LIMIT").alias("mem_usage"), F.col("MEM %").alias("mem_pct"),
+        F.col("_metadata.file_modification_time").alias("ts"))

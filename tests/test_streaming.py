@@ -247,3 +247,30 @@ def test_stream_scale_carry_equals_batch(spark, tmp_path):
     exp = sc.scale_decision(sc.queue_depth(bd)).select("tick", "depth", "groups", "action", "target")
     assert sorted(got.collect()) == sorted(exp.collect())
     assert got.count() > 20
+
+
+def test_snapshot_files_stream_per_window(spark, tmp_path):
+    from fleetlane.operators import usage as us
+    from fleetlane.sources.stats import snapshot_stream
+    hdr = "NAME,CPU %,MEM USAGE / LIMIT,MEM %\n"
+    root = tmp_path / "stats"
+    t0 = 1_700_000_000.0
+    exp = {}
+    for i in range(1, 9):
+        d = root / "resource_1"
+        d.mkdir(parents=True, exist_ok=True)
+        p = d / f"resource_log_{i}"
+        p.write_text(hdr + f"hadoop-master-0,{i}.00%,1GiB / 62.36GiB,1.60%\n"
+                           f"hadoop-slave-0-1,0.50%,1GiB / 62.36GiB,1.60%\n")
+        t = t0 + 6.5 * i
+        os.utime(p, (t, t))
+        start = t - (t % 6.5)
+        exp[start] = round(i / 100 + 0.005, 3)
+    end = root / "resource_1" / "resource_log_end_1"   # far later: closes every window
+    end.write_text(hdr + "hadoop-master-0,0.00%,1GiB / 62.36GiB,1.60%\n")
+    os.utime(end, (t0 + 10_000, t0 + 10_000))
+    typed = us.typed_stats(snapshot_stream(spark, str(root), max_files=1), keep=["ts"])
+    out = srun.run_append(spark, sus.usage_windows(typed, "cpu", delay="1 minute", keys=["run_id"]),
+                          "t_snap")
+    got = {r.w.start.replace(tzinfo=dt.timezone.utc).timestamp(): r.cpu for r in out.collect()}
+    assert got == exp

@@ -151,18 +151,22 @@ def first_completion_within(requests: DataFrame, completions: DataFrame,
     both = (r.select("req_id", key, "b", "t", F.lit(0).alias("kind"))
              .unionByName(c.select(F.lit(None).cast("bigint").alias("req_id"), key, "b", "t",
                                    F.lit(1).alias("kind"))))
-    win = (Window.partitionBy(key, "b").orderBy("t", "kind")
-                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    nxt = F.first(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(win)
+    # "first completion at or after this row" = the nearest completion
+    # before it in descending order.  Frames that start at UNBOUNDED
+    # PRECEDING are evaluated incrementally; "current row to unbounded
+    # following" would be recomputed for every row (quadratic per key).
+    win = (Window.partitionBy(key, "b").orderBy(F.col("t").desc(), F.col("kind").desc())
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nxt = F.last(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(win)
     in_bucket = (both.withColumn("_next", nxt).where(F.col("kind") == 0)
                      .select("req_id", key, "b", "t", "_next"))
     # one row per non-empty (key, bucket): its first completion, if any
     per_bucket = (c.select(key, "b", F.col("t").alias("_m"))
                    .unionByName(r.select(key, "b", F.lit(None).cast("bigint").alias("_m")))
                    .groupBy(key, "b").agg(F.min("_m").alias("_m")))
-    later = (Window.partitionBy(key).orderBy("b")
-                   .rowsBetween(1, Window.unboundedFollowing))
-    after = per_bucket.select(key, "b", F.first("_m", ignorenulls=True).over(later).alias("_nb"))
+    later = (Window.partitionBy(key).orderBy(F.col("b").desc())
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    after = per_bucket.select(key, "b", F.last("_m", ignorenulls=True).over(later).alias("_nb"))
     j = in_bucket.join(after, [key, "b"], "left")
     cand = F.coalesce(F.col("_next"), F.col("_nb"))
     done = F.when(cand <= F.col("t") + F.lit(width), cand)

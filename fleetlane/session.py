@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,14 +47,44 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime confs the jobs need to any session (idempotent)."""
+    """Apply the runtime confs the jobs need to any session (idempotent)
+    and make the package importable by the Python workers."""
     for k, v in _RUNTIME_CONFS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the session's Python files (once per app), so
+    executors can import it for the Arrow-batched Python steps - what
+    ``--py-files`` does on spark-submit.  The zip is placed under the
+    shared checkpoint root and added from there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="fleetlane-pkg-")
+    local_zip = os.path.join(staging, "fleetlane.zip")
+    with zipfile.ZipFile(local_zip, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    jvm = sc._jvm
+    dst = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "pkg") + "/fleetlane.zip")
+    fs = dst.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(local_zip), dst)
+    sc.addPyFile(dst.toString())
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and staged tables.
 

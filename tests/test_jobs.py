@@ -67,3 +67,10 @@ def test_follow_job_once(spark, tmp_path):
     jobs.job_follow(spark, out, root, once=True)
     got = sorted((r.uuid, r.path) for r in spark.read.parquet(out).collect())
     assert [g[0] for g in got] == sorted(u)
+
+
+def test_cli_main_wordcount(spark, tmp_path):
+    root = write_files(str(tmp_path / "in"), {"input1/f1.txt": "Hello Hadoop\n", "input1/f2.txt": "Hello Docker\n"})
+    out = str(tmp_path / "cli")
+    jobs.main(["wordcount", out, os.path.join(root, "input1")])
+    assert _read_parts(os.path.join(out, "input_set=input1")).splitlines() == ["Docker\t1", "Hadoop\t1", "Hello\t2"]

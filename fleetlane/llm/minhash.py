@@ -4,12 +4,16 @@ One pass over the texts gives each document its set of distinct k-word
 shingles (64-bit hashes), 160 minima, 32 band keys of five minima each and
 a packed signature that keeps only the low b bits of every minimum.
 Documents with equal sets are one vertex (its representative is the
-smallest doc_id).  Vertices that share a band key are candidates; each is
-first paired with the bucket's smallest vertex, and only buckets that
-still hold several components after that have their other pairs compared,
-in blocks.  Candidates are estimated from the packed signatures by bit
-counts, corrected for chance agreement of b-bit values, and every pair
-that may reach the threshold is confirmed on the full sets.
+smallest doc_id).  Vertices that share a band key are candidates.  Their
+similarity is estimated from the packed signatures by bit counts,
+corrected for chance agreement of b-bit values: each vertex of a bucket is
+compared with the bucket's smallest, then, in blocks, vertices of one
+bucket that this left unconnected.  The connected components of the
+estimates are candidate clusters; all links lie inside them.  Full sets are
+then intersected inside a cluster, at most two blocks of vertices at a
+time, as products of 0/1 matrices, and a task hands on a spanning forest of
+the links it finds, never all pairs.  Large clusters are first joined
+within blocks; only blocks of components still apart meet afterwards.
 
 A pair at exactly 0.8 misses all bands with probability
 (1 - 0.8^5)^32 = 3e-6; the estimate's cut lies five standard errors below
@@ -29,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlane.llm.common import (bloom_bitmap, bloom_test, connected_components, gram_hashes,
@@ -44,7 +48,7 @@ class MinHashParams:
     bands: int = 32
     rows: int = 5
     bits: int = 4             # bits kept of each minimum; divides 64
-    block: int = 256          # vertices compared at once in an unresolved bucket
+    block: int = 128          # vertices of a block; two blocks meet in one task
 
     @property
     def k(self) -> int:
@@ -52,7 +56,7 @@ class MinHashParams:
 
     @property
     def max_mismatch(self) -> int:
-        """Most differing b-bit values of a pair still to be confirmed."""
+        """Most differing b-bit values of a candidate pair."""
         t, chance = self.threshold_pct / 100, 2.0 ** -self.bits
         p = t + (1 - t) * chance
         return int(np.ceil(self.k * (1 - p) + 5 * np.sqrt(self.k * p * (1 - p))))
@@ -85,7 +89,8 @@ def pack_bits(m: np.ndarray, bits: int) -> np.ndarray:
     low = mix64(m) & np.uint64((1 << bits) - 1)
     per = 64 // bits
     pad = (-low.shape[1]) % per
-    low = np.pad(low, ((0, 0), (0, pad))).reshape(len(m), -1, per)
+    low = np.pad(low, ((0, 0), (0, pad)))
+    low = low.reshape(len(m), low.shape[1] // per, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(bits)), axis=2)
 
 
@@ -177,29 +182,137 @@ def _sets(bits, k: int):
     return fn
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: MinHashParams, id_col: str,
-               text_col: str) -> DataFrame:
-    """Pairs whose full sets reach the threshold.  Only texts whose id may
-    be in a pair (Bloom bitmap) are shingled again and shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = bloom_bitmap(docs.sparkSession, ids.select(mixed_id("id").alias("k")), "k")
-    d = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-             .where(F.col("doc_id").isNotNull())
-             .select("doc_id", mixed_id("doc_id").alias("k"), "text"))
-    sets = d.mapInArrow(_sets(bits, p.shingle_words), "doc_id bigint, s array<bigint>")
-    sets = sets.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    j = pairs.join(sb, "b").join(sa, "a")
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - both
-    return j.where(both * 100 >= union * p.threshold_pct).select("a", "b").distinct()
+def _shingle_sets(nodes: DataFrame, docs: DataFrame, p: MinHashParams, id_col: str,
+                  text_col: str) -> DataFrame:
+    """(node, s) full sets of the documents that may be among ``nodes``:
+    only texts that pass a Bloom bitmap of the ids are shingled again."""
+    bits = bloom_bitmap(docs.sparkSession, nodes.select(mixed_id("node").alias("k")), "k")
+    d = (docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("text"))
+             .where(F.col("node").isNotNull())
+             .select("node", mixed_id("node").alias("k"), "text"))
+    return d.mapInArrow(_sets(bits, p.shingle_words), "node bigint, s array<bigint>")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: a product of 0/1
+    matrices over the values that occur on both sides, in slices."""
+    lv, rv = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(lv, rv)
+    out = np.zeros((len(left), len(right)), np.float32)
+
+    def cells(sets, v):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        col = np.searchsorted(both, v)
+        ok = (col < len(both)) & (both[np.minimum(col, len(both) - 1)] == v)
+        return row[ok], col[ok]
+
+    if len(both):
+        (lr, lc), (rr, rc) = cells(left, lv), cells(right, rv)
+        for i in range(0, len(both), step):
+            m = [np.zeros((len(x), step), np.float32) for x in (left, right)]
+            for a, row, col in ((m[0], lr, lc), (m[1], rr, rc)):
+                here = (col >= i) & (col < i + step)
+                a[row[here], col[here] - i] = 1
+            out += m[0] @ m[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def spanning_links(node, comp, left, right, sets, pct: int) -> list[tuple[int, int]]:
+    """Links between the documents at ``left`` and at ``right`` that join
+    different components, as a forest."""
+    size = np.array([len(x) for x in sets], np.int64)
+    if len(left) == len(right) == 1:
+        inter = np.array([[len(np.intersect1d(sets[left[0]], sets[right[0]], assume_unique=True))]])
+    else:
+        inter = intersections([sets[i] for i in left], [sets[j] for j in right])
+    union = size[left][:, None] + size[right][None, :] - inter
+    top: dict = {}
+
+    def find(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(inter * 100 >= union * pct)):
+        i, j = left[i], right[j]
+        x, y = find(comp[i]), find(comp[j])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _link_group(pct: int):
+    """All candidate clusters (or one pair of blocks) of a group."""
+    def fn(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values(["cell", "node"], kind="stable")
+        node, comp, side = (pdf[c].to_numpy() for c in ("node", "comp", "side"))
+        sets, cell = pdf["s"].to_list(), pdf["cell"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist() + [len(cell)]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = np.arange(lo, hi)
+            left, right = at[side[lo:hi] == 0], at[side[lo:hi] == 1]
+            if len(right) == 0:  # one block with itself
+                left, right = (left[:1], left[1:]) if len(left) == 2 else (left, left)
+            if len(left) and len(right):
+                out += spanning_links(node, comp, left, right, sets, pct)
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    return fn
+
+
+_CELL = ("grp", "cell", "node", "comp", "side", "s")
+_LINKS = "a bigint, b bigint"
+
+
+def _links_inside(members: DataFrame, p: MinHashParams) -> DataFrame:
+    """First round over (node, cluster, n, s): every cluster in blocks of
+    about p.block; small clusters share a task."""
+    nb = F.ceil(F.col("n") / p.block)
+    blk = F.pmod(F.xxhash64("node"), nb)
+    grp = F.when(F.col("n") <= p.block,
+                 F.xxhash64(F.lit(0), F.pmod(F.xxhash64("cluster"), F.lit(4096))))
+    cell = F.xxhash64("cluster", blk)
+    m = members.select(F.coalesce(grp, cell).alias("grp"), cell.alias("cell"), "node",
+                       F.col("node").alias("comp"), F.lit(0).alias("side"), "s")
+    return m.groupBy("grp").applyInPandas(_link_group(p.threshold_pct), _LINKS)
+
+
+def _links_across(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
+    """Second round, for clusters of more than one block that the first
+    left in several components.  Blocks are cut anew along components:
+    large ones into blocks of their own, small ones gathered; a pair of
+    blocks meets unless both belong to one component."""
+    m = (members.where(F.col("n") > p.block).join(comps, "node", "left")
+                .withColumn("comp", F.coalesce("comp", "node")))
+    size = m.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
+    small = (size.groupBy("cluster")
+                 .agg(F.sum(F.when(F.col("c") <= p.block, F.col("c")).otherwise(0)).alias("few"),
+                      F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+    size = size.join(small, "cluster")
+    own = F.xxhash64(F.lit(1), "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / p.block)))
+    shared = F.xxhash64(F.lit(2), "cluster",
+                        F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / p.block)))
+    m = (m.join(size, ["cluster", "comp"])
+          .withColumn("blk", F.when(F.col("c") > p.block, own).otherwise(shared))
+          .select("cluster", "blk", "node", "comp", "s"))
+    blocks = m.groupBy("cluster", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    x = blocks.select("cluster", F.col("blk").alias("i"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
+    y = blocks.select("cluster", F.col("blk").alias("j"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
+    pairs = (x.join(y, "cluster").where("i <= j and not (l1 = h1 and l2 = h2 and l1 = l2)")
+              .select("cluster", "i", "j", F.xxhash64("cluster", "i", "j").alias("cell")))
+    one = pairs.select(F.col("i").alias("blk"), "cell", F.lit(0).alias("side"))
+    two = pairs.where("i != j").select(F.col("j").alias("blk"), "cell", F.lit(1).alias("side"))
+    g = m.join(one.unionByName(two), "blk").withColumn("grp", F.col("cell"))
+    return g.select(*_CELL).groupBy("grp").applyInPandas(_link_group(p.threshold_pct), _LINKS)
 
 
 def _cross(p: MinHashParams):
     """One row is two blocks of a bucket: compare the vertices of the one
-    with those of the other that lie in different components; emit pairs
-    whose signatures allow a link."""
+    with those of the other that lie in different components; emit a forest
+    of the pairs whose signatures allow a link."""
     ones = np.uint64(sum(1 << i for i in range(0, 64, p.bits)))
 
     def flat(col, dtype=np.int64):
@@ -213,39 +326,41 @@ def _cross(p: MinHashParams):
             node, blk, comp = (f[x].to_numpy(zero_copy_only=False) for x in ("node", "blk", "comp"))
             sig = flat(f["sig"]).view(np.uint64).reshape(len(node), -1)
             bi, bj = b.column(1).to_pylist(), b.column(2).to_pylist()
-            out_a, out_b = [], []
+            out = []
             for r, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
                 left = lo + np.flatnonzero(blk[lo:hi] == bi[r])
                 right = lo + np.flatnonzero(blk[lo:hi] == bj[r])
+                lab = comp[lo:hi].copy()
                 for i in left:
-                    near = right[comp[right] != comp[i]]
+                    near = right[lab[right - lo] != lab[i - lo]]
                     x = sig[near] ^ sig[i]
                     s = p.bits
                     while s > 1:
                         s //= 2
                         x = x | (x >> np.uint64(s))
-                    near = near[np.bitwise_count(x & ones).sum(axis=1) <= p.max_mismatch]
-                    out_a.append(np.minimum(node[near], node[i]))
-                    out_b.append(np.maximum(node[near], node[i]))
-            if out_a:
+                    for j in near[np.bitwise_count(x & ones).sum(axis=1) <= p.max_mismatch]:
+                        if lab[j - lo] != lab[i - lo]:
+                            out.append((node[i], node[j]))
+                            lab[lab == lab[j - lo]] = lab[i - lo]
+            if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                    [pa.array(np.array(x, np.int64)) for x in zip(*out)], names=["a", "b"])
     return fn
 
 
 def _unresolved_pairs(bucket: DataFrame, hubs: DataFrame, comps: DataFrame, verts: DataFrame,
                       p: MinHashParams) -> DataFrame:
-    """Pairs of different components inside buckets of three or more
-    vertices (pairs with the bucket's smallest vertex were done before)."""
-    lab = (bucket.join(hubs.where("n > 2").select("band"), "band")
+    """Links by estimate between different components inside buckets of
+    three or more vertices (pairs with the smallest were done before)."""
+    labelled = (bucket.join(hubs.where("n > 2").select("band"), "band")
                  .join(comps.select(F.col("node"), F.col("comp")), "node", "left")
                  .select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = (lab.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+    mixed = (labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                      F.count(F.lit(1)).alias("n"))
                 .where("lo != hi").select("band", "n"))
     # blocks by hash, about p.block vertices each; every pair of blocks of a
     # bucket is one group of bounded size
-    m = (lab.join(mixed, "band")
+    m = (labelled.join(mixed, "band")
             .withColumn("nb", F.ceil(F.col("n") / p.block).cast("int"))
             .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
             .join(verts.select(F.col("rep").alias("node"), "sig"), "node"))
@@ -265,7 +380,6 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     p = params or MinHashParams()
-    spark: SparkSession = docs.sparkSession
     sig = signatures(docs, p, id_col, text_col).checkpoint()
     live = sig.where("key is not null and doc_id is not null")
     # equal sets have equal signatures, so any() of them is the same value
@@ -279,16 +393,23 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None,
     star = (bucket.join(hubs, "band").where("node != hub")
                   .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     cand = _estimated(star, verts, p).checkpoint()
+    near = connected_components(cand)
+    more = _unresolved_pairs(bucket, hubs, near, verts, p).checkpoint()
+    if more.limit(1).count():
+        cand = cand.union(more).checkpoint()
+        near = connected_components(cand)
+    size = near.groupBy(F.col("comp").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    members = near.withColumnRenamed("comp", "cluster").join(size, "cluster")
+    members = (_shingle_sets(near, docs, p, id_col, text_col).join(members, "node")
+               .select("node", "cluster", "n", "s").checkpoint())
     # a doc_id that occurs with several texts ties their vertices together
     own = live.join(reps.select("key", "rep"), "key").select("doc_id", "rep")
     ties = (own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
                .where("a != b").select("a", "b"))
-    links = _confirmed(cand, docs, p, id_col, text_col).union(ties).checkpoint()
+    links = _links_inside(members, p).union(ties).checkpoint()
     comps = connected_components(links)
-    more = _unresolved_pairs(bucket, hubs, comps, verts, p).checkpoint()
-    if more.limit(1).count():
-        more = _estimated(more, verts, p).join(cand, ["a", "b"], "left_anti")
-        links = links.union(_confirmed(more, docs, p, id_col, text_col)).checkpoint()
+    if members.where(F.col("n") > p.block).limit(1).count():
+        links = links.union(_links_across(members, comps, p)).checkpoint()
         comps = connected_components(links)
     member = (reps.join(comps, reps["rep"] == comps["node"], "left")
                   .select("key", F.coalesce("comp", "rep").alias("comp")))

@@ -26,6 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return session.scratch_path(spark, name)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """scratch_path(), made."""
+    path = scratch_path(spark, name)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    return path
+
+
 def fold(id_col: str | Column, n: int = 5) -> Column:
     """crc32(id as text) mod n; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

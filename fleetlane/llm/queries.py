@@ -3,17 +3,126 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlane.llm import common, minhash
+from fleetlane.llm import common, decontam, langid, minhash, packing, quality, sharding, urlfilter, warc
 from fleetlane.sources.tables import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return (langid.detect(docs, langid.train(docs))
+            .select("doc_id", (common.fold("doc_id") == 0).alias("held_out"), "lang_pred", "score", "n_spans"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return (quality.score(docs, model)
+            .select("doc_id", (common.fold("doc_id") == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries derived from the pages' hosts: an md5 of host and
+    list decides whether the list ever has the host (or its first section),
+    when it adds the rule, removes it and adds it again."""
+    h = urlfilter.host(F.col("url"))
+    seg = F.element_at(F.split(urlfilter.path(F.col("url")), "/"), 1)
+    rules = F.explode(F.array(h, F.regexp_replace(h, r"^(www|m|blog)\.", ""), F.concat(h, F.lit("/"), seg)))
+    r = pages.where(h != "").select(rules.alias("rule")).distinct()
+    r = r.select(F.explode(F.array(F.lit("ads"), F.lit("spam"))).alias("list"), "rule")
+    r = r.withColumn("h", F.conv(F.substring(F.md5(F.concat("list", F.lit("|"), "rule")), 1, 8), 16, 10).cast("bigint"))
+    day = F.col("h") % 200
+    step = lambda d, a: F.struct((d * 86400).alias("at"), F.lit(a).alias("action"))
+    e = F.explode(F.array(step(day, "add"), step(day + 40 + F.col("h") % 60, "remove"),
+                          step(day + 120 + F.col("h") % 90, "add")))
+    return (r.where(F.col("h") % 3 == 0).select("list", "rule", e.alias("e"))
+             .select("list", "rule", "e.at", "e.action"))
+
+
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures, fetched over a year (a time derived from page_id)."""
+    common.prepare(spark)
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (F.col("page_id") * 7919 % (366 * 86400)).alias("fetched"))
+    return urlfilter.listed(captures, list_entries(pages))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, page_id * 7919 % (366 * 86400) AS t,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)', 1), '^/+|/+$', '', 'g') AS path
+  FROM pages),
+r AS (
+  SELECT DISTINCT list, rule FROM (
+    SELECT unnest([host, regexp_replace(host, '^(www|m|blog)\.', ''), host || '/' || split_part(path, '/', 1)]) AS rule
+    FROM p WHERE host <> ''), (VALUES ('ads'), ('spam')) l(list)),
+h AS (SELECT list, rule, ('0x' || substr(md5(list || '|' || rule), 1, 8))::BIGINT AS h FROM r),
+d AS (SELECT list, rule, h, h % 200 AS day FROM h WHERE h % 3 = 0),
+iv AS (
+  SELECT list, rule, day * 86400 AS valid_from, (day + 40 + h % 60) * 86400 AS valid_to FROM d
+  UNION ALL SELECT list, rule, (day + 120 + h % 90) * 86400, NULL FROM d),
+c AS (
+  SELECT page_id, t, unnest(list_distinct(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(list_filter(string_split(path, '/'), s -> s <> '')) + 1),
+      i -> host || '/' || array_to_string(list_filter(string_split(path, '/'), s -> s <> '')[1:i], '/'))))) AS rule
+  FROM p WHERE host <> ''),
+m AS (
+  SELECT page_id, rule, count(*) AS n, max(valid_from) AS valid_from, list(list) AS lists
+  FROM c JOIN iv USING (rule) WHERE valid_from <= t AND (valid_to IS NULL OR t < valid_to) GROUP BY page_id, rule),
+g AS (
+  SELECT page_id, sum(n)::BIGINT AS n_rules, array_to_string(list_sort(list_distinct(flatten(list(lists)))), ',') AS lists,
+         arg_min(rule, (-length(rule), rule)) AS rule, arg_min(valid_from, (-length(rule), rule)) AS valid_from
+  FROM m GROUP BY page_id)
+SELECT p.page_id, coalesce(n_rules, 0) > 0 AS blocked, coalesce(n_rules, 0) AS n_rules, lists, rule, valid_from
+FROM p LEFT JOIN g USING (page_id)
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    common.prepare(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        carry={"ids_crc32": F.crc32("ids")})
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"),
                                    minhash.MinHashParams(shingle_words=2))
 
 
-QUERIES = {"op5_minhash": op5_minhash}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.shard(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    root = common.scratch_folder(spark, "warc")
+    packages = warc.write_packages(table(spark, sf_dir, "pages"), root)
+    return warc.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and benchmark item."""
+    common.prepare(spark)
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
+QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op3_urlfilter": op3_urlfilter,
+           "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding,
+           "op9_warc": op9_warc, "op10_decontam": op10_decontam}
 
-ORACLE: dict[str, str] = {}
+# The others cannot be written in SQL (learnt models, hashes, drawn numbers,
+# archives); tests/llm holds them against brute force or round trips.
+ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL}

@@ -19,22 +19,25 @@ from fleetlane.llm.common import mix64
 SLICE = 1 << 16
 LONG_WORD = 256
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# white space, controls and ASCII punctuation: words are then runs of
+# letters, digits and bytes of other scripts
+NON_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POW = mix64(np.arange(1, LONG_WORD + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spans(buf: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a byte buffer."""
-    inside = ~_SPACE[buf]
+    inside = ~gaps[buf]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     return edge[::2], edge[1::2]
 
 
-def _hash_slice(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hash_slice(data: bytes, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word starts, word hashes) of lower-cased bytes."""
     buf = np.frombuffer(data, np.uint8)
-    starts, ends = _spans(buf)
+    starts, ends = _spans(buf, gaps)
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
     lens = ends - starts
@@ -68,15 +71,16 @@ def _slices(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    """Hashes of all words of one text, in order."""
+def word_hashes(text: bytes | None, gaps: np.ndarray = WHITE) -> np.ndarray:
+    """Hashes of all words of one text, in order; ``gaps`` marks the bytes
+    between words."""
     data = (text or b"").lower()
     if len(data) <= SLICE:
-        return _hash_slice(data)[1]
-    return np.concatenate([_hash_slice(p)[1] for p in _slices(data)])
+        return _hash_slice(data, gaps)[1]
+    return np.concatenate([_hash_slice(p, gaps)[1] for p in _slices(data)])
 
 
-def batch_hashes(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+def batch_hashes(texts: list[bytes | None], gaps: np.ndarray = WHITE) -> Iterator[np.ndarray]:
     """word_hashes() of each text; short texts are hashed together."""
     i, n = 0, len(texts)
     while i < n:
@@ -85,10 +89,10 @@ def batch_hashes(texts: list[bytes | None]) -> Iterator[np.ndarray]:
             size += len(texts[j] or b"") + 1
             j += 1
         if j == i + 1:
-            yield word_hashes(texts[i])
+            yield word_hashes(texts[i], gaps)
         else:
             part = [t or b"" for t in texts[i:j]]
-            starts, h = _hash_slice(b"\n".join(part).lower())
+            starts, h = _hash_slice(b"\n".join(part).lower(), gaps)
             ends = np.cumsum([len(t) + 1 for t in part])
             cut = np.searchsorted(starts, ends[:-1])
             yield from np.split(h, cut)

@@ -42,19 +42,23 @@ class SegmentTokenizer:
     """Token ids of texts by a byte-level BPE file of ``tokenizers``.
 
     Such a vocabulary never joins bytes across the space before a word, so
-    texts are cut before each single space and the ids of a cut are kept
-    (a bounded number of them).  Texts with two spaces in a row are encoded
-    whole."""
+    texts are cut before each single space and the ids of a cut are kept,
+    for the worker's next tasks too, up to a fixed number of cuts.  Texts
+    with two spaces in a row are encoded whole."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
+    _OPEN: dict[str, SegmentTokenizer] = {}
+
+    @classmethod
+    def of(cls, path: str) -> SegmentTokenizer:
+        if path not in cls._OPEN:
+            cls._OPEN[path] = cls(path)
+        return cls._OPEN[path]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self._reset()
-
-    def _reset(self) -> None:
         self.code: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
@@ -81,16 +85,18 @@ class SegmentTokenizer:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         head, *tail = text.split(" ")
         segments = ([head] if head else []) + [" " + s for s in tail]
-        new = [s for s in dict.fromkeys(segments) if s not in self.code]
+        used, new = self.used, [s for s in dict.fromkeys(segments) if s not in self.code]
         if new:
-            if len(self.code) > self.LIMIT:
-                self._reset()
-                new = list(dict.fromkeys(segments))
             self._add(new)
         at = np.fromiter(map(self.code.__getitem__, segments), np.int64, len(segments))
         n = self.size[at]
         move = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
-        return self.ids[np.arange(int(n.sum())) + move]
+        out = self.ids[np.arange(int(n.sum())) + move]
+        if len(self.code) > self.LIMIT:  # full: keep what was there before
+            self.used = used
+            for s in new:
+                del self.code[s]
+        return out
 
 
 class Packer:
@@ -124,7 +130,7 @@ _PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
 
 def _pack(tokenizer: str, p: PackParams):
     def fn(batches):
-        tok, part = SegmentTokenizer(tokenizer), TaskContext.get().partitionId()
+        tok, part = SegmentTokenizer.of(tokenizer), TaskContext.get().partitionId()
         packer = Packer(p, part << 32)
         for b in batches:
             rows = []

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlane.llm import common, decontam, langid, minhash, packing, quality, sharding, urlfilter, warc
+from fleetlane.llm import (ann, classlm, common, decontam, langid, minhash, packing, quality, sharding,
+                           urlfilter, warc)
 from fleetlane.sources.tables import table
 
 
@@ -97,6 +98,17 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    minhash.MinHashParams(shingle_words=2))
 
 
+def op6_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    training = common.fold("doc_id") != 1
+    counts = classlm.word_counts(docs, training).checkpoint()
+    model = classlm.train(docs, counts, training)
+    return (classlm.score(docs, counts, model)
+            .select("doc_id", (common.fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known",
+                    "train_tokens", "base_score", "score", "perplexity"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     text = F.coalesce("text", F.lit(""))
@@ -106,6 +118,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.prepare(spark)
     root = common.scratch_folder(spark, "warc")
@@ -120,8 +137,8 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op3_urlfilter": op3_urlfilter,
-           "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op7_sharding": op7_sharding,
-           "op9_warc": op9_warc, "op10_decontam": op10_decontam}
+           "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_classlm": op6_classlm,
+           "op7_sharding": op7_sharding, "op8_ann": op8_ann, "op9_warc": op9_warc, "op10_decontam": op10_decontam}
 
 # The others cannot be written in SQL (learnt models, hashes, drawn numbers,
 # archives); tests/llm holds them against brute force or round trips.

@@ -287,11 +287,12 @@ def _read(batches):
         f.close()
 
 
-def read_packages(paths: DataFrame, params: WarcParams | None = None) -> DataFrame:
-    """Records of the packages named in the column ``path``."""
+def read_packages(packages: DataFrame, params: WarcParams | None = None) -> DataFrame:
+    """Records of the packages (path, records)."""
     p = params or WarcParams()
-    at = paths.select("path").mapInArrow(_locate, "path string, offset bigint, length bigint")
+    tasks = max(1, (packages.agg(F.sum("records")).first()[0] or 0) // p.read_rows)
+    at = packages.select("path").mapInArrow(_locate, "path string, offset bigint, length bigint")
     # neighbouring records of a package are read by the same task
-    run = at.repartition("path", F.floor(F.col("offset") / (p.read_rows * 2000))).sortWithinPartitions("path", "offset")
+    run = at.repartition(tasks, "path", F.floor(F.col("offset") / (1 << 20))).sortWithinPartitions("path", "offset")
     return run.mapInArrow(_read, "page_id bigint, url string, payload_bytes bigint, payload_digest string, "
                                  "record_type string, refers_to bigint")

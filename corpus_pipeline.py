@@ -1,12 +1,40 @@
-"""Corpus pipeline over ``documents``: see STAGES."""
+"""Corpus pipeline over ``documents``.
+
+Stages, each on everything its predecessor kept: documents of low quality
+go; documents without a clear language go; one document of each group of
+near duplicates stays; documents that hold a benchmark item go; the rest is
+packed into sequences.  All but the last return the columns of documents;
+the last returns one row per packed piece (doc_id, start, length,
+doc_tokens, sequence_id, offset, ids_crc32).
+
+Rows without a doc_id pass the stages that decide by document (duplicates,
+benchmark); null and empty texts are rejected with their language.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlane.llm import common, minhash
+from fleetlane.llm import common, decontam, langid, minhash, packing, quality
 from fleetlane.sources.tables import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Factorisation machine fitted on the labelled training folds of
+    ``docs``; scores of at least 0.3 stay."""
+    common.prepare(spark)
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is not a near tie stay."""
+    common.prepare(spark)
+    return langid.keep_known(docs, langid.train(docs), min_score=0.25)
+
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (5-word shingles,
@@ -15,9 +43,23 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", dedup_stage)]
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover no benchmark item by half stay."""
+    common.prepare(spark)
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents in sequences of 1024 tokens."""
+    common.prepare(spark)
+    return packing.pack(docs, TOKENIZER, carry={"ids_crc32": F.crc32("ids")})
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("near_dedup", dedup_stage),
+          ("decontamination", decontamination_stage), ("packing", packing_stage)]
 
-# No stage of it can be written in SQL; tests/llm compares with brute force.
+# Learnt models and token ids cannot be written in SQL; tests/llm compares
+# with brute force instead.
 ORACLE_SQL = None
 
 

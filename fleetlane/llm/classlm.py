@@ -147,28 +147,65 @@ def exchange(table: np.ndarray, cls: np.ndarray, left: np.ndarray, right: np.nda
     return out
 
 
+_PACKED = "unit binary, side binary, other binary, n binary"
+
+
+def _packed(batches):
+    """Rows (unit, side, other, n) of a partition as a few rows of flat
+    arrays, which later rounds read at once."""
+    held, size = [], 0
+
+    def flush():
+        cols = [np.concatenate(c).astype(t).tobytes() for c, t in zip(zip(*held), ("<i4", "i1", "<i4", "<i8"))]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols],
+                                          names=["unit", "side", "other", "n"])
+
+    for b in batches:
+        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        size += b.num_rows
+        if size >= 1_000_000:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _unpacked(b):
+    """The arrays of every row of a batch of _packed()."""
+    for r in range(b.num_rows):
+        yield [np.frombuffer(b.column(i)[r].as_py(), t) for i, t in enumerate(("<i4", "i1", "<i4", "<i8"))]
+
+
 def _sweep(cls: np.ndarray, table: np.ndarray, turn: int, seed: int):
-    """mapInArrow over (unit, side, other, n) rows whose units are whole in
-    a partition: new classes of the half of the units whose turn it is."""
+    """mapInArrow over _packed() rows; a partition has all rows of its
+    units: new classes of the half of the units whose turn it is."""
     k = len(table)
 
     def fn(batches):
-        cols = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] for b in batches]
-        if not cols:
-            return
-        unit, side, other, n = (np.concatenate(c) for c in zip(*cols))
-        mine = (mix64(unit.astype(np.uint64) * np.uint64(2 * seed + 1)) >> np.uint64(7)) % np.uint64(2) == turn % 2
-        unit, side, other, n = unit[mine], side[mine], other[mine], n[mine]
-        if not len(unit):
-            return
-        ids, at = np.unique(unit, return_inverse=True)
-        same = other == unit
-        count = [np.bincount((at * k + cls[other])[(side == s) & ~same], weights=n[(side == s) & ~same],
-                             minlength=len(ids) * k).reshape(len(ids), k) for s in (0, 1)]
-        own = np.bincount(at[same & (side == 1)], weights=n[same & (side == 1)], minlength=len(ids))
-        new = exchange(table, cls[ids], count[0], count[1], own)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(new.astype(np.int64))],
-                                         names=["unit", "cls"])
+        ids, count, own = np.zeros(0, np.int64), np.zeros((2, 0, k)), np.zeros(0)
+        for b in batches:
+            for unit, side, other, n in _unpacked(b):
+                turn_of = mix64(unit.astype(np.uint64) * np.uint64(2 * seed + 1)) >> np.uint64(7)
+                mine = turn_of % np.uint64(2) == turn % 2
+                unit, side, other, n = unit[mine], side[mine], other[mine], n[mine]
+                grown = np.union1d(ids, unit)
+                more = np.zeros((2, len(grown), k))
+                more[:, np.searchsorted(grown, ids)] = count
+                alone = np.zeros(len(grown))
+                alone[np.searchsorted(grown, ids)] = own
+                ids, count, own = grown, more, alone
+                at, same = np.searchsorted(ids, unit), other == unit
+                for s in (0, 1):
+                    x = (side == s) & ~same
+                    count[s] += np.bincount(at[x] * k + cls[other[x]], weights=n[x],
+                                            minlength=len(ids) * k).reshape(len(ids), k)
+                x = same & (side == 1)
+                own += np.bincount(at[x], weights=n[x], minlength=len(ids))
+        if len(ids):
+            new = exchange(table, cls[ids], count[0], count[1], own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(new.astype(np.int64))],
+                                             names=["unit", "cls"])
     return fn
 
 
@@ -238,7 +275,7 @@ def train(docs: DataFrame, counts: DataFrame, training: Column, params: ClassLmP
         F.struct(F.col("a").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("other"), "n"),
         F.struct(F.col("b").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("other"), "n"))).alias("x"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = both.select("x.*").repartition(parts, "unit").checkpoint()
+    rows = both.select("x.*").repartition(parts, "unit").mapInArrow(_packed, _PACKED).checkpoint()
     k = p.classes
     rng = np.random.default_rng(p.seed)
     cls = np.concatenate([rng.integers(0, k, size), [k]])
@@ -248,8 +285,7 @@ def train(docs: DataFrame, counts: DataFrame, training: Column, params: ClassLmP
 
         def fn(batches):
             out = np.zeros((k + 1) ** 2, np.int64)
-            for b in batches:
-                u, s, o, m = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            for u, s, o, m in (x for b in batches for x in _unpacked(b)):
                 fwd = s == 1
                 out += np.bincount(c.value[u[fwd]] * (k + 1) + c.value[o[fwd]], weights=m[fwd],
                                    minlength=len(out)).astype(np.int64)
@@ -262,11 +298,12 @@ def train(docs: DataFrame, counts: DataFrame, training: Column, params: ClassLmP
         return t.reshape(k + 1, k + 1)
 
     for turn in range(p.rounds):
-        moved = rows.where(F.col("unit") != end).mapInArrow(_sweep(cls, table(), turn, p.seed + turn // 2),
+        moved = rows.mapInArrow(_sweep(cls, table(), turn, p.seed + turn // 2),
                                                             "unit bigint, cls bigint").toArrow()  # one row a unit
-        new = cls.copy()
-        new[moved["unit"].to_numpy()] = np.minimum(moved["cls"].to_numpy(), k - 1)
-        cls = new
+        unit, to = moved["unit"].to_numpy(), moved["cls"].to_numpy()
+        ok = (unit != end) & (to != k)  # the end keeps its class to itself
+        cls = cls.copy()
+        cls[unit[ok]] = to[ok]
     t = table()
     trans = np.log10((t + p.smooth) / (t.sum(1, keepdims=True) + p.smooth * (k + 1)))
     model = Model(p, units, cls, trans, np.zeros(k + 1), np.zeros(k + 1), h, n.astype(np.float64), total, distinct)

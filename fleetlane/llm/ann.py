@@ -272,7 +272,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, params: HnswParam
     n, longest = distinct.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).first()
     shards = max(p.min_shards, -(-n // p.shard_vectors))
     index = (distinct.withColumn("shard", F.pmod(F.xxhash64(F.lit(p.seed), "vkey"), F.lit(shards)).cast("int"))
-                     .groupBy("shard").applyInPandas(_build(p, float(longest)), _INDEX).checkpoint())
+                     .repartition(shards, "shard").groupBy("shard").applyInPandas(_build(p, float(longest)), _INDEX).checkpoint())
     asked = rows.where(is_query)
     q = asked.select("vkey", "v").dropDuplicates(["vkey"]).checkpoint()
     blocks = max(1, -(-q.count() // p.query_block))

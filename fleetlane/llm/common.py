@@ -114,10 +114,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     labels = labels.select("node", F.least("node", "m").alias("comp")).checkpoint()
     while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b")
-                    .groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c")))
-        hook = (labels.join(near, "node")
-                      .select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("comp")))
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
+        said = (near.select(F.col("a").alias("node"), "comp", F.lit(None).cast("bigint").alias("old"))
+                    .unionAll(labels.select("node", "comp", F.col("comp").alias("old"))))
+        hook = said.groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
         up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = (hook.join(up, "comp", "left")
                    .select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))

@@ -217,9 +217,9 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], step: int = 4
     return np.rint(out).astype(np.int64)
 
 
-def spanning_links(node, comp, left, right, sets, pct: int) -> list[tuple[int, int]]:
-    """Links between the documents at ``left`` and at ``right`` that join
-    different components, as a forest."""
+def spanning_links(comp, left, right, sets, pct: int) -> list[tuple[int, int]]:
+    """Components that links between the documents at ``left`` and at
+    ``right`` join: (smallest, other) of each."""
     size = np.array([len(x) for x in sets], np.int64)
     if len(left) == len(right) == 1:
         inter = np.array([[len(np.intersect1d(sets[left[0]], sets[right[0]], assume_unique=True))]])
@@ -233,14 +233,11 @@ def spanning_links(node, comp, left, right, sets, pct: int) -> list[tuple[int, i
             x = top[x]
         return x
 
-    out = []
     for i, j in zip(*np.nonzero(inter * 100 >= union * pct)):
-        i, j = left[i], right[j]
-        x, y = find(comp[i]), find(comp[j])
+        x, y = find(comp[left[i]]), find(comp[right[j]])
         if x != y:
             top[max(x, y)] = min(x, y)
-            out.append((int(node[i]), int(node[j])))
-    return out
+    return [(int(find(x)), int(x)) for x in top]
 
 
 def _link_group(pct: int):
@@ -248,7 +245,7 @@ def _link_group(pct: int):
     def fn(pdf):
         import pandas as pd
         pdf = pdf.sort_values(["cell", "node"], kind="stable")
-        node, comp, side = (pdf[c].to_numpy() for c in ("node", "comp", "side"))
+        comp, side = pdf["comp"].to_numpy(), pdf["side"].to_numpy()
         sets, cell = pdf["s"].to_list(), pdf["cell"].to_numpy()
         cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist() + [len(cell)]
         out = []
@@ -258,7 +255,7 @@ def _link_group(pct: int):
             if len(right) == 0:  # one block with itself
                 left, right = (left[:1], left[1:]) if len(left) == 2 else (left, left)
             if len(left) and len(right):
-                out += spanning_links(node, comp, left, right, sets, pct)
+                out += spanning_links(comp, left, right, sets, pct)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
     return fn
 
@@ -282,98 +279,87 @@ def _links_inside(members: DataFrame, p: MinHashParams) -> DataFrame:
 
 def _links_across(members: DataFrame, comps: DataFrame, p: MinHashParams) -> DataFrame:
     """Second round, for clusters of more than one block that the first
-    left in several components.  Blocks are cut anew along components:
-    large ones into blocks of their own, small ones gathered; a pair of
-    blocks meets unless both belong to one component."""
+    left in several components."""
     m = (members.where(F.col("n") > p.block).join(comps, "node", "left")
-                .withColumn("comp", F.coalesce("comp", "node")))
-    size = m.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"))
-    small = (size.groupBy("cluster")
+                .select("cluster", "node", F.coalesce("comp", "node").alias("comp"), "s"))
+    g = _block_pairs(m, "cluster", p).withColumn("grp", F.col("cell"))
+    return g.select(*_CELL).groupBy("grp").applyInPandas(_link_group(p.threshold_pct), _LINKS)
+
+
+def _block_pairs(m: DataFrame, group: str, p: MinHashParams) -> DataFrame:
+    """Deal (group, node, comp, ...) out to cells, each two blocks of a
+    group: large components get blocks of their own, small ones are
+    gathered; a pair of blocks meets unless both belong to one component.
+    Adds cell and side (0, or 1 for the second block of a pair)."""
+    size = m.groupBy(group, "comp").agg(F.count(F.lit(1)).alias("c"))
+    small = (size.groupBy(group)
                  .agg(F.sum(F.when(F.col("c") <= p.block, F.col("c")).otherwise(0)).alias("few"),
                       F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    size = size.join(small, "cluster")
-    own = F.xxhash64(F.lit(1), "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / p.block)))
-    shared = F.xxhash64(F.lit(2), "cluster",
-                        F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / p.block)))
-    m = (m.join(size, ["cluster", "comp"])
-          .withColumn("blk", F.when(F.col("c") > p.block, own).otherwise(shared))
-          .select("cluster", "blk", "node", "comp", "s"))
-    blocks = m.groupBy("cluster", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    x = blocks.select("cluster", F.col("blk").alias("i"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
-    y = blocks.select("cluster", F.col("blk").alias("j"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
-    pairs = (x.join(y, "cluster").where("i <= j and not (l1 = h1 and l2 = h2 and l1 = l2)")
-              .select("cluster", "i", "j", F.xxhash64("cluster", "i", "j").alias("cell")))
+    size = size.join(small, group)
+    own = F.xxhash64(F.lit(1), group, "comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / p.block)))
+    shared = F.xxhash64(F.lit(2), group, F.pmod(F.xxhash64("comp"), F.ceil(F.col("few") / p.block)))
+    m = (m.join(size, [group, "comp"]).withColumn("blk", F.when(F.col("c") > p.block, own).otherwise(shared))
+          .drop("c", "few", "parts"))
+    blocks = m.groupBy(group, "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    x = blocks.select(group, F.col("blk").alias("i"), F.col("lo").alias("l1"), F.col("hi").alias("h1"))
+    y = blocks.select(group, F.col("blk").alias("j"), F.col("lo").alias("l2"), F.col("hi").alias("h2"))
+    pairs = (x.join(y, group).where("i <= j and not (l1 = h1 and l2 = h2 and l1 = l2)")
+              .select("i", "j", F.xxhash64("i", "j").alias("cell")))
     one = pairs.select(F.col("i").alias("blk"), "cell", F.lit(0).alias("side"))
     two = pairs.where("i != j").select(F.col("j").alias("blk"), "cell", F.lit(1).alias("side"))
-    g = m.join(one.unionByName(two), "blk").withColumn("grp", F.col("cell"))
-    return g.select(*_CELL).groupBy("grp").applyInPandas(_link_group(p.threshold_pct), _LINKS)
+    return m.join(one.unionByName(two), "blk")
 
 
-def _cross(p: MinHashParams):
-    """One row is two blocks of a bucket: compare the vertices of the one
-    with those of the other that lie in different components; emit a forest
-    of the pairs whose signatures allow a link."""
+def _estimate(p: MinHashParams):
+    """One row is a cell: (comp, side, sig) of two blocks; (smallest, other)
+    of the components that similar signatures join."""
     ones = np.uint64(sum(1 << i for i in range(0, 64, p.bits)))
 
-    def flat(col, dtype=np.int64):
-        return col.values.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
-
     def fn(batches):
         for b in batches:
             m = b.column(0)
             off = m.offsets.to_numpy()
             f = {x.name: m.values.field(i) for i, x in enumerate(m.type.value_type)}
-            node, blk, comp = (f[x].to_numpy(zero_copy_only=False) for x in ("node", "blk", "comp"))
-            sig = flat(f["sig"]).view(np.uint64).reshape(len(node), -1)
-            bi, bj = b.column(1).to_pylist(), b.column(2).to_pylist()
+            side, comp = (f[x].to_numpy(zero_copy_only=False) for x in ("side", "comp"))
+            sig = f["sig"].values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(comp), -1)
             out = []
-            for r, (lo, hi) in enumerate(zip(off[:-1], off[1:])):
-                left = lo + np.flatnonzero(blk[lo:hi] == bi[r])
-                right = lo + np.flatnonzero(blk[lo:hi] == bj[r])
-                lab = comp[lo:hi].copy()
+            for lo, hi in zip(off[:-1], off[1:]):
+                lab, s = comp[lo:hi].copy(), sig[lo:hi]
+                left, right = np.flatnonzero(side[lo:hi] == 0), np.flatnonzero(side[lo:hi] == 1)
+                right = right if len(right) else left  # one block with itself
                 for i in left:
-                    near = right[lab[right - lo] != lab[i - lo]]
-                    x = sig[near] ^ sig[i]
-                    s = p.bits
-                    while s > 1:
-                        s //= 2
-                        x = x | (x >> np.uint64(s))
+                    near = right[lab[right] != lab[i]]
+                    x = s[near] ^ s[i]
+                    step = p.bits
+                    while step > 1:
+                        step //= 2
+                        x = x | (x >> np.uint64(step))
                     for j in near[np.bitwise_count(x & ones).sum(axis=1) <= p.max_mismatch]:
-                        if lab[j - lo] != lab[i - lo]:
-                            out.append((node[i], node[j]))
-                            lab[lab == lab[j - lo]] = lab[i - lo]
+                        a, z = sorted((int(lab[i]), int(lab[j])))
+                        lab[lab == z] = a
+                joined = np.flatnonzero(lab != comp[lo:hi])
+                out += set(zip(lab[joined].tolist(), comp[lo:hi][joined].tolist()))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(x, np.int64)) for x in zip(*out)], names=["a", "b"])
     return fn
 
 
-def _unresolved_pairs(bucket: DataFrame, hubs: DataFrame, comps: DataFrame, verts: DataFrame,
-                      p: MinHashParams) -> DataFrame:
+def _unresolved(bucket: DataFrame, hubs: DataFrame, comps: DataFrame, verts: DataFrame,
+                p: MinHashParams) -> DataFrame:
     """Links by estimate between different components inside buckets of
     three or more vertices (pairs with the smallest were done before)."""
-    labelled = (bucket.join(hubs.where("n > 2").select("band"), "band")
-                 .join(comps.select(F.col("node"), F.col("comp")), "node", "left")
-                 .select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = (labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                     F.count(F.lit(1)).alias("n"))
-                .where("lo != hi").select("band", "n"))
-    # blocks by hash, about p.block vertices each; every pair of blocks of a
-    # bucket is one group of bounded size
-    m = (labelled.join(mixed, "band")
-            .withColumn("nb", F.ceil(F.col("n") / p.block).cast("int"))
-            .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-            .join(verts.select(F.col("rep").alias("node"), "sig"), "node"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    m = m.select("band", "node", "comp", "sig", "blk", other.alias("o"))
-    m = m.select("band", "node", "comp", "sig", "blk", F.least("blk", "o").alias("bi"),
-                 F.greatest("blk", "o").alias("bj"))
-    g = (m.groupBy("band", "bi", "bj")
-          .agg(F.sort_array(F.collect_list(F.struct("node", "blk", "comp", "sig"))).alias("m")))
+    m = (bucket.join(hubs.where("n > 2").select("band"), "band").join(comps, "node", "left")
+               .select("band", "node", F.coalesce("comp", "node").alias("comp")))
+    apart = (m.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+              .where("lo != hi").select("band"))
+    m = m.join(apart, "band").checkpoint()
+    cells = (_block_pairs(m, "band", p).join(verts.select(F.col("rep").alias("node"), "sig"), "node")
+             .groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("side", "node", "comp", "sig"))).alias("m")))
     # several bands often hold the same vertices: compare them once
-    g = (g.groupBy("bi", "bj", F.xxhash64(F.col("m.node"), F.col("m.blk")).alias("same"))
-          .agg(F.any_value("m").alias("m")))
-    return g.select("m", "bi", "bj").mapInArrow(_cross(p), "a bigint, b bigint").distinct()
+    same = F.xxhash64(F.col("m.side"), F.col("m.node"))
+    cells = cells.groupBy(same.alias("same")).agg(F.any_value("m").alias("m"))
+    return cells.select("m").mapInArrow(_estimate(p), _LINKS).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: MinHashParams | None = None,
@@ -394,7 +380,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None,
                   .select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     cand = _estimated(star, verts, p).checkpoint()
     near = connected_components(cand)
-    more = _unresolved_pairs(bucket, hubs, near, verts, p).checkpoint()
+    more = _unresolved(bucket, hubs, near, verts, p).checkpoint()
     if more.limit(1).count():
         cand = cand.union(more).checkpoint()
         near = connected_components(cand)

@@ -16,8 +16,10 @@ def epoch_us(c: Column) -> Column:
 
 
 def idiv(x: Column, n: int) -> Column:
-    """Exact floor division of a BIGINT by a positive constant."""
-    return ((x - F.pmod(x, F.lit(n))) / n).cast("bigint")
+    """Exact floor division of a BIGINT by a positive constant (integer
+    arithmetic, so also above 2^53)."""
+    x = x.cast("bigint")
+    return F.call_function("div", x - F.pmod(x, F.lit(n).cast("bigint")), F.lit(n).cast("bigint"))
 
 
 def epoch_ms_rounded(c: Column) -> Column:

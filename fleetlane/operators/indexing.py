@@ -1,16 +1,11 @@
-"""Ranks and size-checked broadcasts that hold at any scale.
+"""Global ranks without a single-task window.
 
 ``row_number() over (order by x)`` without a partition key runs in one task.
-The helpers here give the same 0-based rank with bounded per-task work:
-
-* :func:`bucketed_rank` - numeric order key: per-bucket counts (one row per
-  bucket) get a running sum, rows are ranked inside their bucket.
-* :func:`range_rank` - any order key: range-partition + sort, count rows per
-  partition, add the partition's offset.  Needs a materialised input, so it
-  is checkpointed to the shared checkpoint folder first.
-* :func:`bounded_count` / :func:`maybe_broadcast` - broadcast a side only
-  after a bounded count proved it small; otherwise leave the join to the
-  planner (shuffle join, AQE may still convert it).
+:func:`range_rank` gives the same 0-based rank: range-partition and sort,
+count the rows of each partition, add the partition's offset.  It holds for
+any key, dense or sparse, one or several columns; the only global window is
+over one row per partition.  The sorted rows are written to the shared
+checkpoint folder, so they are computed once.
 """
 
 from __future__ import annotations
@@ -20,52 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlane.functions.timefmt import idiv
-
-# Rows a side may have to be broadcast / ranked with a single-task window.
-SMALL_ROWS = 100_000
-
-
-def bounded_count(df: DataFrame, bound: int) -> int:
-    """min(count(df), bound + 1) without scanning past bound + 1 rows."""
-    return df.limit(bound + 1).count()
-
-
-def is_small(df: DataFrame, bound: int = SMALL_ROWS) -> bool:
-    return bounded_count(df, bound) <= bound
-
-
-def maybe_broadcast(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
-    """``broadcast(df)`` when it provably has at most ``bound`` rows."""
-    return F.broadcast(df) if is_small(df, bound) else df
-
-
-def bucketed_rank(df: DataFrame, order_col: str, width: int,
-                  name: str = "rank0") -> DataFrame:
-    """0-based rank of each row by a unique BIGINT column ``order_col``.
-
-    Buckets are ``order_col div width``; a bucket holds at most ``width``
-    rows, so no task sees more than that.  One window per bucket gives each
-    row its number and its bucket's size; the bucket offsets are a running
-    sum over one row per bucket (the only global window, over buckets).
-    The size branch is column-pruned to the bucket key, so its second read
-    of the input is narrow; row filters of the input do run in both.
-    """
-    bcol = "_bkt"
-    keyed = df.withColumn(bcol, idiv(F.col(order_col).cast("bigint"), width))
-    w = Window.partitionBy(bcol)
-    local = (keyed.withColumn("_rn", F.row_number().over(w.orderBy(order_col)))
-                  .withColumn("_n", F.count(F.lit(1)).over(w)))
-    sizes = local.groupBy(bcol).agg(F.max("_n").alias("_n"))
-    offsets = sizes.select(
-        bcol,
-        F.coalesce(F.sum("_n").over(Window.orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    return (local.join(offsets, bcol)
-                 .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-                 .drop(bcol, "_rn", "_n", "_off"))
-
-
 def range_rank(df: DataFrame, order_cols: Sequence[str | Column],
                name: str = "rank0") -> DataFrame:
     """0-based rank by ``order_cols`` (ties broken arbitrarily but stably)."""
@@ -83,12 +32,3 @@ def range_rank(df: DataFrame, order_cols: Sequence[str | Column],
     return (tagged.join(F.broadcast(offsets), "_pid")
                   .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint"))
                   .drop("_pid", "_mid", "_m0", "_off"))
-
-
-def rank_by(df: DataFrame, order_cols: Sequence[str], name: str = "rank0",
-            bound: int = SMALL_ROWS) -> DataFrame:
-    """0-based rank; single-task window only when the input is proven small."""
-    if is_small(df, bound):
-        w = Window.orderBy(*order_cols)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    return range_rank(df, order_cols, name)

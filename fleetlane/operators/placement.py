@@ -3,8 +3,9 @@ and the queue length a new task sees (the input of O22).
 
 Workers are indexed by name in text order (so ``-10`` sorts before ``-2``).
 Tasks carry ``rank0``, their 0-based position among queued tasks.  The
-worker table is joined on the computed slot; it is broadcast only after a
-bounded count proved it small, otherwise the join is left to the planner.
+worker table is ranked once, kept in the shared checkpoint folder, and
+joined on the computed slot; tasks that need no worker get a slot of their
+own that matches nothing, so they do not meet in one partition.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlane.operators.indexing import bucketed_rank, maybe_broadcast, rank_by
+from fleetlane.operators.indexing import range_rank
 
 # The default worker, and the name a task falls back to
 # when no worker is up at all.
@@ -22,7 +23,7 @@ DEFAULT_WORKER = "hadoop-master-0"
 def index_workers(workers: DataFrame, name_col: str = "name") -> DataFrame:
     """(widx, name): 0-based index of each worker in name (text) order."""
     w = workers.select(F.col(name_col).alias("name")).distinct()
-    return rank_by(w, ["name"], "widx")
+    return range_rank(w, ["name"], "widx")
 
 
 def _count(df: DataFrame):
@@ -34,9 +35,15 @@ def worker_assign(tasks: DataFrame, workers_ix: DataFrame) -> DataFrame:
     """Initial round-robin, task at rank r -> worker r mod n."""
     n = _count(workers_ix)
     slot = F.when(n > 0, F.pmod(F.col("rank0"), n))
-    t = tasks.withColumn("slot", slot)
-    w = maybe_broadcast(workers_ix.select(F.col("widx").alias("slot"), F.col("name").alias("container")))
-    return t.join(w, "slot", "left")
+    t = tasks.withColumn("slot", slot).withColumn("_slot", _slot(F.col("slot")))
+    w = workers_ix.select(F.col("widx").alias("_slot"), F.col("name").alias("container"))
+    return t.join(w, "_slot", "left").drop("_slot")
+
+
+def _slot(slot):
+    """Join key of a slot: itself, or for no slot one of many negative
+    numbers, which no worker has."""
+    return F.coalesce(slot, -1 - F.pmod(F.xxhash64("rank0"), F.lit(4096)))
 
 
 def worker_assign_new(tasks: DataFrame, workers_ix: DataFrame,
@@ -45,14 +52,16 @@ def worker_assign_new(tasks: DataFrame, workers_ix: DataFrame,
     ``others[L mod len(others)]`` with L = tasks queued before it; with
     only the default worker up it gets that one; with none, the default
     name."""
-    others = rank_by(workers_ix.where(F.col("name") != default_worker).select("name"),
-                     ["name"], "oidx")
-    n_others = _count(others)
-    n_all = _count(workers_ix)
-    first = workers_ix.agg(F.min("name")).scalar()
+    # one pass over the ranked workers: a worker's place among the others
+    # is its place among all, less one if the default comes before it
+    base = workers_ix.agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"),
+                          F.min(F.when(F.col("name") == default_worker, F.col("widx"))).alias("d"))
+    n_all, first, d = (base.select(c).scalar() for c in ("n", "first", "d"))
+    n_others = n_all - F.when(d.isNotNull(), 1).otherwise(0)
+    oidx = F.col("widx") - F.when(F.col("widx") > d, 1).otherwise(0)
+    o = workers_ix.where(F.col("name") != default_worker).select(oidx.alias("_slot"), F.col("name").alias("_pick"))
     slot = F.when(n_others > 0, F.pmod(F.col("rank0"), n_others))
-    o = maybe_broadcast(others.select(F.col("oidx").alias("_slot"), F.col("name").alias("_pick")))
-    j = tasks.withColumn("_slot", slot).join(o, "_slot", "left")
+    j = tasks.withColumn("_slot", _slot(slot)).join(o, "_slot", "left")
     container = (F.when(F.col("_pick").isNotNull(), F.col("_pick"))
                   .when(n_all > 0, first)
                   .otherwise(F.lit(default_worker)))
@@ -67,19 +76,19 @@ def worker_reassign(tasks: DataFrame, workers_ix: DataFrame,
     n = _count(workers_ix)
     move = (F.col("container") == default_worker) & (n > 1)
     slot = F.when(move, F.pmod(F.col("rank0"), n))
-    w = maybe_broadcast(workers_ix.select(F.col("widx").alias("_slot"), F.col("name").alias("_new")))
-    j = tasks.withColumn("_slot", slot).join(w, "_slot", "left")
+    w = workers_ix.select(F.col("widx").alias("_slot"), F.col("name").alias("_new"))
+    j = tasks.withColumn("_slot", _slot(slot)).join(w, "_slot", "left")
     return (j.withColumn("new_container", F.coalesce(F.col("_new"), F.col("container")))
              .drop("_slot", "_new"))
 
 
-def queue_length_at_arrival(arrivals: DataFrame, removals: DataFrame, width: int = 100_000) -> DataFrame:
+def queue_length_at_arrival(arrivals: DataFrame, removals: DataFrame) -> DataFrame:
     """Tasks still queued when each task arrives (before its own insert).
 
-    arrivals: (pos, day, order) with ``order`` a unique BIGINT that sorts
-    by arrival (day first); removals: (day) one row per finished task.
+    arrivals: (pos, day), in order of day, then pos; removals: (day) one
+    row per finished task.
     L = arrivals before it - removals on earlier days, at least 0.  The
-    arrival count is a bucketed rank; removals are pre-summed per day and
+    arrival count is a global rank; removals are pre-summed per day and
     only the per-day table (bounded by the time span) gets a running sum.
     """
     per_day = (removals.select("day", F.lit(1).alias("_r"))
@@ -88,7 +97,7 @@ def queue_length_at_arrival(arrivals: DataFrame, removals: DataFrame, width: int
     before = per_day.select("day", F.coalesce(
         F.sum("_r").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_done_before"))
-    ranked = bucketed_rank(arrivals, "order", width, "_n_before")
+    ranked = range_rank(arrivals, ["day", "pos"], "_n_before")
     return (ranked.join(before, "day")
                   .withColumn("queue_len", F.greatest(F.col("_n_before") - F.col("_done_before"),
                                                       F.lit(0)).cast("bigint"))

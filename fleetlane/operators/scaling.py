@@ -1,5 +1,5 @@
 """Scaling family: queue depth per tick and the scale decisions taken from
-it (O31, O34, O43, O44, O45).
+it (O31, O43, O45).
 
 Depth is a running sum of +1 (task added) / -1 (task removed).  Raw rows
 are first summed per tick bucket (partial aggregate on every executor);
@@ -9,24 +9,23 @@ not by the data volume - goes through the ordered window.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the controllers: most worker groups, queue lines read
-# per round, idle rounds before shrinking, members of one group.
+# Fixed values of the controllers: most worker groups, members of one group.
 MAX_GROUPS = 6
-READ_N = 7
-IDLE_LIMIT = 50
 SLAVES_PER_GROUP = 2
 
 
 def queue_depth(deltas: DataFrame, tick_col: str = "tick") -> DataFrame:
-    """(tick, delta) rows -> (tick, delta, depth) per tick, depth =
-    running sum clamped at 0."""
+    """(tick, delta) rows -> (tick, delta, depth) per tick.  Removing
+    from an empty queue changes nothing, so depth is the running sum minus
+    its lowest value below 0 so far."""
     per_tick = deltas.groupBy(tick_col).agg(F.sum("delta").cast("bigint").alias("delta"))
     w = Window.orderBy(tick_col).rowsBetween(Window.unboundedPreceding, 0)
-    return per_tick.withColumn("depth", F.greatest(F.sum("delta").over(w).cast("bigint"), F.lit(0)))
+    cum = per_tick.withColumn("_cum", F.sum("delta").over(w).cast("bigint"))
+    low = F.least(F.lit(0), F.min("_cum").over(w))
+    return cum.withColumn("depth", (F.col("_cum") - low).cast("bigint")).drop("_cum")
 
 
 def service_policy(ticks: DataFrame, cap: int = MAX_GROUPS) -> DataFrame:
@@ -52,46 +51,6 @@ def scale_decision(ticks: DataFrame, cap: int = MAX_GROUPS, tick_col: str = "tic
     return service_policy(ticks.withColumn("groups", groups.cast("bigint")), cap)
 
 
-BATCH_SCHEMA = ("run string, tick string, depth bigint, waiting bigint, groups_before bigint, "
-                "idle bigint, fired boolean, action string, target bigint")
-
-
-def _batch_fold(cap: int, read_n: int, idle_limit: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick", kind="stable")
-        groups, idle = 1, 0
-        rows = []
-        for run, tick, depth in zip(pdf["run"], pdf["tick"], pdf["depth"]):
-            waiting = min(int(depth), read_n)
-            before, fired, action = groups, False, "hold"
-            if waiting <= 1:
-                idle += 1
-                if idle >= idle_limit and groups > 1:
-                    groups, idle, fired, action = 1, 0, True, "shrink"
-            if waiting > groups and min(waiting, cap) > groups:
-                groups, action = min(waiting, cap), "extend"
-            rows.append((run, tick, int(depth), waiting, before, idle, fired, action, groups))
-        return pd.DataFrame(rows, columns=["run", "tick", "depth", "waiting", "groups_before",
-                                           "idle", "fired", "action", "target"])
-    return fold
-
-
-def batch_policy(ticks: DataFrame, cap: int = MAX_GROUPS, read_n: int = READ_N,
-                 idle_limit: int = IDLE_LIMIT) -> DataFrame:
-    """O44 + O34: the batch controller folded over each run's ticks.
-
-    ticks: (run, tick, depth).  Per tick: waiting = min(depth, read_n); an
-    idle tick (waiting <= 1) bumps a counter that is cumulative, not
-    consecutive; at >= idle_limit with more than one group it fires: shrink
-    to 1, counter reset.  waiting > groups extends to min(waiting, cap).
-    Groups depend on earlier decisions, so this is a sequential fold per
-    run; one group holds one run's ticks (bounded by its time span)."""
-    return (ticks.select("run", F.col("tick").cast("string").alias("tick"),
-                         F.col("depth").cast("bigint").alias("depth"))
-                 .groupBy("run")
-                 .applyInPandas(_batch_fold(cap, read_n, idle_limit), BATCH_SCHEMA))
-
-
 def group_members(group_no):
     """Container names of one group: its master and its slaves."""
     g = group_no.cast("string")

@@ -24,7 +24,7 @@ SERVICE_JOB_CMD = "sh /root/run-wordcount2.sh"
 # Whitespace run between the tokens of a command line.
 WS_RUN_RE = "[ \\t\\n\\r\\f\\x0b]+"
 # New completion format: <uuid>:::<log path>
-NEW_COMPLETION_RE = "^(\\S+):::(.*)$"
+NEW_COMPLETION_RE = "^(\\S+?):::(.*)$"
 
 
 # ------------------------------------------------------------------ parsing
@@ -53,7 +53,7 @@ def parse_completions(lines: DataFrame, keep=()) -> DataFrame:
     new_id = F.regexp_extract(v, NEW_COMPLETION_RE, 1)
     # the path is what follows "<id>:::" (same as the pattern's group 2,
     # without matching the line a second time)
-    new_path = F.substring(v, F.length(new_id) + 4, 1 << 30)
+    new_path = F.substring(v, F.length(new_id) + 4, F.length(v))
     is_new = new_id != ""
     uuid = F.when(is_new, new_id).otherwise(F.element_at(F.split(v, WS_RUN_RE), -1))
     # non-nullable, so the optimizer infers no isnotnull(uuid) join filter
@@ -239,7 +239,7 @@ def access_log_lines(records: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------- callbacks
-# Fixed value: the message of a task that never completed.
+# Payload keys below are fixed values; the message is our own wording.
 TIMEOUT_MESSAGE = "task timed out (over 1 hour)"
 
 
@@ -257,3 +257,9 @@ def nested_callback_payload(uuid: Column, status: Column, cmd: Column, output: C
                       hms(at).alias("execution_time"))
     return F.to_json(F.struct(uuid.alias("uuid"), status.alias("task_status"),
                               result.alias("result")))
+
+
+def error_callback_payload(uuid: Column, message: Column) -> Column:
+    """O13 error payload: {"uuid", "task_status": "error", "error_msg"}."""
+    return F.to_json(F.struct(uuid.alias("uuid"), F.lit("error").alias("task_status"),
+                              message.alias("error_msg")))

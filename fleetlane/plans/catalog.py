@@ -22,7 +22,7 @@ from fleetlane.operators import scaling as sc
 from fleetlane.operators import tasks as tk
 from fleetlane.operators import usage as us
 from fleetlane.operators import wordcount as wc
-from fleetlane.operators.indexing import bucketed_rank
+from fleetlane.operators.indexing import range_rank
 from fleetlane.plans import standins as si
 from fleetlane.session import prepare
 from fleetlane.sources.requests import parse_requests
@@ -256,7 +256,8 @@ def _cpu_series(spark, sf_dir):
 
 @query("stat_scan")
 def q_stat_scan(spark, sf_dir):
-    """Snapshot rows as written by the sampler (text fields)."""
+    """The stand-in's snapshot rows (text fields); the file reader
+    itself (sources.stats.read_snapshots) is covered by pytest."""
     return si.snapshot_rows(spark, sf_dir)
 
 
@@ -368,7 +369,7 @@ def q_series_contrast(spark, sf_dir):
 
 @query("node_normalise")
 def q_node_normalise(spark, sf_dir):
-    """Makespan by tasks per node (orders: priority = strategy,
+    """Makespan by tasks per node, across node counts (orders: priority = strategy,
     status = node count F/O/P -> 1/2/4, month = task count)."""
     o = table(spark, sf_dir, "orders")
     nodes = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(4)
@@ -376,20 +377,17 @@ def q_node_normalise(spark, sf_dir):
                         F.month("o_orderdate").cast("bigint").alias("n_tasks"))
                .agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)"))
                             * F.lit(0.000001).cast("decimal(7,6)"), 3).cast("double").alias("seconds")))
-    return ct.node_normalise(series)
+    return ct.node_contrast(series)
 
 
 # ----------------------------------------------------------- placement family
-RANK_BUCKET = 100_000   # rows per bucket of the distributed queue rank
-
-
 def _workers(spark, sf_dir):
     c = us.fleet_filter(si.containers(spark, sf_dir))
     return pl.index_workers(c.where(F.col("name").startswith("hadoop-master-")))
 
 
 def _ranked_tasks(spark, sf_dir):
-    return bucketed_rank(_tasks(spark, sf_dir), "pos", RANK_BUCKET)
+    return range_rank(_tasks(spark, sf_dir), ["pos"])
 
 
 @query("worker_assign")
@@ -406,12 +404,11 @@ def q_worker_assign_new(spark, sf_dir):
     within a day) and leave the queue on their last ship date."""
     o = table(spark, sf_dir, "orders")
     day = F.unix_date(F.to_date("o_orderdate")).cast("bigint")
-    arrivals = o.select(F.col("o_orderkey").alias("pos"), day.alias("day"),
-                        (day * F.lit(1 << 32) + F.col("o_orderkey")).alias("order"))
+    arrivals = o.select(F.col("o_orderkey").alias("pos"), day.alias("day"))
     removals = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
                 .agg(F.unix_date(F.to_date(F.max("l_shipdate"))).cast("bigint").alias("day"))
                 .select("day"))
-    q = pl.queue_length_at_arrival(arrivals, removals, RANK_BUCKET)
+    q = pl.queue_length_at_arrival(arrivals, removals)
     r = pl.worker_assign_new(q.withColumn("rank0", F.col("queue_len")), _workers(spark, sf_dir))
     return r.select("pos", standin_uuid(F.col("pos")).alias("uuid"), "queue_len", "container")
 
@@ -424,7 +421,7 @@ def q_worker_reassign(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("pos"), standin_uuid(F.col("o_orderkey")).alias("uuid"),
         "o_orderstatus")
-    ranked = bucketed_rank(o, "pos", RANK_BUCKET)
+    ranked = range_rank(o, ["pos"])
     workers = _workers(spark, sf_dir)
     first = pl.worker_assign_new(ranked, workers)
     bound = first.withColumn("container", F.when(F.col("o_orderstatus") == "O", F.col("container"))
@@ -438,7 +435,7 @@ def q_task_intake(spark, sf_dir):
     """Accepted /hadoop requests -> task rows with their worker."""
     req = parse_requests(si.request_bodies(spark, sf_dir))
     acc = req.where(F.col("accepted") & (F.col("variant") == "hadoop"))
-    ranked = bucketed_rank(acc.withColumnRenamed("event_id", "pos"), "pos", RANK_BUCKET)
+    ranked = range_rank(acc.withColumnRenamed("event_id", "pos"), ["pos"])
     placed = pl.worker_assign_new(ranked, _workers(spark, sf_dir))
     uuid = standin_uuid(F.col("pos"))
     return placed.select(
@@ -461,10 +458,6 @@ def _depth(spark, sf_dir):
     return sc.queue_depth(_ticks(spark, sf_dir))
 
 
-def _batch(spark, sf_dir):
-    return sc.batch_policy(_depth(spark, sf_dir).withColumn("run", F.lit("events")))
-
-
 @query("queue_depth")
 def q_queue_depth(spark, sf_dir):
     """Queue length after each hour."""
@@ -478,18 +471,6 @@ def q_scale_decision(spark, sf_dir):
         "tick", "depth", "groups", "action", "target")
 
 
-@query("scale_decision_batch")
-def q_scale_decision_batch(spark, sf_dir):
-    """Batch-controller decisions (stateful fold over the hours)."""
-    return _batch(spark, sf_dir).select("tick", "depth", "waiting", "groups_before", "action", "target")
-
-
-@query("idle_trigger")
-def q_idle_trigger(spark, sf_dir):
-    """Cumulative idle counter and when it fires."""
-    return _batch(spark, sf_dir).select("tick", "waiting", "idle", "fired")
-
-
 @query("scale_actions")
 def q_scale_actions(spark, sf_dir):
     """Groups to add/remove per decision, with member names."""
@@ -506,10 +487,11 @@ def _table_stream(spark, sf_dir, name):
 
 
 def _event_stream(spark, sf_dir):
+    """The events as a stream, and the marker that ends it."""
     ev, schema = _table_stream(spark, sf_dir, "events")
-    ev = srun.with_end_marker(spark, ev, schema, {"event_id": -1, "ts": srun.END_TS,
-                                                  "event_type": srun.END_TYPE})
-    return ev.withColumn("ts", F.col("ts").cast("timestamp"))
+    ev, marker = srun.with_end_marker(spark, ev, schema, {"event_id": -1, "ts": srun.END_TS,
+                                                          "event_type": srun.END_TYPE})
+    return ev.withColumn("ts", F.col("ts").cast("timestamp")), marker
 
 
 @query("stream_queue")
@@ -523,7 +505,8 @@ def q_stream_queue(spark, sf_dir):
 def q_stream_match(spark, sf_dir):
     """Signup -> first purchase within 3,600 s on the event stream
     (per-user state, one row per request; batch twin O20)."""
-    r = srun.run_append(spark, smt.first_match_stream(_event_stream(spark, sf_dir)), "stream_match")
+    ev, marker = _event_stream(spark, sf_dir)
+    r = srun.run_append(spark, smt.first_match_stream(ev), "stream_match", marker=marker)
     return r.select(F.col("req_id").alias("event_id"), F.col("r_key").alias("user_id"),
                     ts_text(F.timestamp_micros("r_us")).alias("submit_ts"),
                     ts_text(F.timestamp_micros("done_us")).alias("done_ts"), "status")
@@ -532,7 +515,8 @@ def q_stream_match(spark, sf_dir):
 @query("stream_lifecycle")
 def q_stream_lifecycle(spark, sf_dir):
     """Per-user task lifecycle with event-time timeouts."""
-    out = srun.run_append(spark, slc.lifecycle_stream(_event_stream(spark, sf_dir)), "stream_lifecycle")
+    ev, marker = _event_stream(spark, sf_dir)
+    out = srun.run_append(spark, slc.lifecycle_stream(ev), "stream_lifecycle", marker=marker)
     return out.select(F.col("key").alias("user_id"),
                       ts_text(F.timestamp_micros("submit_us")).alias("submit_ts"),
                       ts_text(F.timestamp_micros("end_us")).alias("end_ts"), "status")
@@ -542,29 +526,24 @@ def q_stream_lifecycle(spark, sf_dir):
 def q_stream_usage(spark, sf_dir):
     """T4: event value summed per 6.5 s event-time window."""
     # the marker's own window (year 2100) never closes, so it is never emitted
-    out = srun.run_append(spark, sus.usage_windows(_event_stream(spark, sf_dir), "value"),
-                          "stream_usage")
+    ev, marker = _event_stream(spark, sf_dir)
+    out = srun.run_append(spark, sus.usage_windows(ev, "value"), "stream_usage", marker=marker)
     return out.select(ts_text(F.col("w.start")).alias("window_start"), "value", "n_samples")
 
 
 @query("stream_scale")
 def q_stream_scale(spark, sf_dir):
     """T5: hourly depth and scaling decisions, one foreachBatch per trigger."""
-    ev, _ = _table_stream(spark, sf_dir, "events")
-    deltas = (ev.where(F.col("event_type").isin("signup", "purchase"))
-                .select(F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")),
-                                      "yyyy-MM-dd HH:mm:ss").alias("tick"),
-                        F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
-    return srun.run_foreach_batch(spark, deltas, "stream_scale",
+    ev, marker = _event_stream(spark, sf_dir)
+    delta = (F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1))
+    ticks = ssc.closed_ticks(ev.withColumn("delta", delta))
+    return srun.run_foreach_batch(spark, ticks, "stream_scale",
                                   lambda df, bid, out: ssc.decide_batch(df, bid, out),
-                                  ssc.DECISION_SCHEMA)
+                                  ssc.DECISION_SCHEMA, marker=marker)
 
 
 @query("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    """Duplicate completions dropped within the watermark."""
+    """The first completion of each id, with its place and path."""
     li, _ = _table_stream(spark, sf_dir, "lineitem")
-    lines = si.completion_lines_of(li, keep=[F.col("l_shipdate").cast("timestamp").alias("ts")])
-    parsed = tk.parse_completions(lines, keep=["ts"])
-    out = srun.run_append(spark, sdd.dedup_completions(parsed).select("uuid"), "stream_dedup")
-    return out
+    return sdd.first_completions_stream(spark, tk.parse_completions(si.completion_lines_of(li)), "stream_dedup")

@@ -232,13 +232,13 @@ SELECT event_id, ts, variant, error IS NULL AS accepted,
 FROM (SELECT event_id, ts, variant, body,
              CASE WHEN keys IS NULL THEN {_q(INVALID_ERROR)}
                   WHEN variant = 'pipeline' AND {_PIPE_BLANK} THEN {_q(PIPELINE_ERROR)}
-                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'input') THEN 'missing parameter: input'
-                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'output') THEN 'missing parameter: output'
+                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'input') THEN 'required key absent: input'
+                  WHEN variant = 'hadoop' AND NOT list_contains(keys, 'output') THEN 'required key absent: output'
                   WHEN variant = 'hadoop' AND NOT list_contains(keys, 'callback_url')
-                       THEN 'missing parameter: callback_url'
-                  WHEN variant = 'micro' AND NOT list_contains(keys, 'input') THEN 'missing parameter: input'
+                       THEN 'required key absent: callback_url'
+                  WHEN variant = 'micro' AND NOT list_contains(keys, 'input') THEN 'required key absent: input'
                   WHEN variant = 'micro' AND NOT list_contains(keys, 'callback_url')
-                       THEN 'missing parameter: callback_url'
+                       THEN 'required key absent: callback_url'
              END AS error
       FROM (SELECT *, CASE WHEN json_valid(body) THEN json_keys(body) END AS keys
             FROM ({si.REQUEST_BODIES_SQL})))
@@ -372,7 +372,7 @@ _MS_LI = """
 
 ORACLE["strategy_join"] = f"""
 WITH ms AS ({_MS_LI})
-SELECT n_tasks, a.seconds AS sec_a, n.seconds AS sec_n, r.seconds AS sec_r
+SELECT 1::BIGINT AS nodes, n_tasks, a.seconds AS sec_a, n.seconds AS sec_n, r.seconds AS sec_r
 FROM (SELECT * FROM ms WHERE strategy = 'A') a
 FULL OUTER JOIN (SELECT * FROM ms WHERE strategy = 'N') n USING (n_tasks)
 FULL OUTER JOIN (SELECT * FROM ms WHERE strategy = 'R') r USING (n_tasks)
@@ -380,7 +380,7 @@ FULL OUTER JOIN (SELECT * FROM ms WHERE strategy = 'R') r USING (n_tasks)
 
 ORACLE["phase_share"] = f"""
 WITH ms AS ({_MS_LI})
-SELECT n_tasks, warm_s, cold_s, work::DOUBLE / 10.0::DOUBLE AS work_pct,
+SELECT 1::BIGINT AS nodes, n_tasks, warm_s, cold_s, work::DOUBLE / 10.0::DOUBLE AS work_pct,
        (1000 - work)::DOUBLE / 10.0::DOUBLE AS scaling_pct
 FROM (SELECT n_tasks, warm_s, cold_s,
              ((2000 * round(warm_s * 1000)::BIGINT + round(cold_s * 1000)::BIGINT)
@@ -398,13 +398,15 @@ FROM cpu JOIN ax USING (run_id, phase, sample_no) GROUP BY idx
 """
 
 ORACLE["node_normalise"] = """
-SELECT strategy, nodes, n_tasks, seconds, (n_tasks // nodes)::BIGINT AS tasks_per_node
+SELECT strategy, (n_tasks // nodes)::BIGINT AS tasks_per_node,
+       max(CASE WHEN nodes = 1 THEN seconds END) AS sec_1, max(CASE WHEN nodes = 2 THEN seconds END) AS sec_2,
+       max(CASE WHEN nodes = 4 THEN seconds END) AS sec_4
 FROM (SELECT o_orderpriority AS strategy,
              (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END)::BIGINT AS nodes,
              month(o_orderdate)::BIGINT AS n_tasks,
              round(sum(o_totalprice::DECIMAL(18,2)) * 0.000001::DECIMAL(7,6), 3)::DOUBLE AS seconds
       FROM orders GROUP BY ALL)
-WHERE n_tasks % nodes = 0
+WHERE n_tasks % nodes = 0 GROUP BY 1, 2
 """
 
 # ----------------------------------------------------------- placement family
@@ -483,11 +485,12 @@ FROM (SELECT *, {si._uuid_sql('pos')} AS u FROM ({_assign_new('SELECT * FROM acc
 # ------------------------------------------------------------- scaling family
 _DEPTH = """
   SELECT tick, delta,
-         greatest(sum(delta) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)::BIGINT
+         (cum - least(0, min(cum) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))::BIGINT
            AS depth
+  FROM (SELECT *, sum(delta) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS tick,
                sum(CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END)::BIGINT AS delta
-        FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1)"""
+        FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1))"""
 
 _DECISION = f"""
   SELECT tick, depth, groups, action,
@@ -498,33 +501,8 @@ _DECISION = f"""
                      greatest(1, least(6, coalesce(lag(depth) OVER (ORDER BY tick), 1)))::BIGINT AS groups
               FROM ({_DEPTH})))"""
 
-_FOLD = f"""
-WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY tick) AS i, tick, depth FROM ({_DEPTH})),
-f(i, tick, depth, waiting, groups_before, idle, fired, action, target) AS (
-  SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, false,
-         NULL::VARCHAR, 1::BIGINT
-  UNION ALL
-  SELECT i, tick, depth, waiting, groups_before,
-         CASE WHEN shrink THEN 0 ELSE idle1 END, shrink,
-         CASE WHEN ext THEN 'extend' WHEN shrink THEN 'shrink' ELSE 'hold' END,
-         CASE WHEN ext THEN least(waiting, 6) ELSE g1 END
-  FROM (SELECT *, (waiting > g1 AND least(waiting, 6) > g1) AS ext
-        FROM (SELECT *, CASE WHEN shrink THEN 1 ELSE groups_before END AS g1
-              FROM (SELECT *, (waiting <= 1 AND idle1 >= 50 AND groups_before > 1) AS shrink
-                    FROM (SELECT t.i, t.tick, t.depth, least(t.depth, 7) AS waiting,
-                                 f.target AS groups_before,
-                                 f.idle + CASE WHEN least(t.depth, 7) <= 1 THEN 1 ELSE 0 END AS idle1
-                          FROM f JOIN t ON t.i = f.i + 1))))
-)"""
-
 ORACLE["queue_depth"] = _DEPTH
 ORACLE["scale_decision"] = _DECISION
-ORACLE["scale_decision_batch"] = _FOLD + """
-SELECT tick, depth, waiting, groups_before, action, target FROM f WHERE i > 0
-"""
-ORACLE["idle_trigger"] = _FOLD + """
-SELECT tick, waiting, idle, fired FROM f WHERE i > 0
-"""
 ORACLE["scale_actions"] = f"""
 SELECT tick, action, group_no,
        'hadoop-master-' || group_no::VARCHAR || ',hadoop-slave-' || group_no::VARCHAR || '-1,hadoop-slave-'
@@ -540,7 +518,7 @@ FROM (SELECT tick, action,
 ORACLE["stream_queue"] = ORACLE["queue_scan"]
 ORACLE["stream_match"] = ORACLE["timeout_status"]
 ORACLE["stream_scale"] = ORACLE["scale_decision"]
-ORACLE["stream_dedup"] = f"SELECT DISTINCT uuid FROM ({_PARSED}) WHERE valid"
+ORACLE["stream_dedup"] = f"SELECT uuid, first_pos, path FROM ({ORACLE['completion_scan']})"
 
 ORACLE["stream_usage"] = f"""
 SELECT strftime(make_timestamp(w * 6500000), {_TSF}) AS window_start,

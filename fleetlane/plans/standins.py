@@ -23,7 +23,7 @@ from fleetlane.functions.timefmt import as_ts
 from fleetlane.operators.tasks import JOB_CMD
 from fleetlane.sources.tables import table
 
-SQL_UUID = "printf('" + STANDIN_UUID_FMT + "', {k})"
+SQL_UUID = "printf('" + STANDIN_UUID_FMT + "', {k} & 4294967295, ({k} >> 32) & 4294967295)"
 
 # Root folder the task logs are written under.
 LOG_ROOT = "/srv/fleet/logs"

@@ -89,12 +89,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and staged tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) path;
-    we only invent one when it is unset, which is the local/test case.
+    one is invented only on a local master; elsewhere an unset one is an
+    error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="fleetlane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -121,13 +124,13 @@ def input_bytes(spark: SparkSession, paths) -> int:
 
 
 def size_for_input(spark: SparkSession, paths, bytes_per_partition: int = 256 * 1024 ** 2,
-                   lo: int = 8, hi: int = 200_000) -> int:
+                   lo: int = 8) -> int:
     """Set ``spark.sql.shuffle.partitions`` from the input size, unless the
     cluster set it: a shuffle partition then holds about
     ``bytes_per_partition`` of input before compression, which keeps
     per-task sort/aggregate state within executor memory; AQE coalesces
     small ones to its advisory size (``parallelismFirst`` off)."""
-    n = max(lo, min(hi, -(-input_bytes(spark, paths) // bytes_per_partition)))
+    n = max(lo, -(-input_bytes(spark, paths) // bytes_per_partition))
     if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")

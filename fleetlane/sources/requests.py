@@ -3,8 +3,10 @@
 Three request variants share one job; they differ in the required keys:
 
 * ``hadoop``  : input, output, callback_url must be present (any value);
-* ``micro``   : input, callback_url must be present; output defaults to '';
-* ``pipeline``: ipy_path and pipeline must be present *and* non-blank.
+* ``micro``   : input, callback_url must be present; output defaults to ''
+  (an explicit null stays null);
+* ``pipeline``: ipy_path and pipeline must be present and not an empty
+  value ('', 0, false, null, [], {}).
 
 The first missing key in list order is reported with code 400; a body
 that is not a JSON object is rejected with code 400 as well.
@@ -21,8 +23,12 @@ REQUIRED = {
     "micro": ("input", "callback_url"),
 }
 PIPELINE_KEYS = ("ipy_path", "pipeline")
-PIPELINE_ERROR = "missing parameters: 'ipy_path' and 'pipeline' are required"
-INVALID_ERROR = "invalid JSON body"
+# Messages in our own words.
+PIPELINE_ERROR = "a pipeline request needs a value for ipy_path and for pipeline"
+INVALID_ERROR = "body is not a JSON object"
+MISSING_ERROR = "required key absent: "
+# JSON values that count as no value (null and an absent key read as NULL).
+EMPTY_VALUES = ("", "0", "0.0", "false", "[]", "{}")
 
 
 def _first_missing(keys: Column, required: tuple[str, ...]) -> Column:
@@ -48,11 +54,12 @@ def parse_requests(df: DataFrame, body_col: str = "body",
                 .when(variant == "micro", _first_missing(keys, REQUIRED["micro"])))
     blank_pipeline = F.lit(False)
     for k in PIPELINE_KEYS:
-        blank_pipeline = blank_pipeline | F.coalesce(val[k] == "", F.lit(True))
+        blank_pipeline = blank_pipeline | F.coalesce(val[k].isin(*EMPTY_VALUES), F.lit(True))
     error = (F.when(keys.isNull(), F.lit(INVALID_ERROR))
               .when((variant == "pipeline") & blank_pipeline, F.lit(PIPELINE_ERROR))
-              .when(missing.isNotNull(), F.concat(F.lit("missing parameter: "), missing)))
-    output = F.when(variant == "micro", F.coalesce(val["output"], F.lit(""))).otherwise(val["output"])
+              .when(missing.isNotNull(), F.concat(F.lit(MISSING_ERROR), missing)))
+    no_output = (variant == "micro") & ~F.array_contains(keys, "output")
+    output = F.when(no_output, F.lit("")).otherwise(val["output"])
     accepted = error.isNull()
     return df.select(
         "*", accepted.alias("accepted"),

@@ -21,16 +21,18 @@ def read_snapshots(spark: SparkSession, paths) -> DataFrame:
     """-> (run_id, phase, sample_no, name, cpu_pct, mem_usage, mem_pct).
 
     The schema is given (no inference pass); identity comes from the path.
-    Pass run folders or a glob over them, not one path per file."""
+    Pass run folders or a glob over them, not one path per file.  Rows of
+    files with another name are left out."""
     p = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.schema(SNAPSHOT_SCHEMA).option("header", True).csv(p)
     f = F.col("_metadata.file_path")
     return df.select(
-        F.regexp_extract(f, _PATH_RE, 1).cast("bigint").alias("run_id"),
+        F.regexp_extract(f, _PATH_RE, 1).try_cast("bigint").alias("run_id"),
         F.regexp_extract(f, _PATH_RE, 2).alias("phase"),
-        F.regexp_extract(f, _PATH_RE, 3).cast("bigint").alias("sample_no"),
+        F.regexp_extract(f, _PATH_RE, 3).try_cast("bigint").alias("sample_no"),
         F.col("NAME").alias("name"), F.col("CPU %").alias("cpu_pct"),
-        F.col("MEM USAGE / LIMIT").alias("mem_usage"), F.col("MEM %").alias("mem_pct"))
+        F.col("MEM USAGE / LIMIT").alias("mem_usage"),
+        F.col("MEM %").alias("mem_pct")).where("run_id is not null and sample_no is not null")
 
 
 def snapshot_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
@@ -43,9 +45,9 @@ def snapshot_stream(spark: SparkSession, root: str, max_files: int | None = None
     df = r.load(f"{root.rstrip('/')}/resource_*")
     f = F.col("_metadata.file_path")
     return df.select(
-        F.regexp_extract(f, _PATH_RE, 1).cast("bigint").alias("run_id"),
+        F.regexp_extract(f, _PATH_RE, 1).try_cast("bigint").alias("run_id"),
         F.regexp_extract(f, _PATH_RE, 2).alias("phase"),
-        F.regexp_extract(f, _PATH_RE, 3).cast("bigint").alias("sample_no"),
+        F.regexp_extract(f, _PATH_RE, 3).try_cast("bigint").alias("sample_no"),
         F.col("NAME").alias("name"), F.col("CPU %").alias("cpu_pct"),
         F.col("MEM USAGE / LIMIT").alias("mem_usage"), F.col("MEM %").alias("mem_pct"),
-        F.col("_metadata.file_modification_time").alias("ts"))
+        F.col("_metadata.file_modification_time").alias("ts")).where("run_id is not null and sample_no is not null")

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlane.streaming.runner import run_foreach_batch
+
+FIRST_SCHEMA = "uuid string, first_pos bigint, path string"
+
+
+def first_completions_stream(spark: SparkSession, parsed: DataFrame, name: str) -> DataFrame:
+    """(uuid, first_pos, path): the completion with the smallest position
+    of every valid id, whatever order and micro-batches the lines come in.
+    State holds one (position, path) per id; each batch writes the ids
+    whose first completion it changed, and the result is their minimum."""
+    first = F.min(F.struct(F.col("pos").alias("first_pos"), F.coalesce("path", F.lit("")).alias("path")))
+    agg = parsed.groupBy("uuid").agg(first.alias("f"), F.max("valid").alias("v"))
+
+    def write(df: DataFrame, batch_id: int, out: str) -> None:
+        (df.where("v").select("uuid", "f.first_pos", "f.path")
+           .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+
+    rows = run_foreach_batch(spark, agg, name, write, FIRST_SCHEMA, mode="update")
+    best = rows.groupBy("uuid").agg(F.min(F.struct("first_pos", "path")).alias("f"))
+    return best.select("uuid", "f.first_pos", F.nullif(F.col("f.path"), F.lit("")).alias("path"))
 
 
 def dedup_completions(parsed: DataFrame, ts_col: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Keep one row per id among rows whose event times lie within the
-    watermark delay of each other; state for an id is dropped once the
+    """Keep one row (any) per id among rows whose event times lie within
+    the watermark delay of each other; state for an id is dropped once the
     watermark passes its first time + delay."""
     # validity is filtered after the dedup: a filter before it would be
     # pushed into the parse and evaluate it twice
@@ -20,8 +42,6 @@ def with_uuid_time(parsed: DataFrame, ts_col: str = "ts") -> DataFrame:
     """Event time for completion lines that carry none: the creation time
     embedded in a version-1 id.  Invalid ids get the epoch, so the
     watermark treats them as late (they are dropped either way)."""
-    from pyspark.sql import functions as F
-
     from fleetlane.functions.ids import uuid_v1_time
     t = F.when(F.col("valid"), uuid_v1_time(F.col("uuid"))).otherwise(F.timestamp_micros(F.lit(0)))
     return parsed.withColumn(ts_col, t)

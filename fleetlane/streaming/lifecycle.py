@@ -34,8 +34,8 @@ def step(events, open_task, timeout_us):
     open task after).  Shared by the stream and its batch test twin."""
     out = []
     for t, typ in events:
-        if typ == END_TYPE:
-            continue
+        if typ == END_TYPE or (open_task is not None and t < open_task[1]):
+            continue  # an event from before the open task's submit is not its own
         if open_task is not None and t > open_task[1] + timeout_us:
             out.append((open_task[1], open_task[1] + timeout_us, "timeout"))
             open_task = None

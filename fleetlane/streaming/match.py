@@ -1,10 +1,5 @@
-"""task/completion matching on streams (batch twin: O20).
-
-Two forms: :func:`first_match_stream` (registered; per-key state, one row
-per request, no pairs) and :func:`match_stream_join` (Spark's stream-stream
-left outer join with a time-range condition; it pairs a request with every
-completion of its key inside the window, so :func:`first_match` reduces
-the pairs afterwards)."""
+"""task/completion matching on streams (batch twin: O20), with per-key
+state and one row per request, never pairs."""
 
 from __future__ import annotations
 
@@ -14,41 +9,6 @@ from pyspark.sql import functions as F
 from fleetlane.streaming.runner import END_TYPE
 
 
-def match_stream_join(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
-                 delay: str = "1 hour", submit_type: str = "signup",
-                 done_type: str = "purchase") -> DataFrame:
-    """Stream-stream left outer join: every request with the completions of
-    the same key in [ts, ts + timeout]; requests with none come out with
-    NULLs once the watermark passes ts + timeout.  Both sides carry a
-    watermark (``delay``) so join state is dropped as time advances; a
-    completion arriving after its request was evicted (watermark past
-    ts + timeout) finds nothing and is dropped (Spark may still join a
-    late row while the request is in state).  The end marker
-    passes both sides so the last requests close too; it is not filtered
-    out here (a filter would be pushed below the watermark and hide it) -
-    its own request never closes, so it is never emitted."""
-    t = F.col("event_type")
-    req = (events.where(t.isin(submit_type, END_TYPE))
-                 .select(F.col("event_id").alias("req_id"), F.col(key).alias("r_key"),
-                         F.col("ts").alias("r_ts"))
-                 .withWatermark("r_ts", delay))
-    done = (events.where(t.isin(done_type, END_TYPE))
-                  .select(F.col(key).alias("c_key"), F.col("ts").alias("c_ts"))
-                  .withWatermark("c_ts", delay))
-    cond = ((F.col("r_key") == F.col("c_key")) & (F.col("c_ts") >= F.col("r_ts"))
-            & (F.col("c_ts") <= F.col("r_ts") + F.expr(f"INTERVAL {int(timeout_s)} SECONDS")))
-    return req.join(done, cond, "leftOuter")
-
-
-def first_match(pairs: DataFrame) -> DataFrame:
-    """Reduce the join output to one row per request: its first completion
-    (success) or none (timeout)."""
-    return (pairs.groupBy("req_id", "r_key", "r_ts")
-                 .agg(F.min("c_ts").alias("done_ts"))
-                 .withColumn("status", F.when(F.col("done_ts").isNotNull(), "success")
-                             .otherwise("timeout")))
-
-
 # ----------------------------------------------------------------------------
 # Pair-free first match: one output row per request, never a pair list.
 

@@ -1,11 +1,12 @@
 """Running streams to completion and the end-of-stream marker.
 
 The reference closes a measurement with an ``end`` marker; we do the same
-for event-time streams: one marker row far in the future, in its own small
-file under the shared checkpoint folder, unioned into the stream.  Once it
-is read the watermark passes every real row, so the closing (no-data)
-micro-batch emits every pending outer-join row, window and timeout.  Jobs
-drop the marker rows from their output.
+for event-time streams: one marker row far in the future, in a source of
+its own under the shared checkpoint folder, unioned into the stream.  It is
+written only after the data was read to its end, so results do not depend
+on the number of micro-batches.  Once it is read the watermark passes every
+real row, and the closing (no-data) micro-batch emits every pending window
+and timeout.  Jobs drop the marker rows from their output.
 
 Sinks are exactly-once: the parquet file sink commits through its
 ``_spark_metadata`` log, ``foreachBatch`` sinks write one folder per batch
@@ -37,20 +38,35 @@ def file_stream(spark: SparkSession, path: str, schema: StructType,
     return r.load(path)
 
 
+class EndMarker:
+    """A source that stays empty until all data was read; run_append() and
+    run_foreach_batch() then write its one row and run the query on, so the
+    marker is the newest row however many micro-batches the data took."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, values: dict):
+        self.spark, self.schema = spark, schema
+        self.row = {f.name: values.get(f.name) for f in schema.fields}
+        self.folder = scratch_path(spark, "end-marker")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.folder)
+
+    def write(self) -> None:
+        self.spark.createDataFrame([self.row], self.schema).coalesce(1).write.mode("append").parquet(self.folder)
+
+
 def with_end_marker(spark: SparkSession, stream: DataFrame, schema: StructType,
-                    values: dict) -> DataFrame:
-    """Union a one-row marker stream (``values`` + nulls) into ``stream``."""
-    row = {f.name: values.get(f.name) for f in schema.fields}
-    folder = scratch_path(spark, "end-marker")
-    spark.createDataFrame([row], schema).write.parquet(folder)
-    marker = spark.readStream.schema(schema).parquet(folder)
-    return stream.unionByName(marker)
+                    values: dict) -> tuple[DataFrame, EndMarker]:
+    """Union the marker's source (``values`` + nulls) into ``stream``."""
+    marker = EndMarker(spark, schema, values)
+    return stream.unionByName(marker.stream()), marker
 
 
 def append_end_marker(spark: SparkSession, folder: str, schema: StructType, values: dict) -> str:
     """Write the marker as the newest file of a file source's folder, for
-    sources read in several micro-batches (a separate marker source would
-    be read in the first batch and make every later row late)."""
+    streams that read the folder on their own."""
     row = {f.name: values.get(f.name) for f in schema.fields}
     sub = scratch_path(spark, "end-marker-file")
     spark.createDataFrame([row], schema).coalesce(1).write.parquet(sub)
@@ -65,9 +81,10 @@ def append_end_marker(spark: SparkSession, folder: str, schema: StructType, valu
 
 
 def run_append(spark: SparkSession, sdf: DataFrame, name: str,
-               watermark_policy: str | None = None) -> DataFrame:
+               watermark_policy: str | None = None, marker: EndMarker | None = None) -> DataFrame:
     """Run an append-mode stream with availableNow into a parquet sink in
-    the shared folder; return the sink as a batch DataFrame.
+    the shared folder, and once more with the marker, if there is one;
+    return the sink as a batch DataFrame.
 
     ``watermark_policy`` ('min'/'max') is fixed for the query at its first
     batch (it is stored in the checkpoint), so it is set only around
@@ -78,31 +95,35 @@ def run_append(spark: SparkSession, sdf: DataFrame, name: str,
     if watermark_policy:
         spark.conf.set(key, watermark_policy)
     try:
-        q = (sdf.writeStream.outputMode("append").format("parquet")
-                .option("path", out).option("checkpointLocation", out + "-ckpt")
-                .trigger(availableNow=True).queryName(f"{name}_{out[-12:]}").start())
-        q.awaitTermination()
+        _run(lambda: sdf.writeStream.outputMode("append").format("parquet")
+             .option("path", out).option("checkpointLocation", out + "-ckpt")
+             .trigger(availableNow=True).queryName(f"{name}_{out[-12:]}").start(), marker)
     finally:
         spark.conf.set(key, old)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-def run_foreach_batch(spark: SparkSession, sdf: DataFrame, name: str, fn,
-                      schema: StructType | str) -> DataFrame:
+def _run(start, marker: EndMarker | None) -> None:
+    """Read what there is to its end, then the marker."""
+    for last in ([False, True] if marker else [False]):
+        if last:
+            marker.write()
+        q = start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+
+
+def run_foreach_batch(spark: SparkSession, sdf: DataFrame, name: str, fn, schema: StructType | str,
+                      mode: str = "append", marker: EndMarker | None = None) -> DataFrame:
     """Run ``fn(batch_df, batch_id, out_folder)`` per micro-batch with
     availableNow; ``fn`` writes ``out_folder/batch=<id>``.  Returns every
     batch's output as one DataFrame."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     out = scratch_path(spark, f"{name}-out")
-    q = (sdf.writeStream.foreachBatch(lambda df, bid: fn(df, bid, out))
-            .option("checkpointLocation", out + "-ckpt")
-            .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    _run(lambda: sdf.writeStream.outputMode(mode).foreachBatch(lambda df, bid: fn(df, bid, out))
+         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start(), marker)
     if not _exists(spark, out):  # the stream had no data batch at all
         return spark.createDataFrame([], schema)
     # the batch=<id> folders add a partition column; the caller's schema wins

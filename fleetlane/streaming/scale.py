@@ -1,11 +1,12 @@
-"""T5: scaling decisions per micro-batch (batch twin: O31 + O43).
-
-``foreachBatch`` sums the batch's +1/-1 rows per tick, continues the
-running depth from the previous batch (a one-row carry table per batch
-id), and writes the batch's decision rows.  Everything inside is a Spark
-job over the batch; the carry is the only thing read back, and it is one
-row.  Writes are per batch id (overwrite), so a retried batch is
-idempotent.
+"""T5: scaling decisions on a stream (batch twin: O31 + O43).
+
+The +1/-1 rows are summed per hourly tick in an event-time window; a tick
+comes out once, when the watermark has closed it, so a tick that spans
+micro-batches is decided on once.  ``foreachBatch`` continues the depth
+from the batch before (a one-row carry per batch id: running sum, its
+lowest value, depth) and writes the decision rows.  Writes are per batch id
+(overwrite), so a retried batch is idempotent; carries no retry can need
+are deleted.
 """
 
 from __future__ import annotations
@@ -13,43 +14,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlane.operators.scaling import MAX_GROUPS
+from fleetlane.operators.scaling import MAX_GROUPS, service_policy
 
 DECISION_SCHEMA = "tick string, depth bigint, groups bigint, action string, target bigint"
 
 
-def _carry(spark, out: str, batch_id: int):
-    """(cum, depth) after the last batch before ``batch_id``, or (0, None).
-    Carries live in ``<out>-carry/batch=<id>``; a batch without ticks
-    writes none, so the latest earlier one is used."""
-    from fleetlane.streaming.runner import _exists
-    path = f"{out}-carry"
-    if not _exists(spark, path):
-        return 0, None
-    c = spark.read.parquet(path).where(F.col("batch") < batch_id)
-    last = c.orderBy(F.col("batch").desc()).limit(1).collect()
-    return (int(last[0]["cum"]), last[0]["depth"]) if last else (0, None)
-
-
-def decide_batch(deltas: DataFrame, batch_id: int, out: str, cap: int = MAX_GROUPS) -> None:
-    """deltas: (tick, delta) rows of one micro-batch."""
-    spark = deltas.sparkSession
-    cum0, depth0 = _carry(spark, out, batch_id)
-    per_tick = deltas.groupBy("tick").agg(F.sum("delta").cast("bigint").alias("delta"))
+def closed_ticks(events: DataFrame, ts_col: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """(ts, delta) stream -> (tick, delta) per closed hour.  Rows with a
+    null delta only move the watermark; an hour without others is no tick."""
+    w = (events.withWatermark(ts_col, delay).groupBy(F.window(ts_col, "1 hour").alias("w"))
+               .agg(F.sum("delta").cast("bigint").alias("delta")))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("tick"), "delta")
+
+
+def _folder(spark, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _carry(spark, out: str, batch_id: int) -> tuple[int, int, int | None]:
+    """(sum, lowest, depth) after the last batch before ``batch_id``; older
+    carries are deleted."""
+    path, fs = _folder(spark, f"{out}-carry")
+    if not fs.exists(path):
+        return 0, 0, None
+    ids = sorted(int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(path))
+    ids = [i for i in ids if i < batch_id]
+    if not ids:
+        return 0, 0, None
+    for i in ids[:-1]:
+        fs.delete(_folder(spark, f"{out}-carry/batch={i}")[0], True)
+    r = spark.read.parquet(f"{out}-carry/batch={ids[-1]}").first()
+    return int(r["cum"]), int(r["low"]), int(r["depth"])
+
+
+def decide_batch(ticks: DataFrame, batch_id: int, out: str, cap: int = MAX_GROUPS) -> None:
+    """ticks: (tick, delta), the ticks closed since the last batch."""
+    spark = ticks.sparkSession
+    cum0, low0, depth0 = _carry(spark, out, batch_id)
     w = Window.orderBy("tick")
-    cum = F.lit(cum0) + F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    t = per_tick.withColumn("cum", cum.cast("bigint")).withColumn(
-        "depth", F.greatest(F.col("cum"), F.lit(0)).cast("bigint"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = ticks.where("delta is not null").withColumn("cum", (F.lit(cum0) + F.sum("delta").over(upto)).cast("bigint"))
+    t = t.withColumn("low", F.least(F.lit(low0), F.min("cum").over(upto)).cast("bigint"))
+    t = t.withColumn("depth", F.col("cum") - F.col("low"))
     prev = F.coalesce(F.lag("depth").over(w), F.lit(depth0).cast("bigint"), F.lit(1))
     t = t.withColumn("groups", F.greatest(F.lit(1), F.least(F.lit(cap), prev)).cast("bigint"))
-    ext = F.least(F.col("depth"), F.lit(cap))
-    t = t.withColumn("action", F.when((F.col("depth") > F.col("groups")) & (ext > F.col("groups")), "extend")
-                     .when((F.col("depth") == 0) & (F.col("groups") > 1), "shrink").otherwise("hold"))
-    t = t.withColumn("target", F.when(F.col("action") == "extend", ext)
-                     .when(F.col("action") == "shrink", F.lit(1)).otherwise(F.col("groups")).cast("bigint"))
-    t = t.checkpoint(eager=True)  # one evaluation feeds both writes
+    t = service_policy(t, cap).checkpoint(eager=True)  # one evaluation feeds both writes
     (t.select("tick", "depth", "groups", "action", "target")
       .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
-    last = t.orderBy(F.col("tick").desc()).limit(1).select("cum", "depth")
+    last = t.orderBy(F.col("tick").desc()).limit(1).select("cum", "low", "depth")
     if last.limit(1).count():  # a batch without ticks leaves the carry as it is
         last.write.mode("overwrite").parquet(f"{out}-carry/batch={batch_id}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fleetlane.operators import contrast as ct
 from fleetlane.operators import placement as pl
 from fleetlane.operators import scaling as sc
-from fleetlane.operators.indexing import bucketed_rank, range_rank
+from fleetlane.operators.indexing import range_rank
 
 
 def test_service_policy_cases(spark):
@@ -20,18 +20,7 @@ def test_queue_depth_running_sum(spark):
     d = spark.createDataFrame([("h1", 1), ("h1", 1), ("h2", -1), ("h3", -1), ("h3", -1), ("h4", 1)],
                               "tick string, delta int")
     got = [(r.tick, r.depth) for r in sc.queue_depth(d).orderBy("tick").collect()]
-    assert got == [("h1", 2), ("h2", 1), ("h3", 0), ("h4", 0)]  # clamp after the running sum
-
-
-def test_idle_counter_cumulative_fires(spark):
-    depths = [5] + [0, 3] * 49 + [0] + [0]
-    ticks = spark.createDataFrame([("r", f"t{i:04d}", d) for i, d in enumerate(depths)],
-                                  "run string, tick string, depth long")
-    rows = sc.batch_policy(ticks).orderBy("tick").collect()
-    assert rows[0].action == "extend" and rows[0].target == 5
-    fired = [i for i, r in enumerate(rows) if r.fired]
-    assert fired == [99]  # the 50th idle tick, busy ticks in between did not reset
-    assert rows[99].target == 1 and rows[99].idle == 0 and rows[100].idle == 1
+    assert got == [("h1", 2), ("h2", 1), ("h3", 0), ("h4", 1)]  # an empty queue stays empty
 
 
 def test_scale_actions_members(spark):
@@ -77,10 +66,8 @@ def test_workers_text_order(spark):
 
 def test_ranks_match_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 + 3).alias("pos"))
-    b = {r.pos: r.rank0 for r in bucketed_rank(df, "pos", 256).collect()}
-    assert b == {7 * i + 3: i for i in range(5000)}
     r = {r.pos: r.rank0 for r in range_rank(df.repartition(7), ["pos"]).collect()}
-    assert r == b
+    assert r == {7 * i + 3: i for i in range(5000)}
 
 
 # Benchmark makespans (seconds, n = 1..15) of the reference
@@ -98,6 +85,35 @@ def test_phase_share_golden(spark):
                               "strategy string, nodes long, n_tasks long, seconds double")
     r = ct.phase_share(s, "warm", "cold").collect()
     assert len(r) == 1 and r[0].work_pct == 76.7 and r[0].scaling_pct == 23.3
+    zero = spark.createDataFrame([("warm", 1, 1, 1.0), ("cold", 1, 1, 0.0001)], s.schema)
+    assert ct.phase_share(zero, "warm", "cold").first().work_pct is None
+
+
+def test_strategy_join_keeps_node_counts(spark):
+    s = spark.createDataFrame([("a", 1, 5, 10.0), ("a", 2, 5, 20.0), ("b", 2, 5, 7.0)],
+                              "strategy string, nodes long, n_tasks long, seconds double")
+    got = sorted(tuple(r) for r in ct.strategy_join(s, ["a", "b"]).fillna(0).collect())
+    assert got == [(1, 5, 10.0, 0.0), (2, 5, 20.0, 7.0)]
+    c = {r.tasks_per_node: (r.sec_1, r.sec_2) for r in ct.node_contrast(
+        spark.createDataFrame([("e", 1, 2, 3.0), ("e", 2, 4, 5.0)], s.schema), [1, 2]).collect()}
+    assert c == {2: (3.0, 5.0)}
+
+
+def test_keys_beyond_32_bits(spark):
+    from fleetlane.functions.ids import standin_uuid
+    from fleetlane.operators import tasks as tk
+    keys = [1, (1 << 32) - 1, 1 << 32, (1 << 32) + 1, 1 << 40]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    lines = df.select(F.col("k").alias("pos"), F.concat(standin_uuid(F.col("k")), F.lit(":::logs/a:::b")).alias("value"))
+    parsed = tk.parse_completions(lines)
+    assert tk.first_completions(parsed).count() == 5 and {r.path for r in parsed.collect()} == {"logs/a:::b"}
+    tasks = df.select("k", F.col("k").alias("pos"), standin_uuid(F.col("k")).alias("uuid"), F.lit("i").alias("input"))
+    assert tk.pending_tasks(tasks, parsed).count() == 0
+    assert tk.completion_match(tasks, tk.first_completions(parsed)).count() == 5
+    arr = df.select(F.col("k").alias("pos"), (F.col("k") % 2).alias("day"))
+    got = [r.pos for r in pl.queue_length_at_arrival(arr, spark.createDataFrame([], "day long"))
+           .orderBy("queue_len").collect()]
+    assert got == sorted(keys, key=lambda k: (k % 2, k))
 
 
 def test_node_normalise_golden(spark):
@@ -113,22 +129,9 @@ def test_series_contrast_pivot(spark):
     assert rows == {0: (1.0, 2.0), 1: (3.0, None)}
 
 
-def test_large_input_fallbacks(spark):
-    from fleetlane.operators.indexing import maybe_broadcast, rank_by
-    names = spark.createDataFrame([(f"hadoop-master-{i}",) for i in range(300)], "name string")
-    small = {r.name: r.widx for r in rank_by(names, ["name"], "widx", bound=1000).collect()}
-    big = {r.name: r.widx for r in rank_by(names, ["name"], "widx", bound=10).collect()}  # range_rank path
-    assert small == big == {n: i for i, n in enumerate(sorted(small))}
-    df = maybe_broadcast(names, bound=10)  # too big: no hint
-    plan = df._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in plan.lower()
-    assert "broadcast" in maybe_broadcast(names, bound=1000)._jdf.queryExecution().logical().toString().lower()
-
-
 def test_queue_length_at_arrival(spark):
     # day 1: tasks 1,2 arrive; day 2: task 1 finishes, task 3 arrives; day 3: task 4 arrives
-    arr = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "pos long, day long").withColumn(
-        "order", F.col("day") * (1 << 32) + F.col("pos"))
+    arr = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "pos long, day long")
     rem = spark.createDataFrame([(2,)], "day long")
     got = {r.pos: r.queue_len for r in pl.queue_length_at_arrival(arr, rem).collect()}
     assert got == {1: 0, 2: 1, 3: 2, 4: 2}

@@ -4,6 +4,8 @@ duplicate rows really cross batch boundaries."""
 import datetime as dt
 import os
 
+import pytest
+
 import pandas as pd
 
 from fleetlane.operators import tasks as tk
@@ -46,19 +48,6 @@ def ev(i, minutes, user, typ, value=1.0):
     return (i, T0 + dt.timedelta(minutes=minutes), user, typ, value)
 
 
-def test_match_late_completion_dropped(spark, tmp_path):
-    folder = _batches(spark, str(tmp_path / "ev"), [
-        [ev(1, 0, 1, "signup"), ev(2, 10, 2, "signup")],
-        [ev(3, 30, 1, "purchase"), ev(4, 300, 9, "purchase")],  # watermark -> 04:00
-        [ev(6, 301, 9, "purchase")],   # request 2 (00:10 + 1 h < 04:00) is evicted: timeout
-        [ev(5, 20, 2, "purchase")],    # its completion arrives after that: dropped
-    ])
-    pairs = srun.run_append(spark, smt.match_stream_join(_stream(spark, folder)), "t_match",
-                            watermark_policy="max")
-    got = {r.req_id: (r.status, r.done_ts) for r in smt.first_match(pairs).collect()}
-    assert got == {1: ("success", T0 + dt.timedelta(minutes=30)), 2: ("timeout", None)}
-
-
 def test_dedup_within_watermark(spark, tmp_path):
     u = "5f0c2a10-1d3e-11ee-9c4b-0242ac120002"
     rows = [(0, f"{u}:::logs/a", T0), (1, f"sh x y z {u}", T0 + dt.timedelta(minutes=5)),
@@ -220,26 +209,14 @@ def test_stream_scale_carry_equals_batch(spark, tmp_path):
     rows = sorted((ev(i, rnd.randrange(0, 48 * 60), rnd.randrange(1, 9),
                       rnd.choice(["signup", "signup", "purchase", "view"])) for i in range(600)),
                   key=lambda r: r[1])
-    # split on hour boundaries so no tick spans two files
-    hours = sorted({r[1].replace(minute=0, second=0) for r in rows})
-    cuts = [hours[len(hours) * k // 5] for k in range(1, 5)]
-    parts, cur = [], []
-    for r in rows:
-        if cuts and r[1] >= cuts[0]:
-            parts.append(cur)
-            cur = []
-            cuts.pop(0)
-        cur.append(r)
-    parts.append(cur)
-    folder = _batches(spark, str(tmp_path / "sc"), [p for p in parts if p])
+    # ticks span files, and rows of neighbouring files overlap by minutes
+    parts = [sorted(rows[k * 120:(k + 1) * 120 + 5][5 * (k > 0):], key=lambda r: r[0]) for k in range(5)]
+    folder = _batches(spark, str(tmp_path / "sc"), parts)
     from pyspark.sql import functions as F
-    from pyspark.sql.types import _parse_datatype_string
-    s = srun.file_stream(spark, folder + "/*.parquet", _parse_datatype_string(SCHEMA), max_files=1)
-    deltas = (s.where(F.col("event_type").isin("signup", "purchase"))
-                .select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
-                        F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
-    got = srun.run_foreach_batch(spark, deltas, "t_scale", lambda df, b, o: ssc.decide_batch(df, b, o),
-                                 ssc.DECISION_SCHEMA)
+    s = _stream(spark, folder)
+    delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1)
+    got = srun.run_foreach_batch(spark, ssc.closed_ticks(s.withColumn("delta", delta)), "t_scale",
+                                 lambda df, b, o: ssc.decide_batch(df, b, o), ssc.DECISION_SCHEMA)
     batch = spark.createDataFrame(rows, SCHEMA)
     bd = (batch.where(F.col("event_type").isin("signup", "purchase"))
                .select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
@@ -274,3 +251,32 @@ def test_snapshot_files_stream_per_window(spark, tmp_path):
                           "t_snap")
     got = {r.w.start.timestamp(): r.cpu for r in out.collect()}  # naive local time, round-trips
     assert got == exp
+
+
+STREAM_KEYS = ["stream_match", "stream_lifecycle", "stream_usage", "stream_scale", "stream_dedup"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables not present")
+@pytest.mark.parametrize("key", STREAM_KEYS)
+def test_registered_streams_do_not_depend_on_batches(spark, tmp_path, monkeypatch, key):
+    """One batch against four files, one per batch."""
+    from fleetlane.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    name, order = ("lineitem", "l_shipdate") if key == "stream_dedup" else ("events", "ts")
+    t = spark.read.parquet(f"{sf}/{name}.parquet").toPandas().sort_values(order, kind="stable")
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    folder = tmp_path / f"{name}.parquet"
+    folder.mkdir()
+    for i in range(4):
+        sub = str(tmp_path / f"part{i}")
+        part = t.iloc[len(t) * i // 4:len(t) * (i + 1) // 4]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(sub)
+        f = [x for x in os.listdir(sub) if x.endswith(".parquet")][0]
+        os.replace(os.path.join(sub, f), folder / f"b{i}.parquet")
+        os.utime(folder / f"b{i}.parquet", (1_700_000_000 + i * 10,) * 2)
+    one = sorted(map(str, catalog.REGISTRY[key](spark, sf).collect()))
+    real = srun.file_stream
+    monkeypatch.setattr(catalog.srun, "file_stream",
+                        lambda s, p, sc, fmt="parquet", max_files=None: real(s, p, sc, fmt, 1))
+    assert sorted(map(str, catalog.REGISTRY[key](spark, str(tmp_path)).collect())) == one
+    assert one

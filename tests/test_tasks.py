@@ -125,8 +125,8 @@ def test_requests_variants(spark):
     df = spark.createDataFrame(rows, "id long, variant string, body string")
     got = {r.id: r for r in parse_requests(df).collect()}
     assert got[1].accepted and got[1].code == 200
-    assert got[2].error == "missing parameter: input" and got[2].code == 400
-    assert got[3].error == "missing parameter: output"
+    assert got[2].error == "required key absent: input" and got[2].code == 400
+    assert got[3].error == "required key absent: output"
     assert not got[4].accepted
     assert got[5].accepted and got[5].output == ""
     assert got[6].accepted  # blank is fine outside the pipeline variant

@@ -69,9 +69,9 @@ iv AS (
   UNION ALL SELECT list, rule, (day + 120 + h % 90) * 86400, NULL FROM d),
 c AS (
   SELECT page_id, t, unnest(list_distinct(list_concat(
-    list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, len(list_filter(string_split(path, '/'), s -> s <> '')) + 1),
-      i -> host || '/' || array_to_string(list_filter(string_split(path, '/'), s -> s <> '')[1:i], '/'))))) AS rule
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(list_filter(string_split(path, '/'), lambda s: s <> '')) + 1),
+      lambda i: host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda s: s <> '')[1:i], '/'))))) AS rule
   FROM p WHERE host <> ''),
 m AS (
   SELECT page_id, rule, count(*) AS n, max(valid_from) AS valid_from, list(list) AS lists

@@ -103,6 +103,8 @@ def mixed_id(col: str | Column) -> Column:
 
 # ---- connected components ----------------------------------------------
 
+TASK_LINKS = 50_000
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of BIGINT vertices -> (node, comp), comp = smallest
     vertex reachable.  Each round takes the least label of a vertex's
@@ -111,17 +113,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     longest chain.  Labels are cut from their lineage by checkpoint()."""
     both = (edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
                  .where(F.col("a") != F.col("b")).distinct().checkpoint())
+    # a task for every so many links: few links make few tasks and files
+    tasks = 1 + both.count() // TASK_LINKS
+    both = both.coalesce(tasks)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-    labels = labels.select("node", F.least("node", "m").alias("comp")).checkpoint()
+    labels = labels.select("node", F.least("node", "m").alias("comp")).coalesce(tasks).checkpoint()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").coalesce(tasks)
         said = (near.select(F.col("a").alias("node"), "comp", F.lit(None).cast("bigint").alias("old"))
                     .unionAll(labels.select("node", "comp", F.col("comp").alias("old"))))
-        hook = said.groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old"))
+        hook = said.groupBy("node").agg(F.min("comp").alias("comp"), F.max("old").alias("old")).coalesce(tasks)
         up = hook.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = (hook.join(up, "comp", "left")
                    .select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-                   .checkpoint())
+                   .coalesce(tasks).checkpoint())
         if new.where("old != comp").limit(1).count() == 0:
             return new.select("node", "comp")
         labels = new.select("node", "comp")

@@ -44,9 +44,9 @@ class SegmentTokenizer:
     Such a vocabulary never joins bytes across the space before a word, so
     texts are cut before each single space and the ids of a cut are kept,
     for the worker's next tasks too, up to a fixed number of cuts.  Texts
-    with two spaces in a row are encoded whole."""
+    with two spaces in a row or a NUL are encoded whole."""
 
-    LIMIT = 800_000
+    LIMIT = 1_000_000
     _OPEN: dict[str, SegmentTokenizer] = {}
 
     @classmethod
@@ -59,44 +59,86 @@ class SegmentTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        nul = self.tok.encode("\0", add_special_tokens=False).ids
+        holds = [i for t, i in self.tok.get_vocab().items() if "\u0100" in t]  # how byte-level BPE spells byte 0
+        self.nul = nul[0] if nul == holds else None
         self.code: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _add(self, segments: list[str]) -> None:
-        encoded = [e.ids for e in self.tok.encode_batch(segments, add_special_tokens=False)]
+    def _encode_new(self, keys: list[str]) -> list:
+        """Ids of every cut.  Cuts are encoded many at a time with a NUL
+        between them, which no entry of the vocabulary joins to other
+        bytes; those that end in white space, alone."""
+        segments = [k[1:] if k[:1] == "\0" else " " + k for k in keys]
+        alone = [i for i, s in enumerate(segments) if self.nul is None or s[-1].isspace()]
+        out: list = [None] * len(segments)
+        for i, e in zip(alone, self.tok.encode_batch_fast([segments[i] for i in alone], add_special_tokens=False)):
+            out[i] = e.ids
+        rest = [i for i in range(len(segments)) if out[i] is None]
+        runs = [rest[i:i + 64] for i in range(0, len(rest), 64)]
+        joined = self.tok.encode_batch_fast(["\0".join(segments[i] for i in r) for r in runs], add_special_tokens=False)
+        for r, e in zip(runs, joined):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.nul)
+            for i, lo, hi in zip(r, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
+                out[i] = ids[lo:hi]
+        return out
+
+    def _add(self, keys: list[str]) -> None:
+        encoded = self._encode_new(keys)
         n = np.array([len(x) for x in encoded], np.int64)
         first, total = len(self.code), self.used + int(n.sum())
         while first + len(n) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while total > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used:total] = np.fromiter((i for x in encoded for i in x), np.uint32, total - self.used)
+        self.ids[self.used:total] = np.concatenate([np.asarray(x, np.uint32) for x in encoded])
         self.size[first:first + len(n)] = n
         self.start[first:first + len(n)] = self.used + np.cumsum(n) - n
         self.used = total
-        for j, s in enumerate(segments):
-            self.code[s] = first + j
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if "  " in text:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
-        head, *tail = text.split(" ")
-        segments = ([head] if head else []) + [" " + s for s in tail]
-        used, new = self.used, [s for s in dict.fromkeys(segments) if s not in self.code]
+        self.code.update(zip(keys, range(first, first + len(n))))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        flat, n_cuts, whole = [], [], {}
+        for r, t in enumerate(texts):
+            # a cut's key is the word without its space; the first has a NUL
+            if "  " in t or "\0" in t:
+                whole[r] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
+                n_cuts.append(0)
+                continue
+            cuts = t.split(" ")
+            cuts[:1] = ["\0" + cuts[0]] if cuts[0] else []
+            flat += cuts
+            n_cuts.append(len(cuts))
+        got = list(map(self.code.get, flat))
+        used, new = self.used, dict.fromkeys(k for k, c in zip(flat, got) if c is None) if None in got else {}
         if new:
-            self._add(new)
-        at = np.fromiter(map(self.code.__getitem__, segments), np.int64, len(segments))
+            self._add(list(new))
+            got = [self.code[k] if c is None else c for k, c in zip(flat, got)]
+        at = np.array(got, np.int64)
         n = self.size[at]
-        move = np.repeat(self.start[at] - (np.cumsum(n) - n), n)
-        out = self.ids[np.arange(int(n.sum())) + move]
+        end = np.concatenate([[0], np.cumsum(n)])
+        ids = self.ids[np.arange(end[-1]) + np.repeat(self.start[at] - end[:-1], n)]
         if len(self.code) > self.LIMIT:  # full: keep what was there before
             self.used = used
-            for s in new:
-                del self.code[s]
-        return out
+            for k in new:
+                del self.code[k]
+        bound = end[np.concatenate([[0], np.cumsum(n_cuts)]).astype(int)]
+        return [whole[r] if r in whole else ids[bound[r]:bound[r + 1]] for r in range(len(texts))]
+
+
+def _slices(texts: list, size: int = 1 << 21):
+    """Row ranges of about ``size`` characters."""
+    lo = 0
+    while lo < len(texts):
+        hi, n = lo, 0
+        while hi < len(texts) and (hi == lo or n + len(texts[hi] or "") <= size):
+            n += len(texts[hi] or "")
+            hi += 1
+        yield lo, hi
+        lo = hi
 
 
 class Packer:
@@ -134,8 +176,10 @@ def _pack(tokenizer: str, p: PackParams):
         packer = Packer(p, part << 32)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(tok.encode(text or ""), np.uint32(p.end_id)).astype("<u4")
+            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            encoded = (x for lo, hi in _slices(texts) for x in tok.encode(texts[lo:hi]))
+            for doc, ids in zip(docs, encoded):
+                ids = np.append(ids, np.uint32(p.end_id)).astype("<u4")
                 for s in range(0, len(ids), p.length):
                     piece = ids[s:s + p.length]
                     window, at = packer.place(len(piece))

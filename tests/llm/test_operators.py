@@ -150,7 +150,7 @@ def test_packing(llm):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(["a", "the", " ", "  ", "\n", "é", " ", "'s", "1", ".", "\t"]) for _ in range(rnd.randint(0, 300)))
-             for _ in range(120)] + [None, "", "x y " * 3000, "same", "same", "<|endoftext|> q"]
+             for _ in range(120)] + [None, "", "x y " * 3000, "same", "same", "<|endoftext|> q", "a\0b \0 c", "end \n\n", "\n x\n\n\n y"]
     df = docs(llm, texts).repartition(3)
     out = packing.pack(df, path, packing.PackParams(length=128, open_windows=4)).collect()
     from tokenizers import Tokenizer

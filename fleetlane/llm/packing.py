@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ class SegmentTokenizer:
     for the worker's next tasks too, up to a fixed number of cuts.  Texts
     with two spaces in a row or a NUL are encoded whole."""
 
-    LIMIT = 1_000_000
+    LIMIT = 2_000_000
     _OPEN: dict[str, SegmentTokenizer] = {}
 
     @classmethod
@@ -62,83 +63,63 @@ class SegmentTokenizer:
         nul = self.tok.encode("\0", add_special_tokens=False).ids
         holds = [i for t, i in self.tok.get_vocab().items() if "\u0100" in t]  # how byte-level BPE spells byte 0
         self.nul = nul[0] if nul == holds else None
-        self.code: dict[str, int] = {}
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def _encode_new(self, keys: list[str]) -> list:
-        """Ids of every cut.  Cuts are encoded many at a time with a NUL
-        between them, which no entry of the vocabulary joins to other
-        bytes; those that end in white space, alone."""
-        segments = [k[1:] if k[:1] == "\0" else " " + k for k in keys]
-        alone = [i for i, s in enumerate(segments) if self.nul is None or s[-1].isspace()]
-        out: list = [None] * len(segments)
-        for i, e in zip(alone, self.tok.encode_batch_fast([segments[i] for i in alone], add_special_tokens=False)):
-            out[i] = e.ids
-        rest = [i for i in range(len(segments)) if out[i] is None]
-        runs = [rest[i:i + 64] for i in range(0, len(rest), 64)]
-        joined = self.tok.encode_batch_fast(["\0".join(segments[i] for i in r) for r in runs], add_special_tokens=False)
-        for r, e in zip(runs, joined):
-            ids = np.array(e.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.nul)
-            for i, lo, hi in zip(r, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
-                out[i] = ids[lo:hi]
-        return out
-
-    def _add(self, keys: list[str]) -> None:
-        encoded = self._encode_new(keys)
-        n = np.array([len(x) for x in encoded], np.int64)
-        first, total = len(self.code), self.used + int(n.sum())
-        while first + len(n) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used:total] = np.concatenate([np.asarray(x, np.uint32) for x in encoded])
-        self.size[first:first + len(n)] = n
-        self.start[first:first + len(n)] = self.used + np.cumsum(n) - n
-        self.used = total
-        self.code.update(zip(keys, range(first, first + len(n))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        flat, n_cuts, whole = [], [], {}
-        for r, t in enumerate(texts):
-            # a cut's key is the word without its space; the first has a NUL
-            if "  " in t or "\0" in t:
-                whole[r] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-                n_cuts.append(0)
-                continue
-            cuts = t.split(" ")
-            cuts[:1] = ["\0" + cuts[0]] if cuts[0] else []
-            flat += cuts
-            n_cuts.append(len(cuts))
-        got = list(map(self.code.get, flat))
-        used, new = self.used, dict.fromkeys(k for k, c in zip(flat, got) if c is None) if None in got else {}
-        if new:
-            self._add(list(new))
-            got = [self.code[k] if c is None else c for k, c in zip(flat, got)]
-        at = np.array(got, np.int64)
-        n = self.size[at]
+        self.keys, self.ends, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode_new(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(cuts, number of ids of each, all ids).  Cuts are encoded many at
+        a time with a NUL between them, which no entry of the vocabulary
+        joins to other bytes; those that end in white space, alone."""
+        segments = pc.if_else(pc.starts_with(keys, "\0"), pc.utf8_slice_codeunits(keys, 1),
+                              pc.binary_join_element_wise(" ", keys, ""))
+        alone = pc.utf8_is_space(pc.utf8_slice_codeunits(segments, -1))
+        if self.nul is None:
+            alone = pa.array(np.ones(len(keys), bool))
+        joint = segments.filter(pc.invert(alone))
+        runs = pa.ListArray.from_arrays(pa.array([*range(0, len(joint), 64), len(joint)], pa.int32()), joint)
+        runs = pc.binary_join(runs, "\0").to_pylist() if len(joint) else []
+        encoded = self.tok.encode_batch_fast(runs, add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array([*e.ids, self.nul], np.uint32) for e in encoded)])
+        n = np.diff(np.flatnonzero(flat == self.nul), prepend=-1) - 1
+        single = self.tok.encode_batch_fast(segments.filter(alone).to_pylist(), add_special_tokens=False)
+        single = [np.array(e.ids, np.uint32) for e in single]
+        return (pa.concat_arrays([keys.filter(pc.invert(alone)), keys.filter(alone)]),
+                np.concatenate([n, [len(i) for i in single]]).astype(np.int64),
+                np.concatenate([flat[flat != self.nul] if len(flat) else flat, *single]))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text.  Cuts are numbered by Arrow, and no string of
+        theirs is made in Python."""
+        texts = texts.cast(pa.string())
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\0"))
+        whole = {r: np.array(self.tok.encode(texts[r].as_py(), add_special_tokens=False).ids, np.uint32)
+                 for r in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        # a cut's key is the word without its space; the first has a NUL
+        cuts = pc.split_pattern(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), " ")
+        words = cuts.flatten().dictionary_encode()
+        keys, ends, all_ids = self.keys, self.ends, self.ids
+        at = pc.index_in(words.dictionary, value_set=keys)
+        if at.null_count:
+            new, n, ids = self._encode_new(words.dictionary.filter(pc.is_null(at)))
+            keys = pa.concat_arrays([keys, new])
+            ends, all_ids = np.concatenate([ends, ends[-1] + np.cumsum(n)]), np.concatenate([all_ids, ids])
+            at = pc.index_in(words.dictionary, value_set=keys)
+            if len(keys) <= self.LIMIT:
+                self.keys, self.ends, self.ids = keys, ends, all_ids
+        at = at.to_numpy()[words.indices.to_numpy()]
+        start, n = ends[at], np.diff(ends)[at]
         end = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.arange(end[-1]) + np.repeat(self.start[at] - end[:-1], n)]
-        if len(self.code) > self.LIMIT:  # full: keep what was there before
-            self.used = used
-            for k in new:
-                del self.code[k]
-        bound = end[np.concatenate([[0], np.cumsum(n_cuts)]).astype(int)]
+        ids = all_ids[np.arange(end[-1]) + np.repeat(start - end[:-1], n)]
+        bound = end[np.concatenate([[0], np.cumsum(cuts.value_lengths().to_numpy())])]
         return [whole[r] if r in whole else ids[bound[r]:bound[r + 1]] for r in range(len(texts))]
 
 
-def _slices(texts: list, size: int = 1 << 21):
-    """Row ranges of about ``size`` characters."""
-    lo = 0
-    while lo < len(texts):
-        hi, n = lo, 0
-        while hi < len(texts) and (hi == lo or n + len(texts[hi] or "") <= size):
-            n += len(texts[hi] or "")
-            hi += 1
-        yield lo, hi
-        lo = hi
+def _slices(texts: pa.Array, size: int = 1 << 23):
+    """Slices of about ``size`` bytes."""
+    if len(texts):
+        grown = np.cumsum(pc.binary_length(texts).to_numpy())
+        cut = np.flatnonzero(np.diff(grown // size)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
+            yield texts.slice(lo, hi - lo)
 
 
 class Packer:
@@ -176,9 +157,8 @@ def _pack(tokenizer: str, p: PackParams):
         packer = Packer(p, part << 32)
         for b in batches:
             rows = []
-            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            encoded = (x for lo, hi in _slices(texts) for x in tok.encode(texts[lo:hi]))
-            for doc, ids in zip(docs, encoded):
+            encoded = (x for texts in _slices(pc.fill_null(b.column(1), "")) for x in tok.encode(texts))
+            for doc, ids in zip(b.column(0).to_pylist(), encoded):
                 ids = np.append(ids, np.uint32(p.end_id)).astype("<u4")
                 for s in range(0, len(ids), p.length):
                     piece = ids[s:s + p.length]

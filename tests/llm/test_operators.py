@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,22 @@ def test_packing(llm):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_segment_tokenizer_keeps_a_bounded_number_of_cuts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = packing.SegmentTokenizer(path)
+    tok.LIMIT = 40
+    rnd = random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(rnd.choice(["a", "é.", "\nthe", "x\t", "", "12th", "don't", chr(rnd.randint(0x21, 0x3100))])
+                          for _ in range(rnd.randint(0, 12))) for _ in range(9)]
+        for t, ids in zip(texts, tok.encode(pa.array(texts, pa.string()))):
+            assert ids.tolist() == tok.tok.encode(t, add_special_tokens=False).ids
+    assert 0 < len(tok.keys) <= 40
+    for texts in (["a  b", "\0"], ["", ""], [" "]):
+        assert [i.tolist() for i in tok.encode(pa.array(texts))] == [
+            tok.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # ---- 6 class language model -------------------------------------------------
 
 def test_class_model(llm):

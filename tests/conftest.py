@@ -19,13 +19,3 @@ def spark():
     s = build_session("local[4]", shuffle_partitions=8, app="fleetlane-tests")
     yield s
     s.stop()
-
-
-def write_files(root, files: dict):
-    """files: relative path -> text."""
-    for rel, text in files.items():
-        p = os.path.join(root, rel)
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        with open(p, "w", encoding="utf-8") as f:
-            f.write(text)
-    return root

@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import write_files
+from file_trees import write_files
 from fleetlane import jobs
 from test_usage import _tree
 from test_wordcount import GOLDEN, SETS

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from file_trees import write_files
 from fleetlane.functions.ids import uuid_v1_time
 from fleetlane.functions.paths import normalise_log_path
 from fleetlane.operators import tasks as tk

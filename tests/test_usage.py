@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from file_trees import write_files
 from fleetlane.operators import usage as us
 from fleetlane.sinks import writers
 from fleetlane.sources.stats import read_snapshots

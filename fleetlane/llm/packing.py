@@ -68,10 +68,12 @@ class SegmentTokenizer:
     def _encode_new(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(cuts, number of ids of each, all ids).  Cuts are encoded many at
         a time with a NUL between them, which no entry of the vocabulary
-        joins to other bytes; those that end in white space, alone."""
+        joins to other bytes; alone those that end in white space, and a
+        text's first that starts with an apostrophe: after a NUL it would
+        be punctuation, not the start of a contraction."""
         segments = pc.if_else(pc.starts_with(keys, "\0"), pc.utf8_slice_codeunits(keys, 1),
                               pc.binary_join_element_wise(" ", keys, ""))
-        alone = pc.utf8_is_space(pc.utf8_slice_codeunits(segments, -1))
+        alone = pc.or_(pc.utf8_is_space(pc.utf8_slice_codeunits(segments, -1)), pc.starts_with(keys, "\0'"))
         if self.nul is None:
             alone = pa.array(np.ones(len(keys), bool))
         joint = segments.filter(pc.invert(alone))

@@ -190,6 +190,16 @@ def test_segment_tokenizer_keeps_a_bounded_number_of_cuts():
             tok.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_contractions_that_start_a_text_anywhere_in_a_batch():
+    tok = packing.SegmentTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    starts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'tis", "'", "''s", "'S", "!'s", "’s"]
+    texts = [t for i, s in enumerate(starts) for t in (f"w{i}", f"{s}", f"{s} x", f"{s}. {s}", f"v{i}'", f"{s}{i}")]
+    for part in (texts, texts[::-1], texts * 3):
+        for t, ids in zip(part, tok.encode(pa.array(part, pa.string()))):
+            assert ids.tolist() == tok.tok.encode(t, add_special_tokens=False).ids, t
+        tok = packing.SegmentTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # ---- 6 class language model -------------------------------------------------
 
 def test_class_model(llm):

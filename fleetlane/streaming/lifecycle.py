@@ -7,12 +7,16 @@ ignored, as is a completion with no open task.  A task still open
 shows it, or the watermark passes submit + timeout (state timeout).
 Output: one row per finished task (key, submit_us, end_us, status).
 
-This is the one Python-stateful operator: the state is O(1) per key and
-the function consumes the key's rows batch by batch.
+Events wait in the key's state until the watermark has passed them and are
+then folded in time order, so rows that come late, but within the delay,
+give what they would have given in order, whatever micro-batch they are in.
+
+The state of a key is its open task and its events of the watermark delay.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from fleetlane.streaming.runner import END_TYPE
 
 OUT_SCHEMA = "key long, submit_us long, end_us long, status string"
-STATE_SCHEMA = "status string, submit_us long"
+STATE_SCHEMA = "status string, submit_us long, t_us array<long>, event_id array<long>, event_type array<string>"
 RUNNING_TYPES = ("click", "view")
 
 
@@ -61,27 +65,31 @@ def _fn(timeout_s: int):
                 pass
             return
         k = int(key[0])
-        if state.hasTimedOut:
-            status, submit = state.get
+        wm_ms = state.getCurrentWatermarkMs()
+        open_task, waiting = None, []
+        if state.exists:
+            status, submit, *cols = state.get
+            open_task = None if status is None else (status, submit)
+            waiting = list(zip(*cols))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                waiting += zip(pdf["t_us"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist())
+        # no row at or before the watermark can come any more
+        waiting.sort(key=lambda e: e[:2])
+        final = bisect_right(waiting, wm_ms * 1000, key=lambda e: e[0])
+        out, open_task = step(((t, typ) for t, _, typ in waiting[:final]), open_task, timeout_us)
+        waiting = waiting[final:]
+        if open_task is not None and open_task[1] + timeout_us <= wm_ms * 1000:
+            out.append((open_task[1], open_task[1] + timeout_us, "timeout"))
+            open_task = None
+        if open_task is not None or waiting:
+            due = [waiting[0][0]] if waiting else []
+            due += [open_task[1] + timeout_us] if open_task is not None else []
+            cols = [list(c) for c in zip(*waiting)] if waiting else [[], [], []]
+            state.update((*(open_task or (None, None)), *cols))
+            state.setTimeoutTimestamp(max(min(due) // 1000 + 1, wm_ms + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(k, submit, submit + timeout_us, "timeout")],
-                               columns=["key", "submit_us", "end_us", "status"])
-            return
-        open_task = tuple(state.get) if state.exists else None
-        evs = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "event_id"], kind="stable")
-        out, open_task = step(zip(evs["t_us"].tolist(), evs["event_type"].tolist()), open_task,
-                              timeout_us)
-        if open_task is not None:
-            due_ms = (open_task[1] + timeout_us) // 1000 + 1
-            if due_ms <= state.getCurrentWatermarkMs():  # late submit: already expired
-                out.append((open_task[1], open_task[1] + timeout_us, "timeout"))
-                open_task = None
-        if open_task is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(open_task)
-            state.setTimeoutTimestamp(due_ms)
         if out:
             yield pd.DataFrame([(k, s, e, st) for s, e, st in out],
                                columns=["key", "submit_us", "end_us", "status"])

@@ -3,6 +3,7 @@ duplicate rows really cross batch boundaries."""
 
 import datetime as dt
 import os
+import random
 
 import pytest
 
@@ -85,6 +86,22 @@ def test_lifecycle_matches_brute_force(spark, tmp_path):
     assert {st for *_, st in got} == {"success", "timeout"}
 
 
+def test_lifecycle_of_files_whose_times_overlap(spark, tmp_path):
+    late = [[ev(1, 5, 1, "signup"), ev(2, 0, 2, "signup"), ev(3, 30, 2, "purchase")],
+            [ev(4, 1, 1, "signup"), ev(5, 3, 1, "purchase"), ev(6, 10, 2, "error"), ev(7, 20, 2, "signup")],
+            [ev(8, 50, 1, "purchase"), ev(9, 40, 3, "signup"), ev(10, 20, 3, "signup")]]
+    # minutes 0 to 200 shuffled by at most 45: inside the delay of an hour
+    rnd = random.Random(4)
+    types = ["signup", "signup", "click", "purchase", "error", "view"]
+    rows = [ev(20 + m, m, 10 + m % 3, rnd.choice(types)) for m in range(200)]
+    rows.sort(key=lambda r: r[1] + dt.timedelta(minutes=rnd.randint(0, 45)))
+    late += [rows[i:i + 20] for i in range(0, 200, 20)]
+    folder = _batches(spark, str(tmp_path / "lo"), late)
+    out = srun.run_append(spark, slc.lifecycle_stream(_stream(spark, folder)), "t_lo")
+    got = sorted((r.key, r.submit_us, r.end_us, r.status) for r in out.collect())
+    assert got == sorted(_brute_lifecycle([r for b in late for r in b]))
+
+
 def test_usage_windows_equal_batch(spark, tmp_path):
     rows = [(i, T0 + dt.timedelta(seconds=3 * i), 1, "view", float(i)) for i in range(40)]
     folder = _batches(spark, str(tmp_path / "u"), [rows[:15], rows[15:30], rows[30:]])

@@ -1,19 +1,24 @@
 """Brown class-based bigram language model.
 
-Tokens are words (A-Z lower-cased) and one end after each text.  Words with
-at least a set share of all tokens are clustered one by one; every other
-word belongs to one of a fixed number of units by its hash, so the
-number of units is bounded whatever the vocabulary.  Exchange clustering
-gives each unit the class that raises the likelihood of the class bigrams
-most, given all others' classes; units are kept by task, a random half may
-move each round, and the table of class bigrams is summed anew after it.
+Tokens are words (A-Z lower-cased) and one end after each text.  Every
+training word is a unit of the exchange clustering: it gets the class that
+raises the likelihood of the class bigrams most, given all others' classes.
+Words with a larger share than ``known_share`` (a bounded number) and their
+classes are sent to every task; all others live in blocks by hash, whose
+number follows from the vocabulary and no setting.  A pair of words is kept
+in the block of its rarer word, in both blocks if both are rare.  A round
+joins each block's pairs with its words' classes, sends the counts (word,
+side, class) to the block of the word, and moves a random half of the words
+there: those above ``unit_share`` one at a time, the others ``tail_units``
+at a time against one table of class bigrams.  The table is summed anew
+before each round.
 
 A token's probability is its class's after the class before it, times the
 word's within its class, both with add-constant smoothing; every class
-keeps the mass of one unseen word.  Word counts and class bigrams cover all
-training texts.  Words with a larger share than ``known_share`` (a bounded
-number) are scored where the text is read; the counts of rarer ones come by
-a join on the word's hash, summed per text and word first.
+keeps the mass of one unseen word.  A word never seen in training has no
+class of its own: in each text it gets the one that makes the text most
+probable beside the words whose class is known.  Counts and classes of rarer words
+come by a join on the word's hash, once per text and word.
 
 Edge cases: null and blank texts are one end token; with no training texts
 all counts are zero; repeated rows are scored alike; a null id is kept;
@@ -22,11 +27,13 @@ empty tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlane.llm.common import mix64
@@ -36,15 +43,17 @@ from fleetlane.llm.words import batch_hashes
 @dataclass(frozen=True)
 class ClassLmParams:
     classes: int = 32
-    unit_share: float = 1 / 30_000    # words clustered one by one: at most 30,000
-    known_share: float = 1 / 200_000  # words scored without a join: at most 200,000
-    tail_units: int = 1024            # units of all other words
+    unit_share: float = 1 / 30_000    # words moved one at a time: at most 30,000
+    known_share: float = 1 / 200_000  # words sent to every task: at most 200,000
+    tail_units: int = 1024            # rarer words moved at a time
+    block_words: int = 50_000         # words of a block, about
     rounds: int = 6
     smooth: float = 0.5
     seed: int = 3
 
 
 END = np.uint64(0x5DEECE66D1234567)  # hash of the end token
+END_ID = int(np.array([END]).view(np.int64)[0])
 
 
 def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -57,23 +66,6 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
 
-class Units:
-    """Unit of a word hash: its own number, or a tail unit by hash bits."""
-
-    def __init__(self, own: np.ndarray, tail: int):
-        self.own, self.tail = own, tail  # sorted hashes of single words
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.own, h)
-        hit = (at < len(self.own)) & (self.own[np.minimum(at, max(0, len(self.own) - 1))] == h) \
-            if len(self.own) else np.zeros(len(h), bool)
-        rest = len(self.own) + (mix64(h) % np.uint64(self.tail)).astype(np.int64)
-        return np.where(hit, at, rest)
-
-    def __len__(self) -> int:
-        return len(self.own) + self.tail
-
-
 def _sum_pairs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     k, v = keys[order], n[order]
@@ -122,98 +114,299 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(table: np.ndarray, cls: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """One sweep over units: class of each that raises the class bigram
-    likelihood most, given the others.  left/right: counts of the classes
-    before/after each unit without itself; own: counts of the unit after
-    itself; table (classes x classes) is kept up to date."""
-    t = table.astype(np.float64)
-    out = cls.copy()
-    for u in range(len(cls)):
-        a, le, ri, s = out[u], left[u], right[u], own[u]
-        t[a, :] -= ri
-        t[:, a] -= le
-        t[a, a] -= s
-        rows, cols, diag = t.sum(1), t.sum(0), t.diagonal()
-        gain = (_phi(t + ri[None, :]) - _phi(t)).sum(1) + (_phi(t + le[:, None]) - _phi(t)).sum(0)
-        gain -= _phi(diag + ri) - _phi(diag) + _phi(diag + le) - _phi(diag)
-        gain += _phi(diag + ri + le + s) - _phi(diag)
-        gain -= _phi(rows + ri.sum() + s) - _phi(rows) + _phi(cols + le.sum() + s) - _phi(cols)
-        b = int(np.argmax(gain)) if gain.max() > gain[a] + 1e-9 else a
-        t[b, :] += ri
-        t[:, b] += le
-        t[b, b] += s
+def gains(t: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """(units x classes) what the class bigram likelihood gains over leaving
+    a unit out if it is put into a class, all others staying.  at: classes
+    now; left/right: counts of the classes before/after each unit without
+    itself; own: counts of the unit after itself; t: class bigrams."""
+    m, k = left.shape
+    unit = np.arange(m)
+    out = np.zeros((m, k))
+    few = np.arange(1, 17)[:, None, None]
+    for x, y, tt in ((right, left, t.T), (left, right, t)):  # tt[c, b]: the cell that class c and class b share
+        u, c = np.nonzero(x)
+        n, a = x[u, c], at[u]
+        if m > 64:  # small counts by a table
+            step = _phi(tt + few) - _phi(tt)
+            small = n <= 16
+            g = np.empty((len(u), k))
+            g[small] = step[n[small].astype(np.int64) - 1, c[small]]
+            cell = tt[c[~small]]
+            g[~small] = _phi(cell + n[~small, None]) - _phi(cell)
+        else:
+            cell = tt[c]
+            g = _phi(cell + n[:, None]) - _phi(cell)
+        e = np.arange(len(u))
+        cell = tt[c, a] - n
+        g[e, a] = _phi(cell + n) - _phi(cell)
+        same = np.flatnonzero(c == a)  # the unit's own counts are in all these cells
+        cell = tt[c[same]] - y[u[same]]
+        cell[np.arange(len(same)), a[same]] -= n[same] + own[u[same]]
+        g[same] = _phi(cell + n[same, None]) - _phi(cell)
+        first = np.flatnonzero(np.diff(u, prepend=-1))
+        if len(u):
+            out[u[first]] += np.add.reduceat(g, first, axis=0)
+    both = left + right + own[:, None]
+    d = np.repeat(t.diagonal()[None, :], m, axis=0)
+    d[unit, at] -= both[unit, at]
+    out += _phi(d + both) + _phi(d) - _phi(d + left) - _phi(d + right)
+    for total, x in ((t.sum(1), right), (t.sum(0), left)):
+        n = x.sum(1) + own
+        d = np.repeat(total[None, :], m, axis=0)
+        d[unit, at] -= n
+        out -= _phi(d + n[:, None]) - _phi(d)
+    return out
+
+
+def exchange(t: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray,
+             alone: np.ndarray, together: int) -> np.ndarray:
+    """One sweep over units, those marked ``alone`` first and one by one;
+    the last class is the end's and takes none."""
+    t, out = t.astype(np.float64), at.copy()
+    rest = np.flatnonzero(~alone)
+    for u in [*np.flatnonzero(alone)[:, None], *(rest[i:i + together] for i in range(0, len(rest), together))]:
+        g, a = gains(t, out[u], left[u], right[u], own[u]), out[u]
+        g[:, -1] = -np.inf
+        e = np.arange(len(u))
+        b = np.argmax(g, axis=1)
+        b = np.where(g[e, b] > g[e, a] + 1e-9, b, a)
+        go = b != a
+        for c, sign in ((a[go], -1), (b[go], 1)):
+            np.add.at(t, c, sign * right[u[go]])
+            np.add.at(t.T, c, sign * left[u[go]])
+            np.add.at(t, (c, c), sign * own[u[go]])
         out[u] = b
     return out
 
 
-_PACKED = "unit binary, side binary, other binary, n binary"
+# ---- blocks: the word table and the pairs, by hash ----------------------
 
+def _dump(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-def _packed(batches):
-    """Rows (unit, side, other, n) of a partition as a few rows of flat
-    arrays, which later rounds read at once."""
-    held, size = [], 0
 
-    def flush():
-        cols = [np.concatenate(c).astype(t).tobytes() for c, t in zip(zip(*held), ("<i4", "i1", "<i4", "<i8"))]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cols],
-                                          names=["unit", "side", "other", "n"])
+def _load(b: bytes, t: str) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], n, "zstd", asbytes=True) if n else b"", t)
 
-    for b in batches:
-        held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-        size += b.num_rows
-        if size >= 1_000_000:
-            yield flush()
-            size = 0
-    if held:
-        yield flush()
 
+@dataclass
+class Blocks:
+    """A word's code is its number among the known words or else its hash."""
 
-def _unpacked(b):
-    """The arrays of every row of a batch of _packed()."""
-    for r in range(b.num_rows):
-        yield [np.frombuffer(b.column(i)[r].as_py(), t) for i, t in enumerate(("<i4", "i1", "<i4", "<i8"))]
+    known: np.ndarray  # sorted hashes
+    number: int
+    params: ClassLmParams
 
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[at] == h, at.astype(np.uint64), h)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        return (mix64(code + np.uint64(1)) % np.uint64(self.number)).astype(np.int32)
+
+    def first_class(self, code: np.ndarray) -> np.ndarray:
+        x = mix64(code * np.uint64(2 * self.params.seed + 1) + np.uint64(7))
+        return (x % np.uint64(self.params.classes)).astype(np.int64)
+
+    def turn(self, code: np.ndarray, turn: int) -> np.ndarray:
+        x = mix64(mix64(code + np.uint64(1)) * np.uint64(2 * (self.params.seed + turn // 2) + 1))
+        return (x >> np.uint64(7)) % np.uint64(2) == turn % 2
+
+
+def _sum_words(a: np.ndarray, b: np.ndarray, n: np.ndarray):
+    order = np.argsort(mix64(a * np.uint64(0x9E3779B97F4A7C15) + mix64(b)))
+    a, b, n = a[order], b[order], n[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    return a[first], b[first], np.add.reduceat(n, first) if len(n) else n
+
+
+def _dealt(block: np.ndarray, cols: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """One row a block, of flat arrays."""
+    order = np.argsort(block, kind="stable")
+    block, cols = block[order], [c[order] for c in cols]
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    ends = [*first[1:].tolist(), len(block)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block[first], pa.int32()),
+         *(pa.array([_dump(c[i:j]) for i, j in zip(first.tolist(), ends)], pa.binary()) for c in cols)],
+        names=["block", *names])
+
+
+_PAIRS = "block int, a binary, b binary, n binary"
+_STORED = "block int, words binary, a binary, b binary, n binary"
+_SUMS = "block int, u binary, what binary, n binary"
+_MOVED = "block int, cls binary, known binary, known_cls binary, moved bigint, offered bigint"
+
+
+def _pairs(shared):
+    """mapInArrow over texts: counted word pairs, dealt to their blocks."""
+    def deal(held):
+        bl = shared.value
+        a, b, n = _sum_words(*(np.concatenate(x) for x in zip(*held)))
+        order = np.argsort(a)  # repeats side by side pack well
+        a, b, n = a[order], b[order], n[order]
+        rare_a, rare_b = a >= len(bl.known), b >= len(bl.known)
+        in_a, in_b = bl.of(a), bl.of(b)
+        twice = np.flatnonzero(rare_a & rare_b & (in_a != in_b))
+        row = np.concatenate([np.arange(len(a)), twice])
+        return _dealt(np.concatenate([np.where(rare_b, in_b, in_a), in_a[twice]]), [a[row], b[row], n[row]],
+                      ["a", "b", "n"])
+
+    def fn(batches):
+        held, size, end = [], 0, shared.value.codes(np.array([END]))
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            for lo in range(0, len(texts), 200):
+                b = shared.value.codes(_tokens(texts[lo:lo + 200])[0])
+                held.append(_sum_words(np.concatenate([end, b[:-1]]), b, np.ones(len(b), np.int64)))
+                size += len(held[-1][0])
+            if size > _Sums.LIMIT:
+                yield deal(held)
+                held, size = [], 0
+        if held:
+            yield deal(held)
+    return fn
 
-def _sweep(cls: np.ndarray, table: np.ndarray, turn: int, seed: int):
-    """mapInArrow over _packed() rows; a partition has all rows of its
-    units: new classes of the half of the units whose turn it is."""
-    k = len(table)
 
+def _by_block(batches, types: tuple[str, ...]):
+    """(block, arrays) of the rows of a partition, which has whole blocks."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(1 + len(types))]
+        for block, *row in zip(*cols):
+            held.setdefault(block, []).append(row)
+    for block in list(held):
+        rows = held.pop(block)
+        yield block, [np.concatenate([_load(r[i], t) for r in rows]) for i, t in enumerate(types)]
+
+
+def _store(batches):
+    """mapInArrow over _PAIRS: one row a block, pairs by place in ``words``."""
+    for block, (a, b, n) in _by_block(batches, ("<u8", "<u8", "<i8")):
+        a, b, n = _sum_words(a, b, n)
+        words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = at[:len(a)].astype("<i4"), at[len(a):].astype("<i4")
+        order = np.lexsort((b, a))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int32()), *(pa.array([_dump(x)], pa.binary())
+                                              for x in (words, a[order], b[order], n[order]))],
+            names=["block", "words", "a", "b", "n"])
+
+
+def _stored(batches, bl: Blocks, known_cls: np.ndarray):
+    """(block, words, own, their classes or -1, a, b, n) of each row of
+    _STORED and ``cls``: classes of the block's own rare words, in order."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            block, words, a, b, n, cls = (batch.column(i)[r].as_py() for i in range(6))
+            words = _load(words, "<u8")
+            rare = words >= len(bl.known)
+            own = rare & (bl.of(words) == block)
+            c = np.full(len(words), -1, np.int64)
+            c[~rare] = known_cls[words[~rare].astype(np.int64)]
+            c[own] = bl.first_class(words[own]) if cls is None else _load(cls, "i1")
+            yield block, words, own, c, _load(a, "<i4"), _load(b, "<i4"), _load(n, "<i8")
+
+
+LEFT, RIGHT, OWN, STATE, CELL = range(5)
+
+
+def _sent(shared, known_cls, turn: int | None):
+    """mapInArrow over _STORED and cls: what the words' blocks need.  With
+    a turn, counts of the classes beside each word whose turn it is; else
+    the class bigrams, and of pairs in two blocks the right class."""
     def fn(batches):
-        ids, count, own = np.zeros(0, np.int64), np.zeros((2, 0, k)), np.zeros(0)
-        for b in batches:
-            for unit, side, other, n in _unpacked(b):
-                turn_of = mix64(unit.astype(np.uint64) * np.uint64(2 * seed + 1)) >> np.uint64(7)
-                mine = turn_of % np.uint64(2) == turn % 2
-                unit, side, other, n = unit[mine], side[mine], other[mine], n[mine]
-                grown = np.union1d(ids, unit)
-                more = np.zeros((2, len(grown), k))
-                more[:, np.searchsorted(grown, ids)] = count
-                alone = np.zeros(len(grown))
-                alone[np.searchsorted(grown, ids)] = own
-                ids, count, own = grown, more, alone
-                at, same = np.searchsorted(ids, unit), other == unit
-                for s in (0, 1):
-                    x = (side == s) & ~same
-                    count[s] += np.bincount(at[x] * k + cls[other[x]], weights=n[x],
-                                            minlength=len(ids) * k).reshape(len(ids), k)
-                x = same & (side == 1)
-                own += np.bincount(at[x], weights=n[x], minlength=len(ids))
-        if len(ids):
-            new = exchange(table, cls[ids], count[0], count[1], own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(new.astype(np.int64))],
-                                             names=["unit", "cls"])
+        bl = shared.value
+        k = bl.params.classes + 1
+        for block, words, own, c, a, b, n in _stored(batches, bl, known_cls.value):
+            ca, cb = c[a], c[b]
+            if turn is None:
+                x, both = (ca < 0) & (cb >= 0), (ca >= 0) & (cb >= 0)
+                keys, num = [(a[x] * np.int64(8) + RIGHT) * k + cb[x]], [n[x]]
+                cells = np.bincount(ca[both] * k + cb[both], weights=n[both], minlength=k * k).astype(np.int64)
+            else:
+                mine, same = bl.turn(words, turn), a == b
+                x, y, z = (cb >= 0) & mine[a] & ~same, (ca >= 0) & mine[b] & ~same, same & mine[a]
+                keys = [(a[x] * np.int64(8) + RIGHT) * k + cb[x], (b[y] * np.int64(8) + LEFT) * k + ca[y],
+                        (a[z] * np.int64(8) + OWN) * k]
+                num, cells = [n[x], n[y], n[z]], np.zeros(0, np.int64)
+            key, num = _sum_pairs(np.concatenate(keys), np.concatenate(num))
+            unit, what = words[key // (8 * k)], key % (8 * k)
+            cell = np.flatnonzero(cells)
+            here = np.full(own.sum() + len(cell), block, np.int32)
+            yield _dealt(np.concatenate([bl.of(unit), here]),
+                         [np.concatenate([unit, words[own], cell.astype(np.uint64)]),
+                          np.concatenate([what, STATE * k + c[own], np.full(len(cell), CELL * k)]).astype("<i4"),
+                          np.concatenate([num, np.zeros(own.sum(), np.int64), cells[cell]])], ["u", "what", "n"])
+    return fn
+
+
+def _classes_of(u: np.ndarray, words: np.ndarray, cls: np.ndarray, known_cls: np.ndarray) -> np.ndarray:
+    """Classes of codes: known ones', or those of the sorted ``words``."""
+    out = np.zeros(len(u), np.int64)
+    known = u < len(known_cls)
+    out[known] = known_cls[u[known].astype(np.int64)]
+    out[~known] = cls[np.searchsorted(words, u[~known])]
+    return out
+
+
+def _received(batches, k: int):
+    """(block, sorted rare words, their classes, word, side, class, n)."""
+    for block, (u, what, n) in _by_block(batches, ("<u8", "<i4", "<i8")):
+        side, c = what // k, what % k
+        words, cls = u[side == STATE], c[side == STATE].astype(np.int64)
+        order = np.argsort(words)
+        x = side != STATE
+        yield block, words[order], cls[order], u[x], side[x], c[x], n[x]
+
+
+def _cells(shared, known_cls):
+    """mapInArrow over _SUMS: class bigrams."""
+    def fn(batches):
+        k = shared.value.params.classes + 1
+        t = np.zeros(k * k)
+        for _, words, cls, u, side, c, n in _received(batches, k):
+            x = side == CELL
+            t += np.bincount(u[x].astype(np.int64), weights=n[x], minlength=k * k)
+            t += np.bincount(_classes_of(u[~x], words, cls, known_cls.value) * k + c[~x], weights=n[~x],
+                             minlength=k * k)
+        nz = np.flatnonzero(t)
+        yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(t[nz].astype(np.int64))], names=["cell", "n"])
+    return fn
+
+
+def _sweep(shared, known_cls, table: np.ndarray, total: int):
+    """mapInArrow over _SUMS: new classes of each block's words."""
+    def fn(batches):
+        bl, end = shared.value, shared.value.codes(np.array([END]))
+        p, k = bl.params, bl.params.classes + 1
+        for block, words, cls, u, side, c, n in _received(batches, k):
+            unit, at = np.unique(u, return_inverse=True)
+            flat = lambda s: np.bincount(at[side == s] * k + c[side == s], weights=n[side == s],
+                                         minlength=len(unit) * k).reshape(len(unit), k)
+            left, right, own = flat(LEFT), flat(RIGHT), flat(OWN).sum(1)
+            may = unit != end[0]
+            unit, left, right, own = unit[may], left[may], right[may], own[may]
+            old = _classes_of(unit, words, cls, known_cls.value)
+            new = exchange(table, old, left, right, own, left.sum(1) + own >= total * p.unit_share, p.tail_units)
+            rare = unit >= len(bl.known)
+            cls[np.searchsorted(words, unit[rare])] = new[rare]
+            blobs = (cls.astype("i1"), unit[~rare], new[~rare].astype("i1"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), *(pa.array([_dump(x)], pa.binary()) for x in blobs),
+                 pa.array([int((new != old).sum())]), pa.array([len(unit)])],
+                names=["block", "cls", "known", "known_cls", "moved", "offered"])
     return fn
 
 
 @dataclass
 class Model:
     params: ClassLmParams
-    units: Units
-    cls: np.ndarray          # class of each unit; the last class is the end's
+    cls: np.ndarray          # class of each known word; the last class is the end's
     trans: np.ndarray        # log10 P(class | class before)
     tokens: np.ndarray       # training tokens of each class
     types: np.ndarray        # distinct training words of each class
@@ -221,6 +414,7 @@ class Model:
     known_n: np.ndarray
     total: int               # N
     distinct: int            # V
+    rare: DataFrame | None   # (h, n, c) of all other training words
 
     def emission(self, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """log10 P(word | class) from the word's count."""
@@ -230,9 +424,6 @@ class Model:
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def classes_of(self, h: np.ndarray) -> np.ndarray:
-        return np.where(h == END, self.params.classes, self.cls[self.units.of(h)])
-
 
 def _texts(docs: DataFrame, text_col: str, where: Column) -> DataFrame:
     return docs.where(where).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -245,6 +436,21 @@ def word_counts(docs: DataFrame, training: Column, text_col: str = "text") -> Da
     return part.groupBy("h").agg(F.sum("n").alias("n"))
 
 
+# a query's shuffle files go when it has ended
+AT_END = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+@contextmanager
+def _conf(spark: SparkSession, key: str, value: str):
+    """A session setting for the queries made inside."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def train(docs: DataFrame, counts: DataFrame, training: Column, params: ClassLmParams | None = None,
           text_col: str = "text") -> Model:
     """Cluster and count; ``counts`` is word_counts() of the same texts."""
@@ -252,139 +458,168 @@ def train(docs: DataFrame, counts: DataFrame, training: Column, params: ClassLmP
     total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
     # at most 1 / known_share words have that share of all tokens
-    top = counts.where((F.col("n") >= total * p.known_share) & (F.col("n") > 0)).toArrow()
+    share = (F.col("n") >= total * p.known_share) & (F.col("n") > 0) | (F.col("h") == END_ID)
+    top = counts.where(share).toArrow()
     h = top["h"].to_numpy().astype(np.int64).view(np.uint64)
+    h, n = (h, top["n"].to_numpy()) if len(h) else (np.array([END]), np.zeros(1, np.int64))
     order = np.argsort(h)
-    h, n = h[order], top["n"].to_numpy()[order]
-    units = Units(h[(n >= total * p.unit_share) & (h != END)], p.tail_units)
-    size, end = len(units), len(units)  # the end is one more unit, in a class of its own
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-
-    def pairs(texts):
-        flat, first = _tokens(texts)
-        u = np.where(flat == END, end, shared.value.of(flat))
-        before = np.concatenate([[end], u[:-1]])
-        return before.astype(np.uint64) * np.uint64(size + 1) + u.astype(np.uint64)
-
-    w = F.lit(size + 1)
-    d = _texts(docs, text_col, training)
-    bi = (d.mapInArrow(_counted(pairs, ["k", "n"]), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-           .select(F.floor(F.col("k") / w).alias("a"), (F.col("k") % w).alias("b"), "n"))
-    # each unit's neighbours on both sides, whole in one partition
-    both = bi.select(F.explode(F.array(
-        F.struct(F.col("a").alias("unit"), F.lit(1).alias("side"), F.col("b").alias("other"), "n"),
-        F.struct(F.col("b").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("other"), "n"))).alias("x"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = both.select("x.*").repartition(parts, "unit").mapInArrow(_packed, _PACKED).checkpoint()
-    k = p.classes
-    rng = np.random.default_rng(p.seed)
-    cls = np.concatenate([rng.integers(0, k, size), [k]])
+    h, n = h[order], n[order]
+    k, spark, sc = p.classes, docs.sparkSession, docs.sparkSession.sparkContext
+    blocks = Blocks(h, max(1, -(-distinct // p.block_words)), p)
+    shared = sc.broadcast(blocks)
+    known_cls = np.where(h == END, k, blocks.first_class(np.arange(len(h), dtype=np.uint64)))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(blocks.number, "block")
+
+    # planned without AQE, a checkpoint keeps its partitioning: the pairs stay where they are in every round
+    with _conf(spark, *AT_END), _conf(spark, "spark.sql.adaptive.enabled", "false"):
+        pairs = dealt(_texts(docs, text_col, training).mapInArrow(_pairs(shared), _PAIRS))
+        stored = dealt(pairs.mapInArrow(_store, _STORED)).checkpoint()
+    del pairs
+    cls = None
+
+    def now() -> DataFrame:
+        """Pairs beside the classes of their block's words."""
+        if cls is None:
+            return stored.withColumn("cls", F.lit(None).cast("binary"))
+        return stored.join(cls.hint("merge"), "block", "left").select(*stored.columns, "cls")
 
     def table() -> np.ndarray:
-        c = docs.sparkSession.sparkContext.broadcast(cls)
-
-        def fn(batches):
-            out = np.zeros((k + 1) ** 2, np.int64)
-            for u, s, o, m in (x for b in batches for x in _unpacked(b)):
-                fwd = s == 1
-                out += np.bincount(c.value[u[fwd]] * (k + 1) + c.value[o[fwd]], weights=m[fwd],
-                                   minlength=len(out)).astype(np.int64)
-            nz = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(nz), pa.array(out[nz])], names=["cell", "n"])
-
+        c = sc.broadcast(known_cls)
+        sent = dealt(now().mapInArrow(_sent(shared, c, None), _SUMS))
         t = np.zeros((k + 1) ** 2)
-        for cell, m in rows.mapInArrow(fn, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n")).collect():
+        for cell, m in (sent.mapInArrow(_cells(shared, c), "cell bigint, n bigint")
+                            .groupBy("cell").agg(F.sum("n")).collect()):
             t[cell] = m
         return t.reshape(k + 1, k + 1)
 
-    for turn in range(p.rounds):
-        moved = rows.mapInArrow(_sweep(cls, table(), turn, p.seed + turn // 2),
-                                                            "unit bigint, cls bigint").toArrow()  # one row a unit
-        unit, to = moved["unit"].to_numpy(), moved["cls"].to_numpy()
-        ok = (unit != end) & (to != k)  # the end keeps its class to itself
-        cls = cls.copy()
-        cls[unit[ok]] = to[ok]
-    t = table()
+    with _conf(spark, *AT_END):
+        for turn in range(p.rounds):
+            t, c = table(), sc.broadcast(known_cls)
+            sent = dealt(now().mapInArrow(_sent(shared, c, turn), _SUMS))
+            moved = sent.mapInArrow(_sweep(shared, c, t, total), _MOVED).checkpoint()
+            known_cls = known_cls.copy()
+            for u, to in moved.select("known", "known_cls").collect():  # the known words', a bounded number
+                known_cls[_load(u, "<u8").astype(np.int64)] = _load(to, "i1")
+            cls = moved.select("block", "cls")
+        t = table()
     trans = np.log10((t + p.smooth) / (t.sum(1, keepdims=True) + p.smooth * (k + 1)))
-    model = Model(p, units, cls, trans, np.zeros(k + 1), np.zeros(k + 1), h, n.astype(np.float64), total, distinct)
-    mm = docs.sparkSession.sparkContext.broadcast(model)
+    c = sc.broadcast(known_cls)
 
-    def per_class(batches):
-        tok, typ = np.zeros(k + 1), np.zeros(k + 1)
-        for b in batches:
-            c = mm.value.classes_of(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            tok += np.bincount(c, weights=b.column(1).to_numpy(zero_copy_only=False), minlength=k + 1)
-            typ += np.bincount(c, minlength=k + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1)), pa.array(tok.astype(np.int64)),
-                                          pa.array(typ.astype(np.int64))], names=["c", "tokens", "types"])
+    def words(batches):
+        for _, w, own, of, *_ in _stored(batches, shared.value, c.value):
+            yield pa.RecordBatch.from_arrays([pa.array(w[own].view(np.int64)), pa.array(of[own])], names=["h", "c"])
 
-    for r in (counts.mapInArrow(per_class, "c bigint, tokens bigint, types bigint").groupBy("c")
-                    .agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()):
-        model.tokens[r.c], model.types[r.c] = r.tokens, r.types
-    return model
+    with _conf(spark, *AT_END):
+        rare = (counts.where(~share).join(now().mapInArrow(words, "h bigint, c bigint"), "h")
+                      .select("h", "n", "c").checkpoint())
+    tokens = np.bincount(known_cls, weights=n, minlength=k + 1)
+    types = np.bincount(known_cls, weights=n > 0, minlength=k + 1)
+    for r in rare.groupBy("c").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types")).collect():
+        tokens[r.c] += r.tokens
+        types[r.c] += r.types
+    return Model(p, known_cls, trans, tokens, types, h, n.astype(np.float64), total, distinct, rare)
 
 
 def _read(model):
-    """Per text: everything that needs no join, and its rarer words."""
+    """Per text: everything that needs no join; its rarer words; and the
+    pairs with a rarer word, as classes or (above them) its place."""
     def fn(batches):
         m = model.value
+        k = m.params.classes
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for lo in range(0, len(texts), 200):
                 flat, first = _tokens(texts[lo:lo + 200])
                 docs = len(first) - 1
                 word, inv = np.unique(flat, return_inverse=True)
-                cls = m.classes_of(word)
-                at = np.searchsorted(m.known, word)
-                hit = np.zeros(len(word), bool)
-                if len(m.known):
-                    hit = m.known[np.minimum(at, len(m.known) - 1)] == word
-                n = np.where(hit, m.known_n[np.minimum(at, max(len(m.known) - 1, 0))] if len(m.known) else 0, 0)
+                at = np.minimum(np.searchsorted(m.known, word), len(m.known) - 1)
+                hit = m.known[at] == word
+                n, cls = np.where(hit, m.known_n[at], 0), m.cls[at]
                 doc = np.repeat(np.arange(docs), np.diff(first))
-                c = cls[inv]
-                before = np.concatenate([[m.params.classes], c[:-1]])  # a text follows an end
                 here = hit[inv]
                 total = lambda v: np.bincount(doc, weights=v, minlength=docs)
-                score = total(m.trans[before, c] + np.where(here, m.emission(n, cls)[inv], 0))
-                base = total(np.where(here, m.base(n)[inv], 0))
                 rare, uses = np.unique(doc[~here] * len(word) + inv[~here], return_counts=True)
                 where, w = rare // max(len(word), 1), rare % max(len(word), 1)
-                offsets = pa.array(np.searchsorted(where, np.arange(docs + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in
-                         (word[w].view(np.int64), cls[w].astype(np.int64), uses.astype(np.int64))]
+                start = np.searchsorted(where, np.arange(docs + 1))
+                ref = cls[inv].astype(np.int64)
+                ref[~here] = k + 1 + np.searchsorted(rare, doc[~here] * len(word) + inv[~here]) - start[doc[~here]]
+                before = np.concatenate([[k], ref[:-1]])  # a text follows an end
+                mixed = (ref > k) | (before > k)
+                step = np.where(mixed, 0, m.trans[np.minimum(before, k), np.minimum(ref, k)])
+                score = total(step + np.where(here, m.emission(n, cls)[inv], 0))
+                base = total(np.where(here, m.base(n)[inv], 0))
+                size = int(ref.max()) + 1
+                pair, times = np.unique((doc[mixed] * size + before[mixed]) * size + ref[mixed], return_counts=True)
+                of = np.searchsorted(pair // size // size, np.arange(docs + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.astype(np.int64)))
+                         for o, v in ((start, word[w].view(np.int64)), (start, uses), (of, pair // size % size),
+                                      (of, pair % size), (of, times))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:lo + 200], pa.array(np.diff(first)), pa.array(total(here).astype(np.int64)),
-                     pa.array(base), pa.array(score), *lists],
-                    names=["doc_id", "n_tokens", "n_known", "base", "score", "h", "c", "uses"])
+                    [b.column(0)[lo:lo + 200], pa.array(np.diff(first)),
+                     pa.array(total(here & (n[inv] > 0)).astype(np.int64)), pa.array(base), pa.array(score), *lists],
+                    names=["doc_id", "n_tokens", "n_known", "base", "score", "h", "uses", "left", "right", "times"])
+    return fn
+
+
+def _finish(model):
+    """mapInArrow: adds the rarer words' counts and classes, ``found``."""
+    def fn(batches):
+        m = model.value
+        k = m.params.classes
+        for b in batches:
+            col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            docs = np.arange(b.num_rows)
+            size = {x: pc.fill_null(col[x].value_lengths(), 0).to_numpy() for x in ("uses", "left", "found")}
+            flat = {x: col[x].flatten().to_numpy() for x in ("uses", "left", "right", "times")}
+            first = np.cumsum(size["uses"]) - size["uses"]
+            n, c = np.zeros(len(flat["uses"])), np.full(len(flat["uses"]), -1)
+            i, seen, cls = (x.to_numpy() for x in col["found"].flatten().flatten())
+            at = np.repeat(first, size["found"]) + i
+            n[at], c[at] = seen, cls
+            word, pair = np.repeat(docs, size["uses"]), np.repeat(docs, size["left"])
+
+            def of(ref):
+                """Classes (-1: none yet) and places of the words of pairs."""
+                place = np.where(ref > k, first[pair] + ref - k - 1, 0)
+                return np.where(ref > k, c[place] if len(c) else 0, ref), place
+
+            (le, le_at), (ri, ri_at) = of(flat["left"]), of(flat["right"])
+            new = np.flatnonzero(c < 0)
+            fit = m.emission(0, np.arange(k))[None, :] * flat["uses"][new, None]
+            for x, place, beside, t in ((le < 0, le_at, ri, m.trans[:k].T), (ri < 0, ri_at, le, m.trans[:, :k])):
+                x &= beside >= 0
+                np.add.at(fit, np.searchsorted(new, place[x]), t[beside[x]] * flat["times"][x, None])
+            c[new] = np.argmax(fit, axis=1)
+            total = lambda d, v: np.bincount(d, weights=v, minlength=len(docs))
+            tokens = col["n_tokens"].to_numpy()
+            score = (col["score"].to_numpy() + total(word, m.emission(n, c) * flat["uses"])
+                     + total(pair, m.trans[of(flat["left"])[0], of(flat["right"])[0]] * flat["times"]))
+            yield pa.RecordBatch.from_arrays(
+                [col["doc_id"], col["n_tokens"],
+                 pa.array(col["n_known"].to_numpy() + total(word, (n > 0) * flat["uses"]).astype(np.int64)),
+                 pa.array(np.full(len(docs), m.total, np.int64)),
+                 pa.array(col["base"].to_numpy() + total(word, m.base(n) * flat["uses"])), pa.array(score),
+                 pa.array(10.0 ** (-score / tokens))],
+                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
     return fn
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score,
-    perplexity) per row."""
-    spark = docs.sparkSession
+    perplexity) per row; ``counts`` are the model's, whose rarer words it
+    holds with their classes."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rare=None))
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    read = d.mapInArrow(_read(spark.sparkContext.broadcast(model)),
-                        "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, "
-                        "h array<bigint>, c array<bigint>, uses array<bigint>")
+    read = d.mapInArrow(_read(shared), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, "
+                        "h array<bigint>, uses array<bigint>, left array<bigint>, right array<bigint>, "
+                        "times array<bigint>")
     read = read.withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    rare = (read.select("row", F.explode(F.arrays_zip("h", "c", "uses")).alias("w"))
-                .select("row", "w.h", "w.c", "w.uses"))
-    a = model.params.smooth
-    room = F.array(*[F.lit(float(t + a * (v + 1))) for t, v in zip(model.tokens, model.types)])
-    n = F.coalesce("n", F.lit(0))
-    base = F.log10((n + 0.5) / (model.total + 0.5 * (model.distinct + 1)))
-    emit = F.log10((n + a) / F.element_at(room, (F.col("c") + 1).cast("int")))
-    # only words below the known share are left to look up
-    few = counts.where(F.col("n") < model.total * model.params.known_share)
-    sums = (rare.join(few, "h", "left")
-                .groupBy("row").agg(F.sum(F.when(n > 0, F.col("uses")).otherwise(0)).alias("k2"),
-                                    F.sum(base * F.col("uses")).alias("b2"), F.sum(emit * F.col("uses")).alias("s2")))
-    zero = F.lit(0.0)
-    out = read.drop("h", "c", "uses").join(sums, "row", "left")
-    full = F.col("score") + F.coalesce("s2", zero)
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k2", F.lit(0))).alias("n_known"),
-                      F.lit(model.total).cast("bigint").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("b2", zero)).alias("base_score"), full.alias("score"),
-                      F.pow(F.lit(10.0), -full / F.col("n_tokens")).alias("perplexity"))
+    found = (read.select("row", F.posexplode("h").alias("i", "h")).join(model.rare, "h")
+                 .groupBy("row").agg(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "n", "c"))
+                                      .alias("found")))
+    return (read.drop("h").join(found, "row", "left").drop("row")
+                .mapInArrow(_finish(shared), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                                             "base_score double, score double, perplexity double"))

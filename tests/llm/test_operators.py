@@ -229,6 +229,64 @@ def test_class_model(llm):
     assert classlm.score(df.limit(0), counts, m).count() == 0
 
 
+def _likelihood(t):
+    phi = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    return phi(t) - phi(t.sum(0)) - phi(t.sum(1))
+
+
+def test_exchange_gains_brute_force():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 90, 4000)
+    cls = rng.integers(0, 4, 90)
+    cls[0] = 4
+    def table(c):
+        t = np.zeros((5, 5))
+        np.add.at(t, (c[words[:-1]], c[words[1:]]), 1)
+        return t
+    left, right, own = np.zeros((90, 5)), np.zeros((90, 5)), np.zeros(90)
+    for a, b in zip(words[:-1], words[1:]):
+        if a == b:
+            own[a] += 1
+        else:
+            right[a, cls[b]] += 1
+            left[b, cls[a]] += 1
+    all_at_once = classlm.gains(table(cls), cls, left, right, own)
+    for u in range(1, 90):
+        alone = classlm.gains(table(cls), cls[[u]], left[[u]], right[[u]], own[[u]])[0]
+        assert np.allclose(alone, all_at_once[u])
+        def at(c):
+            other = cls.copy()
+            other[u] = c
+            return _likelihood(table(other))
+        assert np.allclose(alone - alone[cls[u]], [at(c) - at(cls[u]) for c in range(5)], atol=1e-6)
+
+
+def test_rare_words_are_clustered_too(llm):
+    """Words of three uses get the class of their neighbours, not of their hash."""
+    rnd = random.Random(9)
+    rare = [(f"r{i}", i % 2) for i in range(600)] * 3
+    rnd.shuffle(rare)
+    texts = [" ".join(f"{'ab'[s]} {w} {'cd'[s]}" for w, s in rare[i:i + 30]) for i in range(0, len(rare), 30)]
+    df = docs(llm, texts)
+    training = F.lit(True)
+    counts = classlm.word_counts(df, training).checkpoint()
+    p = classlm.ClassLmParams(classes=8, unit_share=1 / 50, known_share=1 / 50, tail_units=16, block_words=100)
+    was = llm.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts in ("3", was):
+            llm.conf.set("spark.sql.shuffle.partitions", parts)
+            m = classlm.train(df, counts, training, p)
+            seen.append(sorted((r.h, r.n, r.c) for r in m.rare.collect()))
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] and len(seen[0]) == 600  # every rare word, whatever the session's setting
+    cls = {h: c for h, _, c in seen[0]}
+    of = lambda w: cls[int(word_hashes(w.encode()).view(np.int64)[0])]
+    sides = [Counter(of(f"r{i}") for i in range(s, 600, 2)) for s in (0, 1)]
+    assert sum(min(sides[0][c], sides[1][c]) for c in range(8)) < 30  # hash classes share about 300
+
+
 # ---- 7 shards ---------------------------------------------------------------
 
 def test_shards(llm):

@@ -390,8 +390,9 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None,
                .select("node", "cluster", "n", "s").checkpoint())
     # a doc_id that occurs with several texts ties their vertices together
     own = live.join(reps.select("key", "rep"), "key").select("doc_id", "rep")
-    ties = (own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-               .where("a != b").select("a", "b"))
+    several = (own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+                  .where("a != b").select("doc_id", "a"))
+    ties = own.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
     links = _links_inside(members, p).union(ties).checkpoint()
     comps = connected_components(links)
     if members.where(F.col("n") > p.block).limit(1).count():

@@ -82,3 +82,10 @@ def test_estimate():
     p = M.MinHashParams()
     assert 0 < p.max_mismatch < p.k
     assert M.intersections([__import__("numpy").array([1, 2, 3])], [__import__("numpy").array([2, 3, 9])])[0, 0] == 2
+
+
+def test_one_id_with_three_texts_ties_them_all(llm):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(i + 1, t) for i, t in enumerate(texts)] + [(9, t) for t in texts]
+    got = M.near_duplicates(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {1} and {r.doc_id for r in got if r.kept} == {1}

@@ -130,3 +130,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new.where("old != comp").limit(1).count() == 0:
             return new.select("node", "comp")
         labels = new.select("node", "comp")
+
+
+# ---- written tables ------------------------------------------------------
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint root and read
+    again: cuts the lineage like checkpoint(), but compressed and by
+    column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a saved() table that is no longer read."""
+    spark = df.sparkSession
+    root = session.checkpoint_root(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if p.toUri().getPath().startswith(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()):
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

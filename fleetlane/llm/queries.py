@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlane.llm import (ann, classlm, common, decontam, langid, minhash, packing, quality, sharding,
+from fleetlane.llm import (ann, classlm, common, decontam, divergence, langid, minhash, packing, quality, sharding,
                            urlfilter, warc)
 from fleetlane.sources.tables import table
 
@@ -136,10 +136,46 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS df FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(df) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, sum(n) AS group_n FROM c JOIN k USING (lang, term) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(group_n, 0) + 5 * v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (total + 5) // (lang_n + 5 * v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN gn USING (lang, source)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT lang, source, part, item, value,
+         row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50
+"""
+
 QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op3_urlfilter": op3_urlfilter,
            "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_classlm": op6_classlm,
-           "op7_sharding": op7_sharding, "op8_ann": op8_ann, "op9_warc": op9_warc, "op10_decontam": op10_decontam}
+           "op7_sharding": op7_sharding, "op8_ann": op8_ann, "op9_warc": op9_warc, "op10_decontam": op10_decontam,
+           "op11_divergence": op11_divergence}
 
 # The others cannot be written in SQL (learnt models, hashes, drawn numbers,
 # archives); tests/llm holds them against brute force or round trips.
-ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op11_divergence": OP11_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlane.llm import (ann, classlm, common, decontam, divergence, langid, minhash, packing, quality, sharding,
-                           urlfilter, warc)
+                           urlfilter, vectorcodes, warc)
 from fleetlane.sources.tables import table
 
 
@@ -171,11 +171,49 @@ SELECT * FROM (
 WHERE part = 'pair' OR rank <= 50
 """
 
+def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return vectorcodes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    steps = [r"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (
+  SELECT rid, (i - 1) // (len(embedding) // 4) AS m, (i - 1) % (len(embedding) // 4) AS j,
+         floor(1024 * embedding[i]::DOUBLE)::BIGINT AS x
+  FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+c0 AS MATERIALIZED (
+  SELECT m, e, j, x AS c FROM x
+  JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 256) USING (rid))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, m, arg_min(e, d * 256 + e) AS e, min(d)::BIGINT AS d
+  FROM (SELECT rid, m, e, sum((x - c) * (x - c)) AS d FROM x JOIN c{r} USING (m, j) GROUP BY ALL) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT m, e, j, coalesce(s, c)::BIGINT AS c FROM c{r}
+  LEFT JOIN (SELECT m, e, j, (t - ((t % n) + n) % n) // n AS s
+             FROM (SELECT m, e, j, sum(x) AS t, count(*) AS n FROM x JOIN a{r} USING (rid, m) GROUP BY ALL))
+  USING (m, e, j))""")
+    return ",".join(steps) + f""",
+f AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY m) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM v JOIN f USING (rid) GROUP BY label)
+SELECT vec_id, code, error, label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY m, e, j)) FROM c{rounds}) AS codebooks_sha256
+FROM v JOIN f USING (rid) JOIN l ON v.label IS NOT DISTINCT FROM l.label
+"""
+
+
 QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op3_urlfilter": op3_urlfilter,
            "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_classlm": op6_classlm,
            "op7_sharding": op7_sharding, "op8_ann": op8_ann, "op9_warc": op9_warc, "op10_decontam": op10_decontam,
-           "op11_divergence": op11_divergence}
+           "op11_divergence": op11_divergence, "op12_vectorcodes": op12_vectorcodes}
 
 # The others cannot be written in SQL (learnt models, hashes, drawn numbers,
 # archives); tests/llm holds them against brute force or round trips.
-ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op11_divergence": OP11_SQL}
+ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op11_divergence": OP11_SQL, "op12_vectorcodes": _op12_sql()}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlane.llm import (ann, classlm, common, decontam, divergence, langid, minhash, packing, quality, sharding,
-                           urlfilter, vectorcodes, warc)
+from fleetlane.llm import (ann, classlm, common, decontam, divergence, langid, minhash, packing, prefixjoin, quality,
+                           sharding, urlfilter, vectorcodes, warc)
 from fleetlane.sources.tables import table
 
 
@@ -209,11 +209,35 @@ FROM v JOIN f USING (rid) JOIN l ON v.label IS NOT DISTINCT FROM l.label
 """
 
 
+def op13_prefixjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return prefixjoin.components(table(spark, sf_dir, "documents"),
+                                 prefixjoin.JoinParams(shingle_words=3, threshold_pct=90))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+                    GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(a, c) AS (SELECT DISTINCT doc_id, doc_id FROM documents UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS c FROM r GROUP BY a) m USING (doc_id)
+"""
+
+
 QUERIES = {"op1_langid": op1_langid, "op2_quality": op2_quality, "op3_urlfilter": op3_urlfilter,
            "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_classlm": op6_classlm,
            "op7_sharding": op7_sharding, "op8_ann": op8_ann, "op9_warc": op9_warc, "op10_decontam": op10_decontam,
-           "op11_divergence": op11_divergence, "op12_vectorcodes": op12_vectorcodes}
+           "op11_divergence": op11_divergence, "op12_vectorcodes": op12_vectorcodes, "op13_prefixjoin": op13_prefixjoin}
 
 # The others cannot be written in SQL (learnt models, hashes, drawn numbers,
 # archives); tests/llm holds them against brute force or round trips.
-ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op11_divergence": OP11_SQL, "op12_vectorcodes": _op12_sql()}
+ORACLE: dict[str, str] = {"op3_urlfilter": OP3_SQL, "op11_divergence": OP11_SQL, "op12_vectorcodes": _op12_sql(), "op13_prefixjoin": OP13_SQL}

@@ -188,26 +188,36 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
                          "b": np.where(swap, names[i], names[j]), "value": total[i, j]})
 
 
-def _cells(counts: DataFrame, groups: DataFrame, p: DivergenceParams) -> DataFrame:
+def _band(total: Column) -> Column:
+    """Terms of like frequency share a block: floor(log2) of their count."""
+    return F.floor(F.log2(total)).cast("int")
+
+
+def _languages(kept: DataFrame, p: DivergenceParams) -> DataFrame:
+    """Per language: number and total count of its kept terms, and how many
+    blocks each band needs (the more levels, the fewer terms in a block)."""
+    rows = F.greatest(F.lit(128), F.least(F.lit(p.block_terms), F.expr(f"shiftright({p.block_terms << 6}, band)")))
+    return (kept.groupBy("lang", _band(F.col("total")).alias("band"))
+                .agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("total"))
+                .groupBy("lang").agg(F.sum("terms").alias("v"), F.sum("total").alias("lang_n"),
+                                     F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("terms") / rows)))).alias("blocks")))
+
+
+def _cells(priced: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of every cell: a block of a language's terms and one or two
     buckets of its sources."""
-    level = F.floor(F.log2("total")).cast("int")
-    # terms of like frequency share a block; the more levels, the fewer terms
-    rows = F.greatest(F.lit(128), F.least(F.lit(p.block_terms), F.expr(f"shiftright({p.block_terms << 6}, band)")))
-    c = counts.withColumn("band", level)
-    bands = (c.select("lang", "band", "term").distinct().groupBy("lang", "band")
-              .agg(F.ceil(F.count(F.lit(1)) / F.first(rows)).alias("blocks")))
-    buckets = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("buckets"))
-    c = (c.join(bands, ["lang", "band"])
-          .select("lang", "band", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "source", "term",
-                  F.col("n").alias("level"), "price"))
-    zero = (groups.join(bands, "lang").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-                  .select("lang", "band", "block", "source", F.lit(None).cast("string").alias("term"),
-                          F.lit(0).cast("bigint").alias("level"), F.col("p0").alias("price")))
     mine = F.pmod(F.xxhash64("source"), "buckets")
+    cols = [mine.alias("mine"), "buckets"]
+    c = priced.withColumn("band", _band(F.col("total"))).select(
+        "lang", "band", F.pmod(F.xxhash64("term"), F.try_element_at("blocks", "band")).alias("block"), "source", "term",
+        F.col("n").alias("level"), "price", *cols)
+    zero = (groups.select("lang", "source", "p0", "buckets", F.explode("blocks").alias("band", "n"))
+                  .select("lang", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"),
+                          "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("level"),
+                          F.col("p0").alias("price"), *cols))
     pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1),
                         lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j")))
-    return (c.unionByName(zero).join(buckets, "lang").withColumn("mine", mine)
+    return (c.unionByName(zero)
              .select("lang", "band", "block", F.explode(pairs).alias("cell"), "source", "term", "level", "price", "mine")
              .select("lang", "band", "block", "cell", "source", "term", "level", "price",
                      F.when(F.col("mine") == F.col("cell.i"), 0).otherwise(1).alias("side")))
@@ -229,13 +239,13 @@ def audit(docs: DataFrame, params: DivergenceParams | None = None, text_col: str
     counts = saved(counted.join(kept, ["lang", "term"])
                           .select("lang", "source", F.col("term").cast("string").alias("term"), "n", "total"),
                    "divergence-kept")
-    langs = (counts.select("lang", "term", "total").distinct().groupBy("lang")
-                   .agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n")))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     zero = F.lit(0).cast("bigint")
-    groups = (d.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(langs, "lang", "left")
-               .select("lang", "source", F.coalesce("group_n", zero).alias("group_n"),
-                       F.coalesce("v", zero).alias("v"), F.coalesce("lang_n", zero).alias("lang_n")))
+    groups = d.select("lang", "source").distinct()
+    sources = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("buckets"))
+    groups = (groups.join(own, ["lang", "source"], "left").join(sources, "lang").join(_languages(kept, p), "lang", "left")
+                    .select("lang", "source", F.coalesce("group_n", zero).alias("group_n"), F.coalesce("v", zero).alias("v"),
+                            F.coalesce("lang_n", zero).alias("lang_n"), "blocks", "buckets"))
     groups = saved(groups.withColumn("p0", price(zero, F.col("group_n"), F.col("v"), p)), "divergence-groups")
     priced = (counts.join(groups, ["lang", "source"])
                     .withColumn("price", price(F.col("n"), F.col("group_n"), F.col("v"), p))
@@ -246,7 +256,7 @@ def audit(docs: DataFrame, params: DivergenceParams | None = None, text_col: str
                                             (F.col("price") - F.col("q")).alias("value"))
                  .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= p.top_terms))
 
-    sums = (_cells(priced, groups, p).groupBy("lang", "band", "block", "cell")
+    sums = (_cells(priced, groups).groupBy("lang", "band", "block", "cell")
             .applyInPandas(_block, "lang string, a string, b string, value bigint")
             .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))

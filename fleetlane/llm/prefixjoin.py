@@ -194,6 +194,7 @@ def _forest(pct: int):
         bits = np.zeros((len(pdf), BITS // 64), np.int64)
         if not none.all():
             bits[~none] = np.stack(pdf["bits"][~none].to_list())
+        bits = bits.view(np.uint64)  # bit counts of signed numbers would be of their absolute values
         side = pdf["side"].to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         right = right if len(right) else left   # one block with itself

@@ -19,7 +19,7 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,15 +39,42 @@ class PackParams:
     merge_windows: int = 4096  # open windows merged in one task, about
 
 
+def _runs(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[start:start + n] of each pair, one after the other."""
+    end = np.cumsum(n)
+    return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + n, n)]
+
+
+class _Generation:
+    """Cuts and their ids."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.start, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, keys: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
+        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
+
+
 class SegmentTokenizer:
-    """Token ids of texts by a byte-level BPE file of ``tokenizers``.
+    """Token ids of texts by a byte-level BPE file of ``tokenizers``, equal
+    to encode(text, add_special_tokens=False) of the whole text.
 
     Such a vocabulary never joins bytes across the space before a word, so
-    texts are cut before each single space and the ids of a cut are kept,
-    for the worker's next tasks too, up to a fixed number of cuts.  Texts
-    with two spaces in a row or a NUL are encoded whole."""
+    texts are cut before every space that something other than white space
+    follows, but not before an added token, which is looked for before words
+    are.  The ids of cuts of at most KEY bytes are kept for the worker's next
+    tasks, in two generations of at most LIMIT cuts: a full one replaces the
+    one before it, and what is met again there moves on.  Texts are handled
+    in slices; a cut longer than LONG is cut further where the vocabulary's
+    own word pattern cuts it."""
 
-    LIMIT = 2_000_000
+    LIMIT = 200_000
+    KEY = 64
+    SLICE = 1 << 22
+    LONG = 1 << 16
     _OPEN: dict[str, SegmentTokenizer] = {}
 
     @classmethod
@@ -59,69 +86,160 @@ class SegmentTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        nul = self.tok.encode("\0", add_special_tokens=False).ids
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added]
+        # one that takes in white space around it could reach across a cut
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or not t.content.split() == [t.content] for t in added)
+        nul = self._ids("\0")
         holds = [i for t, i in self.tok.get_vocab().items() if "\u0100" in t]  # how byte-level BPE spells byte 0
-        self.nul = nul[0] if nul == holds else None
-        self.keys, self.ends, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _encode_new(self, keys: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """(cuts, number of ids of each, all ids).  Cuts are encoded many at
-        a time with a NUL between them, which no entry of the vocabulary
-        joins to other bytes; alone those that end in white space, and a
-        text's first that starts with an apostrophe: after a NUL it would
-        be punctuation, not the start of a contraction."""
-        segments = pc.if_else(pc.starts_with(keys, "\0"), pc.utf8_slice_codeunits(keys, 1),
-                              pc.binary_join_element_wise(" ", keys, ""))
-        alone = pc.or_(pc.utf8_is_space(pc.utf8_slice_codeunits(segments, -1)), pc.starts_with(keys, "\0'"))
-        if self.nul is None:
-            alone = pa.array(np.ones(len(keys), bool))
-        joint = segments.filter(pc.invert(alone))
-        runs = pa.ListArray.from_arrays(pa.array([*range(0, len(joint), 64), len(joint)], pa.int32()), joint)
-        runs = pc.binary_join(runs, "\0").to_pylist() if len(joint) else []
-        encoded = self.tok.encode_batch_fast(runs, add_special_tokens=False)
-        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array([*e.ids, self.nul], np.uint32) for e in encoded)])
-        n = np.diff(np.flatnonzero(flat == self.nul), prepend=-1) - 1
-        single = self.tok.encode_batch_fast(segments.filter(alone).to_pylist(), add_special_tokens=False)
-        single = [np.array(e.ids, np.uint32) for e in single]
-        return (pa.concat_arrays([keys.filter(pc.invert(alone)), keys.filter(alone)]),
-                np.concatenate([n, [len(i) for i in single]]).astype(np.int64),
-                np.concatenate([flat[flat != self.nul] if len(flat) else flat, *single]))
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text.  Cuts are numbered by Arrow, and no string of
-        theirs is made in Python."""
-        texts = texts.cast(pa.string())
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\0"))
-        whole = {r: np.array(self.tok.encode(texts[r].as_py(), add_special_tokens=False).ids, np.uint32)
-                 for r in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-        # a cut's key is the word without its space; the first has a NUL
-        cuts = pc.split_pattern(pc.binary_join_element_wise("\0", pc.if_else(odd, "", texts), ""), " ")
-        words = cuts.flatten().dictionary_encode()
-        keys, ends, all_ids = self.keys, self.ends, self.ids
-        at = pc.index_in(words.dictionary, value_set=keys)
-        if at.null_count:
-            new, n, ids = self._encode_new(words.dictionary.filter(pc.is_null(at)))
-            keys = pa.concat_arrays([keys, new])
-            ends, all_ids = np.concatenate([ends, ends[-1] + np.cumsum(n)]), np.concatenate([all_ids, ids])
-            at = pc.index_in(words.dictionary, value_set=keys)
-            if len(keys) <= self.LIMIT:
-                self.keys, self.ends, self.ids = keys, ends, all_ids
-        at = at.to_numpy()[words.indices.to_numpy()]
-        start, n = ends[at], np.diff(ends)[at]
-        end = np.concatenate([[0], np.cumsum(n)])
-        ids = all_ids[np.arange(end[-1]) + np.repeat(start - end[:-1], n)]
-        bound = end[np.concatenate([[0], np.cumsum(cuts.value_lengths().to_numpy())])]
-        return [whole[r] if r in whole else ids[bound[r]:bound[r + 1]] for r in range(len(texts))]
-
-
-def _slices(texts: pa.Array, size: int = 1 << 23):
-    """Slices of about ``size`` bytes."""
-    if len(texts):
-        grown = np.cumsum(pc.binary_length(texts).to_numpy())
-        cut = np.flatnonzero(np.diff(grown // size)) + 1
-        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
-            yield texts.slice(lo, hi - lo)
+        self.nul = int(nul[0]) if nul.tolist() == holds else None
+        self.young, self.old = _Generation(), _Generation()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _long(self, cut: str) -> np.ndarray:
+        """Ids of a long cut, a window at a time: the word pattern's last
+        match may go on behind the window, so the next begins with it."""
+        out, at, size = [], 0, self.LONG
+        while at < len(cut):
+            part = cut[at:at + size]
+            last = at + size >= len(cut)
+            words = [] if last else self.tok.pre_tokenizer.pre_tokenize_str(part)
+            if not last and len(words) < 3:
+                size *= 2
+                continue
+            # white space may be shared out otherwise when more text follows:
+            # end at a match that begins and ends with something else
+            end = len(part)
+            if not last:
+                edges = [w[1][0] for w in words[1:-1] if not (part[w[1][0] - 1:w[1][0] + 1].isspace()
+                                                               or part[w[1][0]].isspace() or part[w[1][0] - 1].isspace())]
+                if not edges:
+                    size *= 2
+                    continue
+                end = edges[-1]
+            out.append(self._ids(part[:end]))
+            at, size = at + end, self.LONG
+        return np.concatenate([np.zeros(0, np.uint32), *out])
+
+    def _encode(self, cuts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, all ids).  Cuts are encoded many at a time
+        with a NUL between them, which no entry of the vocabulary joins to
+        other bytes; alone those that hold a NUL or an added token or end in
+        white space, and those that start with an apostrophe: after a NUL it
+        would be punctuation, not the start of a contraction."""
+        cuts = cuts.cast(pa.string())
+        alone = pc.or_(pc.utf8_is_space(pc.utf8_slice_codeunits(cuts, -1)), pc.starts_with(cuts, "'"))
+        for t in [b"\0", *self.added]:
+            alone = pc.or_(alone, pc.match_substring(cuts, t.decode()))
+        alone = alone.to_numpy(zero_copy_only=False) if self.nul is not None else np.ones(len(cuts), bool)
+        alone |= pc.binary_length(cuts).to_numpy() > self.LONG
+        joint = cuts.filter(pa.array(~alone))
+        parts = [np.zeros(0, np.uint32)] * len(cuts)
+        flat, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(joint):
+            runs = pa.ListArray.from_arrays(pa.array([*range(0, len(joint), 64), len(joint)], pa.int32()), joint)
+            encoded = self.tok.encode_batch_fast(pc.binary_join(runs, "\0").to_pylist(), add_special_tokens=False)
+            flat = np.concatenate([np.array([*e.ids, self.nul], np.uint32) for e in encoded])
+            n = np.diff(np.flatnonzero(flat == self.nul), prepend=-1) - 1
+            flat = flat[flat != self.nul]
+        single = np.flatnonzero(alone)
+        if not len(single):
+            return n, flat
+        ends = np.concatenate([[0], np.cumsum(n)])
+        for i, (lo, hi) in zip(np.flatnonzero(~alone).tolist(), zip(ends[:-1].tolist(), ends[1:].tolist())):
+            parts[i] = flat[lo:hi]
+        for i in single.tolist():
+            text = cuts[i].as_py()
+            held = any(t in text.encode() for t in self.added)
+            parts[i] = self._long(text) if len(text) > self.LONG and not held else self._ids(text)
+        return np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
+
+    def _starts(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where cuts start in the bytes of texts that lie between bounds."""
+        texts = bounds[:-1][np.diff(bounds) > 0]
+        if self.whole or len(buf) < 2:
+            return texts
+        pad = np.concatenate([buf, np.zeros(3, np.uint8)])
+        at = np.flatnonzero(buf == 0x20)
+        a, b, c = pad[at + 1], pad[at + 2], pad[at + 3]
+        # white space: controls and space of ASCII, and that of other planes
+        white = ((a <= 0x20) & (a != 0) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+                 | (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+                 | (a == 0xE3) & (b == 0x80) & (c == 0x80))
+        at = at[~white]
+        at = at[~np.isin(at, bounds[1:] - 1)]           # a text's last byte
+        data = buf.tobytes()
+        for t in self.added:
+            hits, p = [], data.find(b" " + t)
+            while p >= 0:
+                hits.append(p)
+                p = data.find(b" " + t, p + 1)
+            at = at[~np.isin(at, hits)] if hits else at
+        here = np.zeros(len(buf), bool)
+        here[at] = here[texts] = True
+        return np.flatnonzero(here)
+
+    def _slice(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's ids end) of one slice."""
+        starts = self._starts(buf, bounds)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        offsets = np.append(starts, len(buf)).astype(np.int32)
+        cuts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buf)])
+        coded = cuts.dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary
+        keys = words.to_pylist()
+        start, n = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        base, todo = 0, np.arange(len(keys))
+        for g in (self.young, self.old):
+            at = np.fromiter((g.at.get(keys[i], -1) for i in todo), np.int64, len(todo))
+            hit = at >= 0
+            start[todo[hit]], n[todo[hit]] = base + g.start[at[hit]], g.n[at[hit]]
+            base, todo = base + len(g.ids), todo[~hit]
+            if g is self.young:
+                fresh = todo  # not in the young generation
+        every = [self.young.ids, self.old.ids]
+        if len(todo):
+            n[todo], ids = self._encode(words.take(pa.array(todo)))
+            start[todo] = base + np.cumsum(n[todo]) - n[todo]
+            every.append(ids)
+        every = np.concatenate(every)
+        short = fresh[np.fromiter((len(keys[i]) <= self.KEY for i in fresh), bool, len(fresh))][:self.LIMIT]
+        if len(self.young.at) + len(short) > self.LIMIT:
+            self.young, self.old = _Generation(), self.young
+        self.young.add([keys[i] for i in short], _runs(every, start[short], n[short]), n[short])
+        ids = _runs(every, start[code], n[code])
+        end = np.concatenate([[0], np.cumsum(n[code])])
+        return ids, end[np.searchsorted(starts, bounds[1:])]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        texts = texts.cast(pa.binary())
+        bounds = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + self.SLICE, "right")) - 1)
+            buf = np.frombuffer(b"".join(texts.slice(lo, hi - lo).to_pylist()), np.uint8)
+            if hi == lo + 1 and len(buf) > self.SLICE:
+                yield self._one(buf)
+            else:
+                ids, ends = self._slice(buf, bounds[lo:hi + 1] - bounds[lo])
+                yield from np.split(ids, ends[:-1])
+            lo = hi
+
+    def _one(self, buf: np.ndarray) -> np.ndarray:
+        """A text longer than a slice, cut where cuts start."""
+        starts = self._starts(buf, np.array([0, len(buf)]))
+        out, lo = [], 0
+        while lo < len(buf):
+            at = int(np.searchsorted(starts, lo + self.SLICE))
+            hi = int(starts[at]) if at < len(starts) else len(buf)
+            part = buf[lo:hi].copy()
+            out.append(self._slice(part, np.array([0, len(part)]))[0])
+            lo = hi
+        return np.concatenate(out)
 
 
 class Packer:
@@ -159,8 +277,7 @@ def _pack(tokenizer: str, p: PackParams):
         packer = Packer(p, part << 32)
         for b in batches:
             rows = []
-            encoded = (x for texts in _slices(pc.fill_null(b.column(1), "")) for x in tok.encode(texts))
-            for doc, ids in zip(b.column(0).to_pylist(), encoded):
+            for doc, ids in zip(b.column(0).to_pylist(), tok.encode(pc.fill_null(b.column(1), ""))):
                 ids = np.append(ids, np.uint32(p.end_id)).astype("<u4")
                 for s in range(0, len(ids), p.length):
                     piece = ids[s:s + p.length]

@@ -151,12 +151,11 @@ def test_packing(llm):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rnd = random.Random(5)
     texts = ["".join(rnd.choice(["a", "the", " ", "  ", "\n", "é", " ", "'s", "1", ".", "\t"]) for _ in range(rnd.randint(0, 300)))
-             for _ in range(120)] + [None, "", "x y " * 3000, "same", "same", "<|endoftext|> q", "a\0b \0 c", "end \n\n", "\n x\n\n\n y"]
+             for _ in range(120)] + [None, "", "x y " * 3000, "same", "same", "<|endoftext|> q", "a  <|endoftext|>  b <|endoftext|>", "x<|endoftext|>", "a\0b \0 c", "end \n\n", "\n x\n\n\n y"]
     df = docs(llm, texts).repartition(3)
     out = packing.pack(df, path, packing.PackParams(length=128, open_windows=4)).collect()
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     seqs, parts = {}, {}
     for r in out:
         assert len(r.ids) == 4 * r.length
@@ -174,20 +173,33 @@ def test_packing(llm):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
-def test_segment_tokenizer_keeps_a_bounded_number_of_cuts():
+@pytest.mark.parametrize("limit,size,long", [(40, 1 << 22, 1 << 16), (30, 40, 6), (50, 100, 20)])
+def test_segment_tokenizer_equals_the_plain_call(limit, size, long):
+    """With small slices, long cuts and few kept cuts too; the plain call is
+    the tokenizer's own, added tokens included."""
+    from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
-    tok = packing.SegmentTokenizer(path)
-    tok.LIMIT = 40
+    tok, plain = packing.SegmentTokenizer(path), Tokenizer.from_file(path)
+    tok.LIMIT, tok.SLICE, tok.LONG = limit, size, long
     rnd = random.Random(8)
-    for _ in range(30):
-        texts = [" ".join(rnd.choice(["a", "é.", "\nthe", "x\t", "", "12th", "don't", chr(rnd.randint(0x21, 0x3100))])
-                          for _ in range(rnd.randint(0, 12))) for _ in range(9)]
+    pieces = ["a", "the", " ", "  ", "\n", "é", " ", "'s", "1", ".", "\t", "<|endoftext|>", "\0", "\u3000", "\u2028", "中", "“", "\x1c",
+              "don't", " <|endoftext|>", "\u00a0", "x\t"]
+    for _ in range(60):
+        texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(1, 9))]
+        texts += [" ".join(chr(rnd.randint(0x21, 0x3100)) for _ in range(rnd.randint(0, 12)))]
         for t, ids in zip(texts, tok.encode(pa.array(texts, pa.string()))):
-            assert ids.tolist() == tok.tok.encode(t, add_special_tokens=False).ids
-    assert 0 < len(tok.keys) <= 40
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert 0 < len(tok.young.at) <= limit and len(tok.old.at) <= limit
     for texts in (["a  b", "\0"], ["", ""], [" "]):
-        assert [i.tolist() for i in tok.encode(pa.array(texts))] == [
-            tok.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [i.tolist() for i in tok.encode(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(tok.encode(pa.array([], pa.string()))) == []
+
+
+def test_a_long_text_without_spaces_is_cut_by_the_word_pattern():
+    tok = packing.SegmentTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "".join(f"{'字' * (i % 7)}，{i}ab" for i in range(40_000))
+    ids = next(iter(tok.encode(pa.array([text]))))
+    assert ids.tolist() == tok.tok.encode(text, add_special_tokens=False).ids
 
 
 def test_contractions_that_start_a_text_anywhere_in_a_batch():

@@ -10,10 +10,10 @@ own that matches nothing, so they do not meet in one partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlane.operators.indexing import range_rank
+from fleetlane.operators.indexing import clamped_depth, range_rank
 
 # The default worker, and the name a task falls back to
 # when no worker is up at all.
@@ -86,19 +86,12 @@ def queue_length_at_arrival(arrivals: DataFrame, removals: DataFrame) -> DataFra
     """Tasks still queued when each task arrives (before its own insert).
 
     arrivals: (pos, day), in order of day, then pos; removals: (day) one
-    row per finished task.
-    L = arrivals before it - removals on earlier days, at least 0.  The
-    arrival count is a global rank; removals are pre-summed per day and
-    only the per-day table (bounded by the time span) gets a running sum.
-    """
-    per_day = (removals.select("day", F.lit(1).alias("_r"))
-                       .unionByName(arrivals.select("day", F.lit(0).alias("_r")))
-                       .groupBy("day").agg(F.sum("_r").alias("_r")))
-    before = per_day.select("day", F.coalesce(
-        F.sum("_r").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_done_before"))
-    ranked = range_rank(arrivals, ["day", "pos"], "_n_before")
-    return (ranked.join(before, "day")
-                  .withColumn("queue_len", F.greatest(F.col("_n_before") - F.col("_done_before"),
-                                                      F.lit(0)).cast("bigint"))
-                  .drop("_n_before", "_done_before"))
+    row per finished task, counted at the day's end.  A removal finds
+    nothing to remove in an empty queue, as everywhere (O31), so this is
+    the depth of the queue just before the arrival: removals are summed per
+    day, and arrivals and days are scanned together, range by range."""
+    rows = (arrivals.select("pos", "day", F.lit(0).alias("_end"), F.lit(1).cast("bigint").alias("_delta"))
+                    .unionByName(removals.groupBy("day").agg((-F.count(F.lit(1))).alias("_delta"))
+                                         .select(F.lit(None).cast("bigint").alias("pos"), "day", F.lit(1).alias("_end"), "_delta")))
+    rows = clamped_depth(rows, ["day", "_end", "pos"], "_delta", "_depth").where("_end = 0")
+    return rows.select("pos", "day", (F.col("_depth") - 1).cast("bigint").alias("queue_len"))

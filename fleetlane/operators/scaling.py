@@ -3,15 +3,16 @@ it (O31, O43, O45).
 
 Depth is a running sum of +1 (task added) / -1 (task removed).  Raw rows
 are first summed per tick bucket (partial aggregate on every executor);
-only the per-tick table - one row per bucket, bounded by the time span,
-not by the data volume - goes through the ordered window.
+the per-tick table is then scanned in parallel, range by range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlane.operators.indexing import clamped_depth
+
 # Fixed values of the controllers: most worker groups, members of one group.
 MAX_GROUPS = 6
 SLAVES_PER_GROUP = 2
@@ -19,13 +20,10 @@ SLAVES_PER_GROUP = 2
 
 def queue_depth(deltas: DataFrame, tick_col: str = "tick") -> DataFrame:
     """(tick, delta) rows -> (tick, delta, depth) per tick.  Removing
-    from an empty queue changes nothing, so depth is the running sum minus
-    its lowest value below 0 so far."""
+    from an empty queue changes nothing.  Rows are summed per tick on every
+    task, and ticks are scanned in parallel by range."""
     per_tick = deltas.groupBy(tick_col).agg(F.sum("delta").cast("bigint").alias("delta"))
-    w = Window.orderBy(tick_col).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per_tick.withColumn("_cum", F.sum("delta").over(w).cast("bigint"))
-    low = F.least(F.lit(0), F.min("_cum").over(w))
-    return cum.withColumn("depth", (F.col("_cum") - low).cast("bigint")).drop("_cum")
+    return clamped_depth(per_tick, [tick_col]).select(tick_col, "delta", "depth")
 
 
 def service_policy(ticks: DataFrame, cap: int = MAX_GROUPS) -> DataFrame:
@@ -42,13 +40,20 @@ def service_policy(ticks: DataFrame, cap: int = MAX_GROUPS) -> DataFrame:
     return ticks.withColumn("action", action).withColumn("target", target.cast("bigint"))
 
 
-def scale_decision(ticks: DataFrame, cap: int = MAX_GROUPS, tick_col: str = "tick") -> DataFrame:
-    """O43 over a depth series: groups up at a tick = the previous tick's
-    depth clamped to [1, cap] (a tick observes what the last one asked
-    for), then :func:`service_policy`."""
-    w = Window.orderBy(tick_col)
-    groups = F.greatest(F.lit(1), F.least(F.lit(cap), F.coalesce(F.lag("depth").over(w), F.lit(1))))
-    return service_policy(ticks.withColumn("groups", groups.cast("bigint")), cap)
+def groups_up(listing: DataFrame, tick_col: str = "tick", name_col: str = "name") -> DataFrame:
+    """Groups observed per tick: distinct masters in the tick's listing of
+    containers (the count of O14, taken at every tick)."""
+    master = F.when(F.col(name_col).contains("hadoop-master"), F.col(name_col))
+    return listing.groupBy(tick_col).agg(F.count_distinct(master).alias("groups"))
+
+
+def scale_decision(ticks: DataFrame, groups: DataFrame, cap: int = MAX_GROUPS, tick_col: str = "tick") -> DataFrame:
+    """O43 over a depth series and the groups observed at its ticks (a tick
+    whose listing shows no group still has one), then
+    :func:`service_policy`."""
+    t = ticks.join(groups.select(tick_col, F.col("groups").alias("_up")), tick_col, "left")
+    return service_policy(t.withColumn("groups", F.greatest(F.coalesce("_up", F.lit(1)), F.lit(1)).cast("bigint"))
+                           .drop("_up"), cap)
 
 
 def group_members(group_no):
@@ -61,10 +66,11 @@ def group_members(group_no):
 
 def scale_actions(decisions: DataFrame, tick_col: str = "tick") -> DataFrame:
     """One row per group to add (ascending groups..target-1) or to
-    remove (descending groups-1..target), with its member names."""
+    remove (descending groups-1..target), with its place in that order
+    (step, from 1) and its member names."""
     ext = F.sequence(F.col("groups"), F.col("target") - 1)
     red = F.sequence(F.col("groups") - 1, F.col("target"), F.lit(-1).cast("bigint"))
     d = decisions.where(F.col("action").isin("extend", "shrink"))
-    g = F.explode(F.when(F.col("action") == "extend", ext).otherwise(red)).alias("group_no")
-    return (d.select(tick_col, "action", g)
+    g = F.posexplode(F.when(F.col("action") == "extend", ext).otherwise(red)).alias("step", "group_no")
+    return (d.select(tick_col, "action", g).withColumn("step", (F.col("step") + 1).cast("bigint"))
              .withColumn("members", group_members(F.col("group_no"))))

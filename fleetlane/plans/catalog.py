@@ -24,9 +24,10 @@ from fleetlane.operators import usage as us
 from fleetlane.operators import wordcount as wc
 from fleetlane.operators.indexing import range_rank
 from fleetlane.plans import standins as si
-from fleetlane.session import prepare
+from fleetlane.session import prepare, scratch_path
 from fleetlane.sources.requests import parse_requests
 from fleetlane.sources.tables import table
+from fleetlane.sources.tail import first_lines, growing_lines, last_lines
 from fleetlane.streaming import dedup as sdd
 from fleetlane.streaming import lifecycle as slc
 from fleetlane.streaming import match as smt
@@ -191,6 +192,29 @@ def q_completion_tail(spark, sf_dir):
     return tk.completion_tail(si.completion_lines(spark, sf_dir), COMPLETION_TAIL_N)
 
 
+def _written_lines(spark, lines: DataFrame, name: str) -> str:
+    """A log written by Spark: ``lines`` in order of pos, then value, over
+    several files whose names follow that order."""
+    path = scratch_path(spark, name)
+    (lines.repartitionByRange("pos", "value").sortWithinPartitions("pos", "value").select("value").write.text(path))
+    return path
+
+
+@query("log_tail")
+def q_log_tail(spark, sf_dir):
+    """O38 on files: the last lines of a written completion log, read from
+    its end by byte ranges."""
+    path = _written_lines(spark, si.completion_lines(spark, sf_dir), "completion-log")
+    return last_lines(spark, path, COMPLETION_TAIL_N, order="name").select("value")
+
+
+@query("log_head")
+def q_log_head(spark, sf_dir):
+    """O36 on files: the first lines of a written queue, blanks dropped."""
+    path = _written_lines(spark, si.queue_lines(spark, sf_dir), "queue-log")
+    return tk.parse_queue(first_lines(spark, path, QUEUE_HEAD_N, order="name")).drop("pos")
+
+
 @query("queue_status")
 def q_queue_status(spark, sf_dir):
     """Per priority class, tasks, running ones, any running."""
@@ -458,6 +482,11 @@ def _depth(spark, sf_dir):
     return sc.queue_depth(_ticks(spark, sf_dir))
 
 
+def _decisions(spark, sf_dir):
+    """Depth per hour and the groups seen in that hour's container listing."""
+    return sc.scale_decision(_depth(spark, sf_dir), sc.groups_up(si.listings(spark, sf_dir)))
+
+
 @query("queue_depth")
 def q_queue_depth(spark, sf_dir):
     """Queue length after each hour."""
@@ -467,14 +496,13 @@ def q_queue_depth(spark, sf_dir):
 @query("scale_decision")
 def q_scale_decision(spark, sf_dir):
     """Service scaling decision per hour."""
-    return sc.scale_decision(_depth(spark, sf_dir)).select(
-        "tick", "depth", "groups", "action", "target")
+    return _decisions(spark, sf_dir).select("tick", "depth", "groups", "action", "target")
 
 
 @query("scale_actions")
 def q_scale_actions(spark, sf_dir):
-    """Groups to add/remove per decision, with member names."""
-    return sc.scale_actions(sc.scale_decision(_depth(spark, sf_dir)))
+    """Groups to add/remove per decision, in order, with member names."""
+    return sc.scale_actions(_decisions(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ streaming
@@ -501,6 +529,13 @@ def q_stream_queue(spark, sf_dir):
     return srun.run_append(spark, tk.parse_queue(si.queue_lines_of(orders)), "stream_queue")
 
 
+@query("stream_tail")
+def q_stream_tail(spark, sf_dir):
+    """The queue written as a log and followed by byte offset."""
+    path = _written_lines(spark, si.queue_lines(spark, sf_dir), "queue-log")
+    return srun.run_append(spark, tk.parse_queue(growing_lines(spark, path)).drop("pos"), "stream_tail")
+
+
 @query("stream_match")
 def q_stream_match(spark, sf_dir):
     """Signup -> first purchase within 3,600 s on the event stream
@@ -533,13 +568,13 @@ def q_stream_usage(spark, sf_dir):
 
 @query("stream_scale")
 def q_stream_scale(spark, sf_dir):
-    """T5: hourly depth and scaling decisions, one foreachBatch per trigger."""
+    """T5: hourly depth and scaling decisions, two chained stateful steps."""
     ev, marker = _event_stream(spark, sf_dir)
     delta = (F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1))
-    ticks = ssc.closed_ticks(ev.withColumn("delta", delta))
-    return srun.run_foreach_batch(spark, ticks, "stream_scale",
-                                  lambda df, bid, out: ssc.decide_batch(df, bid, out),
-                                  ssc.DECISION_SCHEMA, marker=marker)
+    ticks = ssc.closed_ticks(ev.withColumn("delta", delta).withColumn("name", si.listed_name()))
+    # rows are summed per tick before the shuffle, and few ticks are open
+    return srun.run_append(spark, ssc.decisions_stream(ticks), "stream_scale", marker=marker, rocksdb=True,
+                           state_partitions=2)
 
 
 @query("stream_dedup")

@@ -364,6 +364,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) A
 WHERE rn <= 4
 """
 
+ORACLE["log_tail"] = f"SELECT value FROM ({si.COMPLETION_LINES_SQL}) ORDER BY pos DESC, value DESC LIMIT 10"
+ORACLE["log_head"] = f"SELECT * EXCLUDE (pos) FROM ({ORACLE['queue_head']})"
+
 # ------------------------------------------------------------ contrast family
 _MS_LI = """
   SELECT l_returnflag AS strategy, month(l_shipdate)::BIGINT AS n_tasks,
@@ -440,17 +443,14 @@ SELECT pos, uuid, rank0, slot, w.name AS container FROM s LEFT JOIN w ON w.widx
 
 _ARRIVALS = """
   SELECT pos, queue_len, queue_len AS rank0
-  FROM (SELECT a.pos, greatest(a.n_before - b.done_before, 0)::BIGINT AS queue_len
-        FROM (SELECT o_orderkey AS pos, o_orderdate::DATE AS d,
-                     row_number() OVER (ORDER BY o_orderdate::DATE, o_orderkey) - 1 AS n_before
-              FROM orders) a
-        JOIN (SELECT d, coalesce(sum(r) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-                          AS done_before
-              FROM (SELECT d, sum(r) AS r
-                    FROM (SELECT o_orderdate::DATE AS d, 0 AS r FROM orders
-                          UNION ALL
-                          SELECT max(l_shipdate)::DATE AS d, 1 AS r FROM lineitem GROUP BY l_orderkey)
-                    GROUP BY d)) b ON b.d = a.d)"""
+  FROM (SELECT pos, k, (cum - least(0, min(cum) OVER (ORDER BY d, k, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+                        - 1)::BIGINT AS queue_len
+        FROM (SELECT *, sum(delta) OVER (ORDER BY d, k, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+              FROM (SELECT o_orderdate::DATE AS d, 0 AS k, o_orderkey AS pos, 1 AS delta FROM orders
+                    UNION ALL
+                    SELECT d, 1, NULL, -count(*)
+                    FROM (SELECT max(l_shipdate)::DATE AS d FROM lineitem GROUP BY l_orderkey) GROUP BY d)))
+  WHERE k = 0"""
 
 ORACLE["worker_assign_new"] = f"""
 WITH {_W_O}
@@ -497,17 +497,18 @@ _DECISION = f"""
          (CASE action WHEN 'extend' THEN least(depth, 6) WHEN 'shrink' THEN 1 ELSE groups END)::BIGINT AS target
   FROM (SELECT *, CASE WHEN depth > groups AND least(depth, 6) > groups THEN 'extend'
                        WHEN depth = 0 AND groups > 1 THEN 'shrink' ELSE 'hold' END AS action
-        FROM (SELECT tick, depth,
-                     greatest(1, least(6, coalesce(lag(depth) OVER (ORDER BY tick), 1)))::BIGINT AS groups
-              FROM ({_DEPTH})))"""
+        FROM (SELECT tick, depth, greatest(1, coalesce(n_up, 1))::BIGINT AS groups
+              FROM ({_DEPTH}) LEFT JOIN (
+                SELECT tick, count(DISTINCT name) FILTER (WHERE contains(name, 'hadoop-master')) AS n_up
+                FROM ({si.LISTINGS_SQL}) GROUP BY tick) USING (tick)))"""
 
 ORACLE["queue_depth"] = _DEPTH
 ORACLE["scale_decision"] = _DECISION
 ORACLE["scale_actions"] = f"""
-SELECT tick, action, group_no,
+SELECT tick, action, step, group_no,
        'hadoop-master-' || group_no::VARCHAR || ',hadoop-slave-' || group_no::VARCHAR || '-1,hadoop-slave-'
          || group_no::VARCHAR || '-2' AS members
-FROM (SELECT tick, action,
+FROM (SELECT tick, action, unnest(range(1, abs(target - groups) + 1))::BIGINT AS step,
              unnest(CASE WHEN action = 'extend' THEN range(groups, target)
                          ELSE range(groups - 1, target - 1, -1) END)::BIGINT AS group_no
       FROM ({_DECISION}) WHERE action IN ('extend', 'shrink'))
@@ -516,6 +517,7 @@ FROM (SELECT tick, action,
 # ------------------------------------------------------------------ streaming
 # Stream twins equal their batch twins once the end marker closed the stream.
 ORACLE["stream_queue"] = ORACLE["queue_scan"]
+ORACLE["stream_tail"] = f"SELECT * EXCLUDE (pos) FROM ({ORACLE['queue_scan']})"
 ORACLE["stream_match"] = ORACLE["timeout_status"]
 ORACLE["stream_scale"] = ORACLE["scale_decision"]
 ORACLE["stream_dedup"] = f"SELECT uuid, first_pos, path FROM ({ORACLE['completion_scan']})"

@@ -205,6 +205,28 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", as_ts(F.col("ts")))
 
 
+def listed_name():
+    """The container an event of the stream shows to be up: six workers by
+    user, of which views come from another service."""
+    n = F.pmod(F.col("user_id"), F.lit(6)).cast("string")
+    return F.when(F.col("event_type") == "view", F.concat(F.lit("registry-"), n)).otherwise(
+        F.concat(F.lit("hadoop-master-"), n))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tick, name): the containers seen in each hour."""
+    e = event_times(spark, sf_dir)
+    return e.select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
+                    listed_name().alias("name"))
+
+
+LISTINGS_SQL = """
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS tick,
+       CASE WHEN event_type = 'view' THEN 'registry-' ELSE 'hadoop-master-' END || (user_id % 6)::VARCHAR AS name
+FROM events
+"""
+
+
 # --------------------------------------------------------- requests (events)
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, variant, body): a request per event; which keys the body

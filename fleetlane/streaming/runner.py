@@ -18,6 +18,7 @@ resumes after executor or driver loss.
 from __future__ import annotations
 
 import datetime as _dt
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql.types import StructType
 from fleetlane.session import scratch_path
 
 END_TYPE = "__end__"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 END_TS = _dt.datetime(2100, 1, 1)
 
 
@@ -80,26 +82,43 @@ def append_end_marker(spark: SparkSession, folder: str, schema: StructType, valu
     return dst.toString()
 
 
+@contextmanager
+def _confs(spark: SparkSession, confs: dict[str, str]):
+    """Session confs for the time of a block."""
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_append(spark: SparkSession, sdf: DataFrame, name: str,
-               watermark_policy: str | None = None, marker: EndMarker | None = None) -> DataFrame:
+               watermark_policy: str | None = None, marker: EndMarker | None = None,
+               rocksdb: bool = False, state_partitions: int | None = None) -> DataFrame:
     """Run an append-mode stream with availableNow into a parquet sink in
     the shared folder, and once more with the marker, if there is one;
     return the sink as a batch DataFrame.
 
-    ``watermark_policy`` ('min'/'max') is fixed for the query at its first
-    batch (it is stored in the checkpoint), so it is set only around
-    ``start()``."""
+    ``watermark_policy`` ('min'/'max') and the state store are fixed for the
+    query at its first batch (they are stored in the checkpoint), so they
+    are set only around ``start()``; ``rocksdb`` is what processors with
+    several states and timers need.  ``state_partitions`` is for streams
+    whose state is known to be small: each partition costs a store."""
     out = scratch_path(spark, f"{name}-out")
-    key = "spark.sql.streaming.multipleWatermarkPolicy"
-    old = spark.conf.get(key, "min")
+    confs = {}
     if watermark_policy:
-        spark.conf.set(key, watermark_policy)
-    try:
+        confs["spark.sql.streaming.multipleWatermarkPolicy"] = watermark_policy
+    if state_partitions:
+        confs["spark.sql.shuffle.partitions"] = str(state_partitions)
+    if rocksdb:
+        confs["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB
+    with _confs(spark, confs):
         _run(lambda: sdf.writeStream.outputMode("append").format("parquet")
              .option("path", out).option("checkpointLocation", out + "-ckpt")
              .trigger(availableNow=True).queryName(f"{name}_{out[-12:]}").start(), marker)
-    finally:
-        spark.conf.set(key, old)
     return spark.read.schema(sdf.schema).parquet(out)
 
 

@@ -1,67 +1,69 @@
 """T5: scaling decisions on a stream (batch twin: O31 + O43).
 
-The +1/-1 rows are summed per hourly tick in an event-time window; a tick
-comes out once, when the watermark has closed it, so a tick that spans
-micro-batches is decided on once.  ``foreachBatch`` continues the depth
-from the batch before (a one-row carry per batch id: running sum, its
-lowest value, depth) and writes the decision rows.  Writes are per batch id
-(overwrite), so a retried batch is idempotent; carries no retry can need
-are deleted.
+Two stateful steps of one query.  The first sums the +1/-1 rows of an hour
+and collects the masters seen in it, in an event-time window; a tick comes
+out once, when the watermark has closed it.  The second continues the depth
+of the queue: its state is one number, and as ticks come out of the first
+in order of time - all of a trigger before all of the next - it folds a
+trigger's ticks in that order and emits a decision for each.  Nothing is
+read or carried by the driver; a restart continues from the checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from fleetlane.operators.scaling import MAX_GROUPS, service_policy
 
-DECISION_SCHEMA = "tick string, depth bigint, groups bigint, action string, target bigint"
+DEPTH_SCHEMA = "queue string, tick string, depth bigint, groups bigint"
 
 
 def closed_ticks(events: DataFrame, ts_col: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """(ts, delta) stream -> (tick, delta) per closed hour.  Rows with a
-    null delta only move the watermark; an hour without others is no tick."""
+    """(ts, delta, name) stream -> (tick, delta, groups) per closed hour:
+    the sum of delta and the number of masters among the names.  Rows with
+    a null delta are no part of the sum; an hour without others has a null
+    delta."""
+    master = F.when(F.col("name").contains("hadoop-master"), F.col("name"))
     w = (events.withWatermark(ts_col, delay).groupBy(F.window(ts_col, "1 hour").alias("w"))
-               .agg(F.sum("delta").cast("bigint").alias("delta")))
-    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("tick"), "delta")
-
-
-def _folder(spark, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _carry(spark, out: str, batch_id: int) -> tuple[int, int, int | None]:
-    """(sum, lowest, depth) after the last batch before ``batch_id``; older
-    carries are deleted."""
-    path, fs = _folder(spark, f"{out}-carry")
-    if not fs.exists(path):
-        return 0, 0, None
-    ids = sorted(int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(path))
-    ids = [i for i in ids if i < batch_id]
-    if not ids:
-        return 0, 0, None
-    for i in ids[:-1]:
-        fs.delete(_folder(spark, f"{out}-carry/batch={i}")[0], True)
-    r = spark.read.parquet(f"{out}-carry/batch={ids[-1]}").first()
-    return int(r["cum"]), int(r["low"]), int(r["depth"])
-
-
-def decide_batch(ticks: DataFrame, batch_id: int, out: str, cap: int = MAX_GROUPS) -> None:
-    """ticks: (tick, delta), the ticks closed since the last batch."""
-    spark = ticks.sparkSession
-    cum0, low0, depth0 = _carry(spark, out, batch_id)
-    w = Window.orderBy("tick")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = ticks.where("delta is not null").withColumn("cum", (F.lit(cum0) + F.sum("delta").over(upto)).cast("bigint"))
-    t = t.withColumn("low", F.least(F.lit(low0), F.min("cum").over(upto)).cast("bigint"))
-    t = t.withColumn("depth", F.col("cum") - F.col("low"))
-    prev = F.coalesce(F.lag("depth").over(w), F.lit(depth0).cast("bigint"), F.lit(1))
-    t = t.withColumn("groups", F.greatest(F.lit(1), F.least(F.lit(cap), prev)).cast("bigint"))
-    t = service_policy(t, cap).checkpoint(eager=True)  # one evaluation feeds both writes
-    (t.select("tick", "depth", "groups", "action", "target")
-      .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
-    last = t.orderBy(F.col("tick").desc()).limit(1).select("cum", "low", "depth")
-    if last.limit(1).count():  # a batch without ticks leaves the carry as it is
-        last.write.mode("overwrite").parquet(f"{out}-carry/batch={batch_id}")
+               .agg(F.sum("delta").cast("bigint").alias("delta"),
+                    F.size(F.collect_set(master)).cast("bigint").alias("groups")))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("tick"), "delta", "groups")
+
+
+class QueueDepth(StatefulProcessor):
+    """Continues one queue's depth over the ticks that a trigger closed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.depth = handle.getValueState("depth", "depth long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.depth.get()[0] if self.depth.exists() else 0
+        t = pd.concat(list(rows), ignore_index=True).sort_values("tick", kind="stable")
+        cum = before + t["delta"].cumsum()
+        # removing from an empty queue changes nothing
+        t["depth"] = cum - cum.cummin().clip(upper=0)
+        if len(t):
+            self.depth.update((int(t["depth"].iloc[-1]),))
+        yield t.assign(queue=key[0])[["queue", "tick", "depth", "groups"]]
+
+    def close(self) -> None:
+        pass
+
+
+def depth_stream(ticks: DataFrame, queue: str = "main") -> DataFrame:
+    """(tick, delta, groups) per closed tick, in order -> with its depth."""
+    t = ticks.where("delta is not null").withColumn("queue", F.lit(queue))
+    return (t.groupBy("queue").transformWithStateInPandas(
+        QueueDepth(), StructType.fromDDL(DEPTH_SCHEMA), "Append", "None"))
+
+
+def decisions_stream(ticks: DataFrame, cap: int = MAX_GROUPS) -> DataFrame:
+    """(tick, depth, groups, action, target) per closed tick."""
+    d = depth_stream(ticks).withColumn("groups", F.greatest("groups", F.lit(1)).cast("bigint"))
+    return service_policy(d, cap).select("tick", "depth", "groups", "action", "target")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fleetlane.operators import contrast as ct
 from fleetlane.operators import placement as pl
 from fleetlane.operators import scaling as sc
-from fleetlane.operators.indexing import range_rank
+from fleetlane.operators.indexing import clamped_depth, range_rank
 
 
 def test_service_policy_cases(spark):
@@ -23,11 +23,46 @@ def test_queue_depth_running_sum(spark):
     assert got == [("h1", 2), ("h2", 1), ("h3", 0), ("h4", 1)]  # an empty queue stays empty
 
 
+def test_clamped_depth_over_many_ranges(spark):
+    """Equal to removing one by one, however the rows fall into ranges."""
+    import random
+    rnd = random.Random(1)
+    for n, step in ((1, 1), (400, 3), (400, 40)):
+        deltas = [rnd.randint(-step, step) - (i > n // 2) for i in range(n)]
+        want, depth = [], 0
+        for x in deltas:
+            depth = max(0, depth + x)
+            want.append(depth)
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(deltas)], "t long, delta long").repartition(5)
+        got = [r.depth for r in clamped_depth(df, ["t"]).orderBy("t").collect()]
+        assert got == want and 0 in got
+    assert clamped_depth(df.limit(0), ["t"]).count() == 0
+
+
+def test_no_window_over_all_ticks(spark):
+    """Windows without a key see one row per range partition only."""
+    d = spark.createDataFrame([("h1", 1)], "tick string, delta int")
+    plan = sc.queue_depth(d)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.split("\n") if "Window [" in x]
+    keyless = [x for x in windows if "_pid" not in x.split("windowspecdefinition(")[1].split(" ASC")[0]]
+    assert windows and not keyless
+
+
+def test_observed_groups(spark):
+    listing = spark.createDataFrame([("t1", "hadoop-master-0"), ("t1", "hadoop-master-0"), ("t1", "hadoop-master-3"),
+                                     ("t2", "registry-1"), ("t3", "hadoop-slave-1-1")], "tick string, name string")
+    up = sc.groups_up(listing)
+    assert {r.tick: r.groups for r in up.collect()} == {"t1": 2, "t2": 0, "t3": 0}
+    ticks = spark.createDataFrame([("t1", 0), ("t2", 3), ("t4", 9)], "tick string, depth long")
+    got = {r.tick: (r.groups, r.action, r.target) for r in sc.scale_decision(ticks, up).collect()}
+    assert got == {"t1": (2, "shrink", 1), "t2": (1, "extend", 3), "t4": (1, "extend", 6)}
+
+
 def test_scale_actions_members(spark):
     d = spark.createDataFrame([("t1", 1, "extend", 3), ("t2", 4, "shrink", 1), ("t3", 2, "hold", 2)],
                               "tick string, groups long, action string, target long")
-    got = [(r.tick, r.group_no) for r in sc.scale_actions(d).collect()]
-    assert got == [("t1", 1), ("t1", 2), ("t2", 3), ("t2", 2), ("t2", 1)]
+    got = sorted((r.tick, r.step, r.group_no) for r in sc.scale_actions(d).collect())
+    assert got == [("t1", 1, 1), ("t1", 2, 2), ("t2", 1, 3), ("t2", 2, 2), ("t2", 3, 1)]
     m = sc.scale_actions(d).first().members
     assert m == "hadoop-master-1,hadoop-slave-1-1,hadoop-slave-1-2"
 
@@ -135,3 +170,7 @@ def test_queue_length_at_arrival(spark):
     rem = spark.createDataFrame([(2,)], "day long")
     got = {r.pos: r.queue_len for r in pl.queue_length_at_arrival(arr, rem).collect()}
     assert got == {1: 0, 2: 1, 3: 2, 4: 2}
+    # more tasks finish than are queued: the queue is empty, not in debt
+    rem = spark.createDataFrame([(0,), (1,), (1,), (1,), (1,)], "day long")
+    got = {r.pos: r.queue_len for r in pl.queue_length_at_arrival(arr, rem).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1}

@@ -218,29 +218,31 @@ def test_dedup_text_log_with_uuid_time(spark, tmp_path):
     assert sorted(r.uuid for r in out.collect()) == sorted(ids)
 
 
-def test_stream_scale_carry_equals_batch(spark, tmp_path):
+def test_stream_scale_equals_batch(spark, tmp_path):
+    """Depth continues over triggers and a restart, without the driver."""
     import random
+    from pyspark.sql import functions as F
     from fleetlane.operators import scaling as sc
+    from fleetlane.plans.standins import listed_name
     from fleetlane.streaming import scale as ssc
     rnd = random.Random(5)
     rows = sorted((ev(i, rnd.randrange(0, 48 * 60), rnd.randrange(1, 9),
-                      rnd.choice(["signup", "signup", "purchase", "view"])) for i in range(600)),
+                      rnd.choice(["signup", "purchase", "purchase", "view"])) for i in range(600)),
                   key=lambda r: r[1])
     # ticks span files, and rows of neighbouring files overlap by minutes
     parts = [sorted(rows[k * 120:(k + 1) * 120 + 5][5 * (k > 0):], key=lambda r: r[0]) for k in range(5)]
     folder = _batches(spark, str(tmp_path / "sc"), parts)
-    from pyspark.sql import functions as F
     s = _stream(spark, folder)
     delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1)
-    got = srun.run_foreach_batch(spark, ssc.closed_ticks(s.withColumn("delta", delta)), "t_scale",
-                                 lambda df, b, o: ssc.decide_batch(df, b, o), ssc.DECISION_SCHEMA)
-    batch = spark.createDataFrame(rows, SCHEMA)
-    bd = (batch.where(F.col("event_type").isin("signup", "purchase"))
-               .select(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("tick"),
-                       F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta")))
-    exp = sc.scale_decision(sc.queue_depth(bd)).select("tick", "depth", "groups", "action", "target")
+    ticks = ssc.closed_ticks(s.withColumn("delta", delta).withColumn("name", listed_name()))
+    got = srun.run_append(spark, ssc.decisions_stream(ticks), "t_scale", rocksdb=True, state_partitions=2)
+    batch = spark.createDataFrame(rows, SCHEMA).withColumn("tick", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss"))
+    bd = batch.where(F.col("event_type").isin("signup", "purchase")).select(
+        "tick", F.when(F.col("event_type") == "signup", 1).otherwise(-1).alias("delta"))
+    up = sc.groups_up(batch.select("tick", listed_name().alias("name")))
+    exp = sc.scale_decision(sc.queue_depth(bd), up).select("tick", "depth", "groups", "action", "target")
     assert sorted(got.collect()) == sorted(exp.collect())
-    assert got.count() > 20
+    assert got.count() > 20 and {0} < {r.depth for r in got.collect()}
 
 
 def test_snapshot_files_stream_per_window(spark, tmp_path):

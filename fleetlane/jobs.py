@@ -69,15 +69,15 @@ def job_match(spark: SparkSession, out: str, queue: str, completions: str) -> No
 
 def job_follow(spark: SparkSession, out: str, completions: str, once: bool,
                every: int = 5) -> None:
-    """Tail the completion-log folder (T1), keep the first line per id
-    (T7, event time from the version-1 id) and append it to ``out``.
-    Exactly-once: file sink + checkpoint next to the output."""
-    from fleetlane.streaming.dedup import dedup_completions, with_uuid_time
+    """Follow a completion log (T1) and keep the first line per id (T7) in
+    ``out``, as streaming.dedup.read_firsts() reads it.  ``completions`` is
+    one growing file, followed by byte offset, or a folder to which files
+    are added.  Restarts go on from the checkpoint next to the output."""
+    from fleetlane.sources.tail import growing_lines, is_file
+    from fleetlane.streaming.dedup import follow_firsts
     from fleetlane.streaming.sources import line_stream
-    parsed = with_uuid_time(tk.parse_completions(line_stream(spark, completions)))
-    firsts = dedup_completions(parsed).select("uuid", "path", "ts")
-    w = (firsts.writeStream.format("parquet").outputMode("append")
-               .option("path", out).option("checkpointLocation", out.rstrip("/") + "-checkpoint"))
+    lines = growing_lines(spark, completions) if is_file(completions) else line_stream(spark, completions)
+    w = follow_firsts(tk.parse_completions(lines), out, out.rstrip("/") + "-checkpoint")
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime=f"{every} seconds")
     w.start().awaitTermination()
 

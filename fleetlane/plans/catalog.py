@@ -29,6 +29,7 @@ from fleetlane.sources.requests import parse_requests
 from fleetlane.sources.tables import table
 from fleetlane.sources.tail import first_lines, growing_lines, last_lines
 from fleetlane.streaming import dedup as sdd
+from fleetlane.streaming import end_phase as sep
 from fleetlane.streaming import lifecycle as slc
 from fleetlane.streaming import match as smt
 from fleetlane.streaming import runner as srun
@@ -577,6 +578,19 @@ def q_stream_scale(spark, sf_dir):
                            state_partitions=2)
 
 
+@query("stream_end_phase")
+def q_stream_end_phase(spark, sf_dir):
+    """The event stream phased by each user's first error (batch twin:
+    end_phase); a run that is silent for good keeps its state, as the
+    table's users come back after any time."""
+    ev, marker = _event_stream(spark, sf_dir)
+    samples = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("sample_id"), "ts",
+                        (F.col("event_type") == "error").alias("is_marker"))
+    out = srun.run_append(spark, sep.end_phase_stream(samples, 4, linger_s=100 * 366 * 86400), "stream_end_phase", marker=marker)
+    return out.select(F.col("run").alias("user_id"), F.col("sample_id").alias("event_id"),
+                      ts_text(F.timestamp_micros("ts_us")).alias("ts"), "phase")
+
+
 @query("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
     """The first completion of each id, with its place and path."""

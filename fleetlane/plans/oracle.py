@@ -519,6 +519,7 @@ FROM (SELECT tick, action, unnest(range(1, abs(target - groups) + 1))::BIGINT AS
 ORACLE["stream_queue"] = ORACLE["queue_scan"]
 ORACLE["stream_tail"] = f"SELECT * EXCLUDE (pos) FROM ({ORACLE['queue_scan']})"
 ORACLE["stream_match"] = ORACLE["timeout_status"]
+ORACLE["stream_end_phase"] = ORACLE["end_phase"]
 ORACLE["stream_scale"] = ORACLE["scale_decision"]
 ORACLE["stream_dedup"] = f"SELECT uuid, first_pos, path FROM ({ORACLE['completion_scan']})"
 

@@ -116,12 +116,21 @@ def _open(uri: str):
     return fs.open_input_file(path)
 
 
+def _fs(path: str):
+    uri = path if "://" in path or path.startswith("file:") else "file://" + path
+    return uri, *pafs.FileSystem.from_uri(uri)
+
+
+def is_file(path: str) -> bool:
+    _, fs, base = _fs(path)
+    return fs.get_file_info(base).type == pafs.FileType.File
+
+
 def list_files(path: str) -> list[tuple[str, int, int]]:
     """(URI, bytes, modification time) of a file, or of the files of a
     folder (hidden ones and marks of writers left out); none if it is not
     there yet."""
-    uri = path if "://" in path or path.startswith("file:") else "file://" + path
-    fs, base = pafs.FileSystem.from_uri(uri)
+    uri, fs, base = _fs(path)
     prefix = uri[:len(uri) - len(base)] if uri.endswith(base) else uri.split(":", 1)[0] + "://"
     info = fs.get_file_info(base)
     if info.type == pafs.FileType.Directory:

@@ -81,14 +81,23 @@ def first_match_stream(events: DataFrame, key: str = "user_id", timeout_s: int =
     longer arrive), timeout once it passed ts + timeout.  Matching is a
     sorted search, so a busy key costs O((requests + completions) log n)
     per batch, never requests x completions.  Rows behind the watermark
-    are dropped as late."""
+    are dropped as late.
+
+    State is kept per key and stretch of ``timeout_s``: a request's answer
+    lies in its own stretch or the next, so a completion is sent to its own
+    stretch and the one before.  A key that holds a large share of the rows
+    is thus spread over tasks by time, and a group's state is never more
+    than the rows of two stretches of one key, gone when they have passed."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     t = F.col("event_type")
+    stretch = F.floor(F.unix_micros("ts") / (timeout_s * 1_000_000))
     ev = (events.withWatermark("ts", delay)
                 .where(t.isin(submit_type, done_type, END_TYPE))
                 .select("event_id", F.col(key).alias("k"), "ts",
                         F.unix_micros("ts").alias("t_us"),
-                        F.when(t == done_type, 1).otherwise(0).alias("kind")))
-    return (ev.groupBy("k")
+                        F.when(t == done_type, 1).otherwise(0).alias("kind"),
+                        F.explode(F.when(t == done_type, F.array(stretch, stretch - 1))
+                                  .otherwise(F.array(stretch))).alias("stretch")))
+    return (ev.groupBy("k", "stretch")
               .applyInPandasWithState(_first_fn(timeout_s), FIRST_SCHEMA, FIRST_STATE, "append",
                                       GroupStateTimeout.EventTimeTimeout))

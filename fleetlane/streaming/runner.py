@@ -133,23 +133,28 @@ def _run(start, marker: EndMarker | None) -> None:
             raise RuntimeError(str(q.exception()))
 
 
+def foreach_batch(sdf: DataFrame, fn, out: str, checkpoint: str, mode: str = "append"):
+    """Writer that runs ``fn(batch_df, batch_id, out)`` per micro-batch."""
+    return (sdf.writeStream.outputMode(mode).foreachBatch(lambda df, bid: fn(df, bid, out))
+               .option("checkpointLocation", checkpoint))
+
+
 def run_foreach_batch(spark: SparkSession, sdf: DataFrame, name: str, fn, schema: StructType | str,
                       mode: str = "append", marker: EndMarker | None = None) -> DataFrame:
     """Run ``fn(batch_df, batch_id, out_folder)`` per micro-batch with
-    availableNow; ``fn`` writes ``out_folder/batch=<id>``.  Returns every
-    batch's output as one DataFrame."""
+    availableNow; ``fn`` writes below the folder, a batch's rows in a
+    ``batch=<id>`` of their own.  Returns every batch's output as one
+    DataFrame of ``schema``."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     out = scratch_path(spark, f"{name}-out")
-    _run(lambda: sdf.writeStream.outputMode(mode).foreachBatch(lambda df, bid: fn(df, bid, out))
-         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start(), marker)
-    if not _exists(spark, out):  # the stream had no data batch at all
+    _run(lambda: foreach_batch(sdf, fn, out, out + "-ckpt", mode).trigger(availableNow=True).start(), marker)
+    if not exists(spark, out):  # the stream had no data batch at all
         return spark.createDataFrame([], schema)
-    # the batch=<id> folders add a partition column; the caller's schema wins
-    return spark.read.schema(schema).parquet(out).drop("batch")
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

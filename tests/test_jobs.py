@@ -4,6 +4,7 @@ import os
 
 from file_trees import write_files
 from fleetlane import jobs
+from fleetlane.streaming.dedup import read_firsts
 from test_usage import _tree
 from test_wordcount import GOLDEN, SETS
 
@@ -65,8 +66,19 @@ def test_follow_job_once(spark, tmp_path):
         "a.txt": f"{u[0]}:::logs/a\n{u[0]}:::logs/dup\n", "b.txt": f"sh run x y {u[1]}\nbad:::x\n"})
     out = str(tmp_path / "firsts")
     jobs.job_follow(spark, out, root, once=True)
-    got = sorted((r.uuid, r.path) for r in spark.read.parquet(out).collect())
-    assert [g[0] for g in got] == sorted(u)
+    got = sorted((r.uuid, r.path) for r in read_firsts(spark.read.parquet(out)).collect())
+    assert got == sorted([(u[0], "logs/a"), (u[1], None)])
+
+
+def test_follow_job_on_a_growing_file(spark, tmp_path):
+    u = ["5f0c2a10-1d3e-11ee-9c4b-0242ac120002", "6a7d3b24-1d3e-11ee-9c4b-0242ac120002"]
+    log, out = tmp_path / "subscribe.txt", str(tmp_path / "firsts")
+    for part, want in ((f"{u[0]}:::logs/a\n{u[1]}:::lo", {u[0]: "logs/a"}),
+                       (f"gs/b\n{u[0]}:::logs/dup\n", {u[0]: "logs/a", u[1]: "logs/b"})):
+        with open(log, "a") as f:
+            f.write(part)
+        jobs.job_follow(spark, out, str(log), once=True)
+        assert {r.uuid: r.path for r in read_firsts(spark.read.parquet(out)).collect()} == want
 
 
 def test_cli_main_wordcount(spark, tmp_path):

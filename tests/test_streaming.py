@@ -49,19 +49,6 @@ def ev(i, minutes, user, typ, value=1.0):
     return (i, T0 + dt.timedelta(minutes=minutes), user, typ, value)
 
 
-def test_dedup_within_watermark(spark, tmp_path):
-    u = "5f0c2a10-1d3e-11ee-9c4b-0242ac120002"
-    rows = [(0, f"{u}:::logs/a", T0), (1, f"sh x y z {u}", T0 + dt.timedelta(minutes=5)),
-            (2, "bad-id:::x", T0)]
-    df = spark.createDataFrame(rows, "pos long, value string, ts timestamp")
-    folder = str(tmp_path / "c")
-    df.coalesce(1).write.parquet(folder)
-    s = srun.file_stream(spark, folder, df.schema)
-    out = srun.run_append(spark, sdd.dedup_completions(tk.parse_completions(s, keep=["ts"])).select("uuid"),
-                          "t_dedup")
-    assert [r.uuid for r in out.collect()] == [u]
-
-
 def _brute_lifecycle(rows, timeout_s=3600):
     pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value"])
     pdf["t_us"] = pdf["ts"].map(lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1e6))
@@ -115,16 +102,60 @@ def test_usage_windows_equal_batch(spark, tmp_path):
     assert got == exp
 
 
+SAMPLES = "run long, sample_id long, ts timestamp, is_marker boolean"
+
+
+def _sample_files(spark, folder, parts):
+    """Files of (run, sample_id, minute, is_marker) rows and the end marker."""
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(SAMPLES)
+    os.makedirs(folder)
+    for i, rows in enumerate(parts):
+        sub = f"{folder}/_t{i}"
+        rows = [(r, sid, T0 + dt.timedelta(minutes=m), k) for r, sid, m, k in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(sub)
+        part = [f for f in os.listdir(sub) if f.endswith(".parquet")][0]
+        os.replace(f"{sub}/{part}", f"{folder}/b{i}.parquet")
+        os.utime(f"{folder}/b{i}.parquet", (1_700_000_000 + i,) * 2)
+    s = srun.file_stream(spark, folder + "/*.parquet", schema, max_files=1)
+    return srun.with_end_marker(spark, s, schema, {"ts": srun.END_TS, "is_marker": False})
+
+
 def test_end_phase_stream(spark, tmp_path):
-    rows = [(1, i, i * 1_000_000, i == 3) for i in range(10)] + [(2, 0, 0, False)]
-    df = spark.createDataFrame(rows, "run long, sample_id long, ts_us long, is_marker boolean")
-    folder = str(tmp_path / "s")
-    df.coalesce(1).write.parquet(folder)
-    s = srun.file_stream(spark, folder, df.schema)
-    out = srun.run_append(spark, sep.end_phase_stream(s, 4), "t_end")
+    """Late samples and a late marker, across files, inside the delay."""
+    parts = [[(1, 0, 0, False), (1, 1, 10, False), (2, 20, 0, False)],
+             [(1, 3, 30, False), (1, 4, 31, False), (1, None, 20, True)],       # the marker came late
+             [(1, 2, 15, False), (1, 6, 33, False), (1, 5, 32, False), (1, 7, 34, False), (1, 8, 35, False)],
+             [(2, 21, 200, True), (2, 22, 201, False), (1, 9, 300, False)]]     # a sample may be the marker
+    s, marker = _sample_files(spark, str(tmp_path / "s"), parts)
+    out = srun.run_append(spark, sep.end_phase_stream(s, 4), "t_end", marker=marker)
     got = sorted((r.run, r.sample_id, r.phase, r.closed) for r in out.collect())
-    assert got == ([(1, i, "", False) for i in range(3)] + [(1, i, "end", i == 7) for i in range(4, 8)]
-                   + [(2, 0, "", False)])
+    assert got == ([(1, i, "", False) for i in range(3)] + [(1, i, "end", i == 6) for i in range(3, 7)]
+                   + [(2, 20, "", False), (2, 21, "", False), (2, 22, "end", False)])
+
+
+def test_end_phase_stops_when_all_runs_are_closed(spark, tmp_path):
+    parts = [[(r, i, i + r, i == 2) for i in range(9)] for r in (1, 2)]
+    parts.append([(3, 1, 600, False)])  # moves the watermark past both runs
+    s, _ = _sample_files(spark, str(tmp_path / "s"), parts)
+    w = (sep.end_phase_stream(s, 4).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "o"))
+         .option("checkpointLocation", str(tmp_path / "c")))
+    assert sep.run_until_closed(spark, w, 2, timeout_s=120)
+    assert not spark.streams.active
+    assert spark.read.parquet(str(tmp_path / "o")).where("closed").count() == 2
+
+
+def test_end_phase_state_expires(spark, tmp_path):
+    days = 24 * 60
+    parts = [[(r, r, r, False) for r in range(1, 6)], [(6, 6, 3 * days, False)], [(7, 7, 30 * days, False)],
+             [(8, 8, 60 * days, False)], [(9, 9, 61 * days, False)]]
+    s, _ = _sample_files(spark, str(tmp_path / "s"), parts)
+    rows = []
+    q = (sep.end_phase_stream(s, 4, linger_s=7 * 86400).writeStream.outputMode("append").format("parquet")
+         .option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(rows) >= 6 and rows[-1] <= 2
 
 
 def test_queue_text_stream(spark, tmp_path):
@@ -176,46 +207,61 @@ def test_first_match_stream_equals_batch(spark, tmp_path):
     assert got == exp
 
 
-def test_dedup_across_batches_and_expiry(spark, tmp_path):
-    u = "5f0c2a10-1d3e-11ee-9c4b-0242ac120002"
-    schema = "pos long, value string, ts timestamp"
-    folder = tmp_path / "dd"
-    folder.mkdir()
-    batches = [[(0, f"{u}:::logs/a", T0)],
-               [(1, f"{u}:::logs/b", T0 + dt.timedelta(minutes=30))],   # within 1 h: dropped
-               [(2, "x", T0 + dt.timedelta(hours=5))],                  # watermark -> 04:00
-               [(3, "y", T0 + dt.timedelta(hours=5))],                  # state of u evicted here
-               [(4, f"{u}:::logs/c", T0 + dt.timedelta(hours=4, minutes=30))]]  # after expiry: emitted
-    for i, rows in enumerate(batches):
-        sub = str(folder / f"_t{i}")
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(sub)
-        part = [f for f in os.listdir(sub) if f.endswith(".parquet")][0]
-        dst = folder / f"b{i}.parquet"
-        os.replace(os.path.join(sub, part), dst)
-        os.utime(dst, (1_700_000_000 + i, 1_700_000_000 + i))
-    from pyspark.sql.types import _parse_datatype_string
-    s = srun.file_stream(spark, str(folder) + "/*.parquet", _parse_datatype_string(schema), max_files=1)
-    out = srun.run_append(spark, sdd.dedup_completions(tk.parse_completions(s, keep=["ts"])), "t_dd")
-    assert sorted(r.pos for r in out.collect()) == [0, 4]
+def _v1(ticks: int) -> str:
+    """A version-1 id of a 60-bit time of our own."""
+    import uuid as _uuid
+    return str(_uuid.UUID(fields=(ticks & 0xFFFFFFFF, (ticks >> 32) & 0xFFFF, 0x1000 | ((ticks >> 48) & 0x0FFF),
+                                  0x9C, 0x4B, 0x0242AC120002)))
 
 
-def test_dedup_text_log_with_uuid_time(spark, tmp_path):
-    import uuid as _uuid
+def test_first_completion_wins_over_a_long_stream(spark, tmp_path):
+    """Thirty days in files out of order, repeats weeks later: the earliest
+    line wins, the stream keeps no state, and a batch reads only the days
+    of its own ids."""
     from fleetlane.streaming.sources import line_stream
-    base = 0x1EE1D3E5F0C2A10  # 60-bit v1 timestamp of our own
-    ids = [str(_uuid.UUID(fields=((base + i * 10**7) & 0xFFFFFFFF, ((base + i * 10**7) >> 32) & 0xFFFF,
-                                  0x1000 | (((base + i * 10**7) >> 48) & 0x0FFF), 0x9C, 0x4B, 0x0242AC120002)))
-           for i in range(3)]
+    rnd = random.Random(3)
+    day = 24 * 3600 * 10 ** 7
+    ids = [_v1(0x1EE1D3E5F0C2A10 + (i // 4) * day + rnd.randrange(day)) for i in range(120)]
+    lines = [(d, f"{u}:::logs/{d}-{i}") for i, u in enumerate(ids) for d in {i // 4, i // 4 + rnd.randint(0, 9)}]
+    lines += [(35, f"{ids[0]}:::logs/late"), (35, "broken-id:::x"), (36, f"sh run x y {ids[5]}")]
+    by_day = {}
+    for d, text in lines:
+        by_day.setdefault(d, []).append(text)
+    order = sorted(by_day)
+    for i in range(0, len(order) - 1, 5):      # neighbouring days arrive swapped
+        order[i], order[i + 1] = order[i + 1], order[i]
     folder = tmp_path / "log"
     folder.mkdir()
-    for i, text in enumerate([f"{ids[0]}:::logs/a\n{ids[1]}:::logs/b\n",
-                              f"sh run x y {ids[0]}\n{ids[2]}:::logs/c\nbroken-id:::x\n"]):
-        p = folder / f"part-{i}.txt"
-        p.write_text(text)
-        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
-    parsed = sdd.with_uuid_time(tk.parse_completions(line_stream(spark, str(folder), max_files=1)))
-    out = srun.run_append(spark, sdd.dedup_completions(parsed).select("uuid"), "t_dd_text")
-    assert sorted(r.uuid for r in out.collect()) == sorted(ids)
+    for d in order:
+        p = folder / f"day-{d:02d}"
+        p.write_text("\n".join(by_day[d]) + "\n")
+        os.utime(p, (1_700_000_000 + d, 1_700_000_000 + d))
+    parsed = tk.parse_completions(line_stream(spark, str(folder), max_files=3))
+    out, read = str(tmp_path / "firsts"), []
+
+    def write(df, batch_id, path):
+        days = [r[0] for r in sdd.batch_firsts(df).select("day").distinct().collect()]
+        files = sdd.written(spark, path, sdd._schema(df), days, batch_id).inputFiles()
+        read.append({int(f.split("day=")[1].split("/")[0]) for f in files} - set(days))
+        sdd.write_firsts(df, batch_id, path)
+
+    q = srun.foreach_batch(parsed, write, out, out + "-c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert not any(p["stateOperators"] for p in q.recentProgress)
+    assert len(read) > 5 and not any(read)
+    got = {r.uuid: r.path for r in sdd.read_firsts(spark.read.parquet(out)).collect()}
+    want = {}
+    for d in sorted(by_day):
+        for text in by_day[d]:
+            u = text.split(":::")[0] if ":::" in text else text.split()[-1]
+            want.setdefault(u, text.split(":::")[1] if ":::" in text else None)
+    del want["broken-id"]
+    assert got == want
+    # a batch that is run again changes nothing
+    df = tk.parse_completions(spark.createDataFrame([(1, f"{ids[7]}:::logs/x")], "pos long, value string"))
+    for _ in range(2):
+        sdd.write_firsts(df, 99, str(tmp_path / "again"))
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 1
 
 
 def test_stream_scale_equals_batch(spark, tmp_path):
@@ -272,7 +318,7 @@ def test_snapshot_files_stream_per_window(spark, tmp_path):
     assert got == exp
 
 
-STREAM_KEYS = ["stream_match", "stream_lifecycle", "stream_usage", "stream_scale", "stream_dedup"]
+STREAM_KEYS = ["stream_match", "stream_lifecycle", "stream_usage", "stream_scale", "stream_end_phase", "stream_dedup"]
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables not present")

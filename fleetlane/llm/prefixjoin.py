@@ -15,8 +15,12 @@ and verified on full sets.
 
 Only components are wanted, so pairs are never listed.  Under a shingle
 every group meets the smallest; groups that this leaves in different
-components meet in blocks, and a block hands on a spanning forest of the
-candidates it finds.  All links lie inside the components of candidate
+components meet in blocks, at most two blocks of 128 in memory, and a cell
+hands on a spanning forest of the candidates it finds (there the places in
+the prefixes are not looked at: shingles with the same groups are one).  A
+shingle whose m groups all stay apart costs m^2 / 2 bitmap comparisons, in
+(m / 128)^2 / 2 cells; rare ones being first, it takes a corpus in which
+many documents consist of one common text without being alike.  All links lie inside the components of candidate
 groups.  There full sets are intersected, a cell of at most two blocks at a
 time; a cell hands on a spanning forest of links; blocks of one component
 of links are not compared again.  Equal sets are one member.
@@ -184,33 +188,59 @@ def _bitmaps_allow(pct: int) -> Column:
     return F.coalesce(apart <= F.col("na") + F.col("nb") - 2 * need, F.lit(True))
 
 
+PAIRS = 1 << 16          # pairs of groups looked at together
+
+
+def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j inside each of consecutive runs of rows."""
+    end = np.repeat(np.cumsum(size), size)
+    row = np.arange(len(end))
+    later = end - row - 1
+    i = np.repeat(row, later)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+
+
 def _forest(pct: int):
-    """A cell of postings (side, gid, comp, n, at, bits) under one shingle:
+    """One row is a cell, a list of (side, node, comp, n, free, bits):
     (smallest, other) of the components that possible pairs join."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "gid"], kind="stable")
-        comp, n, at = (pdf[c].to_numpy(np.int64) for c in ("comp", "n", "at"))
-        none = pdf["bits"].isna().to_numpy()
-        bits = np.zeros((len(pdf), BITS // 64), np.int64)
-        if not none.all():
-            bits[~none] = np.stack(pdf["bits"][~none].to_list())
-        bits = bits.view(np.uint64)  # bit counts of signed numbers would be of their absolute values
-        side = pdf["side"].to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = right if len(right) else left   # one block with itself
-        label = comp.copy()
-        for i in left:
-            j = right[label[right] != label[i]]
-            if not len(j):
-                continue
-            ok = possible(n[i], at[i], n[j], at[j], pct)
-            allowed = n[i] + n[j] - 2 * least_overlap(n[i], n[j], pct)
-            ok &= none[i] | none[j] | (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= allowed)
-            for z in set(label[j[ok]].tolist()):
-                a, z = sorted((int(label[i]), z))
-                label[label == z] = a
-        joined = label != comp
-        return pd.DataFrame({"a": label[joined], "b": comp[joined]}).drop_duplicates()
+    def fn(batches):
+        for b in batches:
+            cells = b.column(0)
+            size = cells.value_lengths().to_numpy()
+            rows = cells.flatten()
+            f = {x.name: rows.field(k) for k, x in enumerate(rows.type)}
+            side, comp, n = (f[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("side", "comp", "n"))
+            free = f["free"].to_numpy(zero_copy_only=False)
+            # bit counts of signed numbers would be of their absolute values
+            bits = f["bits"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), BITS // 64)
+            cut = np.cumsum(size * (size - 1) // 2) // PAIRS
+            last, top = np.concatenate([[0], np.cumsum(size)]), {}
+
+            def find(x):
+                while top.get(x, x) != x:
+                    x = top[x]
+                return x
+
+            for c in np.unique(cut):
+                at = np.flatnonzero(cut == c)
+                i, j = _pairs(size[at])
+                i, j = i + last[at[0]], j + last[at[0]]
+                one = np.repeat(np.maximum.reduceat(side, last[at]) == 0, size[at] * (size[at] - 1) // 2)
+                keep = (comp[i] != comp[j]) & (one | (side[i] != side[j]))
+                keep &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * pct
+                i, j = i[keep], j[keep]
+                for lo in range(0, len(i), PAIRS):  # a cell alone may have more pairs
+                    x, y = i[lo:lo + PAIRS], j[lo:lo + PAIRS]
+                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+                    ok = free[x] | free[y] | (apart <= n[x] + n[y] - 2 * least_overlap(n[x], n[y], pct))
+                    if ok.any():
+                        for p, q in np.unique(np.stack([comp[x[ok]], comp[y[ok]]]), axis=1).T.tolist():
+                            p, q = find(p), find(q)
+                            if p != q:
+                                top[max(p, q)] = min(p, q)
+            if top:
+                yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in top], pa.int64()),
+                                                  pa.array(list(top), pa.int64())], names=["a", "b"])
     return fn
 
 
@@ -254,12 +284,17 @@ def _candidates(groups: DataFrame, p: JoinParams) -> DataFrame:
     """(node, comp): components of possible pairs of groups (gid, n, prefix,
     bits); groups without a possible partner are left out."""
     pct = p.threshold_pct
-    posted = groups.select(F.posexplode("prefix").alias("at", "token"), "gid", "n")
-    # under each shingle, the smallest group (then the smallest gid) is the hub
-    hub = F.min(F.struct("n", "gid", "at"))
-    hubs = posted.groupBy("token").agg(hub.alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    posted = saved(posted.join(hubs, "token"), "join-postings")
-    star = (posted.select(F.col("hub.gid").alias("a"), F.col("hub.n").alias("na"), F.col("hub.at").alias("ia"),
+    place = F.expr("shiftleft(n, 32) | at").alias("place")
+    posted = groups.select("gid", "n", F.posexplode("prefix").alias("at", "token")).select("token", "gid", place)
+    # shingles of two or more groups: a small part of all
+    shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    posted = saved(posted.join(shared, "token")
+                         .select("token", "c", "gid", F.shiftright("place", 32).alias("n"),
+                                 F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")), "join-postings")
+    # the smallest group under a shingle (then the smallest gid) is its hub
+    hubs = posted.groupBy("token").agg(F.min(F.struct("n", "gid", "at")).alias("hub"))
+    star = (posted.join(hubs, "token")
+                  .select(F.col("hub.gid").alias("a"), F.col("hub.n").alias("na"), F.col("hub.at").alias("ia"),
                           F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
                   .where("a != b").where(_possible(pct)).select("a", "b", "na", "nb").distinct())
     bits = groups.where("bits is not null").select("gid", F.col("bits").alias("w"))
@@ -268,16 +303,22 @@ def _candidates(groups: DataFrame, p: JoinParams) -> DataFrame:
                 .where(_bitmaps_allow(pct)).select("a", "b"))
     star = saved(star, "join-candidates")
     near = connected_components(star)
-    # groups under one shingle that are still apart, of like sizes with the rest
+    # groups under one shingle that are still apart; shingles with the same
+    # groups (told by 128 bits) are one
     m = (posted.where("c > 2").join(near, posted["gid"] == near["node"], "left")
-               .select("token", F.coalesce("comp", "gid").alias("comp"), F.col("gid").alias("node"), "n", "at"))
-    spread = (m.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-               .where("lo != hi").select("token"))
+               .select("token", F.coalesce("comp", "gid").alias("comp"), F.col("gid").alias("node"), "n"))
+    spread = (m.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c"),
+                                     F.bit_xor(F.xxhash64("node")).alias("x"),
+                                     F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+               .where("lo != hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"))
     m = saved(m.join(spread, "token").withColumn("size", F.lit(1).cast("bigint")), "join-apart")
+    none = F.array_repeat(F.lit(0).cast("bigint"), BITS // 64)
     cells = (meeting(m, "token", _ceil_div(F.col("c"), p.block))
              .join(groups.select(F.col("gid").alias("node"), "bits"), "node")
-             .select("cell", "side", F.col("node").alias("gid"), "comp", "n", F.col("at").cast("bigint").alias("at"), "bits"))
-    more = saved(cells.groupBy("cell").applyInPandas(_forest(pct), _LINKS).distinct(), "join-candidates")
+             .groupBy("cell").agg(F.sort_array(F.collect_list(F.struct(
+                 "side", "node", "comp", "n", F.col("bits").isNull().alias("free"),
+                 F.coalesce("bits", none).alias("bits")))).alias("rows")))
+    more = saved(cells.select("rows").mapInArrow(_forest(pct), _LINKS).distinct(), "join-candidates")
     discard(m)
     discard(posted)
     if more.limit(1).count():

@@ -1,6 +1,6 @@
 """Language of texts, with mixed-language spans.
 
-A word is a run of letters.  Its script (Unicode ranges) narrows the
+A word is a run of letters (a run of more than 4,096 is several).  Its script (Unicode ranges) narrows the
 languages it may belong to: those whose training text has that script.
 Each candidate scores the word by the log probabilities of its character
 1- to 4-grams (hashed counts per language, with the word's borders).
@@ -9,12 +9,18 @@ gives the spans; the text's language is the one whose spans hold most
 letters, and the score is that share of letters times how clearly the words
 of the spans prefer it.
 
-A text whose best single language cannot be beaten by any run of words in
-another (largest run sum below the penalty) is one span without Viterbi;
-the others go through Viterbi side by side, word by word.
+A path with m switches has at most m + 1 runs in other languages than the
+text's best single one.  If no run of words in one other language gains more
+than half the penalty, all of them gain at most what the switches cost, so
+the text is one span without Viterbi; the others go through Viterbi side by
+side, word by word.  A word is scored once while a task knows it: scores of
+words are kept in two generations of bounded size.  Texts are scored in
+slices; what is kept of a long text is a score per word and language.
 
 The model is counted on a bounded sample of the training folds
-(``max_docs_per_lang`` documents of each language, smallest hashed ids).
+(``max_docs_per_lang`` documents of each language, those with the smallest
+hashed ids; a cut-off from the languages' counts leaves little more than
+these to be ranked).  Of several rows with one id and language one is taken.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
 ties go to the first language by name; with no labelled rows everything is
@@ -58,6 +64,11 @@ class LangParams:
     script_share: float = 0.01     # least share of letters for a script
 
 
+SLICE = 1 << 20          # characters scored together
+LONG_WORD = 4096
+KNOWN = 1 << 17          # words of a generation, of at most KNOWN_LETTERS
+KNOWN_LETTERS = 32
+
 _LETTER: list[np.ndarray] = []
 
 
@@ -76,17 +87,29 @@ def _codes(texts: list[str]) -> np.ndarray:
 def _word_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes with 0 in place of non-letters; word starts; word ends."""
     letter = _letters()[codes]
-    c = np.where(letter, codes, 0).astype(np.uint64)
+    c = np.where(letter, codes, 0).astype(np.uint32)
     edge = np.flatnonzero(np.diff(letter.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    return c, edge[::2], edge[1::2]
-
-
-def _ngrams(c: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: LangParams):
-    """For each order: (positions, table slots) of the n-grams that lie in
-    a word with its two borders (a 0 before and after)."""
-    inside = np.zeros(len(c) + 1, np.int32)
-    inside[np.maximum(starts - 1, 0)] += 1
-    np.add.at(inside, ends, -1)
+    starts, ends = edge[::2], edge[1::2]
+    if len(starts) and (ends - starts).max() > LONG_WORD:
+        parts = -(-(ends - starts) // LONG_WORD)
+        k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, ends = np.repeat(starts, parts) + k * LONG_WORD, np.repeat(ends, parts)
+        ends = np.minimum(ends, starts + LONG_WORD)
+    return c, starts, ends
+
+
+def _bordered(c: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words one after the other with a 0 before and after each, and their
+    new starts."""
+    at = np.cumsum(lens + 1) - lens
+    out = np.zeros(int(lens.sum()) + len(lens) + 1, np.uint64)
+    within = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    out[np.repeat(at, lens) + within] = c[np.repeat(starts, lens) + within]
+    return out, at
+
+
+def _ngrams(c: np.ndarray, p: LangParams):
+    """For each order, the table slot of the n-gram at each position."""
     padded = np.concatenate([c, np.zeros(p.orders, np.uint64)])
     mask = np.uint64((1 << p.table_log2) - 1)
     acc = np.zeros(len(c), np.uint64)
@@ -105,31 +128,89 @@ def _valid(n: int, lens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return w, at + (starts - lead)[w]
 
 
+class _Known:
+    """Words and their scores."""
+
+    def __init__(self, k: int):
+        self.at: dict[bytes, int] = {}
+        self.rows = np.zeros((0, k))
+
+    def add(self, keys: list[bytes], rows: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys))))
+        self.rows = np.concatenate([self.rows, rows])
+
+
 class Model:
     def __init__(self, p: LangParams, langs: list[str], logp: np.ndarray, scripts: np.ndarray):
         self.p, self.langs, self.logp, self.scripts = p, langs, logp, scripts
+        self._forget()
 
-    def _emissions(self, codes: np.ndarray):
-        """Word scores (words x languages), lengths and starts."""
-        c, starts, ends = _word_spans(codes)
-        lens = ends - starts
-        # one border in front, so that the first word has a left border too
-        c, starts = np.concatenate([np.zeros(1, np.uint64), c]), starts + 1
+    def _forget(self) -> None:
+        self.young, self.old = _Known(len(self.langs)), _Known(len(self.langs))
+
+    def __getstate__(self):
+        k = len(self.langs)
+        return {**self.__dict__, "young": _Known(k), "old": _Known(k)}
+
+    def _score(self, c: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Scores (words x languages), 0 for a word's best language."""
+        c, starts = _bordered(c, starts, lens)
         e = np.zeros((len(starts), len(self.langs)))
-        for n, slot in _ngrams(c, starts, starts + lens, self.p):
+        for n, slot in _ngrams(c, self.p):
             w, at = _valid(n, lens, starts)
             if len(w):
                 part = self.logp[slot[at]]
                 for j in range(len(self.langs)):
                     e[:, j] += np.bincount(w, weights=part[:, j], minlength=len(lens))
         e *= self.p.weight
-        if len(starts):
-            script = _SCRIPT[np.searchsorted(_STARTS, c[starts], "right") - 1]
-            ok = self.scripts[script]                      # words x languages
-            ok[~ok.any(axis=1)] = True
-            e = np.where(ok, e, e.min(axis=1, keepdims=True) - 50.0)
-            e -= e.max(axis=1, keepdims=True)
-        return e, lens, starts - 1
+        script = _SCRIPT[np.searchsorted(_STARTS, c[starts], "right") - 1]
+        ok = self.scripts[script]                      # words x languages
+        ok[~ok.any(axis=1)] = True
+        e = np.where(ok, e, e.min(axis=1, keepdims=True) - 50.0)
+        return e - e.max(axis=1, keepdims=True)
+
+    def _slice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, lengths and starts of the words of one slice; each
+        different word is scored once, known ones not at all."""
+        c, starts, ends = _word_spans(codes)
+        lens = ends - starts
+        offsets = np.concatenate([[0], np.cumsum(lens)])
+        flat = np.concatenate([c[c > 0], np.zeros(1, np.uint32)])
+        words = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer((offsets * 4).astype(np.int32)),
+                                                               pa.py_buffer(flat)]).dictionary_encode()
+        keys, code = words.dictionary.to_pylist(), words.indices.to_numpy()
+        table, todo = np.empty((len(keys), len(self.langs))), np.arange(len(keys))
+        for g in (self.young, self.old):
+            at = np.fromiter((g.at.get(keys[i], -1) for i in todo.tolist()), np.int64, len(todo))
+            table[todo[at >= 0]] = g.rows[at[at >= 0]]
+            todo = todo[at < 0]
+            if g is self.young:
+                fresh = todo
+        if len(todo):
+            flat = np.frombuffer(b"".join(keys[i] for i in todo.tolist()), np.uint32)
+            n = np.array([len(keys[i]) // 4 for i in todo.tolist()], np.int64)
+            table[todo] = self._score(flat, np.cumsum(n) - n, n)
+        keep = np.array([i for i in fresh.tolist() if len(keys[i]) <= 4 * KNOWN_LETTERS][:KNOWN], np.int64)
+        if len(self.young.at) + len(keep) > KNOWN:
+            self.young, self.old = _Known(len(self.langs)), self.young
+        self.young.add([keys[i] for i in keep.tolist()], table[keep])
+        return table[code], lens, starts
+
+    def _emissions(self, codes: np.ndarray):
+        """Word scores (words x languages), lengths and starts, slice by
+        slice; slices end behind a character that is no letter."""
+        out, lo = [], 0
+        while lo < len(codes):
+            hi = min(lo + SLICE, len(codes))
+            if hi < len(codes):
+                stop = np.flatnonzero(~_letters()[codes[hi:hi + SLICE]])
+                hi = hi + int(stop[0]) + 1 if len(stop) else min(hi + SLICE, len(codes))
+            e, lens, starts = self._slice(codes[lo:hi])
+            out.append((e, lens, starts + lo))
+            lo = hi
+        if not out:
+            return np.zeros((0, len(self.langs))), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def label(self, texts: list[str]):
         """(word labels, word scores, lengths, word starts, first word of
@@ -158,39 +239,41 @@ class Model:
             at0 = first[:-1][n > 0]
             before[at0] = np.concatenate([[0.0], np.cumsum(gain[:, j])])[at0] - off[at0]
             top = run - np.minimum.accumulate(before)
-            mixed |= np.bincount(text_of, weights=top > self.p.switch, minlength=len(texts)) > 0
+            mixed |= np.bincount(text_of, weights=top > self.p.switch / 2, minlength=len(texts)) > 0
         self._viterbi(e, first, np.flatnonzero(mixed), lab)
         return lab, e, lens, starts, first, bounds
 
     def _viterbi(self, e, first, texts, lab) -> None:
-        """Best paths of the given texts, all at once, one word a step."""
+        """Best paths of the given texts, side by side: at step t the t-th
+        word of every text that has one.  Rows of a step lie together,
+        longest text first, so a step is a few operations on slices.  With
+        one penalty for every switch a language's best predecessor is itself
+        or the best of all."""
         n = (first[1:] - first[:-1])[texts]
         order = np.argsort(-n, kind="stable")
         s, n = first[:-1][texts][order], n[order]
         if not len(n):
             return
-        back = np.zeros(e.shape, np.uint8 if e.shape[1] < 256 else np.uint16)
-        own = np.arange(e.shape[1])
         live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts longer than t
-        v = e[s].copy()
-        ends = [None] * len(n)
-        for t in range(1, int(n[0]) + 1):
-            a = int(live[t]) if t < len(live) else 0
-            for r in range(a, len(v)):
-                ends[r] = int(v[r].argmax())
-            if not a:
-                break
-            v = v[:a]
-            top = v.argmax(axis=1)
-            jump = v[np.arange(a), top] - self.p.switch
-            back[s[:a] + t] = np.where(v >= jump[:, None], own, top[:, None])
-            v = np.maximum(v, jump[:, None]) + e[s[:a] + t]
-        cur = np.array(ends)
-        for t in range(int(n[0]) - 1, -1, -1):
-            a = int(live[t])
-            lab[s[:a] + t] = cur[:a]
-            if t:
-                cur[:a] = back[s[:a] + t, cur[:a]]
+        off = np.concatenate([[0], np.cumsum(live)])
+        step = np.repeat(np.arange(len(live)), live)
+        word = s[np.arange(len(step)) - off[step]] + step
+        v = e[word]
+        bounds = list(zip(off[:-1].tolist(), live.tolist()))
+        for (p, _), (o, a) in zip(bounds, bounds[1:]):
+            prev = v[p:p + a]
+            v[o:o + a] += np.maximum(prev, prev.max(axis=1, keepdims=True) - self.p.switch)
+        top = v.argmax(axis=1)
+        stay = v >= v[np.arange(len(v)), top][:, None] - self.p.switch
+        path = np.empty(len(v), np.int64)
+        last = bounds[-1]
+        path[last[0]:last[0] + last[1]] = top[last[0]:last[0] + last[1]]
+        rows = np.arange(len(n))
+        for (p, b), (o, a) in zip(bounds[-2::-1], bounds[:0:-1]):
+            cur = path[o:o + a]
+            path[p:p + a] = np.where(stay[p + rows[:a], cur], cur, top[p:p + a])
+            path[p + a:p + b] = top[p + a:p + b]   # texts that end here
+        lab[word] = path
 
     def detect(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, spans) per text."""
@@ -225,7 +308,7 @@ class Model:
         return out
 
 
-def _pieces(texts: list, size: int = 1 << 18):
+def _pieces(texts: list, size: int = 2 * SLICE):
     """Row ranges of about ``size`` characters."""
     lo = 0
     while lo < len(texts):
@@ -244,14 +327,15 @@ def _count(p: LangParams, langs: list[str]):
         for b in batches:
             texts, lang = b.column(0).to_pylist(), b.column(1).to_pylist()
             for t, g in zip(texts, lang):
-                c, starts, ends = _word_spans(_codes([t or ""]))
-                c, starts, lens = np.concatenate([np.zeros(1, np.uint64), c]), starts + 1, ends - starts
-                j = langs.index(g)
-                s = _SCRIPT[np.searchsorted(_STARTS, c[c > 0], "right") - 1]
-                script[j * len(SCRIPTS):(j + 1) * len(SCRIPTS)] += np.bincount(s, minlength=len(SCRIPTS))
-                for n, slot in _ngrams(c, starts, starts + lens, p):
-                    at = slot[_valid(n, lens, starts)[1]]
-                    grams[j * slots:(j + 1) * slots] += np.bincount(at, minlength=slots)
+                j, codes = langs.index(g), _codes([t or ""])
+                for lo in range(0, len(codes), SLICE):  # a word cut here is two
+                    c, starts, ends = _word_spans(codes[lo:lo + SLICE])
+                    lens = ends - starts
+                    s = _SCRIPT[np.searchsorted(_STARTS, c[c > 0], "right") - 1]
+                    script[j * len(SCRIPTS):(j + 1) * len(SCRIPTS)] += np.bincount(s, minlength=len(SCRIPTS))
+                    c, starts = _bordered(c, starts, lens)
+                    for n, slot in _ngrams(c, p):
+                        np.add.at(grams[j * slots:(j + 1) * slots], slot[_valid(n, lens, starts)[1]], 1)
         for kind, a in ((0, grams), (1, script)):
             nz = np.flatnonzero(a)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nz), kind, np.int32)), pa.array(nz),
@@ -265,12 +349,19 @@ def train(docs: DataFrame, params: LangParams | None = None, id_col: str = "doc_
     p = params or LangParams()
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     d = d.where("text is not null and lang is not null and doc_id is not null").where(fold("doc_id") != 0)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (d.select("doc_id", "lang").distinct().withColumn("r", F.row_number().over(w))
+    # a cut-off of the hash leaves a little more than is wanted of a large
+    # language (five standard errors and the estimate's), all of a small one
+    wanted = p.max_docs_per_lang * 1.2 + 5 * p.max_docs_per_lang ** 0.5 + 20
+    counts = d.groupBy("lang").agg((F.lit(wanted) / F.approx_count_distinct("doc_id", 0.03)).alias("share"))
+    h = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = (d.select("doc_id", "lang", h.alias("h")).join(counts, "lang").where(F.col("h") < F.col("share") * float(1 << 63))
+            .select("doc_id", "lang", "h").distinct().withColumn("r", F.row_number().over(w))
             .where(F.col("r") <= p.max_docs_per_lang).select("doc_id", "lang"))
     ids = ids.checkpoint()
     langs = sorted(r.lang for r in ids.select("lang").distinct().collect())
-    sample = d.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")  # bounded: per language
+    sample = d.join(F.broadcast(ids), ["doc_id", "lang"])  # bounded: per language
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     rows = (sample.mapInArrow(_count(p, langs), "kind int, slot bigint, n bigint")
                   .groupBy("kind", "slot").agg(F.sum("n").alias("n")).collect())
     slots, k = 1 << p.table_log2, len(langs)

@@ -87,6 +87,45 @@ def test_viterbi_is_the_best_path():
         assert math.isclose(best, value(lab[lo:hi], range(lo, hi)))
 
 
+def test_label_equals_every_path_tried():
+    """The shortcut before Viterbi included: random emissions, and the case
+    of two runs in two other languages that share one switch."""
+    import itertools
+    rng = np.random.default_rng(5)
+    m = langid.Model(langid.LangParams(switch=8.0), ["a", "b", "c"], None, None)
+    cases = [np.array([[-7.0, 0, -20], [-7, -20, 0]])]
+    cases += [np.log(rng.dirichlet([.2, .2, .2], rng.integers(1, 7))) * rng.choice([1, 3, 6]) for _ in range(300)]
+
+    def value(e, path):
+        return sum(e[t, x] for t, x in enumerate(path)) - 8.0 * sum(a != b for a, b in zip(path, path[1:]))
+
+    for lo in range(0, len(cases), 7):
+        part = cases[lo:lo + 7]
+        e = np.concatenate(part)
+        m._emissions = lambda codes, e=e: (e, np.ones(len(e), np.int64), np.arange(len(e)) * 2)
+        lab, *_, first, _ = m.label([" ".join("x" * len(c))[:2 * len(c) - 1] for c in part])
+        for c, a, z in zip(part, first, first[1:]):
+            best = max(value(c, p) for p in itertools.product(range(3), repeat=len(c)))
+            assert math.isclose(best, value(c, lab[a:z].tolist()), abs_tol=1e-9)
+
+
+def test_scores_of_words_do_not_depend_on_what_is_known(monkeypatch):
+    rng = np.random.default_rng(2)
+    p = langid.LangParams(table_log2=8)
+    new = lambda: langid.Model(p, ["a", "b"], logp, np.ones((len(langid.SCRIPTS), 2), bool))
+    logp = np.log(rng.dirichlet(np.ones(2), 256))
+    rnd = random.Random(1)
+    texts = [" ".join("".join(rnd.choice("abCéя中") for _ in range(rnd.randint(1, 6))) for _ in range(50)) for _ in range(20)]
+    texts += ["x" * 10_000 + " y", "", "12", "é" * 40]
+    want = [new().detect([t]) for t in texts]
+    monkeypatch.setattr(langid, "KNOWN", 16)
+    monkeypatch.setattr(langid, "SLICE", 37)
+    m = new()
+    for t, w in zip(texts * 2, want * 2):
+        got = m.detect([t])
+        assert got[0] == w[0] and np.allclose(got[1], w[1]) and (got[2] == w[2]).all()
+
+
 # ---- 2 quality -------------------------------------------------------------
 
 def test_quality(llm):

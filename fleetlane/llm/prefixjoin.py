@@ -7,9 +7,10 @@ groups, not documents, are posted under the shingles of their prefix.  A
 pair of groups posted under one shingle is a candidate if sizes allow it,
 if the places of the shingle in both prefixes leave enough shingles to
 share (the bound holds for the first shingle they share, so no link is
-lost), and if their parity bitmaps allow it: each shingle flips one of
-1,024 bits, so the number of differing bits is at most the number of
-differing shingles.  A group of several different sets has no bitmap and
+lost), and if their parity bitmaps allow it: each shingle flips one of as
+many bits as the set has shingles (a power of two), so the number of
+differing bits is at most the number of differing shingles; a bitmap of
+twice the bits is folded first.  A group of several different sets has no bitmap and
 passes that filter.  Candidates are then expanded to the groups' members
 and verified on full sets.
 
@@ -54,13 +55,13 @@ from fleetlane.llm.words import batch_hashes
 
 SKETCH_LOG2 = 20
 CHUNK = 1 << 13          # counters of one row of the sketch
-BITS = 1024              # of a parity bitmap
+LEAST_BITS = 512         # of a parity bitmap; a power of two of at least the set's size
 
 
 @dataclass(frozen=True)
 class JoinParams:
     shingle_words: int = 5
-    threshold_pct: int = 80     # link if 100 * intersection >= pct * union
+    threshold_pct: int = 80     # link if 100 * intersection >= pct * union; over 50
     block: int = 128            # groups or members of a block
     block_shingles: int = 1 << 20   # shingles of a block of members, about
 
@@ -133,9 +134,11 @@ def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 # ---- groups ------------------------------------------------------------------
 
 def parity_bitmap(s: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit integers."""
-    at = (mix64(s + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(bool)).view(np.int64)
+    """At least as many bits as shingles, as 64-bit integers.  The xor of
+    its halves is the bitmap of half the bits."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    at = (mix64(s + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).view(np.int64)
 
 
 def _describe(p: JoinParams, levels):
@@ -183,12 +186,19 @@ def _bitmaps_allow(pct: int) -> Column:
     """Whether the bitmaps ba and bb differ in no more bits than linked sets
     of sizes na and nb in shingles; without a bitmap, true."""
     need = F.expr(f"((na + nb) * {pct} + 99 + {pct}) div (100 + {pct})")
-    bits = F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    k = F.least(F.size("ba"), F.size("bb"))
+
+    def folded(c: str) -> Column:
+        halves = F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, k + 1, k), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) > k, halves).otherwise(F.col(c))
+
+    bits = F.zip_with(folded("ba"), folded("bb"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda acc, x: acc + x)
     return F.coalesce(apart <= F.col("na") + F.col("nb") - 2 * need, F.lit(True))
 
 
 PAIRS = 1 << 16          # pairs of groups looked at together
+WORDS = 1 << 20          # 64-bit words of their bitmaps
 
 
 def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,9 +210,19 @@ def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
 
 
+def _folded(flat: np.ndarray, where: np.ndarray, width: np.ndarray, w: int) -> np.ndarray:
+    """Bitmaps of w words; those of twice as many are folded (sets of like
+    sizes differ by no more)."""
+    out = flat[where[:, None] + np.arange(w)]
+    wide = np.flatnonzero(width > w) if w else []
+    if len(wide):
+        out[wide] ^= flat[where[wide, None] + w + np.arange(w)]
+    return out
+
+
 def _forest(pct: int):
-    """One row is a cell, a list of (side, node, comp, n, free, bits):
-    (smallest, other) of the components that possible pairs join."""
+    """One row is a cell, a list of (side, node, comp, n, bits): (smallest,
+    other) of the components that possible pairs join."""
     def fn(batches):
         for b in batches:
             cells = b.column(0)
@@ -210,9 +230,10 @@ def _forest(pct: int):
             rows = cells.flatten()
             f = {x.name: rows.field(k) for k, x in enumerate(rows.type)}
             side, comp, n = (f[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("side", "comp", "n"))
-            free = f["free"].to_numpy(zero_copy_only=False)
             # bit counts of signed numbers would be of their absolute values
-            bits = f["bits"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), BITS // 64)
+            flat = f["bits"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            width = f["bits"].value_lengths().to_numpy().astype(np.int64)    # 0: no bitmap
+            where = np.cumsum(width) - width
             cut = np.cumsum(size * (size - 1) // 2) // PAIRS
             last, top = np.concatenate([[0], np.cumsum(size)]), {}
 
@@ -229,11 +250,16 @@ def _forest(pct: int):
                 keep = (comp[i] != comp[j]) & (one | (side[i] != side[j]))
                 keep &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * pct
                 i, j = i[keep], j[keep]
-                for lo in range(0, len(i), PAIRS):  # a cell alone may have more pairs
-                    x, y = i[lo:lo + PAIRS], j[lo:lo + PAIRS]
-                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
-                    ok = free[x] | free[y] | (apart <= n[x] + n[y] - 2 * least_overlap(n[x], n[y], pct))
-                    if ok.any():
+                both = np.minimum(width[i], width[j])
+                for w in np.unique(both).tolist():
+                    of, step = np.flatnonzero(both == w), max(1, WORDS // max(1, w))
+                    for lo in range(0, len(of), step):
+                        x, y = i[of[lo:lo + step]], j[of[lo:lo + step]]
+                        apart = np.bitwise_count(_folded(flat, where[x], width[x], w)
+                                                 ^ _folded(flat, where[y], width[y], w)).sum(axis=1)
+                        ok = apart <= n[x] + n[y] - 2 * least_overlap(n[x], n[y], pct)
+                        if not ok.any():
+                            continue
                         for p, q in np.unique(np.stack([comp[x[ok]], comp[y[ok]]]), axis=1).T.tolist():
                             p, q = find(p), find(q)
                             if p != q:
@@ -312,12 +338,11 @@ def _candidates(groups: DataFrame, p: JoinParams) -> DataFrame:
                                      F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
                .where("lo != hi").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"))
     m = saved(m.join(spread, "token").withColumn("size", F.lit(1).cast("bigint")), "join-apart")
-    none = F.array_repeat(F.lit(0).cast("bigint"), BITS // 64)
+    none = F.array().cast("array<bigint>")
     cells = (meeting(m, "token", _ceil_div(F.col("c"), p.block))
              .join(groups.select(F.col("gid").alias("node"), "bits"), "node")
              .groupBy("cell").agg(F.sort_array(F.collect_list(F.struct(
-                 "side", "node", "comp", "n", F.col("bits").isNull().alias("free"),
-                 F.coalesce("bits", none).alias("bits")))).alias("rows")))
+                 "side", "node", "comp", "n", F.coalesce("bits", none).alias("bits")))).alias("rows")))
     more = saved(cells.select("rows").mapInArrow(_forest(pct), _LINKS).distinct(), "join-candidates")
     discard(m)
     discard(posted)

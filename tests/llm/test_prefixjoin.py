@@ -43,14 +43,15 @@ def test_dense_group_near_the_threshold(llm):
 def test_filters_lose_no_link():
     rnd = random.Random(3)
     levels = np.zeros(1 << P.SKETCH_LOG2, np.uint8)
-    linked = 0
+    linked = folded = 0
     for _ in range(4000):
         pct = rnd.choice([80, 90])
-        a = np.unique(np.array([rnd.getrandbits(64) for _ in range(rnd.randint(1, 60))], np.uint64))
+        size = rnd.choice([rnd.randint(1, 60), rnd.randint(500, 540)])
+        a = np.unique(np.array([rnd.getrandbits(64) for _ in range(size)], np.uint64))
         b = a.copy()
         for _ in range(rnd.randint(0, 5)):
             b[rnd.randrange(len(b))] = rnd.getrandbits(64)
-        b = np.unique(b)[rnd.randint(0, 2):]
+        b = np.unique(b)[rnd.randint(0, 2) * max(1, size // 50):]
         inter = len(np.intersect1d(a, b))
         if not len(b) or 100 * inter < pct * (len(a) + len(b) - inter):
             continue
@@ -59,9 +60,30 @@ def test_filters_lose_no_link():
         shared = [x for x in pa if x in pb]
         assert shared
         assert P.possible(len(a), pa.index(shared[0]), len(b), pb.index(shared[0]), pct)
-        apart = int(np.bitwise_count((P.parity_bitmap(a) ^ P.parity_bitmap(b)).view(np.uint64)).sum())
+        x, y = (P.parity_bitmap(s).view(np.uint64) for s in (a, b))
+        w = min(len(x), len(y))
+        x, y = (P._folded(z, np.array([0]), np.array([len(z)]), w)[0] for z in (x, y))
+        apart = int(np.bitwise_count(x ^ y).sum())
+        folded += w < max(len(z) for z in (P.parity_bitmap(a), P.parity_bitmap(b)))
         assert apart <= len(a) + len(b) - 2 * P.least_overlap(len(a), len(b), pct)
-    assert linked > 300
+    assert linked > 300 and folded > 20
+
+
+def test_long_sets_with_common_shingles(llm):
+    """Sets larger than a bitmap's least bits, of sizes around a power of
+    two, that share much and differ much."""
+    rnd = random.Random(7)
+    common = [f"c{i}" for i in range(500)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i % 20}_{j}" for j in range(rnd.choice([480, 530, 560]) if i < 20 else 530)]
+        for _ in range(rnd.randint(0, 12)):
+            own[rnd.randrange(len(own))] = f"x{rnd.random()}"
+        rows.append((i, " ".join(own + common)))
+    want, _ = brute(rows, 1, 90)
+    df = llm.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.doc_id: x.component_id for x in got(df, shingle_words=1, threshold_pct=90, block=8)} == want
+    assert 10 < len(set(want.values())) < 60
 
 
 def test_edges(llm):

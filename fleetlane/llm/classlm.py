@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlane.llm.common import mix64
+from fleetlane.llm.common import mix64, saved
 from fleetlane.llm.words import batch_hashes
 
 
@@ -553,9 +553,9 @@ def _read(model):
                 size = int(ref.max()) + 1
                 pair, times = np.unique((doc[mixed] * size + before[mixed]) * size + ref[mixed], return_counts=True)
                 of = np.searchsorted(pair // size // size, np.arange(docs + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v.astype(np.int64)))
-                         for o, v in ((start, word[w].view(np.int64)), (start, uses), (of, pair // size % size),
-                                      (of, pair % size), (of, times))]
+                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v))
+                         for o, v in ((start, word[w].view(np.int64)), *((o, v.astype(np.int32)) for o, v in (
+                             (start, uses), (of, pair // size % size), (of, pair % size), (of, times))))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[lo:lo + 200], pa.array(np.diff(first)),
                      pa.array(total(here & (n[inv] > 0)).astype(np.int64)), pa.array(base), pa.array(score), *lists],
@@ -572,7 +572,7 @@ def _finish(model):
             col = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             docs = np.arange(b.num_rows)
             size = {x: pc.fill_null(col[x].value_lengths(), 0).to_numpy() for x in ("uses", "left", "found")}
-            flat = {x: col[x].flatten().to_numpy() for x in ("uses", "left", "right", "times")}
+            flat = {x: col[x].flatten().to_numpy().astype(np.int64) for x in ("uses", "left", "right", "times")}
             first = np.cumsum(size["uses"]) - size["uses"]
             n, c = np.zeros(len(flat["uses"])), np.full(len(flat["uses"]), -1)
             i, seen, cls = (x.to_numpy() for x in col["found"].flatten().flatten())
@@ -614,9 +614,9 @@ def score(docs: DataFrame, counts: DataFrame, model: Model, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, rare=None))
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     read = d.mapInArrow(_read(shared), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, "
-                        "h array<bigint>, uses array<bigint>, left array<bigint>, right array<bigint>, "
-                        "times array<bigint>")
-    read = read.withColumn("row", F.monotonically_increasing_id()).checkpoint()
+                        "h array<bigint>, uses array<int>, left array<int>, right array<int>, times array<int>")
+    # written by column: the lists are small numbers that repeat
+    read = saved(read.withColumn("row", F.monotonically_increasing_id()), "classlm-texts")
     found = (read.select("row", F.posexplode("h").alias("i", "h")).join(model.rare, "h")
                  .groupBy("row").agg(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), "n", "c"))
                                       .alias("found")))

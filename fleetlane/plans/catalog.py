@@ -25,7 +25,9 @@ from fleetlane.operators import wordcount as wc
 from fleetlane.operators.indexing import range_rank
 from fleetlane.plans import standins as si
 from fleetlane.session import prepare, scratch_path
+from fleetlane.sinks.writers import write_snapshots
 from fleetlane.sources.requests import parse_requests
+from fleetlane.sources.stats import read_snapshots
 from fleetlane.sources.tables import table
 from fleetlane.sources.tail import first_lines, growing_lines, last_lines
 from fleetlane.streaming import dedup as sdd
@@ -281,9 +283,11 @@ def _cpu_series(spark, sf_dir):
 
 @query("stat_scan")
 def q_stat_scan(spark, sf_dir):
-    """The stand-in's snapshot rows (text fields); the file reader
-    itself (sources.stats.read_snapshots) is covered by pytest."""
-    return si.snapshot_rows(spark, sf_dir)
+    """The snapshots written as the sampler's files and read back by
+    the file reader, identity from their paths."""
+    root = scratch_path(spark, "snapshots")
+    write_snapshots(si.snapshot_rows(spark, sf_dir), root)
+    return read_snapshots(spark, f"{root}/resource_*")
 
 
 @query("stat_typed")

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from fleetlane.sources.files import open_fs
+
 BLOCK = 1 << 16          # bytes read at a time when a newline is looked for
 CHUNK = 1 << 24          # bytes of one task
 SCHEMA = "seq bigint, file string, offset bigint, value string"
@@ -112,17 +114,12 @@ def lines(f, first: int, lo: int, hi: int, end: int) -> tuple[np.ndarray, pa.Arr
 # ---- files ---------------------------------------------------------------------
 
 def _open(uri: str):
-    fs, path = pafs.FileSystem.from_uri(uri)
+    _, fs, path = open_fs(uri)
     return fs.open_input_file(path)
 
 
-def _fs(path: str):
-    uri = path if "://" in path or path.startswith("file:") else "file://" + path
-    return uri, *pafs.FileSystem.from_uri(uri)
-
-
 def is_file(path: str) -> bool:
-    _, fs, base = _fs(path)
+    _, fs, base = open_fs(path)
     return fs.get_file_info(base).type == pafs.FileType.File
 
 
@@ -130,7 +127,7 @@ def list_files(path: str) -> list[tuple[str, int, int]]:
     """(URI, bytes, modification time) of a file, or of the files of a
     folder (hidden ones and marks of writers left out); none if it is not
     there yet."""
-    uri, fs, base = _fs(path)
+    uri, fs, base = open_fs(path)
     prefix = uri[:len(uri) - len(base)] if uri.endswith(base) else uri.split(":", 1)[0] + "://"
     info = fs.get_file_info(base)
     if info.type == pafs.FileType.Directory:

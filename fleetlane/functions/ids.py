@@ -14,6 +14,7 @@ UUID_EPOCH_OFFSET_100NS = 122192928000000000
 
 # Stand-in ids for driver rows: the key's low 32 bits fill time_low, its
 # high 32 bits the end of the node field, so any BIGINT gives a valid id.
+# (The format of the SQL twin; standin_uuid() writes the same.)
 STANDIN_UUID_FMT = "%08x-0000-1000-8000-00aa%08x"
 
 
@@ -24,7 +25,8 @@ def is_uuid(c: Column) -> Column:
 def standin_uuid(key: Column) -> Column:
     """Deterministic v1-shaped id for an integer key (tests and stand-ins)."""
     k = key.cast("bigint")
-    return F.format_string(STANDIN_UUID_FMT, k.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(k, 32))
+    low, high = (F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for x in (k, F.shiftrightunsigned(k, 32)))
+    return F.lower(F.concat(low, F.lit("-0000-1000-8000-00aa"), high))
 
 
 def uuid_v1_time(u: Column) -> Column:

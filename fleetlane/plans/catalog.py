@@ -28,7 +28,7 @@ from fleetlane.session import prepare, scratch_path
 from fleetlane.sinks.writers import write_snapshots
 from fleetlane.sources.requests import parse_requests
 from fleetlane.sources.stats import read_snapshots
-from fleetlane.sources.tables import table
+from fleetlane.sources.tables import spread, table
 from fleetlane.sources.tail import first_lines, growing_lines, last_lines
 from fleetlane.streaming import dedup as sdd
 from fleetlane.streaming import end_phase as sep
@@ -55,8 +55,8 @@ def query(key: str):
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.col("source").alias("input_set"))
+    return spread(table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("source").alias("input_set")))
 
 
 # ---------------------------------------------------------------- text family

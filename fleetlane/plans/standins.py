@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fleetlane.functions.ids import STANDIN_UUID_FMT, standin_uuid
 from fleetlane.functions.timefmt import as_ts
 from fleetlane.operators.tasks import JOB_CMD
-from fleetlane.sources.tables import table
+from fleetlane.sources.tables import spread, table
 
 SQL_UUID = "printf('" + STANDIN_UUID_FMT + "', {k} & 4294967295, ({k} >> 32) & 4294967295)"
 
@@ -68,7 +68,8 @@ def completion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Odd line numbers use the new ``id:::path`` format (path relative with
     ``logs/``, bare, or absolute by return flag), even ones the old command
     format; quantity 50 items carry a corrupted id (trailing ``i``)."""
-    return completion_lines_of(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_partkey", "l_shipdate")
+    return completion_lines_of(spread(li))
 
 
 def completion_lines_of(li: DataFrame, keep=()) -> DataFrame:
@@ -162,7 +163,8 @@ def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = return flag (A=1, N=2, R=3), sample = months since 1970 of the
     ship date, container = supplier (line 1 = master, others = slaves),
     CPU % = tax, MEM % = discount of a 62.36 GiB limit."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_suppkey", "l_linenumber", "l_tax",
+                                                        "l_discount"))
     run = (F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2)
             .otherwise(3)).cast("bigint")
     sample = ((F.year("l_shipdate") - 1970) * 12 + F.month("l_shipdate") - 1).cast("bigint")
@@ -231,7 +233,7 @@ FROM events
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, variant, body): a request per event; which keys the body
     carries follows the event's own fields (props.k, value, user)."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.from_json("props", "k bigint").getField("k")
     variant = (F.when(F.col("event_type").isin("signup", "purchase"), "hadoop")
                 .when(F.col("event_type").isin("click", "view"), "micro")

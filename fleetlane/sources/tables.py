@@ -27,5 +27,5 @@ def spread(df: DataFrame) -> DataFrame:
     Inputs of more than SPREAD_BYTES a core are left as they are scanned,
     so no large table is ever shuffled by this."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # the planner's own figure
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's own figure
     return df if size >= cores * SPREAD_BYTES else df.repartition(cores)

@@ -8,6 +8,10 @@ Inputs are plain DataFrames: queue/completion *lines* are ``(pos, value)``
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,55 +129,85 @@ def result_lookup(completions: DataFrame, reports: DataFrame, log_root: str) ->
              .select("uuid", "log_path", F.col("report").isNotNull().alias("found"), "report"))
 
 
-def first_completion_within(requests: DataFrame, completions: DataFrame,
-                            key: str, timeout_s: int, sub_buckets: int = 60) -> DataFrame:
+def first_completion_within(requests: DataFrame, completions: DataFrame, key: str, timeout_s: int) -> DataFrame:
+    """O20 over two tables: requests (req_id, key, ts), completions (key,
+    ts); see :func:`first_done_within`."""
+    return first_done_within(requests.select("req_id", key, "ts", F.lit(0).alias("kind")).unionByName(
+        completions.select(F.lit(None).cast("bigint").alias("req_id"), key, "ts", F.lit(1).alias("kind"))), key, timeout_s)
+
+
+def first_done_within(rows: DataFrame, key: str, timeout_s: int) -> DataFrame:
     """Per request, the first completion of the same key in
     [ts, ts + timeout] -> success, else timeout.
 
-    requests: (req_id, key, ts); completions: (key, ts).  An as-of search,
-    not a range join, so no request is ever paired with more than one
-    candidate:
-
-    * time is cut into buckets of timeout / sub_buckets;
-    * the next completion inside the request's own bucket comes from a
-      window partitioned by (key, bucket) - a task sees one key's rows of
-      one short bucket, even for a key holding a large share of the data;
-    * the first completion after the bucket is the per-bucket minimum of
-      the next non-empty bucket, found by a window over per-(key, bucket)
-      rows (bounded by the time span, not the data volume).
-    """
-    width = timeout_s * 1_000_000
-    w = max(1, width // max(1, sub_buckets))
-    r = requests.select("req_id", key, epoch_us(F.col("ts")).alias("t"))
-    c = completions.select(key, epoch_us(F.col("ts")).alias("t"))
-    r = r.withColumn("b", idiv(F.col("t"), w))
-    c = c.withColumn("b", idiv(F.col("t"), w))
-    both = (r.select("req_id", key, "b", "t", F.lit(0).alias("kind"))
-             .unionByName(c.select(F.lit(None).cast("bigint").alias("req_id"), key, "b", "t",
-                                   F.lit(1).alias("kind"))))
-    # "first completion at or after this row" = the nearest completion
-    # before it in descending order.  Frames that start at UNBOUNDED
-    # PRECEDING are evaluated incrementally; "current row to unbounded
-    # following" would be recomputed for every row (quadratic per key).
-    win = (Window.partitionBy(key, "b").orderBy(F.col("t").desc(), F.col("kind").desc())
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    nxt = F.last(F.when(F.col("kind") == 1, F.col("t")), ignorenulls=True).over(win)
-    in_bucket = (both.withColumn("_next", nxt).where(F.col("kind") == 0)
-                     .select("req_id", key, "b", "t", "_next"))
-    # one row per non-empty (key, bucket): its first completion, if any
-    per_bucket = (c.select(key, "b", F.col("t").alias("_m"))
-                   .unionByName(r.select(key, "b", F.lit(None).cast("bigint").alias("_m")))
-                   .groupBy(key, "b").agg(F.min("_m").alias("_m")))
-    later = (Window.partitionBy(key).orderBy(F.col("b").desc())
-                   .rowsBetween(Window.unboundedPreceding, -1))
-    after = per_bucket.select(key, "b", F.last("_m", ignorenulls=True).over(later).alias("_nb"))
-    j = in_bucket.join(after, [key, "b"], "left")
-    cand = F.coalesce(F.col("_next"), F.col("_nb"))
-    done = F.when(cand <= F.col("t") + F.lit(width), cand)
-    return j.select("req_id", key, F.col("t").alias("submit_us"), done.alias("done_us"),
+    rows: (req_id, key, ts, kind), kind 0 a request, 1 a completion; a null
+    key matches nothing.  An as-of search in one exchange: rows are range
+    partitioned by (key, time), latest first, and a task carries the last
+    completion it has seen of a key forward to the requests before it.  Only
+    the requests at the head of a partition, whose key began in an earlier
+    one, may have their answer there: of each partition one row (its last
+    key and that key's last completion) is kept, and these are scanned at
+    the top.  No request is paired with more than one candidate, and a key
+    that holds a large share of the rows is cut by time like any other."""
+    both = rows.select("req_id", F.col(key).alias("k"), epoch_us(F.col("ts")).alias("t"), F.col("kind").cast("int").alias("kind"))
+    both = both.where("k is not null or kind = 0")
+    ranged = both.withColumn("back", -F.col("t")).repartitionByRange("k", "back").sortWithinPartitions(
+        "k", "back", F.desc("kind"))
+    kind = ranged.schema["k"].dataType.simpleString()
+    seen = (ranged.select("req_id", "k", "t", "kind")
+                  .mapInArrow(_next_in_partition, f"part int, req_id bigint, k {kind}, t bigint, done bigint, "
+                                                  f"head boolean, first_k {kind}, ends boolean").checkpoint())
+    # one row per partition: its first key, its last and that key's last completion
+    ends = seen.where("ends").select("part", "first_k", F.when(F.col("done").isNotNull(), F.struct("k", "done")).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("part", "first_k", before.alias("end")).where("end.k = first_k")
+    asked = seen.where("not ends")
+    j = asked.join(F.broadcast(ends.select("part", F.col("end.done").alias("carried"))), "part", "left")
+    nearest = F.coalesce("done", F.when(F.col("head"), F.col("carried")))
+    done = F.when(nearest <= F.col("t") + F.lit(timeout_s * 1_000_000), nearest)
+    return j.select("req_id", F.col("k").alias(key), F.col("t").alias("submit_us"), done.alias("done_us"),
                     F.when(done.isNotNull(), "success").otherwise("timeout").alias("status"))
 
 
+def _next_in_partition(batches):
+    """Requests of a sorted partition with the last completion of their key
+    seen before them; ``head`` marks those of the partition's first key for
+    which there was none.  The last row has the partition's ends."""
+    part = TaskContext.get().partitionId()
+    begun, first, last, carried = False, None, None, None     # first key; last key and its last completion
+    for b in batches:
+        keys = b.column(1)
+        if not len(b):
+            continue
+        t, is_done = b.column(2).to_numpy(), b.column(3).to_numpy() == 1
+        code = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy()
+        new = np.flatnonzero(np.diff(code, prepend=-2))
+        start = np.repeat(new, np.diff(np.append(new, len(code))))      # where a row's key starts
+        at = np.maximum.accumulate(np.where(is_done, np.arange(len(code)), -1))
+        found = at >= start
+        done = np.where(found, t[np.maximum(at, 0)], 0)
+        k0, k1 = keys[0].as_py(), keys[len(keys) - 1].as_py()
+        begun, first = True, first if begun else k0
+        if last == k0 and carried is not None:      # the key goes on from the batch before
+            rest = (start == 0) & ~found
+            done, found = np.where(rest, carried, done), found | rest
+        last, carried = k1, int(done[-1]) if found[-1] else None
+        head = ~found & (start == 0) & (k0 == first)
+        asked = pa.array(~is_done)   # of a null key only requests are here, so they find nothing
+        n = int((~is_done).sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, part, np.int32)), b.column(0).filter(asked), keys.filter(asked), b.column(2).filter(asked),
+             pa.array(done, mask=~found).filter(asked), pa.array(head).filter(asked), pa.nulls(n, keys.type),
+             pa.array(np.zeros(n, bool))], names=_NEXT)
+    if begun:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([last], keys.type), pa.nulls(1, pa.int64()),
+             pa.array([carried], pa.int64()), pa.array([False]), pa.array([first], keys.type), pa.array([True])], names=_NEXT)
+
+
+_NEXT = ["part", "req_id", "k", "t", "done", "head", "first_k", "ends"]
+
+
 # ------------------------------------------------------------ head / tail
 def queue_head(lines: DataFrame, n: int) -> DataFrame:
     """The oldest n lines; blank lines use a slot but are dropped.

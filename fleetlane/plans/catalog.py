@@ -167,11 +167,10 @@ def q_result_lookup(spark, sf_dir):
 @query("timeout_status")
 def q_timeout_status(spark, sf_dir):
     """Signup -> first purchase of the user within 3,600 s."""
-    e = si.event_times(spark, sf_dir)
-    req = e.where(F.col("event_type") == "signup").select(
-        F.col("event_id").alias("req_id"), "user_id", "ts")
-    done = e.where(F.col("event_type") == "purchase").select("user_id", "ts")
-    r = tk.first_completion_within(req, done, "user_id", 3600)
+    e = si.event_times(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase"))
+    rows = e.select(F.col("event_id").alias("req_id"), "user_id", "ts",
+                    F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("kind"))
+    r = tk.first_done_within(rows, "user_id", 3600)
     return r.select(F.col("req_id").alias("event_id"), "user_id",
                     ts_text(F.timestamp_micros("submit_us")).alias("submit_ts"),
                     ts_text(F.timestamp_micros("done_us")).alias("done_ts"), "status")

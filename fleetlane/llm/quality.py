@@ -139,10 +139,17 @@ def _fit(p: FmParams, y: np.ndarray, words, stats: np.ndarray) -> Model:
     return Model(p, edges, float(par[0][0]), par[1].astype(np.float64), par[2].astype(np.float64))
 
 
+def _n_chars(docs: DataFrame):
+    """The table's own count of characters, null where it is no number."""
+    kind = dict(docs.dtypes).get("n_chars", "void")
+    if kind in ("string", "boolean") or kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        return F.col("n_chars").try_cast("double").try_cast("bigint")
+    return F.lit(None).cast("bigint")
+
+
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    meta = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
-                       meta.alias("n_chars"))
+                       _n_chars(docs).alias("n_chars"))
 
 
 def _featured(p: FmParams):
@@ -191,11 +198,14 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
     """The rows of ``docs`` that score at least ``threshold``."""
     m = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    meta = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def fn(batches):
         for b in batches:
-            n = [None] * b.num_rows if meta is None else b.column(meta).cast(pa.int64()).to_pylist()
-            yield b.filter(pa.array(m.value.score(b.column(at).cast(pa.binary()).to_pylist(), n) >= threshold))
-
-    return docs.mapInArrow(fn, docs.schema)
+            n = b.column(b.num_columns - 1).to_pylist()
+            good = m.value.score(b.column(at).cast(pa.binary()).to_pylist(), n) >= threshold
+            yield b.select(range(b.num_columns - 1)).filter(pa.array(good))
+
+    extra = "n"
+    while extra in docs.columns:
+        extra += "_"
+    return docs.withColumn(extra, _n_chars(docs)).mapInArrow(fn, docs.schema)

@@ -55,7 +55,7 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH p AS (
   SELECT page_id, url, page_id * 7919 % (366 * 86400) AS t,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.+$', '') AS host,
          regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)', 1), '^/+|/+$', '', 'g') AS path
   FROM pages),
 r AS (

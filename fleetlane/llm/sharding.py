@@ -80,10 +80,12 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 
 def shard(df: DataFrame, params: ShardParams | None = None) -> DataFrame:
     """``df`` with its columns and ``shard``, ``slot`` (gapless from 0 in
-    each shard)."""
+    each shard), which replace columns of these names.  A row travels as one
+    column, so no other name can clash."""
     p = params or ShardParams()
-    spark, cols = df.sparkSession, df.columns
-    tag = df.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}).checkpoint()
+    spark, cols = df.sparkSession, [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    # a row without columns of its own is still a row
+    tag = df.select(F.struct(*cols, F.lit(True).alias("__")).alias("row")).withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}).checkpoint()
     sizes = sorted((r["__part"], r["n"]) for r in
                    tag.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
     matrix = communication_matrix([n for _, n in sizes], p.shards, p.seed)
@@ -103,4 +105,4 @@ def shard(df: DataFrame, params: ShardParams | None = None) -> DataFrame:
     inside = Window.partitionBy("shard", "__sub").orderBy("__key", "__row")
     return (dealt.withColumn("__rn", F.row_number().over(inside)).join(offsets, ["shard", "__sub"])
                  .withColumn("slot", (F.col("__off") + F.col("__rn") - 1).cast("bigint"))
-                 .select(*cols, "shard", "slot"))
+                 .select(*[F.col("row").getField(c).alias(c) for c in cols], "shard", "slot"))

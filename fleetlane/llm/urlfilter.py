@@ -12,8 +12,10 @@ intervals and fetch times meet by rule and time bucket, so a rule with a
 long history or many captures is spread over its buckets.
 
 Edge cases: a null or unusable URL and a null fetch time match no rule;
-entries with a null list, rule, time or action are ignored; of entries of a
-list, rule and time, a removal wins; an entry's own time is inside its
+entries with a null list, rule, time or action are ignored, and those whose
+action is neither add nor remove (in any case); rules may be written in any
+case, with a final dot or slash; of entries of a list, rule and time, a
+removal wins; an entry's own time is inside its
 interval, the next entry's is not; repeated captures get the same answer;
 empty tables match nothing.  Columns of captures other than id, url and
 time are dropped.
@@ -33,9 +35,10 @@ class UrlFilterParams:
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without user and port; '' if there is none."""
+    """Lower-case host without user, port and final dots; '' if there is
+    none."""
     h = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    return F.lower(h)
+    return F.regexp_replace(F.lower(h), r"\.+$", "")
 
 
 def path(url: Column) -> Column:
@@ -57,11 +60,21 @@ def candidates(url: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def normal_rule(rule: Column) -> Column:
+    """A rule as candidates() writes it: host in lower case without final
+    dots, path without slashes at its ends, no white space around."""
+    r = F.trim(rule)
+    h = F.regexp_replace(F.lower(F.regexp_extract(r, "^[^/]*", 0)), r"\.+$", "")
+    p = F.regexp_replace(F.regexp_extract(r, "^[^/]*/(.*)$", 1), r"^/+|/+$", "")
+    return F.when(p == "", h).otherwise(F.concat(h, F.lit("/"), F.regexp_replace(p, "/+", "/")))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, rule, at, action 'add'/'remove') -> (list, rule, valid_from,
     valid_to) in epoch seconds; valid_to is null for a rule still listed."""
-    e = (entries.select("list", "rule", F.col("at").cast("bigint").alias("at"), "action").dropna()
-                .groupBy("list", "rule", "at").agg(F.max("action").alias("action")))  # 'remove' > 'add'
+    e = (entries.select("list", normal_rule(F.col("rule")).alias("rule"), F.col("at").cast("bigint").alias("at"),
+                        F.lower(F.trim("action")).alias("action")).dropna()
+                .where(F.col("action").isin("add", "remove")).groupBy("list", "rule", "at").agg(F.max("action").alias("action")))  # 'remove' > 'add'
     w = Window.partitionBy("list", "rule").orderBy("at")
     return (e.withColumn("valid_to", F.lead("at").over(w)).where("action = 'add'")
              .select("list", "rule", F.col("at").alias("valid_from"), "valid_to"))

@@ -184,6 +184,51 @@ def test_url_lists(llm):
     assert not any(r.blocked for r in urlfilter.listed(df, entries.limit(0)).collect())
 
 
+def test_rules_and_actions_however_written(llm):
+    captures = llm.createDataFrame([(1, "http://Ex.ORG./A/b/c", 50), (2, "http://x.ex3.org/", 50), (3, "http://ex4.org/a", 50)],
+                                   "page_id bigint, url string, fetched bigint")
+    entries = llm.createDataFrame([("l", " eX.org.//A/b/ ", 10, " ADD"), ("l", "ex.org/A/b", 20, "update"),
+                                   ("l", "ex3.org.", 10, "Add"), ("l", "ex4.org", 10, "add"), ("l", "EX4.org", 40, "REMOVE")],
+                                  "list string, rule string, at bigint, action string")
+    got = {r.page_id: r.rule for r in urlfilter.listed(captures, entries).collect()}
+    assert got == {1: "ex.org/A/b", 2: "ex3.org", 3: None}
+
+
+def test_columns_that_clash(llm):
+    """Foreign n_chars columns, and shard and slot in the table to be
+    sharded."""
+    texts = ["good words here " * 9, "BUY!! $$$ " * 9] * 30
+    labels = llm.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    base = llm.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for extra in (F.lit("many"), F.lit(2.5), F.lit(None).cast("string"), F.array(F.lit(1)), F.lit("17")):
+        df = base.withColumn("n_chars", extra).withColumn("n", F.lit("x"))
+        m = quality.train(df, labels)
+        assert quality.score(df, m).count() == 60
+        kept = quality.keep_good(df, m)
+        assert kept.columns == df.columns and kept.count() == 30
+    df = base.withColumns({"shard": F.lit("a"), "Slot": F.lit(1.5), "row": F.lit("r"), "__part": F.lit("p"), "__row": F.lit("q"),
+                           "__sub": F.lit(None).cast("string")})
+    out = sharding.shard(df, sharding.ShardParams(shards=7))
+    assert out.columns == ["doc_id", "text", "row", "__part", "__row", "__sub", "shard", "slot"]
+    assert sorted(r.doc_id for r in out.collect()) == list(range(60)) and {r.row for r in out.collect()} == {"r"}
+
+
+def test_shard_placements_are_uniform():
+    """Frequencies of all placements of a tiny table: four rows, two by two
+    to two shards, from partitions of one, two and one rows."""
+    n, seen = 6000, Counter()
+    for seed in range(n):
+        rng = random.Random(seed)
+        rows, place = [[0], [1, 2], [3]], {}
+        for part, m in zip(rows, sharding.communication_matrix([1, 2, 1], 2, seed)):
+            order = rng.sample(part, len(part))          # the local permutation
+            for r, s in zip(order, [0] * int(m[0]) + [1] * int(m[1])):
+                place[r] = s
+        seen[tuple(place[r] for r in range(4))] += 1
+    assert len(seen) == 6 and all(sum(p) == 2 for p in seen)
+    assert sum((c - n / 6) ** 2 / (n / 6) for c in seen.values()) < 20.5      # chi-squared, 5 degrees: p = 0.001
+
+
 # ---- 4 packing -------------------------------------------------------------
 
 def test_packing(llm):

@@ -8,19 +8,21 @@ the last returns one row per packed piece (doc_id, start, length,
 doc_tokens, sequence_id, offset, ids_crc32).
 
 Rows without a doc_id pass the stages that decide by document (duplicates,
-benchmark); null and empty texts are rejected with their language.
+benchmark); null and empty texts are rejected with their language.  Without
+labelled training rows every quality score is 0.5, so that stage keeps all;
+an empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlane.llm import common, decontam, langid, minhash, packing, quality
+from fleetlane.sources.files import delete
 from fleetlane.sources.tables import table
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = "byte_bpe_50k.json"  # of the public vocabulary files
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +53,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents in sequences of 1024 tokens."""
+    import public_tokenizers
     common.prepare(spark)
-    return packing.pack(docs, TOKENIZER, carry={"ids_crc32": F.crc32("ids")})
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), carry={"ids_crc32": F.crc32("ids")})
 
 
 STAGES = [("quality", quality_stage), ("language", language_stage), ("near_dedup", dedup_stage),
@@ -65,11 +68,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents; every result is written as Parquet under
-    the shared checkpoint folder and read again by the next stage."""
+    the shared checkpoint folder, read again by the next stage, and deleted
+    when that stage's result is written."""
     common.prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = common.scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

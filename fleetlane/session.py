@@ -37,6 +37,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.driver.memory", os.environ.get("FLEETLANE_DRIVER_MEM", "16g"))
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+          # checkpoint files go when nothing refers to them any more
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024)))
     for k, v in _RUNTIME_CONFS.items():
         b = b.config(k, v)

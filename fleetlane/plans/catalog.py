@@ -555,7 +555,7 @@ def q_stream_match(spark, sf_dir):
 def q_stream_lifecycle(spark, sf_dir):
     """Per-user task lifecycle with event-time timeouts."""
     ev, marker = _event_stream(spark, sf_dir)
-    out = srun.run_append(spark, slc.lifecycle_stream(ev), "stream_lifecycle", marker=marker)
+    out = srun.run_append(spark, slc.lifecycle_stream(ev), "stream_lifecycle", marker=marker, rocksdb=True)
     return out.select(F.col("key").alias("user_id"),
                       ts_text(F.timestamp_micros("submit_us")).alias("submit_ts"),
                       ts_text(F.timestamp_micros("end_us")).alias("end_ts"), "status")

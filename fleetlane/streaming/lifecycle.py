@@ -7,27 +7,33 @@ ignored, as is a completion with no open task.  A task still open
 shows it, or the watermark passes submit + timeout (state timeout).
 Output: one row per finished task (key, submit_us, end_us, status).
 
-Events wait in the key's state until the watermark has passed them and are
-then folded in time order, so rows that come late, but within the delay,
-give what they would have given in order, whatever micro-batch they are in.
-
-The state of a key is its open task and its events of the watermark delay.
+Events wait until the watermark has passed them and are then folded in time
+order, so rows that come late, but within the delay, give what they would
+have given in order, whatever micro-batch they are in.
+
+They wait in a map from stretch of time (ten minutes) to the events of that
+stretch, with a timer at its end.  A trigger reads and writes only the
+stretches it has rows for, and a timer reads only those that are due and
+removes them: what a trigger costs follows its rows, not the events that a
+busy key has waiting.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from fleetlane.streaming.runner import END_TYPE
 
 OUT_SCHEMA = "key long, submit_us long, end_us long, status string"
-STATE_SCHEMA = "status string, submit_us long, t_us array<long>, event_id array<long>, event_type array<string>"
+OPEN_SCHEMA = "status string, submit_us long"
+WAITING_SCHEMA = "t_us array<long>, event_id array<long>, event_type array<string>"
+STRETCH_US = 600 * 1_000_000
 RUNNING_TYPES = ("click", "view")
 
 
@@ -56,54 +62,70 @@ def step(events, open_task, timeout_us):
     return out, open_task
 
 
-def _fn(timeout_s: int):
-    timeout_us = timeout_s * 1_000_000
+class Lifecycle(StatefulProcessor):
+    """State of one key: its open task, and its events by stretch."""
+
+    def __init__(self, timeout_s: int):
+        self.timeout_us = timeout_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN_SCHEMA)
+        self.waiting = handle.getMapState("waiting", "stretch long", WAITING_SCHEMA)
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows), ignore_index=True)
         if key[0] is None or pd.isna(key[0]):  # the end marker's group
-            for _ in pdfs:
-                pass
-            return
-        k = int(key[0])
-        wm_ms = state.getCurrentWatermarkMs()
-        open_task, waiting = None, []
-        if state.exists:
-            status, submit, *cols = state.get
-            open_task = None if status is None else (status, submit)
-            waiting = list(zip(*cols))
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                waiting += zip(pdf["t_us"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist())
-        # no row at or before the watermark can come any more
-        waiting.sort(key=lambda e: e[:2])
-        final = bisect_right(waiting, wm_ms * 1000, key=lambda e: e[0])
-        out, open_task = step(((t, typ) for t, _, typ in waiting[:final]), open_task, timeout_us)
-        waiting = waiting[final:]
-        if open_task is not None and open_task[1] + timeout_us <= wm_ms * 1000:
-            out.append((open_task[1], open_task[1] + timeout_us, "timeout"))
-            open_task = None
-        if open_task is not None or waiting:
-            due = [waiting[0][0]] if waiting else []
-            due += [open_task[1] + timeout_us] if open_task is not None else []
-            cols = [list(c) for c in zip(*waiting)] if waiting else [[], [], []]
-            state.update((*(open_task or (None, None)), *cols))
-            state.setTimeoutTimestamp(max(min(due) // 1000 + 1, wm_ms + 1))
-        elif state.exists:
-            state.remove()
+            return iter([])
+        for stretch, part in got.groupby(got["t_us"] // STRETCH_US):
+            at, new = (int(stretch),), [part[c].tolist() for c in ("t_us", "event_id", "event_type")]
+            if self.waiting.containsKey(at):
+                new = [list(x) + y for x, y in zip(self.waiting.getValue(at), new)]
+            else:
+                self._wake(int(stretch))
+            self.waiting.updateValue(at, tuple(new))
+        return iter([])
+
+    def _wake(self, stretch: int) -> None:
+        self.handle.registerTimer((stretch + 1) * STRETCH_US // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Fold the events of all stretches the watermark has passed."""
+        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * STRETCH_US <= wm_us)
+        events = []
+        for stretch in due:
+            events += sorted(zip(*self.waiting.getValue((stretch,))), key=lambda e: e[:2])
+            self.waiting.removeKey((stretch,))
+        before = self.open.get() if self.open.exists() else None
+        out, task = step(((t, typ) for t, _, typ in events), before, self.timeout_us)
+        if task is not None:
+            last = (task[1] + self.timeout_us) // STRETCH_US   # whose events may still end it
+            if (last + 1) * STRETCH_US <= wm_us:
+                out.append((task[1], task[1] + self.timeout_us, "timeout"))
+                task = None
+            elif task != before:
+                self._wake(last)
+        if task is None and before is not None:
+            self.open.clear()
+        elif task is not None and task != before:
+            self.open.update(task)
         if out:
-            yield pd.DataFrame([(k, s, e, st) for s, e, st in out],
+            yield pd.DataFrame([(int(key[0]), s, e, st) for s, e, st in out],
                                columns=["key", "submit_us", "end_us", "status"])
-    return fn
+
+    def close(self) -> None:
+        pass
 
 
 def lifecycle_stream(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
                      delay: str = "1 hour") -> DataFrame:
-    """events: (event_id, key, ts, event_type) stream, marker included."""
+    """events: (event_id, key, ts, event_type) stream, marker included.
+    Needs the RocksDB state store (see runner.run_append)."""
     ev = (events.withWatermark("ts", delay)
                 .select("event_id", F.col(key).alias("key"), "event_type", "ts",
                         F.unix_micros("ts").alias("t_us")))
     # the marker is not filtered here: a filter would be pushed below the
     # watermark and the watermark would never see it
-    return (ev.groupBy("key")
-              .applyInPandasWithState(_fn(timeout_s), OUT_SCHEMA, STATE_SCHEMA, "append",
-                                      GroupStateTimeout.EventTimeTimeout))
+    return (ev.groupBy("key").transformWithStateInPandas(
+        Lifecycle(timeout_s), StructType.fromDDL(OUT_SCHEMA), "Append", "EventTime"))

@@ -67,7 +67,7 @@ def test_lifecycle_matches_brute_force(spark, tmp_path):
           ev(8, 100, 2, "purchase")]   # user 2: purchase after the timeout
     b3 = [ev(9, 120, 3, "error"), ev(10, 130, 1, "signup"), ev(11, 140, 4, "signup")]
     folder = _batches(spark, str(tmp_path / "lc"), [b1, b2, b3])
-    out = srun.run_append(spark, slc.lifecycle_stream(_stream(spark, folder)), "t_lc")
+    out = srun.run_append(spark, slc.lifecycle_stream(_stream(spark, folder)), "t_lc", rocksdb=True)
     got = {(r.key, r.submit_us, r.end_us, r.status) for r in out.collect()}
     assert got == _brute_lifecycle(b1 + b2 + b3)
     assert {st for *_, st in got} == {"success", "timeout"}
@@ -84,7 +84,7 @@ def test_lifecycle_of_files_whose_times_overlap(spark, tmp_path):
     rows.sort(key=lambda r: r[1] + dt.timedelta(minutes=rnd.randint(0, 45)))
     late += [rows[i:i + 20] for i in range(0, 200, 20)]
     folder = _batches(spark, str(tmp_path / "lo"), late)
-    out = srun.run_append(spark, slc.lifecycle_stream(_stream(spark, folder)), "t_lo")
+    out = srun.run_append(spark, slc.lifecycle_stream(_stream(spark, folder)), "t_lo", rocksdb=True)
     got = sorted((r.key, r.submit_us, r.end_us, r.status) for r in out.collect())
     assert got == sorted(_brute_lifecycle([r for b in late for r in b]))
 

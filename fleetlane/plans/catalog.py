@@ -518,6 +518,11 @@ def _table_stream(spark, sf_dir, name):
     return srun.file_stream(spark, f"{sf_dir.rstrip('/')}/{name}.parquet*", schema), schema
 
 
+def _state_partitions(spark) -> int:
+    """As many state partitions as cores, as each costs a store a batch."""
+    return min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _event_stream(spark, sf_dir):
     """The events as a stream, and the marker that ends it."""
     ev, schema = _table_stream(spark, sf_dir, "events")
@@ -545,7 +550,8 @@ def q_stream_match(spark, sf_dir):
     """Signup -> first purchase within 3,600 s on the event stream
     (per-user state, one row per request; batch twin O20)."""
     ev, marker = _event_stream(spark, sf_dir)
-    r = srun.run_append(spark, smt.first_match_stream(ev), "stream_match", marker=marker)
+    r = srun.run_append(spark, smt.first_match_stream(ev), "stream_match", marker=marker,
+                        state_partitions=_state_partitions(spark))
     return r.select(F.col("req_id").alias("event_id"), F.col("r_key").alias("user_id"),
                     ts_text(F.timestamp_micros("r_us")).alias("submit_ts"),
                     ts_text(F.timestamp_micros("done_us")).alias("done_ts"), "status")
@@ -555,7 +561,8 @@ def q_stream_match(spark, sf_dir):
 def q_stream_lifecycle(spark, sf_dir):
     """Per-user task lifecycle with event-time timeouts."""
     ev, marker = _event_stream(spark, sf_dir)
-    out = srun.run_append(spark, slc.lifecycle_stream(ev), "stream_lifecycle", marker=marker, rocksdb=True)
+    out = srun.run_append(spark, slc.lifecycle_stream(ev), "stream_lifecycle", marker=marker, rocksdb=True,
+                          state_partitions=_state_partitions(spark))
     return out.select(F.col("key").alias("user_id"),
                       ts_text(F.timestamp_micros("submit_us")).alias("submit_ts"),
                       ts_text(F.timestamp_micros("end_us")).alias("end_ts"), "status")
@@ -589,7 +596,8 @@ def q_stream_end_phase(spark, sf_dir):
     ev, marker = _event_stream(spark, sf_dir)
     samples = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("sample_id"), "ts",
                         (F.col("event_type") == "error").alias("is_marker"))
-    out = srun.run_append(spark, sep.end_phase_stream(samples, 4, linger_s=100 * 366 * 86400), "stream_end_phase", marker=marker)
+    out = srun.run_append(spark, sep.end_phase_stream(samples, 4, linger_s=100 * 366 * 86400), "stream_end_phase", marker=marker,
+                          state_partitions=_state_partitions(spark))
     return out.select(F.col("run").alias("user_id"), F.col("sample_id").alias("event_id"),
                       ts_text(F.timestamp_micros("ts_us")).alias("ts"), "phase")
 

@@ -1,21 +1,21 @@
 """Per-task lifecycle on a stream, with event-time timeouts.
 
-One state per key (a task submitter): pending -> running -> success |
-failed | timeout.  A submit while a task is open is a duplicate and is
-ignored, as is a completion with no open task.  A task still open
-``timeout_s`` after its submit times out: either a later event of the key
-shows it, or the watermark passes submit + timeout (state timeout).
-Output: one row per finished task (key, submit_us, end_us, status).
+A key (a task submitter) goes pending -> running -> success | failed |
+timeout.  A submit while a task is open is a duplicate and is ignored, as is
+a completion with no open task.  A task still open ``timeout_s`` after its
+submit times out: either a later event of the key shows it, or the watermark
+passes submit + timeout.  Output: one row per finished task (key, submit_us,
+end_us, status).
 
 Events wait until the watermark has passed them and are then folded in time
 order, so rows that come late, but within the delay, give what they would
 have given in order, whatever micro-batch they are in.
 
-They wait in a map from stretch of time (ten minutes) to the events of that
-stretch, with a timer at its end.  A trigger reads and writes only the
-stretches it has rows for, and a timer reads only those that are due and
-removes them: what a trigger costs follows its rows, not the events that a
-busy key has waiting.
+State is kept in buckets of keys, so that a trigger makes few calls.  Events
+wait in a map from a stretch of time to its events, with one timer at what
+is due first.  A trigger writes only the stretches it has rows for; a timer
+reads only those that the watermark has reached, and removes what it has
+passed.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from pyspark.sql.types import StructType
 from fleetlane.streaming.runner import END_TYPE
 
 OUT_SCHEMA = "key long, submit_us long, end_us long, status string"
-OPEN_SCHEMA = "status string, submit_us long"
-WAITING_SCHEMA = "t_us array<long>, event_id array<long>, event_type array<string>"
-STRETCH_US = 600 * 1_000_000
+OPEN_SCHEMA = "key array<long>, status array<string>, submit_us array<long>"
+WAITING_SCHEMA = "key array<long>, t_us array<long>, event_id array<long>, event_type array<string>"
+STRETCH_US = 8 * 3600 * 1_000_000
 RUNNING_TYPES = ("click", "view")
 
 
@@ -63,7 +63,7 @@ def step(events, open_task, timeout_us):
 
 
 class Lifecycle(StatefulProcessor):
-    """State of one key: its open task, and its events by stretch."""
+    """State of a bucket of keys: open tasks, events by stretch, the timer."""
 
     def __init__(self, timeout_s: int):
         self.timeout_us = timeout_s * 1_000_000
@@ -72,60 +72,88 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", OPEN_SCHEMA)
         self.waiting = handle.getMapState("waiting", "stretch long", WAITING_SCHEMA)
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, due_us: int) -> None:
+        """Have the timer when the watermark has passed ``due_us``, or
+        earlier."""
+        ms = due_us // 1000 + 1
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows), ignore_index=True)
-        if key[0] is None or pd.isna(key[0]):  # the end marker's group
+        got = got[got["key"].notna()]  # the end marker has no key
+        if not len(got):
             return iter([])
+        there = {k[0] for k in self.waiting.keys()}
         for stretch, part in got.groupby(got["t_us"] // STRETCH_US):
-            at, new = (int(stretch),), [part[c].tolist() for c in ("t_us", "event_id", "event_type")]
-            if self.waiting.containsKey(at):
+            at, new = (int(stretch),), [part[c].tolist() for c in ("key", "t_us", "event_id", "event_type")]
+            new[0] = list(map(int, new[0]))
+            if stretch in there:
                 new = [list(x) + y for x, y in zip(self.waiting.getValue(at), new)]
-            else:
-                self._wake(int(stretch))
             self.waiting.updateValue(at, tuple(new))
+        self._wake(int(got["t_us"].min()))
         return iter([])
 
-    def _wake(self, stretch: int) -> None:
-        self.handle.registerTimer((stretch + 1) * STRETCH_US // 1000)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Fold the events of all stretches the watermark has passed."""
+        """Fold the events that the watermark has passed."""
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * STRETCH_US <= wm_us)
-        events = []
-        for stretch in due:
-            events += sorted(zip(*self.waiting.getValue((stretch,))), key=lambda e: e[:2])
-            self.waiting.removeKey((stretch,))
-        before = self.open.get() if self.open.exists() else None
-        out, task = step(((t, typ) for t, _, typ in events), before, self.timeout_us)
-        if task is not None:
-            last = (task[1] + self.timeout_us) // STRETCH_US   # whose events may still end it
-            if (last + 1) * STRETCH_US <= wm_us:
-                out.append((task[1], task[1] + self.timeout_us, "timeout"))
-                task = None
-            elif task != before:
-                self._wake(last)
-        if task is None and before is not None:
+        self.timer.clear()
+        tasks = {k: (st, s) for k, st, s in zip(*self.open.get())} if self.open.exists() else {}
+        events: dict[int, list] = {}
+        later = []                                   # when what is left becomes due
+        for stretch in sorted(k[0] for k in self.waiting.keys()):
+            if stretch * STRETCH_US > wm_us:
+                later.append(stretch * STRETCH_US)
+                continue
+            rest = []
+            for row in zip(*self.waiting.getValue((stretch,))):
+                if row[1] <= wm_us:
+                    events.setdefault(row[0], []).append(row[1:])
+                else:
+                    rest.append(row)
+            if rest:
+                self.waiting.updateValue((stretch,), tuple(list(c) for c in zip(*rest)))
+                later.append(min(r[1] for r in rest))
+            else:
+                self.waiting.removeKey((stretch,))
+        out, left = [], {}
+        for k in {*events, *tasks}:
+            rows, task = step(((t, typ) for t, _, typ in sorted(events.get(k, ()))), tasks.get(k), self.timeout_us)
+            if task is not None and task[1] + self.timeout_us <= wm_us:
+                rows.append((task[1], task[1] + self.timeout_us, "timeout"))
+            elif task is not None:
+                left[k] = task
+                later.append(task[1] + self.timeout_us)
+            out += [(int(k), *r) for r in rows]
+        if left:
+            self.open.update((list(left), [st for st, _ in left.values()], [s for _, s in left.values()]))
+        elif tasks:
             self.open.clear()
-        elif task is not None and task != before:
-            self.open.update(task)
+        if later:
+            self._wake(min(later))
         if out:
-            yield pd.DataFrame([(int(key[0]), s, e, st) for s, e, st in out],
-                               columns=["key", "submit_us", "end_us", "status"])
+            yield pd.DataFrame(out, columns=["key", "submit_us", "end_us", "status"])
 
     def close(self) -> None:
         pass
 
 
 def lifecycle_stream(events: DataFrame, key: str = "user_id", timeout_s: int = 3600,
-                     delay: str = "1 hour") -> DataFrame:
+                     delay: str = "1 hour", buckets: int = 32) -> DataFrame:
     """events: (event_id, key, ts, event_type) stream, marker included.
-    Needs the RocksDB state store (see runner.run_append)."""
+    Needs the RocksDB state store (see runner.run_append); ``buckets`` must
+    stay as it is over restarts."""
     ev = (events.withWatermark("ts", delay)
                 .select("event_id", F.col(key).alias("key"), "event_type", "ts",
-                        F.unix_micros("ts").alias("t_us")))
+                        F.unix_micros("ts").alias("t_us"),
+                        F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).alias("bucket")))
     # the marker is not filtered here: a filter would be pushed below the
     # watermark and the watermark would never see it
-    return (ev.groupBy("key").transformWithStateInPandas(
+    return (ev.groupBy("bucket").transformWithStateInPandas(
         Lifecycle(timeout_s), StructType.fromDDL(OUT_SCHEMA), "Append", "EventTime"))

@@ -111,11 +111,16 @@ def _fit(p: FmParams, y: np.ndarray, words, stats: np.ndarray) -> Model:
     if len(y) == 0:
         return Model(p, np.zeros((len(STATS), p.bins - 1)), 0.0, np.zeros(d), np.zeros((d, p.rank)))
     edges = np.quantile(stats, np.linspace(0, 1, p.bins + 1)[1:-1], axis=0).T
-    x = np.zeros((len(y), d), np.float32)
-    for r, (at, val) in enumerate(words):
-        x[r, at] = val
     cols = (1 << p.word_log2) + np.arange(len(STATS)) * p.bins + bin_stats(stats, edges)
-    x[np.arange(len(y))[:, None], cols] = 1 / np.sqrt(len(STATS))
+
+    def inputs(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), d), np.float32)
+        for i, r in enumerate(rows.tolist()):
+            at, val = words[r]
+            x[i, at] = val
+        x[np.arange(len(rows))[:, None], cols[rows]] = 1 / np.sqrt(len(STATS))
+        return x
+
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     par = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(d, np.float32),
            rng.normal(0, 0.05, (d, p.rank)).astype(np.float32)]
@@ -124,7 +129,7 @@ def _fit(p: FmParams, y: np.ndarray, words, stats: np.ndarray) -> Model:
         order = rng.permutation(len(y))
         for lo in range(0, len(y), p.batch):
             b = order[lo:lo + p.batch]
-            xb, yb = x[b], y[b]
+            xb, yb = inputs(b), y[b]
             sq = xb * xb
             s = xb @ par[2]
             z = par[0][0] + xb @ par[1] + 0.5 * ((s * s).sum(1) - (sq @ (par[2] * par[2])).sum(1))
@@ -176,10 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, params: FmParams | None = None, la
                                    "stats array<double>").toArrow()
     rows = sorted(zip(t["doc_id"].to_pylist(), range(t.num_rows)))
     t = t.take(pa.array([r for _, r in rows], pa.int64()))
-    words = [(np.array(a, np.int64), np.array(v, np.float32))
-             for a, v in zip(t["at"].to_pylist(), t["val"].to_pylist())]
-    stats = np.array(t["stats"].to_pylist(), np.float64).reshape(t.num_rows, len(STATS))
-    return _fit(p, np.array(t["y"].to_pylist(), np.float32), words, stats)
+    at, val = (t[c].combine_chunks() for c in ("at", "val"))
+    cut = np.cumsum(at.value_lengths().to_numpy())[:-1] if t.num_rows else []
+    words = list(zip(np.split(at.flatten().to_numpy(), cut), np.split(val.flatten().to_numpy(), cut)))
+    stats = t["stats"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, len(STATS))
+    return _fit(p, t["y"].to_numpy().astype(np.float32), words, stats)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,8 +27,8 @@ time; a cell hands on a spanning forest of links; blocks of one component
 of links are not compared again.  Equal sets are one member.
 
 The order needs no exact counts, only the same rule everywhere: a shingle
-is placed by a count sketch of all sets (2^20 counters, quantised to one
-byte each: 1 MB, whatever the corpus), then by its hash.  A worse sketch
+is placed by a count sketch of all sets (2^22 counters, quantised to one
+byte each: 4 MB, whatever the corpus), then by its hash.  A worse sketch
 makes longer postings, never a lost link.
 
 Edge cases: a null or blank text has an empty set and is linked with
@@ -53,7 +53,7 @@ from fleetlane.llm.common import bloom_bitmap, bloom_test, connected_components,
 from fleetlane.llm.minhash import shingle_set, spanning_links
 from fleetlane.llm.words import batch_hashes
 
-SKETCH_LOG2 = 20
+SKETCH_LOG2 = 22
 CHUNK = 1 << 13          # counters of one row of the sketch
 LEAST_BITS = 512         # of a parity bitmap; a power of two of at least the set's size
 
@@ -81,7 +81,7 @@ def least_overlap(n, m, pct: int):
 def _sketch(k: int):
     """Counters of the shingle sets of a task, as rows (chunk, counters)."""
     def fn(batches):
-        count = np.zeros(1 << SKETCH_LOG2, np.int64)
+        count = np.zeros(1 << SKETCH_LOG2, np.uint32)
         for b in batches:
             for h in batch_hashes(b.column(0).cast(pa.binary()).to_pylist()):
                 np.add.at(count, shingle_set(h, k) >> np.uint64(64 - SKETCH_LOG2), 1)
@@ -94,13 +94,21 @@ def _sketch(k: int):
 
 
 def _narrow(c: np.ndarray) -> bytes:
-    """Counters in the narrowest type they fit (first byte: its width)."""
+    """Counters in the narrowest type they fit (first byte: its width), or
+    places and counters of the few that are not 0 (width + 16)."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or c.max(initial=0) < 1 << (8 * w))
+    at = np.flatnonzero(c)
+    if len(at) * (2 + width) < len(c) * width:
+        return bytes([width + 16]) + len(at).to_bytes(4, "little") + at.astype("<u2").tobytes() + c[at].astype(f"<u{width}").tobytes()
     return bytes([width]) + c.astype(f"<u{width}").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    if data[0] < 16:
+        return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    n, out = int.from_bytes(data[1:5], "little"), np.zeros(CHUNK, np.int64)
+    out[np.frombuffer(data, "<u2", n, 5)] = np.frombuffer(data, f"<u{data[0] - 16}", n, 5 + 2 * n)
+    return out
 
 
 def _summed(batches):

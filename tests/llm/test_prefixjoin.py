@@ -69,6 +69,14 @@ def test_filters_lose_no_link():
     assert linked > 300 and folded > 20
 
 
+def test_counters_travel_whole():
+    rng = np.random.default_rng(1)
+    for share, top in ((0, 1), (.01, 200), (.9, 200), (.01, 70_000), (.9, 70_000), (1, 1 << 31)):
+        c = (rng.random(P.CHUNK) < share) * rng.integers(1, top + 1, P.CHUNK)
+        data = P._narrow(c.astype(np.uint32))
+        assert (P._wide(data) == c).all() and len(data) <= 1 + 4 * P.CHUNK
+
+
 def test_long_sets_with_common_shingles(llm):
     """Sets larger than a bitmap's least bits, of sizes around a power of
     two, that share much and differ much."""

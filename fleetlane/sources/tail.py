@@ -23,15 +23,18 @@ batch reads).  Bytes that are not UTF-8 become U+FFFD.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from fleetlane.sources import files
 from fleetlane.sources.files import open_fs
 
 BLOCK = 1 << 16          # bytes read at a time when a newline is looked for
@@ -245,16 +248,25 @@ class GrowingLines(DataSource):
 
 # ---- readers ---------------------------------------------------------------------
 
+def _register(spark: SparkSession) -> None:
+    """Make the source known to the session.  Spark plans it in Python
+    processes beside the driver, which have neither the driver's path nor
+    the files added to the session, so its code travels with it."""
+    for module in (sys.modules[__name__], files):
+        cloudpickle.register_pickle_by_value(module)
+    spark.dataSource.register(GrowingLines)
+
+
 def growing_lines(spark: SparkSession, path: str, chunk_bytes: int = CHUNK) -> DataFrame:
     """A growing file, or the growing files of a folder, as a stream of
     (pos, value) lines; pos = (file, byte)."""
-    spark.dataSource.register(GrowingLines)
+    _register(spark)
     df = spark.readStream.format("growing_lines").option("chunkBytes", str(chunk_bytes)).load(path)
     return df.select(F.struct("file", "offset").alias("pos"), "value")
 
 
 def _batch(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    spark.dataSource.register(GrowingLines)
+    _register(spark)
     df = spark.read.format("growing_lines").options(**options).load(path)
     return df.select(F.struct("seq", "file", "offset").alias("pos"), "value")
 

@@ -20,9 +20,11 @@ passed.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -149,6 +151,9 @@ def lifecycle_stream(events: DataFrame, key: str = "user_id", timeout_s: int = 3
     """events: (event_id, key, ts, event_type) stream, marker included.
     Needs the RocksDB state store (see runner.run_append); ``buckets`` must
     stay as it is over restarts."""
+    # the processor is opened once beside the driver, where the package may
+    # not be on the path: its code travels with it
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     ev = (events.withWatermark("ts", delay)
                 .select("event_id", F.col(key).alias("key"), "event_type", "ts",
                         F.unix_micros("ts").alias("t_us"),

@@ -11,9 +11,11 @@ read or carried by the driver; a restart continues from the checkpoint.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -58,6 +60,9 @@ class QueueDepth(StatefulProcessor):
 
 def depth_stream(ticks: DataFrame, queue: str = "main") -> DataFrame:
     """(tick, delta, groups) per closed tick, in order -> with its depth."""
+    # the processor is opened once beside the driver, where the package may
+    # not be on the path: its code travels with it
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     t = ticks.where("delta is not null").withColumn("queue", F.lit(queue))
     return (t.groupBy("queue").transformWithStateInPandas(
         QueueDepth(), StructType.fromDDL(DEPTH_SCHEMA), "Append", "None"))

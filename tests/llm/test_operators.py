@@ -543,7 +543,7 @@ def test_contaminated(llm):
 # ---- registered queries and the pipeline ------------------------------------------
 
 def test_registered_names():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
 
 
